@@ -57,12 +57,12 @@ def median_vectors(
     Groups up to `large_group` vectors use the built-in exact median, whose state is one entry per
     distinct value. Larger groups would not fit one task, so they take the histogram selection.
     """
-    sizes = stage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_obs")), "group-sizes")
-    wanted = sizes.where(F.col("n_obs") >= min_count)
-    largest = wanted.agg(F.max("n_obs")).first()[0] or 0
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_obs"))
+    largest = sizes.agg(F.max("n_obs")).first()[0] or 0
     if largest <= large_group:
         parts = _median_builtin(df, keys, vec, min_count)
     else:
+        wanted = stage(sizes.where(F.col("n_obs") >= min_count), "group-sizes")
         small = wanted.where(F.col("n_obs") <= large_group).select(*keys)
         large = wanted.where(F.col("n_obs") > large_group)
         parts = _median_builtin(df.join(small, keys, "left_semi"), keys, vec, min_count).unionByName(

@@ -165,26 +165,35 @@ def extract_chips(
         "parcel_id", "scene_id", "band", "res", "west", "south", "east", "north", "tx", "ty", "pixels"
     ).mapInPandas(cut, piece_schema)
 
-    def assemble(group: pd.DataFrame) -> pd.DataFrame:
-        r = group.iloc[0]
-        left, right, top, bottom = frame(r)
-        row0, col0 = group["row0"].min(), group["col0"].min()
-        canvas = np.zeros(
-            ((group["row0"] + group["height"]).max() - row0, (group["col0"] + group["width"]).max() - col0)
-        )
-        for p in group.itertuples(index=False):
-            y, x = p.row0 - row0, p.col0 - col0
-            canvas[y : y + p.height, x : x + p.width] = np.asarray(p.part).reshape(p.height, p.width)
+    def assemble(batches):
         centres = (np.arange(size_px) + 0.5) / size_px
-        sampled = bilinear(canvas, top + centres * (bottom - top) - row0, left + centres * (right - left) - col0)
-        values = np.rint(sampled).astype(int).ravel()
-        return pd.DataFrame({"parcel_id": [r.parcel_id], "scene_id": [r.scene_id], "band": [r.band], "values": [values]})
+        for batch in batches:
+            values = []
+            for r in batch.itertuples(index=False):
+                left, right, top, bottom = frame(r)
+                row0, col0 = min(p["row0"] for p in r.parts), min(p["col0"] for p in r.parts)
+                canvas = np.zeros(
+                    (
+                        max(p["row0"] + p["height"] for p in r.parts) - row0,
+                        max(p["col0"] + p["width"] for p in r.parts) - col0,
+                    )
+                )
+                for p in r.parts:
+                    y, x = p["row0"] - row0, p["col0"] - col0
+                    canvas[y : y + p["height"], x : x + p["width"]] = np.asarray(p["part"]).reshape(p["height"], p["width"])
+                rows, cols = top + centres * (bottom - top) - row0, left + centres * (right - left) - col0
+                values.append(np.rint(bilinear(canvas, rows, cols)).astype(int).ravel())
+            yield pd.DataFrame(
+                {"parcel_id": batch["parcel_id"], "scene_id": batch["scene_id"], "band": batch["band"], "values": values}
+            )
 
     layer_schema = (
         f"parcel_id {types['parcel_id']}, scene_id {types['scene_id']}, band string, values array<int>"
     )
     # A group is one band of one chip: the few tiles its window meets.
-    layers = pieces.groupBy("parcel_id", "scene_id", "band").applyInPandas(assemble, layer_schema)
+    window_keys = ["parcel_id", "scene_id", "band", "res", "west", "south", "east", "north"]
+    parts = F.collect_list(F.struct("row0", "col0", "height", "width", "part")).alias("parts")
+    layers = pieces.groupBy(*window_keys).agg(parts).mapInPandas(assemble, layer_schema)
     order = F.array(*[F.lit(b) for b in bands])
     stacked = layers.groupBy("parcel_id", "scene_id").agg(
         F.array_sort(F.collect_list(F.struct(F.array_position(order, F.col("band")).alias("i"), "values"))).alias("_l")

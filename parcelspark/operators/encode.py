@@ -23,12 +23,16 @@ def first_token(output: np.ndarray) -> np.ndarray:
 
 
 def embed_chips(
-    chips: DataFrame, make_encoder: Callable[[], Encoder], version: str, batch_size: int = 16
+    chips: DataFrame,
+    make_encoder: Callable[[], Encoder],
+    version: str,
+    shape: tuple[int, int, int] = (10, 224, 224),
+    batch_size: int = 16,
 ) -> DataFrame:
     """Observations (parcel_id, obs_date, embedding, encoder_version) of decodable chips.
 
     `make_encoder` returns `encode(pixels, time, place, gsd, waves)`, called on batches; pixels arrive
-    as (batch, bands * height * width) reflectances, all chips of a call having one shape.
+    as (batch, bands, height, width) reflectances of the given shape.
     """
 
     def make_predict():
@@ -39,7 +43,12 @@ def embed_chips(
 
         return predict
 
-    run = predict_batch_udf(make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
+    run = predict_batch_udf(
+        make_predict,
+        return_type=T.ArrayType(T.FloatType()),
+        batch_size=batch_size,
+        input_tensor_shapes=[list(shape), [4], [4], None, [shape[0]]],
+    )
     inputs = chips.where(F.col("pixels").isNotNull()).select(
         "parcel_id", "obs_date",
         F.flatten(reflectance(F.col("pixels"))).alias("pixels"),
@@ -72,7 +81,12 @@ def mock_embeddings(chips: DataFrame, dim: int = 768, version: str = "mock") ->
 
 
 def embed_pending(
-    chips: DataFrame, done: DataFrame, make_encoder: Callable[[], Encoder], version: str, batch_size: int = 16
+    chips: DataFrame,
+    done: DataFrame,
+    make_encoder: Callable[[], Encoder],
+    version: str,
+    shape: tuple[int, int, int] = (10, 224, 224),
+    batch_size: int = 16,
 ) -> DataFrame:
     """Embed only chips without a result of this encoder version."""
-    return embed_chips(pending_for_version(chips, done, version), make_encoder, version, batch_size)
+    return embed_chips(pending_for_version(chips, done, version), make_encoder, version, shape, batch_size)

@@ -73,7 +73,8 @@ def build_payloads(
     cadence_days: int = 16,
 ) -> DataFrame:
     """(parcel_id, status, payload, payload_hash). The limits come from a one-row table as a scalar subquery."""
-    limits = thresholds.select(F.struct("method", "green", "red")).scalar()
+    scores = scores.withColumn("_limits", thresholds.select(F.struct("method", "green", "red")).scalar())
+    limits = F.col("_limits")
     d = F.col("distance_trajectory")
     payload = F.struct(  # fields in alphabetical order, so that the hash does not depend on their order here
         F.struct(

@@ -88,7 +88,7 @@ def knn_join(
     """The k nearest corpus rows of every query row: (id, neighbor_id, distance, rank).
 
     `queries` and `corpus` carry `id` and `vec`; every query id is in the corpus. A row is never its
-    own neighbour. Ties at the compared precision go to the smaller id.
+    own neighbour. Order and ties follow the distance at the metric's precision, then the smaller id.
     """
     points = stage(corpus.select("id", "vec", _digest("vec").alias("_copy")), "knn-points")
     sizes = points.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("_copy").alias("vectors")).first()
@@ -101,7 +101,7 @@ def knn_join(
             nearest.where(F.col("query") != F.col("match"))
             .withColumn("rank", F.row_number().over(order))
             .where(F.col("rank") <= k)
-            .select(F.col("query").alias("id"), F.col("match").alias("neighbor_id"), "distance", "rank")
+            .select(F.col("query").alias("id"), F.col("match").alias("neighbor_id"), F.col("exact").alias("distance"), "rank")
         )
     return _with_copies(queries, points, sizes["vectors"], k, metric, max_distance, plan)
 
@@ -132,17 +132,17 @@ def _with_copies(queries, points, n_vectors, k, metric, max_distance, plan) -> D
     best = Window.partitionBy("query").orderBy("distance", "id")
     candidates = (
         nearest.join(members.withColumnRenamed("rep", "match"), "match")
-        .select("query", "distance", F.explode("ids").alias("id"))
+        .select("query", "distance", "exact", F.explode("ids").alias("id"))
         .withColumn("_n", F.row_number().over(best))
         .where(F.col("_n") <= k + 1)
         .groupBy("query")
-        .agg(F.array_sort(F.collect_list(F.struct("distance", F.col("id").alias("neighbor_id")))).alias("_near"))
+        .agg(F.array_sort(F.collect_list(F.struct("distance", F.col("id").alias("neighbor_id"), "exact"))).alias("_near"))
     )
     others = F.slice(F.filter("_near", lambda e: e["neighbor_id"] != F.col("id")), 1, k)
     return (
         asked.join(candidates.withColumnRenamed("query", "rep"), "rep")
         .select("id", F.posexplode(others).alias("_pos", "_hit"))
-        .select("id", "_hit.neighbor_id", "_hit.distance", (F.col("_pos") + 1).alias("rank"))
+        .select("id", "_hit.neighbor_id", F.col("_hit.exact").alias("distance"), (F.col("_pos") + 1).alias("rank"))
     )
 
 
@@ -152,13 +152,15 @@ def _digest(vec: str) -> F.Column:
 
 
 def _nearest_distinct(rows, total, asked, keep, metric, max_distance, plan) -> DataFrame:
-    """(query, match, distance): the `keep` nearest vectors of every asked vector, itself included.
+    """(query, match, distance, exact): the `keep` nearest vectors of every asked vector, itself included.
+
+    `distance` is rounded and decides the order, `exact` is the value to report.
 
     `rows` is a staged table of `total` distinct vectors; `asked` is None when all of them are queries.
     """
     spark = rows.sparkSession
     id_type = dict(rows.dtypes)["rep"]
-    schema = f"query {id_type}, match {id_type}, distance double"
+    schema = f"query {id_type}, match {id_type}, distance double, exact double"
     if total == 0:
         return spark.createDataFrame([], schema)
     if total <= plan.cell_rows:
@@ -301,7 +303,7 @@ def _probe(routed, corpus, query_blocks, corpus_blocks, keep, metric, max_distan
             for i in range(batch.num_rows):
                 found = _block_nearest(batch.column("queries")[i], batch.column("rows")[i], keep, metric, max_distance)
                 if found is not None:
-                    yield pa.RecordBatch.from_arrays(found, names=["query", "match", "distance"])
+                    yield pa.RecordBatch.from_arrays(found, names=["query", "match", "distance", "exact"])
 
     return _best(pairs.select("queries", "rows").mapInArrow(compare, schema), keep)
 
@@ -324,11 +326,11 @@ def _block_nearest(queries, rows, keep, metric, max_distance):
         return None
     distance = np.round(exact, metric.digits)
     order = np.lexsort((c, distance, q))
-    q, c, distance = q[order], c[order], distance[order]
+    q, c, distance, exact = q[order], c[order], distance[order], exact[order]
     starts = np.searchsorted(q, q)
     top = np.arange(len(q)) - starts < keep
     take = lambda ids, index: ids.field("rep").take(pa.array(index[top]))
-    return [take(query_rows, q), take(corpus_rows, c), pa.array(distance[top])]
+    return [take(query_rows, q), take(corpus_rows, c), pa.array(distance[top]), pa.array(exact[top])]
 
 
 def _best(found: DataFrame, keep: int) -> DataFrame:

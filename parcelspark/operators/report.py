@@ -191,3 +191,16 @@ def campaign_report(
         F.lit(json.dumps(season, sort_keys=True)).alias("season"),
         F.lit(json.dumps(rules or {}, sort_keys=True)).alias("scoring"),
     )
+
+
+def crop_rollup(scores: DataFrame) -> DataFrame:
+    """Per-crop summary and its grand total in one pass; the total row is named "all"."""
+    return (
+        scores.where(F.col("crop_name").isNotNull())
+        .rollup("crop_name")
+        .agg(
+            F.count(F.lit(1)).alias("total"), *_colour_counts(),
+            F.round(F.avg("health_score"), 4).alias("avg_health_score"),
+        )
+        .withColumn("crop_name", F.coalesce("crop_name", F.lit("all")))
+    )

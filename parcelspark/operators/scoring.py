@@ -41,16 +41,18 @@ def match_observations(
     list of bin centres, so no observation is multiplied by candidate dates. Ties take the earlier date.
     """
     labelled = parcels.where(is_labelled(F.col("crop_name"))).select("parcel_id", "crop_name")
-    centres = stage(
-        profiles.groupBy("crop_name").agg(F.collect_list(F.struct("bin_center", "bin")).alias("_bins")),
-        "profile-centres",
-    )
+    size = profiles.agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("crop_name").alias("crops"), F.max(F.size("ref")).alias("dim")
+    ).first()
+    centres = profiles.groupBy("crop_name").agg(F.collect_list(F.struct("bin_center", "bin")).alias("_bins"))
     dated = observations.select("parcel_id", "obs_date", "embedding").join(labelled, "parcel_id")
     gap = lambda c: F.abs(F.datediff(F.col("obs_date"), c["bin_center"]))
     near = F.filter("_bins", lambda c: gap(c) <= rules.tolerance_days)
     nearest = F.array_min(F.transform(near, lambda c: F.struct(gap(c).alias("gap"), c["bin_center"], c["bin"])))
     located = (
-        lookup_join(dated, centres, ["crop_name"], 64 * max(1, season.n_bins), ["parcel_id", "obs_date"])
+        lookup_join(
+            dated, centres, ["crop_name"], 64 * size["rows"] + 128 * size["crops"], ["parcel_id", "obs_date"]
+        )
         .withColumn("_near", nearest)
         .select(
             "parcel_id", "crop_name", "obs_date", "embedding",
@@ -59,9 +61,9 @@ def match_observations(
             F.col("_near.bin_center").alias("ref_date"),
         )
     )
-    dim = profiles.agg(F.max(F.size("ref"))).first()[0] or 1
     refs = profiles.select("crop_name", "bin", "ref")
-    matched = lookup_join(located, refs, ["crop_name", "bin"], 8 * dim + 128, ["parcel_id", "obs_date"])
+    ref_bytes = size["rows"] * (8 * (size["dim"] or 0) + 128)
+    matched = lookup_join(located, refs, ["crop_name", "bin"], ref_bytes, ["parcel_id", "obs_date"])
     return matched.select(
         "parcel_id", "crop_name", "obs_date", "has_profile", "ref_date",
         early_weight(F.col("obs_date"), season, rules.urgency, rules.early_fraction).alias("weight"),

@@ -31,12 +31,12 @@ def nearest_to(vectors: DataFrame, parcel_id: str, k: int = 10) -> DataFrame:
     query = vectors.where(F.col("parcel_id") == parcel_id)
     if query.isEmpty():
         raise KeyError(f"no vector for parcel {parcel_id}")
-    # Compared at 9 dp like the join below, so that both give the same order.
-    distance = F.round(1.0 - dot(F.col("unit"), query.select("unit").scalar()), 9)
+    # Ordered at 9 dp like the join below, so that both give the same order.
     return (
         vectors.where(F.col("parcel_id") != parcel_id)
-        .select("parcel_id", "crop_name", distance.alias("_d"))
-        .orderBy("_d", "parcel_id")
+        .withColumn("_query", query.select("unit").scalar())
+        .select("parcel_id", "crop_name", (1.0 - dot(F.col("unit"), F.col("_query"))).alias("_d"))
+        .orderBy(F.round("_d", 9), "parcel_id")
         .limit(k)
         .select("parcel_id", "crop_name", *similarity_columns(F.col("_d")))
     )
@@ -115,7 +115,7 @@ def nearest_places(
 ) -> DataFrame:
     """Geographic neighbours: (id, neighbor_id, distance_km, rank). Rows without coordinates are skipped.
 
-    `places` carries id, lat and lon. The distance is exact to 6 dp; ties go to the smaller id.
+    `places` carries id, lat and lon. Order and ties follow the distance at 6 dp, then the smaller id.
     """
 
     def as_points(df: DataFrame) -> DataFrame:

@@ -38,16 +38,15 @@ def labelled_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.join(raw.select("vec_id", "embedding"), "vec_id")
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labelled_observations(spark, sf_dir).select("parcel_id", "obs_date", "embedding")
+def observations(labelled: DataFrame) -> DataFrame:
+    return labelled.select("parcel_id", "obs_date", "embedding")
 
 
-def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def parcels(labelled: DataFrame) -> DataFrame:
     """One row per parcel of the observation view, with places derived from its number."""
     number = F.col("pk")
     return (
-        labelled_observations(spark, sf_dir)
-        .select("parcel_id", "crop_name", "pk")
+        labelled.select("parcel_id", "crop_name", "pk")
         .distinct()
         .select(
             "parcel_id",

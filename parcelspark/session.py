@@ -56,19 +56,19 @@ def lookup_join(
     big: DataFrame,
     small: DataFrame,
     on: list[str],
-    row_bytes: int,
+    small_bytes: int,
     spread: list[str],
     how: str = "left",
     limit_bytes: int = BROADCAST_LIMIT_BYTES,
     salts: int = 64,
 ) -> DataFrame:
-    """Join a large table with a per-group table whose size is measured first.
+    """Join a large table with a per-group table of measured size.
 
     Up to `limit_bytes` the small side is broadcast. Beyond it both sides carry a salt, so that a
     group holding a large share of `big` is spread over `salts` tasks; the salt is a hash of the
-    `spread` columns. Pass a staged table as `small`: the count then comes from its file footers.
+    `spread` columns. `small_bytes` is the measured size of the small side in memory.
     """
-    if small.count() * row_bytes <= limit_bytes:
+    if small_bytes <= limit_bytes:
         return big.join(F.broadcast(small), on, how)
     salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -82,3 +82,18 @@ def score_stream(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def upsert_stream(stream: DataFrame, path: str, keys: list[str], checkpoint: str) -> StreamingQuery:
+    """Keep the latest value per key of an updating aggregate in a table."""
+
+    def apply(batch: DataFrame, epoch: int) -> None:
+        upsert_table(stage(batch, "stream-update"), path, keys)
+
+    return (
+        stream.writeStream.foreachBatch(apply)
+        .outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

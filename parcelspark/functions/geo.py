@@ -120,35 +120,43 @@ def total_bounds(parcels: DataFrame, buffer_deg: float = 0.01) -> DataFrame:
     )
 
 
-def touches_cell(rings: Column, x: Column, y: Column) -> Column:
-    """Whether a polygon overlaps the open unit cell [x, x+1) x [y, y+1): an edge crosses it or it contains its centre."""
-
-    def crosses(e: Column) -> Column:
-        # Clip the edge against the four sides; what remains must have length.
-        dx, dy = e["x1"] - e["x0"], e["y1"] - e["y0"]
-
-        def enters(d: Column, low: Column, high: Column) -> tuple[Column, Column, Column]:
-            flat_inside = (low < 0) & (high > 0)
-            first = F.when(d == 0, F.lit(0.0)).otherwise(F.least(low / _safe(d), high / _safe(d)))
-            last = F.when(d == 0, F.lit(1.0)).otherwise(F.greatest(low / _safe(d), high / _safe(d)))
-            return (d != 0) | flat_inside, first, last
-
-        ok_x, x_in, x_out = enters(dx, x - e["x0"], x + 1 - e["x0"])
-        ok_y, y_in, y_out = enters(dy, y - e["y0"], y + 1 - e["y0"])
-        start = F.greatest(x_in, y_in, F.lit(0.0))
-        end = F.least(x_out, y_out, F.lit(1.0))
-        return ok_x & ok_y & (start < end)
-
-    cx, cy = x + 0.5, y + 0.5
-
-    def crossing(e: Column) -> Column:
-        spans = (e["y0"] > cy) != (e["y1"] > cy)
-        at = e["x0"] + (cy - e["y0"]) * (e["x1"] - e["x0"]) / _safe(e["y1"] - e["y0"])
-        return F.when(spans & (cx < at), 1).otherwise(0)
-
+def touched_columns(rings: Column, y: Column) -> Column:
+    """Columns x of the unit cells [x, x+1) x [y, y+1) that a polygon overlaps in one row of cells.
+
+    A cell counts if an edge passes through its interior or the polygon contains its centre. Edges are
+    clipped to the row, crossings of the row's middle line are paired, and both give runs of columns;
+    the cost depends on the number of edges, not of cells.
+    """
+    top = y + 1
+
+    def run(low: Column, high: Column) -> Column:
+        return F.struct(F.floor(low).cast("long").alias("low"), (F.ceil(high) - 1).cast("long").alias("high"))
+
+    def clipped(e: Column) -> Column:
+        at = lambda level: e["x0"] + (level - e["y0"]) * (e["x1"] - e["x0"]) / _safe(e["y1"] - e["y0"])
+        flat = e["y0"] == e["y1"]
+        first = F.when(flat, e["x0"]).otherwise(at(F.greatest(F.least(e["y0"], e["y1"]), y.cast("double"))))
+        last = F.when(flat, e["x1"]).otherwise(at(F.least(F.greatest(e["y0"], e["y1"]), top.cast("double"))))
+        return run(F.least(first, last), F.greatest(first, last))
+
+    middle = y + 0.5
     all_edges = F.flatten(F.transform(rings, edges))
-    crossings = F.aggregate(all_edges, F.lit(0), lambda acc, e: acc + crossing(e))
-    return F.exists(all_edges, crosses) | (crossings % 2 == 1)
+    inside = F.filter(all_edges, lambda e: (F.least(e["y0"], e["y1"]) < top) & (F.greatest(e["y0"], e["y1"]) > y))
+    crossing = F.filter(all_edges, lambda e: (e["y0"] > middle) != (e["y1"] > middle))
+    xs = F.array_sort(
+        F.transform(crossing, lambda e: e["x0"] + (middle - e["y0"]) * (e["x1"] - e["x0"]) / (e["y1"] - e["y0"]))
+    )
+    # Centres between the 1st and 2nd, 3rd and 4th crossing: column c with x1 < c + 0.5 < x2.
+    starts = F.filter(xs, lambda _, i: i % 2 == 0)
+    ends = F.filter(xs, lambda _, i: i % 2 == 1)
+    spans = F.zip_with(
+        starts, ends,
+        lambda p, q: F.struct(
+            (F.floor(p - 0.5) + 1).cast("long").alias("low"), (F.ceil(q - 0.5) - 1).cast("long").alias("high")
+        ),
+    )
+    runs = F.filter(F.concat(F.transform(inside, clipped), spans), lambda r: r["low"] <= r["high"])
+    return F.array_distinct(F.flatten(F.transform(runs, lambda r: F.sequence(r["low"], r["high"]))))
 
 
 def _safe(d: Column) -> Column:

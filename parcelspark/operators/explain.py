@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from parcelspark.functions.replies import (
     CONFIDENCES, CONSISTENCIES, MAX_ACTION, MAX_CAUSES, MAX_EVIDENCE, MAX_SUMMARY, STATUSES,
-    expected_status, explanation, fallback, validated,
+    expected_status, explanation, fallback, with_validated,
 )
 from parcelspark.functions.season import Season
 from parcelspark.operators.incremental import split_unchanged
@@ -241,18 +241,17 @@ def explain_parcels(
     asked = stage(payloads, "explain-payloads")
     with_bundle = "bundle" in asked.columns
     if make_generator is None:
-        answered = asked.withColumn("_e", validated(mock_reply(F.col("payload")), F.col("status")))
+        answered = with_validated(asked.withColumn("reply", mock_reply(F.col("payload"))), "reply", "status", "_e")
     else:
         system = system_prompt(with_context=with_bundle)
         user = user_message(F.col("payload"), "bundle" if with_bundle else None)
         requests = asked.select("parcel_id", "status", user.alias("user"))
         first = stage(generate_replies(requests, make_generator, system, temperature), "explain-replies")
-        judged = asked.join(first, "parcel_id").withColumn("_e", validated(F.col("reply"), F.col("status")))
+        judged = with_validated(asked.join(first, "parcel_id"), "reply", "status", "_e")
         failed = requests.join(judged.where(F.col("_e").isNull()).select("parcel_id"), "parcel_id", "left_semi")
         second = stage(generate_replies(failed, make_generator, system, retry_temperature), "explain-retries")
-        answered = judged.join(second.withColumnRenamed("reply", "_second"), "parcel_id", "left").withColumn(
-            "_e", F.coalesce("_e", validated(F.col("_second"), F.col("status")))
-        )
+        retried = judged.join(second.withColumnRenamed("reply", "_second"), "parcel_id", "left")
+        answered = with_validated(retried, "_second", "status", "_e2").withColumn("_e", F.coalesce("_e", "_e2"))
     final = F.coalesce("_e", fallback(F.col("status"), "no valid reply after retry"))
     used = F.col("bundle").isNotNull() if with_bundle else F.lit(False)
     now = F.current_timestamp() if generated_at is None else F.lit(generated_at).cast("timestamp")

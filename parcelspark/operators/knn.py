@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelspark.session import stage
+from parcelspark.session import parallelism, stage
 
 EARTH_RADIUS_KM = 6371.0
 MAX_PIVOT_BYTES = 64 * 1024 * 1024
@@ -290,10 +290,7 @@ def _probe(routed, corpus, query_blocks, corpus_blocks, keep, metric, max_distan
     )
     keys = ["cell", "block", "group"]
     n_keys = sum(corpus_blocks[c] * groups for c, _, _, groups in wanted)
-    parallel = max(
-        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    )
-    n = max(1, min(n_keys, parallel))
+    n = max(1, min(n_keys, parallelism(spark)))
     pairs = left.select(*keys, "queries").repartition(n, *keys).join(
         right.select(*keys, "rows").repartition(n, *keys), keys
     )

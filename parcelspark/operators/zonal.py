@@ -5,26 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelspark.functions.geo import polygon_bounds, project_rings, touches_cell
+from parcelspark.functions.geo import polygon_bounds, project_rings, touched_columns
 from parcelspark.functions.labels import name_codes
+from parcelspark.session import spread_rows
 
 
 def touched_cells(parcels: DataFrame, key: str = "parcel_id") -> DataFrame:
     """(key, x, y) of every unit cell a polygon in pixel units overlaps.
 
-    Each parcel generates its own cells, so the raster is met by an equality join and no pair of
-    parcel and foreign cell is ever built.
+    Each parcel generates its own cells row by row, so the raster is met by an equality join and no
+    pair of parcel and foreign cell is ever built.
     """
-    box = polygon_bounds(F.col("rings"))
-    low = lambda v: F.floor(v).cast("long")
-    high = lambda v: F.greatest(F.ceil(v) - 1, F.floor(v)).cast("long")
+    low = F.floor("_b.min_lat").cast("long")
+    high = F.greatest(F.ceil("_b.max_lat") - 1, F.floor("_b.min_lat")).cast("long")
     return (
-        parcels.where(F.size("rings") > 0)
-        .select(key, "rings", box.alias("_b"))
-        .select(key, "rings", "_b", F.explode(F.sequence(low(F.col("_b.min_lat")), high(F.col("_b.max_lat")))).alias("y"))
-        .select(key, "rings", "y", F.explode(F.sequence(low(F.col("_b.min_lon")), high(F.col("_b.max_lon")))).alias("x"))
-        .where(touches_cell(F.col("rings"), F.col("x"), F.col("y")))
-        .select(key, "x", "y")
+        spread_rows(parcels.where(F.size("rings") > 0).select(key, "rings"), key)
+        .select(key, "rings", polygon_bounds(F.col("rings")).alias("_b"))
+        .select(key, "rings", F.explode(F.sequence(low, high)).alias("y"))
+        .select(key, F.explode(touched_columns(F.col("rings"), F.col("y"))).alias("x"), "y")
     )
 
 

@@ -637,7 +637,7 @@ def _replies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def explanation_validate(spark, sf):
-    judged = _replies(spark, sf).withColumn("e", replies.validated(F.col("reply"), F.col("colour")))
+    judged = replies.with_validated(_replies(spark, sf), "reply", "colour", "e")
     return judged.select(
         "doc_id", "colour", F.col("e").isNotNull().alias("valid"), F.col("e.status").alias("status"),
         F.col("e.confidence").alias("confidence"), F.col("e.consistency_check").alias("consistency_check"),

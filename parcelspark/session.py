@@ -52,6 +52,20 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Tasks to aim for when a step multiplies the work per row."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread_rows(df: DataFrame, *keys: str) -> DataFrame:
+    """Redistribute compact rows before a step that is costly per row or expands it.
+
+    Input files may be few, and neighbouring rows may be equally heavy; the fixed number keeps
+    adaptive execution from merging the partitions back by their small size.
+    """
+    return df.repartition(parallelism(df.sparkSession), *keys)
+
+
 def lookup_join(
     big: DataFrame,
     small: DataFrame,

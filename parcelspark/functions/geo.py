@@ -18,6 +18,11 @@ METRES_PER_DEGREE = 111_320.0
 RINGS_TYPE = "array<array<struct<lon:double,lat:double>>>"
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     half_lat = F.radians(lat2 - lat1) / 2
     half_lon = F.radians(lon2 - lon1) / 2
@@ -70,29 +75,35 @@ def _ring_moments(ring: Column, ox: Column, oy: Column) -> Column:
     return F.aggregate(edges(ring), zero, add, unsigned)
 
 
-def _polygon_moments(rings: Column) -> Column:
-    """Shell minus holes."""
-    ox, oy = F.get(F.get(rings, F.lit(0)), F.lit(0))["lon"], F.get(F.get(rings, F.lit(0)), F.lit(0))["lat"]
-    per_ring = F.transform(
-        rings,
-        lambda ring, i: F.struct(
-            F.when(i == 0, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("sign"), _ring_moments(ring, ox, oy).alias("m")
-        ),
-    )
-    total = lambda part: F.aggregate(per_ring, F.lit(0.0), lambda acc, r: acc + r["sign"] * r["m"][part])
-    return F.struct(
-        total("a").alias("area"), (ox + total("mx") / total("a")).alias("lon"), (oy + total("my") / total("a")).alias("lat")
-    )
+def first_vertex(rings: Column) -> Column:
+    return F.get(F.get(rings, F.lit(0)), F.lit(0))
 
 
-def polygon_area(rings: Column) -> Column:
-    """Area in squared units of the coordinates."""
-    return _polygon_moments(rings)["area"]
+def polygon_centroid(rings: Column) -> Column:
+    """Struct (area, lon, lat), shell minus holes, in the units of the coordinates."""
+
+    def measured(rings: Column, origin: Column) -> Column:
+        ox, oy = origin["lon"], origin["lat"]
+        parts = F.transform(
+            rings,
+            lambda ring, i: F.struct(
+                F.when(i == 0, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("sign"), _ring_moments(ring, ox, oy).alias("m")
+            ),
+        )
+        zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my"))
+        add = lambda acc, r: F.struct(*[(acc[k] + r["sign"] * r["m"][k]).alias(k) for k in ("a", "mx", "my")])
+        area = lambda t: F.nullif(t["a"], F.lit(0.0))
+        finish = lambda t: F.struct(
+            t["a"].alias("area"), (ox + t["mx"] / area(t)).alias("lon"), (oy + t["my"] / area(t)).alias("lat")
+        )
+        return F.aggregate(parts, zero, add, finish)
 
+    return let(rings, lambda r: let(first_vertex(r), lambda o: measured(r, o)))
 
-def polygon_centroid(rings: Column) -> Column:
-    """Struct (area, lon, lat); null coordinates for an empty or degenerate polygon."""
-    return _polygon_moments(rings)
+
+def polygon_area(rings: Column) -> Column:
+    """Area in squared units of the coordinates."""
+    return polygon_centroid(rings)["area"]
 
 
 def polygon_bounds(rings: Column) -> Column:
@@ -217,16 +228,25 @@ def utm(lon: Column, lat: Column, zone: Column, ellipsoid: Ellipsoid = WGS84) ->
         49561 * n**4 / 161280,
     ]
     e = sqrt(ellipsoid.e2)
-    s = F.sin(F.radians(lat))
-    t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
-    dl = F.radians(lon - (zone * 6 - 183))
-    xi = F.atan2(t, F.cos(dl))
-    eta = F.atanh(F.sin(dl) / F.sqrt(1 + t * t))
-    east, north = eta, xi
-    for j, a in enumerate(alpha, start=1):
-        east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    return 500_000.0 + 0.9996 * radius * east, 0.9996 * radius * north
+    scale = 0.9996 * radius
+
+    def series(angles: Column) -> Column:
+        xi, eta = angles["xi"], angles["eta"]
+        east, north = eta, xi
+        for j, a in enumerate(alpha, start=1):
+            east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+            north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        return F.struct((500_000.0 + scale * east).alias("x"), (scale * north).alias("y"))
+
+    def angles(t: Column) -> Column:
+        dl = F.radians(lon - (zone * 6 - 183))
+        return F.struct(
+            F.atan2(t, F.cos(dl)).alias("xi"), F.atanh(F.sin(dl) / F.sqrt(1 + t * t)).alias("eta")
+        )
+
+    conformal = lambda s: F.sinh(F.atanh(s) - e * F.atanh(e * s))
+    point = let(let(conformal(F.sin(F.radians(lat))), angles), series)
+    return point["x"], point["y"]
 
 
 def project_rings(rings: Column, project) -> Column:
@@ -241,5 +261,6 @@ def project_rings(rings: Column, project) -> Column:
 
 def polygon_area_m2(rings: Column) -> Column:
     """Area in square metres in the UTM zone of the polygon's first vertex."""
-    first = F.get(F.get(rings, F.lit(0)), F.lit(0))["lon"]
-    return polygon_area(project_rings(rings, lambda lon, lat: utm(lon, lat, utm_zone(first))))
+    zone = utm_zone(first_vertex(rings)["lon"])
+    projected = let(zone, lambda z: project_rings(rings, lambda lon, lat: utm(lon, lat, z)))
+    return polygon_area(projected)

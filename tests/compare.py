@@ -35,6 +35,9 @@ def compare(spark, con, sf_dir: str, name: str) -> tuple[str, int, float]:
     df = entry.queries()[name](spark, sf_dir)
     rows = [tuple(r) for r in df.select(*sorted(df.columns)).collect()]
     seconds = time.time() - start
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "NestedLoopJoin" in plan or "CartesianProduct" in plan:
+        return "QUADRATIC PLAN", len(rows), seconds
     sql = entry.oracle_sql().get(name)
     if sql is None:
         return ("rows-only" if rows else "EMPTY"), len(rows), seconds

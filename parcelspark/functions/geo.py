@@ -11,6 +11,8 @@ from math import atanh, radians, sin, sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelspark.functions.expressions import let
+
 # Mean Earth radius and metres per degree used for chip windows.
 EARTH_RADIUS_KM = 6371.0
 METRES_PER_DEGREE = 111_320.0
@@ -18,11 +20,6 @@ METRES_PER_DEGREE = 111_320.0
 RINGS_TYPE = "array<array<struct<lon:double,lat:double>>>"
 
 
-def let(value: Column, body) -> Column:
-    """`body(value)` with the value computed once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     half_lat = F.radians(lat2 - lat1) / 2
     half_lon = F.radians(lon2 - lon1) / 2

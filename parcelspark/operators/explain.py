@@ -13,6 +13,8 @@ from parcelspark.functions.replies import (
     CONFIDENCES, CONSISTENCIES, MAX_ACTION, MAX_CAUSES, MAX_EVIDENCE, MAX_SUMMARY, STATUSES,
     expected_status, explanation, fallback, with_validated,
 )
+from parcelspark.functions.expressions import let
+from parcelspark.functions.rounding import SCALE, deviation_of, mean_of, ticks
 from parcelspark.functions.season import Season
 from parcelspark.operators.incremental import split_unchanged
 from parcelspark.session import stage
@@ -51,18 +53,20 @@ def quality_flags(distances: Column, status: Column, min_observations: int = 1)
 
 def distance_summary(distances: Column) -> Column:
     """Mean, extremes, population deviation (4 dp) and length; null for an empty trajectory."""
-    n = F.size(distances)
-    total = lambda values: F.aggregate(values, F.lit(0.0), lambda acc, d: acc + d)
-    mean = total(distances) / n
-    deviation = F.sqrt(total(F.transform(distances, lambda d: (d - mean) * (d - mean))) / n)
-    rounded = lambda value, name: F.round(value, 4).alias(name)
-    return F.when(
-        n > 0,
-        F.struct(
-            rounded(F.array_max(distances), "max"), rounded(mean, "mean"), rounded(F.array_min(distances), "min"),
-            n.alias("n_points"), rounded(deviation, "std"),
-        ),
-    )
+
+    def summary(values: Column) -> Column:
+        zero = F.lit(0).cast("long")
+        total = F.aggregate(values, zero, lambda acc, v: acc + v)
+        squares = F.aggregate(values, zero, lambda acc, v: acc + v * v)
+        return F.struct(
+            (F.array_max(values) / SCALE).alias("max"),
+            mean_of(total, F.size(values)).alias("mean"),
+            (F.array_min(values) / SCALE).alias("min"),
+            F.size(values).alias("n_points"),
+            deviation_of(total, squares, F.size(values)).alias("std"),
+        )
+
+    return F.when(F.size(distances) > 0, let(F.transform(distances, ticks), summary))
 
 
 def build_payloads(

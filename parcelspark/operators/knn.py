@@ -268,13 +268,19 @@ def _probe(routed, corpus, query_blocks, corpus_blocks, keep, metric, max_distan
     """Compare query rows with all rows of the cell they are routed to, block by block."""
     spark = routed.sparkSession
     wanted = [(c, n, corpus_blocks[c], ceil(n / QUERY_BLOCKS_PER_KEY)) for c, n in query_blocks.items()]
-    shape = F.broadcast(  # one row per pivot
-        spark.createDataFrame(wanted, "cell int, query_blocks int, corpus_blocks int, groups int")
-    )
+
+    def sized(df: DataFrame) -> DataFrame:
+        names = ["query_blocks", "corpus_blocks", "groups"]
+        if len(wanted) == 1:
+            only = df if len(corpus_blocks) == 1 else df.where(F.col("cell") == wanted[0][0])
+            return only.select("*", *[F.lit(v).alias(n) for v, n in zip(wanted[0][1:], names)])
+        shape = spark.createDataFrame(wanted, "cell int, query_blocks int, corpus_blocks int, groups int")
+        return df.join(F.broadcast(shape), "cell")  # one row per pivot
+
     part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     packed = F.array_sort(F.collect_list(F.struct("rep", "vec")))
     left = (
-        routed.join(shape, "cell")
+        sized(routed)
         .withColumn("query_block", part("query_blocks"))
         .groupBy("cell", "query_block", "corpus_blocks", "groups")
         .agg(packed.alias("queries"))
@@ -282,7 +288,7 @@ def _probe(routed, corpus, query_blocks, corpus_blocks, keep, metric, max_distan
         .withColumn("block", F.explode(F.expr("sequence(0, corpus_blocks - 1)")))
     )
     right = (
-        corpus.join(shape, "cell")
+        sized(corpus)
         .withColumn("block", part("corpus_blocks"))
         .groupBy("cell", "block", "groups")
         .agg(packed.alias("rows"))

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelspark.functions.rounding import mean_4dp
+
 COLOURS = ["GREEN", "YELLOW", "RED", "GRAY"]
 ALERT_COLUMNS = [
     "parcel_id", "fragment_id", "crop_name", "health_score", "status",
@@ -41,7 +43,7 @@ def crop_summary(scores: DataFrame) -> DataFrame:
         .groupBy("crop_name")
         .agg(
             F.count(F.lit(1)).alias("total"), *_colour_counts(),
-            F.round(F.avg("health_score"), 4).alias("avg_health_score"),
+            mean_4dp("health_score").alias("avg_health_score"),
         )
     )
 
@@ -93,7 +95,7 @@ def crop_kpis(scores: DataFrame) -> DataFrame:
         .groupBy("crop_name")
         .agg(
             F.count(F.lit(1)).alias("parcels"),
-            F.round(F.avg("health_score"), 4).alias("avg_health_score"),
+            mean_4dp("health_score").alias("avg_health_score"),
             F.count_if(F.col("status") == "RED").alias("red_alerts"),
         )
     )
@@ -200,7 +202,7 @@ def crop_rollup(scores: DataFrame) -> DataFrame:
         .rollup("crop_name")
         .agg(
             F.count(F.lit(1)).alias("total"), *_colour_counts(),
-            F.round(F.avg("health_score"), 4).alias("avg_health_score"),
+            mean_4dp("health_score").alias("avg_health_score"),
         )
         .withColumn("crop_name", F.coalesce("crop_name", F.lit("all")))
     )

@@ -87,7 +87,7 @@ adaptive_scores AS (
   WHEN round(raw, 4) < lim.green THEN 'GREEN' WHEN round(raw, 4) < lim.red THEN 'YELLOW' ELSE 'RED' END AS status
  FROM base, lim),
 traj AS (
- SELECT parcel_id, obs_date, round(d, 4) AS d,
+ SELECT parcel_id, obs_date, round(d, 4) AS d, CAST(round(round(d, 4) * 10000) AS BIGINT) AS t,
   row_number() OVER (PARTITION BY parcel_id ORDER BY obs_date) AS i, count(*) OVER (PARTITION BY parcel_id) AS n,
   round(d, 4) - lag(round(d, 4)) OVER (PARTITION BY parcel_id ORDER BY obs_date) AS step FROM dist),
 flags AS (
@@ -95,7 +95,8 @@ flags AS (
   coalesce(max(n) >= 2 AND max(CASE WHEN i <= greatest(1, n // 3) THEN d END) > 0.6, false) AS early,
   coalesce(max(n) >= 3 AND min(CASE WHEN i > n - 3 THEN d END) > 0.6, false) AS late,
   coalesce(max(n) >= 3 AND count(CASE WHEN step > 0 THEN 1 END) > (max(n) - 1) * 0.6, false) AS rising,
-  round(avg(d), 4) AS mean_d, max(d) AS max_d, min(d) AS min_d, round(stddev_pop(d), 4) AS std_d
+  CAST((2 * sum(t) + count(t)) // nullif(2 * count(t), 0) AS DOUBLE) / 10000.0::DOUBLE AS mean_d, max(d) AS max_d, min(d) AS min_d,
+  round(sqrt(CAST(count(t) * sum(t * t) - sum(t) * sum(t) AS DOUBLE)) / count(t)) / 10000.0::DOUBLE AS std_d
  FROM parcels p LEFT JOIN traj t USING (parcel_id) GROUP BY p.parcel_id),
 means AS (
  SELECT parcel_id, pos, avg(v) AS m FROM (
@@ -158,6 +159,10 @@ def _sql(select: str) -> str:
     return f"WITH {VIEWS.strip()}\n{select}"
 
 
+MEAN = (
+    "CAST((2 * sum(CAST(round(health_score * 10000) AS BIGINT)) + count(health_score)) // nullif(2 * count(health_score), 0) AS DOUBLE)"
+    " / 10000.0::DOUBLE"
+)
 STATUS_COUNTS = (
     "count(CASE WHEN status='GREEN' THEN 1 END) AS green, count(CASE WHEN status='YELLOW' THEN 1 END) AS yellow, "
     "count(CASE WHEN status='RED' THEN 1 END) AS red, count(CASE WHEN status='GRAY' THEN 1 END) AS gray"
@@ -172,13 +177,13 @@ MERGED_FLAGS = (
 )
 
 SELECTS = {
-    "crop_status_summary": f"""SELECT crop_name, count(*) AS total, {STATUS_COUNTS}, round(avg(health_score), 4) AS avg_health_score
+    "crop_status_summary": f"""SELECT crop_name, count(*) AS total, {STATUS_COUNTS}, {MEAN} AS avg_health_score
         FROM adaptive_scores WHERE crop_name IS NOT NULL GROUP BY crop_name""",
     "season_bins": """SELECT s.bin, CAST(s.bin_start AS VARCHAR) AS bin_start, CAST(s.bin_end AS VARCHAR) AS bin_end,
         CAST(s.bin_center AS VARCHAR) AS bin_center, count(o.parcel_id) AS n_obs
         FROM season s LEFT JOIN obs o ON o.obs_date >= s.bin_start AND o.obs_date < s.bin_end GROUP BY ALL""",
     "crop_profiles": """SELECT crop_name, CAST(bin_center AS VARCHAR) AS bin_center, n_obs, CAST(pos AS INT) AS pos,
-        round(value, 6) AS value FROM prof""",
+        round(value, 6) + 0.0::DOUBLE AS value FROM prof""",
     "profile_coverage": """SELECT crop_name, n AS n_temporal_bins, array_to_string([CAST(x AS VARCHAR) FOR x IN dates], ',') AS bin_sample_dates
         FROM coverage""",
     "parcel_scores_fixed": f"SELECT {SCORE_COLUMNS} FROM fixed_scores",
@@ -200,7 +205,7 @@ SELECTS = {
     "score_histogram": """SELECT crop_name, CAST(CASE WHEN lo = hi THEN 1 ELSE least(floor((health_score - lo) / ((hi - lo) / 30)) + 1, 30) END AS INT) AS bin,
         count(*) AS n FROM fixed_scores JOIN (SELECT crop_name, min(health_score) AS lo, max(health_score) AS hi
          FROM fixed_scores WHERE status <> 'GRAY' GROUP BY crop_name) m USING (crop_name) WHERE status <> 'GRAY' GROUP BY ALL""",
-    "crop_kpis": """SELECT crop_name, count(*) AS parcels, round(avg(health_score), 4) AS avg_health_score,
+    "crop_kpis": f"""SELECT crop_name, count(*) AS parcels, {MEAN} AS avg_health_score,
         count(CASE WHEN status = 'RED' THEN 1 END) AS red_alerts FROM fixed_scores WHERE status <> 'GRAY' AND crop_name IS NOT NULL GROUP BY crop_name""",
     "class_balance": """SELECT crop_name, count(*) AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM parcels), 1) AS pct
         FROM parcels WHERE crop_name IS NOT NULL GROUP BY crop_name""",
@@ -219,7 +224,7 @@ SELECTS = {
         WHERE tile_id IN ('t0', 't2') AND fragment_id IN ('00_00', '01_00', '03_00')""",
     "monitored_crops": "SELECT DISTINCT crop_name FROM fixed_scores WHERE status <> 'GRAY' AND crop_name IS NOT NULL",
     "campaign_rollup": f"""SELECT coalesce(crop_name, 'all') AS crop_name, count(*) AS total, {STATUS_COUNTS},
-        round(avg(health_score), 4) AS avg_health_score FROM fixed_scores WHERE crop_name IS NOT NULL GROUP BY ROLLUP (crop_name)""",
+        {MEAN} AS avg_health_score FROM fixed_scores WHERE crop_name IS NOT NULL GROUP BY ROLLUP (crop_name)""",
     "trajectory_flags": f"SELECT parcel_id, {MERGED_FLAGS} AS flags FROM flags",
     "trajectory_summary": """SELECT parcel_id, mean_d AS mean, max_d AS max, min_d AS min, std_d AS std, CAST(n AS INT) AS n_points
         FROM flags WHERE n > 0""",
@@ -229,7 +234,7 @@ SELECTS = {
         concat_ws(',', CASE WHEN f.n < 3 THEN 'few_observations' END, CASE WHEN s.status = 'GRAY' THEN 'insufficient_data' END) AS data_quality_flags,
         0.6::DOUBLE AS green_threshold, 0.75::DOUBLE AS red_threshold, 'fixed' AS scoring_method
         FROM fixed_scores s JOIN flags f USING (parcel_id)""",
-    "mean_vectors": "SELECT parcel_id, CAST(pos AS INT) AS pos, round(m, 6) AS value FROM means",
+    "mean_vectors": "SELECT parcel_id, CAST(pos AS INT) AS pos, round(m, 6) + 0.0::DOUBLE AS value FROM means",
     "unit_norms": "SELECT parcel_id, round(sqrt(sum(u * u)), 6) AS norm FROM unit GROUP BY parcel_id",
     "knn_one": """SELECT neighbor_id AS parcel_id, crop_name, round(1 - d, 6) AS similarity, round(d, 6) AS cosine_distance
         FROM knn JOIN parcels p ON p.parcel_id = neighbor_id WHERE knn.parcel_id = 'p3000'""",

@@ -1,6 +1,6 @@
 """Exact k-nearest-neighbour join.
 
-Vectors are grouped into cells around sampled pivots. A first pass compares every query with its own
+Vectors are grouped into cells around sampled pivots, which form two levels. A first pass compares every query with its own
 cell, which bounds the distance of its k-th neighbour. A second pass sends a query only to the cells
 that the triangle inequality cannot rule out, so the result is exact and distant cells are never
 compared. Inside a cell, rows travel in blocks of bounded size: a task multiplies two blocks and keeps
@@ -22,6 +22,7 @@ from parcelspark.session import parallelism, stage
 
 EARTH_RADIUS_KM = 6371.0
 MAX_PIVOT_BYTES = 64 * 1024 * 1024
+MAX_BLOCK_BYTES = 4 * 1024 * 1024
 QUERY_BLOCKS_PER_KEY = 4
 
 
@@ -70,11 +71,15 @@ class HaversineMetric:
 
 @dataclass(frozen=True)
 class KnnPlan:
-    """Sizes of the join; they change its cost, never its result."""
+    """Sizes of the join; they change its cost, never its result.
 
-    cell_rows: int = 50_000
+    Up to `one_cell_rows` vectors are compared without cells. Beyond, there is a pivot per two blocks of
+    rows, up to `max_cells` pivots.
+    """
+
+    one_cell_rows: int = 50_000
     block_rows: int = 2048
-    max_pivots: int = 2048
+    max_cells: int = 200_000
 
 
 def knn_join(
@@ -163,17 +168,19 @@ def _nearest_distinct(rows, total, asked, keep, metric, max_distance, plan) -> D
     schema = f"query {id_type}, match {id_type}, distance double, exact double"
     if total == 0:
         return spark.createDataFrame([], schema)
-    if total <= plan.cell_rows:
+    width = rows.select(F.size("vec")).first()[0]
+    block_rows = max(1, min(plan.block_rows, MAX_BLOCK_BYTES // (8 * width)))
+    if total <= plan.one_cell_rows:
         celled, pivots, cells = rows.withColumn("cell", F.lit(0)), None, {0: (total, 0.0)}
     else:
-        pivots = _choose_pivots(rows, total, metric, plan)
+        pivots = _choose_pivots(rows, total, width, block_rows, metric, plan)
         celled = stage(_assign(rows, pivots, metric), "knn-cells")
         stats = celled.groupBy("cell").agg(
             F.count(F.lit(1)).alias("n"), F.max("pivot_distance").alias("radius")
         )
-        # One row per pivot, so at most max_pivots rows reach the driver.
+        # One row per pivot, so at most max_cells rows reach the driver.
         cells = {r["cell"]: (r["n"], r["radius"]) for r in stats.collect()}
-    blocks = {cell: max(1, ceil(n / plan.block_rows)) for cell, (n, _) in cells.items()}
+    blocks = {cell: max(1, ceil(n / block_rows)) for cell, (n, _) in cells.items()}
     query_rows = celled if asked is None else celled.join(asked, "rep", "left_semi")
 
     run = lambda routed, counts: _probe(
@@ -190,20 +197,77 @@ def _nearest_distinct(rows, total, asked, keep, metric, max_distance, plan) -> D
     routes = stage(_route(bounded, pivots, cells, metric, max_distance), "knn-routes")
     spread = routes.select("rep", "vec", F.explode("cells").alias("cell"))
     per_cell = routes.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect()
-    counts = {r["cell"]: max(1, ceil(r["count"] / plan.block_rows)) for r in per_cell}
+    counts = {r["cell"]: max(1, ceil(r["count"] / block_rows)) for r in per_cell}
     if not counts:
         return first
     return _best(first.unionByName(run(spread, counts)), keep)
 
 
-def _choose_pivots(distinct, total, metric, plan) -> np.ndarray:
+class Pivots:
+    """Pivot points in two levels: every pivot belongs to the nearest of a few heads.
+
+    A row finds its head first and then a pivot of that head, so its cost grows with the square root
+    of the number of pivots.
+    """
+
+    def __init__(self, points: np.ndarray) -> None:
+        self.points = points
+        self.heads = points[: max(1, int(np.sqrt(len(points))))]
+        owner = _gaps(points, self.heads).argmin(1)
+        owner[: len(self.heads)] = np.arange(len(self.heads))
+        self.groups = [np.flatnonzero(owner == h) for h in range(len(self.heads))]
+
+    def nearest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pivot index and distance of each row."""
+        head = _gaps(rows, self.heads).argmin(1)
+        cell, distance = np.empty(len(rows), dtype=np.int32), np.empty(len(rows))
+        for h in np.unique(head):
+            here = np.flatnonzero(head == h)
+            gaps = _gaps(rows[here], self.points[self.groups[h]])
+            best = gaps.argmin(1)
+            cell[here], distance[here] = self.groups[h][best], gaps[np.arange(len(here)), best]
+        return cell, distance
+
+    def with_radius(self, cells: dict[int, tuple[int, float]]) -> Pivots:
+        """Note how far the rows of each pivot and of each head reach; pivots without rows reach nowhere."""
+        self.radius = np.full(len(self.points), -np.inf)
+        for cell, (_, radius) in cells.items():
+            self.radius[cell] = radius
+        self.head_radius = np.array(
+            [
+                (_gaps(self.heads[h : h + 1], self.points[group])[0] + self.radius[group]).max()
+                for h, group in enumerate(self.groups)
+            ]
+        )
+        return self
+
+    def within(self, rows: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row, pivot) where a row of the pivot may lie within reach of the row."""
+        reach = np.minimum(reach, 1e300) + 1e-6
+        near_head = _gaps(rows, self.heads) - self.head_radius[None, :] <= reach[:, None]
+        found_rows, found_cells = [], []
+        for h in np.flatnonzero(near_head.any(0)):
+            here, group = np.flatnonzero(near_head[:, h]), self.groups[h]
+            r, c = np.nonzero(
+                _gaps(rows[here], self.points[group]) - self.radius[group][None, :] <= reach[here][:, None]
+            )
+            found_rows.append(here[r])
+            found_cells.append(group[c])
+        if not found_rows:
+            return np.empty(0, dtype=int), np.empty(0, dtype=int)
+        row, cell = np.concatenate(found_rows), np.concatenate(found_cells)
+        order = np.argsort(row, kind="stable")
+        return row[order], cell[order]
+
+
+def _choose_pivots(rows, total, width, block_rows, metric, plan) -> Pivots:
     """Pivots are sampled rows, so dense regions get more of them. Their number and bytes are capped."""
-    width = distinct.select(F.size("vec")).first()[0]
-    wanted = min(plan.max_pivots, ceil(total / plan.cell_rows), max(1, MAX_PIVOT_BYTES // (8 * max(3, width))))
-    share = max(1, int(total // (2 * wanted)))
-    picked = distinct.where(F.pmod(F.xxhash64(F.lit(2), "rep"), F.lit(share)) == 0).select("vec").limit(wanted)
-    rows = picked.collect() or distinct.select("vec").limit(1).collect()
-    return metric.embed(np.array([r["vec"] for r in rows], dtype=float))
+    fitting = max(1, MAX_PIVOT_BYTES // (8 * max(3, width)))
+    wanted = max(1, min(plan.max_cells, ceil(total / (2 * block_rows)), fitting))
+    share = max(1, total // (2 * wanted))
+    picked = rows.where(F.pmod(F.xxhash64(F.lit(2), "rep"), F.lit(share)) == 0).select("vec").limit(wanted).collect()
+    picked = picked or rows.select("vec").limit(1).collect()
+    return Pivots(metric.embed(np.array([r["vec"] for r in picked], dtype=float)))
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
@@ -215,45 +279,40 @@ def _gaps(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squared, 0.0))
 
 
-def _assign(distinct, pivots, metric) -> DataFrame:
-    shared = distinct.sparkSession.sparkContext.broadcast(pivots)
+def _assign(rows, pivots, metric) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)
 
     def nearest_pivot(batches):
         for batch in batches:
             if batch.num_rows:
-                gaps = _gaps(metric.embed(_matrix(batch.column("vec"))), shared.value)
-                cell = gaps.argmin(1)
+                cell, distance = shared.value.nearest(metric.embed(_matrix(batch.column("vec"))))
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(cell.astype("int32")), pa.array(gaps[np.arange(len(cell)), cell])],
-                    names=["rep", "vec", "cell", "pivot_distance"],
+                    [*batch.columns, pa.array(cell), pa.array(distance)], names=["rep", "vec", "cell", "pivot_distance"]
                 )
 
-    types = dict(distinct.dtypes)
-    return distinct.mapInArrow(
-        nearest_pivot, f"rep {types['rep']}, vec {types['vec']}, cell int, pivot_distance double"
-    )
+    types = dict(rows.dtypes)
+    return rows.mapInArrow(nearest_pivot, f"rep {types['rep']}, vec {types['vec']}, cell int, pivot_distance double")
 
 
 def _route(bounded, pivots, cells, metric, max_distance) -> DataFrame:
     """Cells other than its own that may hold a closer neighbour of a query."""
-    ids = np.array(sorted(cells))
-    radius = np.array([cells[c][1] for c in ids])
-    shared = bounded.sparkSession.sparkContext.broadcast((ids, radius, pivots[ids]))
+    shared = bounded.sparkSession.sparkContext.broadcast(pivots.with_radius(cells))
 
     def admissible(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cell_ids, radii, centres = shared.value
             limit = batch.column("limit").to_numpy(zero_copy_only=False).astype(float)
             limit = np.where(np.isnan(limit), np.inf, limit)
             if max_distance is not None:
                 limit = np.minimum(limit, max_distance)
-            reach = np.where(np.isinf(limit), np.inf, metric.chord(np.where(np.isinf(limit), 0.0, limit)))
-            gaps = _gaps(metric.embed(_matrix(batch.column("vec"))), centres)
-            own = batch.column("cell").to_numpy(zero_copy_only=False)
-            open_ = (gaps - radii[None, :] <= reach[:, None] + 1e-6) & (cell_ids[None, :] != own[:, None])
-            chosen = pa.array([cell_ids[row].tolist() for row in open_], pa.list_(pa.int32()))
+            known = np.isfinite(limit)
+            reach = np.where(known, metric.chord(np.where(known, limit, 0.0)), np.inf)
+            row, cell = shared.value.within(metric.embed(_matrix(batch.column("vec"))), reach)
+            other = cell != batch.column("cell").to_numpy(zero_copy_only=False)[row]
+            row, cell = row[other], cell[other]
+            offsets = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            chosen = pa.ListArray.from_arrays(pa.array(offsets.astype("int32")), pa.array(cell.astype("int32")))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("rep"), batch.column("vec"), chosen], names=["rep", "vec", "cells"]
             )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from parcelspark.operators.knn import CosineMetric, HaversineMetric, KnnPlan, knn_join
 from parcelspark.operators.similarity import nearest_of_all, nearest_to, scan_mislabels
 
-SMALL = KnnPlan(cell_rows=30, block_rows=10, max_pivots=12)
+SMALL = KnnPlan(one_cell_rows=10, block_rows=5, max_cells=14)
 
 
 def brute(ids, rows, k, metric, cap=None, asked=None):

@@ -30,7 +30,11 @@ class CosineMetric:
     """Rows are unit vectors; the distance is one minus the inner product, compared at 9 dp."""
 
     digits = 9
-    slack = 4e-9
+
+    @staticmethod
+    def slack(kth: np.ndarray) -> float:
+        """How far below the k-th inner product an equal rounded distance may lie."""
+        return 2e-9
 
     @staticmethod
     def embed(rows: np.ndarray) -> np.ndarray:
@@ -49,7 +53,11 @@ class HaversineMetric:
     """Rows are (lat, lon) in degrees; the distance is in kilometres, compared at 6 dp."""
 
     digits = 6
-    slack = 4e-10
+
+    @staticmethod
+    def slack(kth: np.ndarray) -> np.ndarray:
+        """As above: a rounding step along the arc, and the error of the inner product itself."""
+        return np.sqrt(np.maximum(2.0 * (1.0 - kth), 0.0)) * 1e-9 + 4e-15
 
     @staticmethod
     def embed(rows: np.ndarray) -> np.ndarray:
@@ -77,8 +85,8 @@ class KnnPlan:
     rows, up to `max_cells` pivots.
     """
 
-    one_cell_rows: int = 50_000
-    block_rows: int = 2048
+    one_cell_rows: int = 20_000
+    block_rows: int = 512
     max_cells: int = 200_000
 
 
@@ -377,7 +385,7 @@ def _block_nearest(queries, rows, keep, metric, max_distance):
     inner = metric.embed(a) @ metric.embed(b).T
     if inner.shape[1] > keep:
         kth = -np.partition(-inner, keep - 1, axis=1)[:, keep - 1]
-        q, c = np.nonzero(inner >= kth[:, None] - metric.slack)
+        q, c = np.nonzero(inner >= (kth - metric.slack(kth))[:, None])
     else:
         q, c = np.indices(inner.shape).reshape(2, -1)
     exact = metric.distance(a[q], b[c], inner[q, c])

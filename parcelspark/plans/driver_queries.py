@@ -14,7 +14,7 @@ from parcelspark.operators import (
     chips, encode, explain, incremental, profiles, report, retrieval, scenes, scoring, similarity, training, zonal,
 )
 from parcelspark.plans import driver_views as views
-from parcelspark.session import stage, work_dir
+from parcelspark.session import stage, staging_folder
 from parcelspark.sources.parcels import flatten_attributes
 from parcelspark.sources.tables import replace_by_key
 from parcelspark.streaming import intake
@@ -669,7 +669,7 @@ def generated_explanations(spark, sf):
 
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
     """The observations as arriving files."""
-    folder = f"{work_dir(spark)}/parcelspark/intake-{uuid.uuid4().hex}"
+    folder = _folder(spark, "intake")
     seen = views.labelled_observations(spark, sf).select(
         "parcel_id", "crop_name", "obs_date", F.col("obs_date").cast("timestamp").alias("seen_at"), "embedding"
     )
@@ -678,7 +678,7 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/parcelspark/{name}-{uuid.uuid4().hex}"
+    return f"{staging_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stream_intake(spark, sf):
@@ -708,7 +708,7 @@ def stream_scores(spark, sf):
     base = Base(spark, sf)
     query = intake.score_stream(
         _stream(spark, sf), stage(base.parcels, "parcels"), base.profiles(), (FIXED.green, FIXED.red),
-        f"{out}/observations", f"{out}/scores", f"{out}/progress", SEASON, FIXED,
+        f"{out}/matched", f"{out}/scores", f"{out}/progress", SEASON, FIXED,
     )
     query.awaitTermination()
     return _score_columns(spark.read.parquet(f"{out}/scores"))

@@ -40,18 +40,29 @@ def work_dir(spark: SparkSession) -> str:
     return folder
 
 
+def staging_folder(spark: SparkSession) -> str:
+    """This application's folder for staged tables."""
+    return f"{work_dir(spark)}/parcelspark/{spark.sparkContext.applicationId}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate result once and go on from the table.
 
     Used where several later jobs read the same result; the table lies in shared storage, so losing
-    executors costs no recomputation.
+    executors costs no recomputation. `clear_staged` removes it once no result needs it any more.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/parcelspark/{name}-{uuid.uuid4().hex}"
+    path = f"{staging_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_staged(spark: SparkSession) -> None:
+    """Delete everything this application has staged."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(staging_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Tasks to aim for when a step multiplies the work per row."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

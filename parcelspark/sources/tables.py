@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelspark.session import stage
 from parcelspark.sources.files import exists, swap_in
 
 DEFAULT_GREEN, DEFAULT_RED = 0.15, 0.30
@@ -95,9 +96,23 @@ def replace_by_key(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
     return kept.unionByName(new, allowMissingColumns=True)
 
 
-def upsert_table(new: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """Replace rows by key in a Parquet table: write the merged table aside, then swap it in."""
+def upsert_table(new: DataFrame, path: str, keys: list[str], parts: int | None = None) -> DataFrame:
+    """Replace rows by key in a Parquet table: write the merged table aside, then swap it in.
+
+    With `parts` the table is partitioned by a hash of its keys and only the parts that `new` touches
+    are read and rewritten. Use the same number on every call.
+    """
     spark = new.sparkSession
+    if parts:
+        part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
+        fresh = stage(new.withColumn("part", part), "upsert")
+        if exists(spark, path):
+            touched = [r["part"] for r in fresh.select("part").distinct().collect()]  # at most `parts` values
+            old = spark.read.parquet(path).where(F.col("part").isin(touched))
+            fresh = stage(replace_by_key(old, fresh, keys), "upsert-merged")
+        writer = fresh.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("part").parquet(path)
+        return spark.read.parquet(path).drop("part")
     aside = f"{path}._new-{uuid.uuid4().hex}"
     merged = replace_by_key(spark.read.parquet(path), new, keys) if exists(spark, path) else new
     merged.write.parquet(aside)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,31 +51,40 @@ def score_stream(
     parcels: DataFrame,
     profiles: DataFrame,
     limits: tuple[float, float],
-    observations_path: str,
+    matched_path: str,
     scores_path: str,
     checkpoint: str,
     season: Season = Season(),
     rules: ScoringRules = ScoringRules(method="fixed"),
+    parts: int = 64,
 ) -> StreamingQuery:
     """Score touched parcels on every micro-batch against frozen profiles and limits.
 
-    A batch appends its unseen observations, recomputes the parcels it touches from all their
-    observations and upserts their scores. Replaying a batch changes nothing.
+    Distances to frozen profiles never change, so a batch matches only its unseen observations and
+    keeps their distances, without vectors, in a table. The touched parcels are then aggregated from
+    that table and their scores upserted; both tables are split by a hash of the parcel, and a batch
+    reads only the parts it touches. Replaying a batch changes nothing.
     """
     green, red = limits
-    frozen = ScoringRules(**{**rules.__dict__, "method": "fixed", "green": green, "red": red})
+    frozen = replace(rules, method="fixed", green=green, red=red)
+    part = F.pmod(F.xxhash64("parcel_id"), F.lit(parts)).cast("int")
 
     def apply(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         arrived = batch.select("parcel_id", "obs_date", "embedding").dropDuplicates(KEYS)
-        if exists(spark, observations_path):
-            arrived = pending(arrived, spark.read.parquet(observations_path))
-        arrived.write.mode("append").parquet(observations_path)
-        touched = batch.select("parcel_id").distinct()
-        history = spark.read.parquet(observations_path).join(touched, "parcel_id", "left_semi")
-        subset = parcels.join(touched, "parcel_id", "left_semi")
-        scored = parcel_distances(subset, match_observations(subset, history, profiles, season, frozen), frozen)
-        upsert_table(stage(classify(scored, frozen), "stream-scores"), scores_path, ["parcel_id"])
+        touched = stage(batch.select("parcel_id", part.alias("part")).distinct(), "stream-touched")
+        touched_parts = [r["part"] for r in touched.select("part").distinct().collect()]  # at most `parts` values
+        known = lambda: spark.read.parquet(matched_path).where(F.col("part").isin(touched_parts))
+        if exists(spark, matched_path):
+            arrived = pending(arrived, known())
+        subset = parcels.join(touched.select("parcel_id"), "parcel_id", "left_semi")
+        matched = match_observations(subset, arrived, profiles, season, frozen)
+        stage(matched.withColumn("part", part), "stream-matched").write.mode("append").partitionBy("part").parquet(
+            matched_path
+        )
+        history = known().drop("part").join(touched.select("parcel_id"), "parcel_id", "left_semi")
+        scored = classify(parcel_distances(subset, history, frozen), frozen)
+        upsert_table(scored, scores_path, ["parcel_id"], parts)
 
     return (
         stream.writeStream.foreachBatch(apply)

@@ -15,7 +15,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
 import __spark_entry__ as entry  # noqa: E402
-from parcelspark.session import build_session  # noqa: E402
+from parcelspark.session import build_session, clear_staged  # noqa: E402
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -68,4 +68,5 @@ if __name__ == "__main__":
             verdict, n, took = f"FAILED {type(problem).__name__}: {str(problem)[:600]}", 0, 0.0
         bad += verdict not in ("ok", "rows-only")
         print(f"{query:26s} {n:8d} {took:6.1f}s  {verdict}", flush=True)
+    clear_staged(session)
     sys.exit(bad)

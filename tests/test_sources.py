@@ -178,6 +178,18 @@ def test_upsert_twice_changes_nothing(spark, tmp_path):
         assert sorted(map(tuple, after.collect())) == [("a", 1), ("b", 2), ("c", 2)]
 
 
+def test_partial_upsert_rewrites_only_touched_parts(spark, tmp_path):
+    path = str(tmp_path / "table")
+    make = lambda rows: spark.createDataFrame(rows, "k string, v int")
+    tables.upsert_table(make([(f"k{i}", 1) for i in range(50)]), path, ["k"], 8)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "table").glob("part=*/*.parquet")}
+    for _ in range(2):
+        after = tables.upsert_table(make([("k7", 2), ("new", 2)]), path, ["k"], 8)
+        assert sorted(map(tuple, after.collect())) == sorted([(f"k{i}", 2 if i == 7 else 1) for i in range(50)] + [("new", 2)])
+    kept = [p for p in before if p.exists()]
+    assert len({p.parent for p in before} - {p.parent for p in kept}) <= 2 and len(kept) >= 6
+
+
 def test_observation_table_prunes_months(spark, tmp_path):
     rows = spark.createDataFrame([("p", date(2024, m, 3), [1.0]) for m in (5, 6)], archives.OBSERVATION_SCHEMA)
     table = tables.write_observations(rows, str(tmp_path / "obs"))

@@ -52,11 +52,11 @@ def test_incremental_scores_equal_a_full_run(spark, tmp_path):
     for rows in (ROWS[:1], ROWS[1:], ROWS[:2]):  # the last batch brings known rows again
         arrive(spark, folder, rows)
         intake.score_stream(
-            intake.read_intake(spark, folder, 1), parcels, profiles, (0.15, 0.3), str(tmp_path / "obs"), str(tmp_path / "scores"),
+            intake.read_intake(spark, folder, 1), parcels, profiles, (0.15, 0.3), str(tmp_path / "matched"), str(tmp_path / "scores"),
             str(tmp_path / "progress"),
         ).awaitTermination()
     got = {r.parcel_id: (r.health_score, r.status, r.n_observations) for r in spark.read.parquet(str(tmp_path / "scores")).collect()}
     seen = spark.createDataFrame(ROWS, intake.INTAKE_SCHEMA).select("parcel_id", "obs_date", "embedding")
     full = scoring.score_parcels(parcels, seen, profiles, Season(), ScoringRules(method="fixed")).scores
     expected = {r.parcel_id: (r.health_score, r.status, r.n_observations) for r in full.collect() if r.parcel_id != "c"}
-    assert got == expected and spark.read.parquet(str(tmp_path / "obs")).count() == 3
+    assert got == expected and spark.read.parquet(str(tmp_path / "matched")).count() == 3

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelspark.functions.rounding import mean_4dp
+from parcelspark.functions.rounding import mean_4dp, ticks
 
 COLOURS = ["GREEN", "YELLOW", "RED", "GRAY"]
 ALERT_COLUMNS = [
@@ -29,6 +29,14 @@ def present_columns(df: DataFrame, wanted: list[str]) -> DataFrame:
     return df.select([c for c in wanted if c in df.columns])
 
 
+def of_crop(scores: DataFrame, crop: str) -> DataFrame:
+    return scores.where(F.col("crop_name") == crop)
+
+
+def of_parcels(scores: DataFrame, parcel_ids: list[str]) -> DataFrame:
+    return scores.where(F.col("parcel_id").isin(parcel_ids))
+
+
 def monitored(scores: DataFrame) -> DataFrame:
     return scores.where(F.col("status") != "GRAY")
 
@@ -126,12 +134,21 @@ def label_overview(parcels: DataFrame) -> DataFrame:
 
 
 def score_histogram(scores: DataFrame, bins: int = 30) -> DataFrame:
-    """Equal-width histogram of health scores per crop; the maximum belongs to the last bin."""
+    """Equal-width histogram of health scores per crop; the maximum belongs to the last bin.
+
+    Bins are found on whole ten-thousandths, so a score on a bin's edge always falls to the upper bin.
+    """
     valid = monitored(scores).where(F.col("crop_name").isNotNull() & F.col("health_score").isNotNull())
-    limits = valid.groupBy("crop_name").agg(F.min("health_score").alias("lo"), F.max("health_score").alias("hi"))
-    raw = F.width_bucket(F.col("health_score"), F.col("lo"), F.col("hi"), F.lit(bins))
-    index = F.when(F.col("lo") == F.col("hi"), 1).otherwise(F.least(raw, F.lit(bins))).cast("int")
-    return valid.join(limits, "crop_name").groupBy("crop_name", index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    # Count equal scores first: at most one row per crop and distinct score goes on.
+    counts = valid.groupBy("crop_name", ticks(F.col("health_score")).alias("t")).agg(F.count(F.lit(1)).alias("c"))
+    limits = counts.groupBy("crop_name").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    raw = F.floor((F.col("t") - F.col("lo")) * bins / F.nullif(F.col("hi") - F.col("lo"), F.lit(0))) + 1
+    index = F.least(F.coalesce(raw, F.lit(1)), F.lit(bins)).cast("int")
+    return (
+        counts.join(limits, "crop_name")
+        .groupBy("crop_name", index.alias("bin"))
+        .agg(F.sum("c").alias("n"))
+    )
 
 
 def inventory(parcels: DataFrame, scenes: DataFrame, chips: DataFrame, observations: DataFrame) -> DataFrame:

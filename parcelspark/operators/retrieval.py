@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelspark.functions.geo import polygon_centroid
 from parcelspark.operators.profiles import profile_coverage
 from parcelspark.operators.similarity import nearest_of_all, nearest_places
 
@@ -19,6 +20,16 @@ def _by_rank(entry: F.Column) -> F.Column:
     return F.transform(ranked, lambda e: e["hit"])
 
 
+def place(df: DataFrame) -> list[F.Column]:
+    """Latitude and longitude of a row: its centre columns, or the centroid of its polygon if one is missing."""
+    lat, lon = F.col("centroid_lat"), F.col("centroid_lon")
+    if "rings" in df.columns:
+        given = lat.isNotNull() & lon.isNotNull()
+        centre = polygon_centroid(F.col("rings"))
+        lat, lon = F.when(given, lat).otherwise(centre["lat"]), F.when(given, lon).otherwise(centre["lon"])
+    return [lat.alias("lat"), lon.alias("lon")]
+
+
 def similar_parcels(scores: DataFrame, vectors: DataFrame, k: int = 5, queries: DataFrame | None = None) -> DataFrame:
     """Semantic neighbours per parcel; a neighbour without score row has a null status."""
     asked = None if queries is None else vectors.join(queries.select("parcel_id"), "parcel_id", "left_semi")
@@ -36,9 +47,7 @@ def spatial_neighbors(
     scores: DataFrame, k: int = 5, max_km: float | None = None, queries: DataFrame | None = None
 ) -> DataFrame:
     """Geographic neighbours per parcel; a blank status counts as GRAY."""
-    places = lambda df: df.select(
-        F.col("parcel_id").alias("id"), F.col("centroid_lat").alias("lat"), F.col("centroid_lon").alias("lon")
-    )
+    places = lambda df: df.select(F.col("parcel_id").alias("id"), *place(df))
     near = nearest_places(places(scores), k, max_km, None if queries is None else places(queries))
     info = scores.select(
         F.col("parcel_id").alias("neighbor_id"), "crop_name",
@@ -65,7 +74,7 @@ def retrieval_bundles(
 ) -> DataFrame:
     """One bundle per parcel: similar_parcels, spatial_neighbors, reference_context, retrieval_notes."""
     base = scores if queries is None else queries
-    out = base.select("parcel_id", F.trim("crop_name").alias("_crop"), "centroid_lat", "centroid_lon")
+    out = base.select("parcel_id", F.trim("crop_name").alias("_crop"), *place(base))
     notes = []
     if k_semantic > 0 and vectors is None:
         notes.append(F.lit("similarity_index_missing"))
@@ -78,7 +87,7 @@ def retrieval_bundles(
         out = out.withColumn("similar_parcels", F.array().cast(SIMILAR_TYPE))
     if k_spatial > 0:
         out = out.join(spatial_neighbors(scores, k_spatial, max_km, queries), "parcel_id", "left")
-        placed = F.col("centroid_lat").isNotNull() & F.col("centroid_lon").isNotNull()
+        placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
         notes.append(F.when(~placed, "no_centroid_for_spatial"))
     else:
         out = out.withColumn("spatial_neighbors", F.array().cast(SPATIAL_TYPE))

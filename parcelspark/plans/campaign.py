@@ -114,13 +114,14 @@ def monitor(run: Campaign, parcels: DataFrame, observations: DataFrame) -> dict[
 
 def explain_campaign(
     run: Campaign, made: dict[str, DataFrame], parcel_ids: list[str] | None = None, make_generator=None,
-    with_context: bool = False, skip_unchanged: bool = False, **options,
+    with_context: bool = False, skip_unchanged: bool = False, max_parcels: int | None = None, **options,
 ) -> DataFrame:
     """Explain all parcels or the named ones and upsert the stored explanations."""
     spark = made["scores"].sparkSession
     path, chosen = run.path("explanations"), made["scores"]
     if parcel_ids:
-        chosen = chosen.where(F.col("parcel_id").isin(parcel_ids))
+        chosen = report.of_parcels(chosen, parcel_ids)
+    chosen = chips.cap_parcels(chosen, max_parcels)
     payloads = explain.build_payloads(chosen, made["thresholds"], run.season, run.rules.min_observations)
     bundles = None
     if with_context and make_generator is not None:

@@ -19,7 +19,7 @@ def labelled_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations with their crop: up to five dates per parcel, label 9 without crop."""
     raw = table(spark, sf_dir, "embeddings")
     keys = rank_in_group(
-        raw.select("vec_id", "label"), ["label"], ["vec_id"], F.floor(F.col("vec_id") / 65536), "rn"
+        raw.select("vec_id", "label"), ["label"], ["vec_id"], F.shiftright("vec_id", 16), "rn"
     )
     fifth = F.floor(F.col("rn") / 5).cast("int")
     pk = F.col("label") * 1000 + fifth

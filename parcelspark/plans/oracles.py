@@ -202,8 +202,9 @@ SELECTS = {
     "top10_worst": f"SELECT {SCORE_COLUMNS} FROM fixed_scores WHERE health_score IS NOT NULL ORDER BY health_score DESC, parcel_id LIMIT 10",
     "alert_list": """SELECT parcel_id, fragment_id, crop_name, health_score, status, n_observations,
         CAST(max_deviation_date AS VARCHAR) AS max_deviation_date, area_ha FROM fixed_scores WHERE status IN ('RED', 'YELLOW')""",
-    "score_histogram": """SELECT crop_name, CAST(CASE WHEN lo = hi THEN 1 ELSE least(floor((health_score - lo) / ((hi - lo) / 30)) + 1, 30) END AS INT) AS bin,
-        count(*) AS n FROM fixed_scores JOIN (SELECT crop_name, min(health_score) AS lo, max(health_score) AS hi
+    "score_histogram": """SELECT crop_name, CAST(CASE WHEN lo = hi THEN 1 ELSE least((CAST(round(health_score * 10000) AS BIGINT) - lo) * 30 // (hi - lo) + 1, 30) END AS INT) AS bin,
+        count(*) AS n FROM fixed_scores JOIN (SELECT crop_name, min(CAST(round(health_score * 10000) AS BIGINT)) AS lo,
+          max(CAST(round(health_score * 10000) AS BIGINT)) AS hi
          FROM fixed_scores WHERE status <> 'GRAY' GROUP BY crop_name) m USING (crop_name) WHERE status <> 'GRAY' GROUP BY ALL""",
     "crop_kpis": f"""SELECT crop_name, count(*) AS parcels, {MEAN} AS avg_health_score,
         count(CASE WHEN status = 'RED' THEN 1 END) AS red_alerts FROM fixed_scores WHERE status <> 'GRAY' AND crop_name IS NOT NULL GROUP BY crop_name""",

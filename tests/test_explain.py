@@ -195,6 +195,18 @@ def test_bundles(spark):
     assert [r.parcel_id for r in some] == ["d"] and [n.parcel_id for n in some[0].spatial_neighbors] == ["b", "a"]
 
 
+def test_places_fall_back_to_the_polygon(spark):
+    square = [[(-94.0, 41.0), (-93.8, 41.0), (-93.8, 41.2), (-94.0, 41.2)]]
+    rows = [("a", "corn", "RED", None, -94.0, square), ("b", "corn", "GREEN", 41.1, -93.9, None), ("c", "corn", "GREEN", None, None, None)]
+    s = spark.createDataFrame(
+        rows, "parcel_id string, crop_name string, status string, centroid_lat double, centroid_lon double, "
+        "rings array<array<struct<lon:double,lat:double>>>",
+    )
+    got = {r.parcel_id: r for r in retrieval.retrieval_bundles(s, None, None, 0, 3).collect()}
+    assert [(n.parcel_id, n.distance_km) for n in got["a"].spatial_neighbors] == [("b", 0.0)]
+    assert got["c"].retrieval_notes == ["no_centroid_for_spatial"]
+
+
 def echo_generator():
     def generate(messages, temperature):
         for _, user in messages:

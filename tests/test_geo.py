@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from parcelspark.functions import geo
 from parcelspark.functions.geo import Ellipsoid
 from parcelspark.operators import similarity, zonal
+from parcelspark.sources import raster
 
 CLARKE = Ellipsoid(6378206.4, 1 / 294.978698)  # ellipsoid of the published map-projection examples
 RINGS = f"parcel_id string, rings {geo.RINGS_TYPE}"
@@ -128,6 +129,17 @@ def test_zonal_majority_ties_and_gaps(spark):
     assert got == {"tie": (1, "corn"), "off": (None, None), "odd": (999, "unknown")}
 
 
+def test_raster_tables(spark, tmp_path):
+    pixels = spark.range(400).selectExpr("id % 20 AS x", "id div 20 AS y", "cast(id % 7 AS int) AS code")
+    raster.write_pixels(pixels, str(tmp_path / "px"), 5)
+    window = raster.read_pixels(spark, str(tmp_path / "px"), (3, 4, 6, 9))
+    assert window.count() == 24 and raster.read_pixels(spark, str(tmp_path / "px")).count() == 400
+    assert "PushedFilters: [IsNotNull(x)" in window._jdf.queryExecution().executedPlan().toString()
+    tiles = spark.createDataFrame([("s", b, 0, 0, [1]) for b in ("B02", "B04")], "scene_id string, band string, tx int, ty int, pixels array<int>")
+    raster.write_tiles(tiles, str(tmp_path / "tiles"))
+    assert raster.read_tiles(spark, str(tmp_path / "tiles"), ["B04"]).count() == 1
+
+
 def test_projected_labels(spark):
     parcels = spark.createDataFrame([("a", rings([(10, 20), (12, 20), (12, 22), (10, 22)]))], RINGS)
     pixels = spark.createDataFrame([(0, 0, 5)], "x long, y long, code int")

@@ -78,7 +78,8 @@ def stratified_split(
 
 def _draw(key: list[str], seed: int, salt: Column) -> Column:
     """A uniform number in [0, 1) that depends only on the row's key, so retried tasks repeat it."""
-    return F.pmod(F.xxhash64(F.lit(seed), salt, *key), F.lit(1 << 30)) / float(1 << 30)
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), salt, *[F.col(k).cast("string") for k in key]))
+    return F.conv(F.substring(digest, 1, 7), 16, 10).cast("long") / float(1 << 28)
 
 
 def augment(

@@ -510,8 +510,9 @@ def encode_chips(spark, sf):
         return lambda pixels, time, place, gsd, waves: pixels.mean(axis=(2, 3))
 
     made = encode.embed_chips(_vector_chips(spark, sf), make_encoder, "band-means", (4, 4, 4))
+    # Sixteen pixels in ten-thousandths: as whole numbers the means are free of float noise.
     return made.select(F.col("parcel_id").alias("vec_id"), F.posexplode("embedding").alias("band", "mean")).select(
-        "vec_id", "band", F.round(F.col("mean").cast("double"), 4).alias("mean")
+        "vec_id", "band", F.round(F.col("mean").cast("double") * 160_000).cast("long").alias("pixel_sum")
     )
 
 
@@ -550,7 +551,8 @@ def stratified_split(spark, sf):
 
 def augment(spark, sf):
     changed = training.augment(_vector_chips(spark, sf), ["parcel_id"])
-    return changed.select(F.col("parcel_id").alias("vec_id"), F.posexplode("pixels").alias("band", "values"))
+    bands = changed.select(F.col("parcel_id").alias("vec_id"), F.posexplode("pixels").alias("band", "values"))
+    return bands.select("vec_id", "band", F.posexplode("values").alias("px", "value"))
 
 
 def linear_head(spark, sf):

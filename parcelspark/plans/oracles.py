@@ -347,6 +347,36 @@ SELECTS = {
         round(least(greatest(max(CASE WHEN b = 0 THEN v END) / 3000.0::DOUBLE, 0), 1), 6) AS blue FROM (
          SELECT vec_id, (pos // 16) AS b, pos % 16 AS px, CAST(round(v * 10000) AS INT) AS v FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v,
           generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) t) t2 GROUP BY vec_id, px""",
+    "resample": """SELECT site_id AS parcel_id, CAST(j * 8 + i AS INT) AS px, CAST(round_even(
+         (coalesce(a.code, 0) * (1 - fx) + coalesce(b.code, 0) * fx) * (1 - fy) + (coalesce(c.code, 0) * (1 - fx) + coalesce(d.code, 0) * fx) * fy, 0) AS INT) AS value
+        FROM (SELECT site_id, i, j, CAST(floor(xs) AS BIGINT) AS xi, CAST(floor(ys) AS BIGINT) AS yi, xs - floor(xs) AS fx, ys - floor(ys) AS fy FROM (
+         SELECT site_id, i, j, greatest(x0 + (i + 0.5::DOUBLE) * w / 8 - 0.5, 0) AS xs, greatest(y0 + h - (j + 0.5::DOUBLE) * h / 8 - 0.5, 0) AS ys
+         FROM sites, range(8) p(i), range(8) q(j)) t0) t
+        LEFT JOIN pixels a ON a.x = xi AND a.y = yi LEFT JOIN pixels b ON b.x = xi + 1 AND b.y = yi
+        LEFT JOIN pixels c ON c.x = xi AND c.y = yi + 1 LEFT JOIN pixels d ON d.x = xi + 1 AND d.y = yi + 1""",
+    "chip_outcomes": """SELECT CASE WHEN blank / 16.0::DOUBLE > 0.3 THEN 'skipped_nodata' ELSE 'extracted' END AS outcome, count(*) AS n FROM (
+         SELECT vec_id, count(CASE WHEN m = 0 THEN 1 END) AS blank FROM (
+          SELECT vec_id, pos % 16 AS px, max(abs(round(v * 10000))) AS m FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v,
+           generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) t GROUP BY vec_id, pos % 16) t2 GROUP BY vec_id) t3 GROUP BY ALL""",
+    "encode_chips": """SELECT vec_id, CAST(pos // 16 AS INT) AS band, CAST(sum(CAST(round(v * 10000) AS BIGINT)) AS BIGINT) AS pixel_sum FROM (
+         SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) t GROUP BY vec_id, pos // 16""",
+    "mock_embed": "SELECT parcel_id, CAST(obs_date AS VARCHAR) AS obs_date, 1.0::DOUBLE AS norm FROM obs",
+    "augment": """SELECT t.vec_id, CAST(b AS INT) AS band, CAST(r * 4 + c AS INT) AS px,
+         CAST(CASE WHEN (CAST(concat('0x', substr(md5(concat('42:b', CAST(b AS VARCHAR), ':', CAST(t.vec_id AS VARCHAR))), 1, 7)) AS BIGINT) / 268435456.0::DOUBLE) > 0.1 THEN e.value ELSE 0 END AS INT) AS value
+        FROM (SELECT vec_id, b, r, c, CASE WHEN (CAST(concat('0x', substr(md5(concat('42:v:', CAST(vec_id AS VARCHAR))), 1, 7)) AS BIGINT) / 268435456.0::DOUBLE) > 0.5 THEN 3 - r ELSE r END AS r2, CASE WHEN (CAST(concat('0x', substr(md5(concat('42:h:', CAST(vec_id AS VARCHAR))), 1, 7)) AS BIGINT) / 268435456.0::DOUBLE) > 0.5 THEN 3 - c ELSE c END AS c2
+         FROM embeddings, range(4) x(b), range(4) y(r), range(4) z(c)) t
+        JOIN (SELECT vec_id, pos, round(v * 10000) AS value FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS v,
+         generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) u) e ON e.vec_id = t.vec_id AND e.pos = b * 16 + r2 * 4 + c2""",
+    "generated_explanations": """SELECT parcel_id, CASE status WHEN 'GREEN' THEN 'normal' WHEN 'YELLOW' THEN 'warning' WHEN 'RED' THEN 'critical'
+         ELSE 'insufficient_data' END AS llm_status, 'low' AS llm_confidence, 'stand-in' AS llm_model FROM fixed_scores""",
+    "utm_project": """SELECT site_id, round(500000 + k * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta) + a4 * cos(8 * xi) * sinh(8 * eta)), 3) AS x,
+         round(k * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta) + a4 * sin(8 * xi) * cosh(8 * eta)), 3) AS y FROM (
+         SELECT site_id, atan2(t, cos(dl)) AS xi, atanh(sin(dl) / sqrt(1 + t * t)) AS eta, 0.9996 * 6378137.0 / (1 + n) * (1 + n * n / 4 + pow(n, 4) / 64) AS k,
+          n / 2 - 2 * n * n / 3 + 5 * pow(n, 3) / 16 + 41 * pow(n, 4) / 180 AS a1, 13 * n * n / 48 - 3 * pow(n, 3) / 5 + 557 * pow(n, 4) / 1440 AS a2, 61 * pow(n, 3) / 240 - 103 * pow(n, 4) / 140 AS a3, 49561 * pow(n, 4) / 161280 AS a4 FROM (
+          SELECT site_id, n, radians(lon - (least(greatest(floor((lon + 180) / 6) + 1, 1), 60) * 6 - 183)) AS dl,
+           tan(radians(lat)) * sqrt(1 + sg * sg) - sg * sqrt(1 + pow(tan(radians(lat)), 2)) AS t FROM (
+           SELECT site_id, lat, lon, n, sinh(e * atanh(e * sin(radians(lat)))) AS sg FROM sites,
+            (SELECT f / (2 - f) AS n, sqrt(f * (2 - f)) AS e FROM (SELECT 1 / 298.257223563::DOUBLE AS f) q1) q2 WHERE lat IS NOT NULL) t1) t2) t3""",
     "stream_bin_counts": """SELECT crop_name, CAST(DATE '2024-04-15' + CAST(floor((obs_date - DATE '2024-04-15') / 14) AS INT) * 14 AS VARCHAR) AS bin_start,
         count(*) AS n_obs FROM obs GROUP BY ALL""",
     "stream_intake": """SELECT parcel_id, CAST(obs_date AS VARCHAR) AS obs_date FROM obs""",

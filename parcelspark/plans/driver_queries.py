@@ -206,7 +206,21 @@ def campaign_report(spark, sf):
     scores = stage(result.scores, "scores")
     season = {"start_date": SEASON.start, "end_date": SEASON.end}
     one = report.campaign_report(scores, result.thresholds, season, "driver")
-    return one.select(F.to_json(F.struct(*one.columns)).alias("report"))
+    row = lambda section, key, value: F.struct(
+        F.lit(section).alias("section"), key.cast("string").alias("key"), value.cast("double").alias("value")
+    )
+    of_map = lambda name: F.transform(F.map_entries(name), lambda e: row(name, e["key"], e["value"]))
+    of_list = lambda name, key, value: F.transform(name, lambda e: row(f"{name}.{value}", e[key], e[value]))
+    fields = lambda name, keys: F.array(*[row(name, F.lit(k), F.col(f"{name}.{k}")) for k in keys])
+    entries = F.concat(
+        F.array(row("total_parcels", F.col("region"), F.col("total_parcels"))),
+        of_map("status_counts"), of_map("status_pct"),
+        of_list("crop_breakdown", "crop_name", "total"), of_list("crop_breakdown", "crop_name", "avg_health_score"),
+        of_list("top10_worst", "parcel_id", "health_score"),
+        fields("temporal_coverage", ["mean_observations", "min_observations", "max_observations", "median_observations"]),
+        fields("thresholds", ["green", "red"]),
+    )
+    return one.select(F.inline(entries))
 
 
 # --- vectors and neighbours ----------------------------------------------------------------------

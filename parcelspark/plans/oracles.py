@@ -235,6 +235,18 @@ SELECTS = {
         concat_ws(',', CASE WHEN f.n < 3 THEN 'few_observations' END, CASE WHEN s.status = 'GRAY' THEN 'insufficient_data' END) AS data_quality_flags,
         0.6::DOUBLE AS green_threshold, 0.75::DOUBLE AS red_threshold, 'fixed' AS scoring_method
         FROM fixed_scores s JOIN flags f USING (parcel_id)""",
+    "campaign_report": f"""SELECT 'total_parcels' AS section, 'driver' AS key, CAST(count(*) AS DOUBLE) AS value FROM fixed_scores
+        UNION ALL SELECT 'status_counts', status, CAST(count(*) AS DOUBLE) FROM fixed_scores GROUP BY status
+        UNION ALL SELECT 'status_pct', status, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM fixed_scores), 1) FROM fixed_scores GROUP BY status
+        UNION ALL SELECT 'crop_breakdown.total', crop_name, CAST(count(*) AS DOUBLE) FROM fixed_scores WHERE crop_name IS NOT NULL GROUP BY crop_name
+        UNION ALL SELECT 'crop_breakdown.avg_health_score', crop_name, {MEAN} FROM fixed_scores WHERE crop_name IS NOT NULL GROUP BY crop_name
+        UNION ALL SELECT 'top10_worst.health_score', parcel_id, health_score FROM (
+          SELECT parcel_id, health_score FROM fixed_scores WHERE health_score IS NOT NULL ORDER BY health_score DESC, parcel_id LIMIT 10) t
+        UNION ALL SELECT 'temporal_coverage', 'mean_observations', round(avg(n_observations), 1) FROM fixed_scores
+        UNION ALL SELECT 'temporal_coverage', 'min_observations', CAST(min(n_observations) AS DOUBLE) FROM fixed_scores
+        UNION ALL SELECT 'temporal_coverage', 'max_observations', CAST(max(n_observations) AS DOUBLE) FROM fixed_scores
+        UNION ALL SELECT 'temporal_coverage', 'median_observations', round(quantile_cont(n_observations, 0.5), 1) FROM fixed_scores
+        UNION ALL SELECT 'thresholds', 'green', 0.6::DOUBLE UNION ALL SELECT 'thresholds', 'red', 0.75::DOUBLE""",
     "mean_vectors": "SELECT parcel_id, CAST(pos AS INT) AS pos, round(m, 6) + 0.0::DOUBLE AS value FROM means",
     "unit_norms": "SELECT parcel_id, round(sqrt(sum(u * u)), 6) AS norm FROM unit GROUP BY parcel_id",
     "knn_one": """SELECT neighbor_id AS parcel_id, crop_name, round(1 - d, 6) AS similarity, round(d, 6) AS cosine_distance

@@ -408,7 +408,9 @@ def resample(spark, sf):
         ((tile - 1 - F.col("y") % tile) * tile + F.col("x") % tile).cast("int").alias("at"),
     )
     filled = cells.groupBy("tx", "ty").agg(F.map_from_entries(F.collect_list(F.struct("at", "code"))).alias("m"))
-    tiles = filled.select(
+    # The raster covers its whole extent of 100 x 50 cells; cells without a pixel are nodata.
+    extent = spark.range(7 * 4).select((F.col("id") % 7).cast("int").alias("tx"), F.floor(F.col("id") / 7).cast("int").alias("ty"))
+    tiles = extent.join(filled, ["tx", "ty"], "left").select(
         F.lit(1).alias("scene_id"), F.lit("B02").alias("band"), "tx", "ty",
         F.transform(F.sequence(F.lit(0), F.lit(tile * tile - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))).alias("pixels"),
     )

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 BROADCAST_LIMIT_BYTES = 256 * 1024 * 1024
 
+# Staging folders of local applications without a configured one.
+_local_folders: dict[str, str] = {}
+
 
 def build_session(name: str = "parcelspark", cpus: str = "8", memory: str = "8g") -> SparkSession:
     """A local session for tests and the benchmark."""
@@ -35,9 +38,10 @@ def work_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="parcelspark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="parcelspark-")
+    return _local_folders[application]
 
 
 def staging_folder(spark: SparkSession) -> str:

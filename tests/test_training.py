@@ -4,7 +4,6 @@ from collections import Counter
 from datetime import date
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from parcelspark.operators import training

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +15,9 @@ BROADCAST_LIMIT_BYTES = 256 * 1024 * 1024
 # Staging folders of local applications without a configured one.
 _local_folders: dict[str, str] = {}
 
+# Applications whose executors have the package.
+_shipped: set[str] = set()
+
 
 def build_session(name: str = "parcelspark", cpus: str = "8", memory: str = "8g") -> SparkSession:
     """A local session for tests and the benchmark."""
@@ -28,6 +33,23 @@ def build_session(name: str = "parcelspark", cpus: str = "8", memory: str = "8g"
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    return ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Give the executors this package, once per application, however it got onto the driver's path."""
+    application = spark.sparkContext.applicationId
+    if application not in _shipped:
+        home = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="parcelspark-code-"), "parcelspark.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for folder, _, names in os.walk(home):
+                for name in names:
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        out.write(path, os.path.relpath(path, os.path.dirname(home)))
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(application)
     return spark
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelspark.llm import mixing, packing, pii, quality, sharding, toxicity
+from parcelspark.llm import ann, mixing, packing, pii, quality, sharding, toxicity
 from parcelspark.llm.common import table, words
 
 
@@ -69,6 +69,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = toxicity.score_documents(docs.select("doc_id", "text"), toxicity.learn(docs, labels))
@@ -86,5 +91,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
     "op7_pii": op7_pii,
+    "op8_nearest": op8_nearest,
     "op9_toxicity": op9_toxicity,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelspark.llm import ann, html, mixing, packing, pii, quality, sharding, toxicity
+from parcelspark.llm import ann, html, mixing, packing, pii, quality, sharding, substrings, toxicity
 from parcelspark.llm.common import table, words
 
 
@@ -90,6 +90,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.keep_first(table(spark, sf_dir, "documents"), window=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_html": op2_html,
@@ -99,4 +104,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pii": op7_pii,
     "op8_nearest": op8_nearest,
     "op9_toxicity": op9_toxicity,
+    "op10_substrings": op10_substrings,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelspark.llm import ann, html, mixing, packing, pii, quality, sharding, substrings, toxicity
+from parcelspark.llm import ann, html, mixing, neardup, packing, pii, quality, sharding, substrings, toxicity
 from parcelspark.llm.common import table, words
 
 
@@ -41,6 +41,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.classes(table(spark, sf_dir, "documents"), threshold=0.8)
+    return found.select("doc_id", "class_id", "class_size")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("row_id")
 
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_html": op2_html,
     "op3_mixing": op3_mixing,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
     "op7_pii": op7_pii,

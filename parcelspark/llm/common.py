@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The characters that separate words: space and U+0009 to U+000D. Everything else belongs to a word.
-WORD_BREAKS = " \t\n\x0b\x0c\r"
-_SPACES = " " * len(WORD_BREAKS)
+# Space and U+0009 to U+000D separate words; everything else belongs to a word.
+BREAKS = "[ \\t\\n\\x0B\\x0C\\r]+"
+IN_WORD = "[^ \\t\\n\\x0B\\x0C\\r]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,14 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """The words of a text as an array; null counts as an empty text."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), WORD_BREAKS, _SPACES)
-    return F.filter(F.split(spaced, " "), lambda w: w != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), BREAKS), lambda w: w != "")
 
 
 def word_count(text: Column) -> Column:
     """The number of words of a text (long); 0 for null."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), WORD_BREAKS, _SPACES)
-    return (F.size(F.split(F.trim(spaced), " +")) - (F.trim(spaced) == "").cast("int")).cast("long")
+    return F.size(words(text)).cast("long")
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

@@ -14,10 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelspark.llm.common import WORD_BREAKS, free_name, words
+from parcelspark.llm.common import IN_WORD, free_name, words
 from parcelspark.session import stage
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 
 
 @dataclass(frozen=True)
@@ -32,56 +32,56 @@ def _full(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def word_chars(text: Column) -> Column:
-    return F.length(F.translate(_full(text), WORD_BREAKS, "")).cast("long")
+def word_chars(found: Column) -> Column:
+    return F.length(F.array_join(found, "")).cast("long")
 
 
 def n_symbols(text: Column) -> Column:
-    return (F.length(_full(text)) - F.length(F.translate(_full(text), SYMBOLS, ""))).cast("long")
+    return F.regexp_count(_full(text), F.lit(SYMBOLS)).cast("long")
 
 
 def worded_lines(text: Column) -> Column:
-    return F.filter(F.split(_full(text), "\n"), lambda x: F.translate(x, WORD_BREAKS, "") != "")
+    return F.filter(F.split(_full(text), "\n"), lambda x: x.rlike(IN_WORD))
 
 
 def n_dup_lines(text: Column) -> Column:
     lines = worded_lines(text)
-    return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
+    return F.when(F.contains(_full(text), F.lit("\n")), F.size(lines) - F.size(F.array_distinct(lines))).otherwise(
+        F.lit(0)
+    ).cast("long")
 
 
 def n_repeat_words(found: Column) -> Column:
     """Words inside 3-word windows that occur twice or more; `found` is the array of words.
 
-    Windows are 64-bit hashes next to their start. Sorting puts equal ones side by side; the starts that have an equal
-    neighbour, sorted again, each add the words up to the next start, three at most. n log n for any length.
+    Windows are 64-bit hashes. Where all differ the answer is 0. Otherwise they are sorted next to their starts, which
+    puts equal ones side by side; the starts with an equal neighbour, sorted again, each add the words up to the next
+    such start, three at most. n log n for any length.
     """
     count = F.size(found)
     starts = F.when(count >= 3, F.sequence(F.lit(0), count - 3)).otherwise(F.array().cast("array<int>"))
-    windows = F.sort_array(
-        F.transform(
-            starts,
-            lambda i: F.struct(
-                F.xxhash64(F.get(found, i), F.get(found, i + 1), F.get(found, i + 2)).alias("h"), i.alias("i")
-            ),
-        )
-    )
+    hashes = F.transform(starts, lambda i: F.xxhash64(F.get(found, i), F.get(found, i + 1), F.get(found, i + 2)))
 
-    def twins(sorted_windows: Column) -> Column:
-        same = lambda x, k: F.get(sorted_windows, k)["h"].eqNullSafe(x["h"])
-        repeated = F.filter(sorted_windows, lambda x, k: same(x, k - 1) | same(x, k + 1))
+    def twins(windows: Column) -> Column:
+        same = lambda x, k: F.get(windows, k)["h"].eqNullSafe(x["h"])
+        repeated = F.filter(windows, lambda x, k: same(x, k - 1) | same(x, k + 1))
         return F.sort_array(F.transform(repeated, lambda x: x["i"]))
 
     def covered(at: Column) -> Column:
         steps = F.transform(at, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(at, k + 1) - x, F.lit(3))))
         return F.aggregate(steps, F.lit(0), lambda a, b: a + b)
 
-    return covered_once(windows, twins, covered).cast("long")
+    def counted(h: Column) -> Column:
+        windows = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        repeated = bound(bound(windows, twins), covered)
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(repeated)
+
+    return bound(hashes, counted).cast("long")
 
 
-def covered_once(windows: Column, twins: Callable[[Column], Column], covered: Callable[[Column], Column]) -> Column:
-    """covered(twins(windows)) with both arrays bound once, as arguments of a lambda, instead of being repeated."""
-    bound = F.transform(F.array(windows), twins)
-    return F.get(F.transform(bound, covered), 0)
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, as the argument of a lambda, instead of at every mention."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def symbol_heavy(share: float = 0.1) -> Rule:
@@ -98,7 +98,7 @@ def duplicate_lines(share: float = 0.5) -> Rule:
 def word_length(low: float = 2.5, high: float = 12.0) -> Rule:
     return Rule(
         "word_length",
-        lambda text, found: (F.size(found) > 0) & ~(word_chars(text) / F.size(found)).between(low, high),
+        lambda text, found: (F.size(found) > 0) & ~(word_chars(found) / F.size(found)).between(low, high),
     )
 
 
@@ -115,8 +115,8 @@ def table_rows(share: float = 0.5) -> Rule:
 
     def rejects(text: Column, found: Column) -> Column:
         lines = worded_lines(text)
-        rows = F.filter(lines, lambda x: F.length(x) - F.length(F.translate(x, "|", "")) >= 3)
-        return F.size(rows) > share * F.greatest(F.size(lines), F.lit(1))
+        rows = F.filter(lines, lambda x: F.regexp_count(x, F.lit("[|]")) >= 3)
+        return F.contains(_full(text), F.lit("|")) & (F.size(rows) > share * F.greatest(F.size(lines), F.lit(1)))
 
     return Rule("table_rows", rejects)
 

@@ -62,17 +62,18 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         quality.n_repeat_words(found).alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    # Which rule rejects first depends on the measured order; whether one does, not.
     verdict = F.when(failed, F.lit("base")).otherwise(quality.cascade(text, found, ordered))
     return measured.select(
         "doc_id",
         "n_words",
-        quality.word_chars(text).alias("word_chars"),
+        quality.word_chars(found).alias("word_chars"),
         quality.n_symbols(text).alias("n_symbols"),
         quality.n_dup_lines(text).alias("n_dup_lines"),
         "n_repeat_words",
         failed.alias("base_failed"),
-        verdict.alias("rejected_by"),
-    ).withColumn("kept", F.col("rejected_by").isNull())
+        verdict.isNull().alias("kept"),
+    )
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +101,73 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+# The words of a text in SQL.
+_WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\x0C\\r]+'), lambda x: x <> '')"
+
+ORACLES: dict[str, str] = {
+    "op4_near_duplicates": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (
+  SELECT doc_id, sh, count(*) AS c FROM (
+    SELECT doc_id, unnest(list_transform(range(greatest(len(w) - 4, least(len(w), 1))),
+                                         lambda i: array_to_string(w[i + 1 : i + 5], ' '))) AS sh FROM d)
+  GROUP BY doc_id, sh),
+n AS (SELECT doc_id, sum(c) AS n FROM s GROUP BY doc_id),
+overlap AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.c, b.c)) AS k
+  FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT a, b FROM overlap JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= 0.8 * (x.n + y.n - k)),
+sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS doc_id, b AS other FROM sym UNION SELECT r.doc_id, y.b FROM reach r JOIN sym y ON y.a = r.other),
+classes AS (
+  SELECT d.doc_id, least(d.doc_id, coalesce(min(r.other), d.doc_id)) AS class_id
+  FROM d LEFT JOIN reach r ON r.doc_id = d.doc_id GROUP BY d.doc_id)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size FROM classes""",
+    "op6_quality": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+win AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM (
+    SELECT doc_id, i, array_to_string(w[i + 1 : i + 3], ' ') AS k
+    FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 2, 0))) AS i FROM d))),
+rep AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM win, (VALUES (0), (1), (2)) o(j) WHERE c > 1 GROUP BY doc_id),
+lines AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0B\\x0C\\r]')) AS l FROM d),
+m AS (
+  SELECT d.doc_id, w, l, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(text, '[ \\t\\n\\x0B\\x0C\\r]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+    len(list_filter(l, lambda x: length(x) - length(replace(x, '|', '')) >= 3)) AS table_rows
+  FROM d JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed
+    OR (n_words >= 50 AND len(list_distinct(w)) < 0.1 * n_words)
+    OR n_dup_lines > 0.5 * greatest(len(l), 1)
+    OR table_rows > 0.5 * greatest(len(l), 1)
+    OR (n_words > 0 AND NOT (CAST(word_chars AS DOUBLE) / n_words BETWEEN 2.5 AND 12.0))
+    OR n_symbols > 0.1 * greatest(n_words, 1)) AS kept
+FROM b""",
+    "op10_substrings": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+win AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 AS again FROM (
+    SELECT doc_id, i, array_to_string(w[i + 1 : i + 20], ' ') AS k
+    FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 19, 0))) AS i FROM d))),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM d),
+cov AS (
+  SELECT doc_id, x, word.i AS i,
+    max(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY word.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone
+  FROM word LEFT JOIN win USING (doc_id, i)),
+kept AS (
+  SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(x, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS t
+  FROM cov GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
+}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_html": op2_html,

@@ -98,7 +98,7 @@ def duplicate_lines(share: float = 0.5) -> Rule:
 def word_length(low: float = 2.5, high: float = 12.0) -> Rule:
     return Rule(
         "word_length",
-        lambda text, found: (F.size(found) > 0) & ~(word_chars(found) / F.size(found)).between(low, high),
+        lambda text, found: (F.size(found) > 0) & ~(word_chars(found) / F.greatest(F.size(found), F.lit(1))).between(low, high),
     )
 
 

@@ -183,19 +183,36 @@ def mix(
 
 
 def fill_up(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Documents of one edge block, in their random order, that still fit; then one more if that comes nearer."""
+    """Documents of one edge block, in their random order, that still fit; then exchanges that come nearer.
+
+    An exchange takes out one chosen document or none and puts in one other or none, whichever leaves least over.
+    """
     pdf = pdf.sort_values(["_order", "row_id"])
+    sizes = pdf["size"].to_numpy(np.float64)
     left = float(pdf["rest"].iloc[0]) - float(pdf["_whole"].fillna(0).iloc[0])
-    chosen, smallest = [], None
-    for i, size in enumerate(pdf["size"]):
+    chosen = np.zeros(len(sizes), dtype=bool)
+    for i, size in enumerate(sizes):
         if size <= left:
-            chosen.append(i)
+            chosen[i] = True
             left -= size
-        elif smallest is None or size < smallest[0]:
-            smallest = (size, i)
-    if smallest is not None and smallest[0] < 2 * left:
-        chosen.append(smallest[1])
-    return pd.DataFrame({"row_id": pdf["row_id"].iloc[chosen].astype("int64"), "_filled": True})
+    while True:
+        # Index -1 with size 0 stands for no document.
+        out = np.concatenate([[-1], np.flatnonzero(chosen)])
+        put = np.concatenate([[-1], np.flatnonzero(~chosen)])
+        put = put[np.argsort(np.where(put < 0, 0, sizes[put]), kind="stable")]
+        put_sizes = np.where(put < 0, 0, sizes[put])
+        wanted = left + np.where(out < 0, 0, sizes[out])
+        near = np.searchsorted(put_sizes, wanted)
+        near = np.stack([np.clip(near - 1, 0, len(put) - 1), np.clip(near, 0, len(put) - 1)])
+        over = wanted - put_sizes[near]
+        side, at = np.unravel_index(np.argmin(np.abs(over)), over.shape)
+        if abs(over[side, at]) >= abs(left):
+            break
+        left = float(over[side, at])
+        for i, now in ((out[at], False), (put[near[side, at]], True)):
+            if i >= 0:
+                chosen[i] = now
+    return pd.DataFrame({"row_id": pdf["row_id"].to_numpy()[chosen], "_filled": True})
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:

@@ -41,7 +41,9 @@ STAND_IN = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"
 
 _LETTERS = str.maketrans({**LOOK_ALIKE, "l": "i", "|": " ", "​": "", "‌": "", "‍": "", "\xad": ""})
 _STAND_INS = str.maketrans({**STAND_IN})
-_MIXED = re.compile(r"(?:[^\W_]|[@$!](?=\w))*[0-9@$!](?:[^\W_]|[@$!](?=\w))*")
+# A sign stands for a letter only between letters or digits, so "!!" after a word is none.
+_SIGN = r"(?<=\w)[@$!](?=\w)"
+_MIXED = re.compile(rf"(?:[^\W\d_]|{_SIGN})*(?:[0-9]|{_SIGN})(?:[^\W_]|{_SIGN})*")
 _TOKEN = re.compile(r"[^\W_]+")
 
 

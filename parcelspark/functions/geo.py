@@ -214,8 +214,14 @@ def utm_zone(lon: Column) -> Column:
     return F.least(F.greatest(F.floor((lon + 180) / 6) + 1, F.lit(1)), F.lit(60)).cast("int")
 
 
-def utm(lon: Column, lat: Column, zone: Column, ellipsoid: Ellipsoid = WGS84) -> tuple[Column, Column]:
-    """Transverse Mercator of a UTM zone by the Krueger series to third order; northern hemisphere origin."""
+def utm(
+    lon: Column, lat: Column, zone: Column, ellipsoid: Ellipsoid = WGS84, south: Column | None = None
+) -> tuple[Column, Column]:
+    """Transverse Mercator of a UTM zone by the Krueger series to third order.
+
+    Southern zones count northings from 10,000 km below the equator. A point's own latitude chooses the hemisphere
+    unless `south` says it, as for shapes that cross the equator.
+    """
     n = ellipsoid.f / (2 - ellipsoid.f)
     radius = ellipsoid.a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     alpha = [
@@ -243,7 +249,8 @@ def utm(lon: Column, lat: Column, zone: Column, ellipsoid: Ellipsoid = WGS84) ->
 
     conformal = lambda s: F.sinh(F.atanh(s) - e * F.atanh(e * s))
     point = let(let(conformal(F.sin(F.radians(lat))), angles), series)
-    return point["x"], point["y"]
+    below = (lat < 0) if south is None else south
+    return point["x"], point["y"] + F.when(below, F.lit(10_000_000.0)).otherwise(F.lit(0.0))
 
 
 def project_rings(rings: Column, project) -> Column:
@@ -259,5 +266,29 @@ def project_rings(rings: Column, project) -> Column:
 def polygon_area_m2(rings: Column) -> Column:
     """Area in square metres in the UTM zone of the polygon's first vertex."""
     zone = utm_zone(first_vertex(rings)["lon"])
-    projected = let(zone, lambda z: project_rings(rings, lambda lon, lat: utm(lon, lat, z)))
+    north = F.lit(False)  # one origin for all vertices
+    projected = let(zone, lambda z: project_rings(rings, lambda lon, lat: utm(lon, lat, z, south=north)))
     return polygon_area(projected)
+
+
+def parts_area_m2(parts: Column) -> Column:
+    """Square metres of a shape of several polygons, each a list of rings."""
+    return F.aggregate(
+        F.transform(parts, polygon_area_m2), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))
+    )
+
+
+def parts_centroid(parts: Column) -> Column:
+    """Struct (area, lon, lat) of a shape of several polygons, each weighing as much as its area."""
+    zero = F.struct(F.lit(0.0).alias("area"), F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"))
+
+    def add(acc: Column, c: Column) -> Column:
+        weighed = lambda k: acc[k] + F.coalesce(c["area"] * c[k], F.lit(0.0))
+        area = acc["area"] + F.coalesce(c["area"], F.lit(0.0))
+        return F.struct(area.alias("area"), weighed("lon").alias("lon"), weighed("lat").alias("lat"))
+
+    def finish(t: Column) -> Column:
+        area = F.nullif(t["area"], F.lit(0.0))
+        return F.struct(t["area"].alias("area"), (t["lon"] / area).alias("lon"), (t["lat"] / area).alias("lat"))
+
+    return F.aggregate(F.transform(parts, polygon_centroid), zero, add, finish)

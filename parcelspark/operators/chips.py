@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelspark.functions.geo import chip_bounds
-from parcelspark.operators.scenes import best_per_date
+from parcelspark.operators.scenes import best_per_date, ground_cell, least_cloudy, over_cells
 
 PREVIEW_BANDS = ("B04", "B03", "B02")
 
 
 def chip_plan(parcels: DataFrame, scenes: DataFrame) -> DataFrame:
-    """Every parcel on every scene date: (parcel_id, scene_id, scene_date).
+    """Every parcel on every scene date, where each scene shows all parcels: (parcel_id, scene_id, scene_date).
 
     Scenes are reduced to one per date, so their list has at most one entry per day of the season. It
     reaches the parcels as a scalar subquery and is unfolded there; no join takes place.
@@ -23,6 +23,25 @@ def chip_plan(parcels: DataFrame, scenes: DataFrame) -> DataFrame:
     return parcels.select("parcel_id", F.explode(dates).alias("_s")).select("parcel_id", "_s.scene_id", "_s.scene_date")
 
 
+def covered_plan(parcels: DataFrame, scenes: DataFrame, cell_deg: float = 0.5) -> DataFrame:
+    """Every parcel on every date with a scene that shows its centre: (parcel_id, scene_id, scene_date).
+
+    Parcels and scenes meet by equality on a ground cell; the exact footprint decides, and of several scenes of a date
+    the least cloudy one is taken. Parcels without a centre, and those no scene shows, have no row.
+    """
+    lon, lat = F.col("centroid_lon"), F.col("centroid_lat")
+    x, y = ground_cell(lon, lat, cell_deg)
+    placed = parcels.where(lon.isNotNull() & lat.isNotNull()).select(
+        "parcel_id", lon.alias("_lon"), lat.alias("_lat"), x.alias("cell_x"), y.alias("cell_y")
+    )
+    shown = over_cells(scenes.select("scene_id", "scene_date", "cloud_cover", "bbox"), cell_deg)
+    b = F.col("bbox")
+    inside = F.col("_lon").between(b[0], b[2]) & F.col("_lat").between(b[1], b[3])
+    met = placed.join(shown, ["cell_x", "cell_y"]).where(inside)
+    met = met.select("parcel_id", "scene_id", "scene_date", "cloud_cover")
+    return least_cloudy(met, "parcel_id", "scene_date").select("parcel_id", "scene_id", "scene_date")
+
+
 def cap_parcels(parcels: DataFrame, max_parcels: int | None) -> DataFrame:
     return parcels.orderBy("parcel_id").limit(max_parcels) if max_parcels else parcels
 

@@ -1,8 +1,10 @@
-"""Scene catalogue: predicates, asset choice, best scene per date, caps, coverage."""
+"""Scene catalogue: predicates, asset choice, best scene per date or per ground cell and date, caps, coverage."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Catalogue asset names of the spectral bands.
@@ -20,7 +22,6 @@ BAND_ALIASES = {
     "B12": "swir22",
 }
 DEFAULT_BANDS = ["B02", "B03", "B04", "B08", "B05", "B06", "B07", "B8A", "B11", "B12"]
-MAX_ITEMS = 500
 
 
 def filter_scenes(
@@ -43,11 +44,6 @@ def filter_scenes(
     return kept
 
 
-def search_scenes(scenes: DataFrame, start: str, end: str, max_items: int = MAX_ITEMS, **predicates) -> DataFrame:
-    """A catalogue search as the service answers it: at most `max_items` scenes, earliest first."""
-    return filter_scenes(scenes, start, end, **predicates).orderBy("scene_date", "scene_id").limit(max_items)
-
-
 def resolve_bands(scenes: DataFrame, bands: list[str] = DEFAULT_BANDS) -> DataFrame:
     """Replace `assets` by `asset_urls` (band to address), trying the band name and then its alias.
 
@@ -62,15 +58,34 @@ def resolve_bands(scenes: DataFrame, bands: list[str] = DEFAULT_BANDS) -> DataFr
     return scenes.withColumn("asset_urls", F.map_from_entries(found)).where(F.size("asset_urls") > 0).drop("assets")
 
 
-def best_per_date(scenes: DataFrame) -> DataFrame:
-    """The least cloudy scene of every date; ties take the smaller id. Combined on the map side."""
+def least_cloudy(scenes: DataFrame, *keys: str) -> DataFrame:
+    """The least cloudy scene of every group; ties take the smaller id. Combined on the map side."""
     whole = F.struct(*scenes.columns)
     missing_last = F.coalesce(F.col("cloud_cover"), F.lit(float("inf")))
-    return (
-        scenes.groupBy("scene_date")
-        .agg(F.min_by(whole, F.struct(missing_last, "scene_id")).alias("_best"))
-        .select("_best.*")
-    )
+    best = scenes.groupBy(*keys).agg(F.min_by(whole, F.struct(missing_last, "scene_id")).alias("_best"))
+    return best.select("_best.*")
+
+
+def best_per_date(scenes: DataFrame) -> DataFrame:
+    """The least cloudy scene of every date, where one scene shows the whole extent."""
+    return least_cloudy(scenes, "scene_date")
+
+
+def ground_cell(lon: Column, lat: Column, cell_deg: float) -> tuple[Column, Column]:
+    return F.floor(lon / cell_deg).cast("int"), F.floor(lat / cell_deg).cast("int")
+
+
+def over_cells(scenes: DataFrame, cell_deg: float = 0.5) -> DataFrame:
+    """Each scene once for every ground cell (cell_x, cell_y) that its bounding box touches."""
+    b = F.col("bbox")
+    (west, south), (east, north) = ground_cell(b[0], b[1], cell_deg), ground_cell(b[2], b[3], cell_deg)
+    wide = scenes.withColumn("cell_x", F.explode(F.sequence(west, east)))
+    return wide.withColumn("cell_y", F.explode(F.sequence(south, north)))
+
+
+def best_per_cell(scenes: DataFrame, cell_deg: float = 0.5) -> DataFrame:
+    """The least cloudy scene of every ground cell and date."""
+    return least_cloudy(over_cells(scenes, cell_deg), "cell_x", "cell_y", "scene_date")
 
 
 def cap_scenes(scenes: DataFrame, max_scenes: int | None) -> DataFrame:
@@ -79,19 +94,44 @@ def cap_scenes(scenes: DataFrame, max_scenes: int | None) -> DataFrame:
     return ordered.limit(max_scenes) if max_scenes else ordered
 
 
-def scene_index(scenes: DataFrame, start: str, end: str, max_scenes: int | None = 20, **predicates) -> DataFrame:
-    """Search, one scene per date, capped; the queried range is kept for `covers`."""
-    found = search_scenes(scenes, start, end, **predicates)
-    return cap_scenes(best_per_date(found), max_scenes).select(
-        "*", F.lit(start).cast("date").alias("queried_from"), F.lit(end).cast("date").alias("queried_to")
+def question(bands: list[str] | None = None, **predicates) -> str:
+    """What a search asked for besides its dates, as a text that can be stored and compared."""
+    return json.dumps({"bands": sorted(bands or []), **predicates}, sort_keys=True, default=list)
+
+
+def scene_index(
+    scenes: DataFrame, start: str, end: str, max_scenes: int | None = None, bands: list[str] | None = None, **predicates
+) -> DataFrame:
+    """All scenes found where footprints tell what they show, else one per date; range and question are kept.
+
+    `max_scenes` keeps the earliest ones, and only if it is given.
+    """
+    found = filter_scenes(scenes, start, end, **predicates)
+    if "bbox" not in scenes.columns:
+        found = best_per_date(found)
+    return cap_scenes(found, max_scenes).select(
+        "*",
+        F.lit(start).cast("date").alias("queried_from"),
+        F.lit(end).cast("date").alias("queried_to"),
+        F.lit(question(bands, **predicates)).alias("queried_for"),
     )
 
 
-def covers(index: DataFrame, start: str, end: str) -> bool:
-    """Whether a stored index answers a range: by its queried range, else by its first and last date."""
+def covers(index: DataFrame, start: str, end: str, asked: str | None = None) -> bool:
+    """Whether a stored index answers a range, by its queried range, else by its first and last date.
+
+    With `asked` (see `question`) it must also be the answer to the same question.
+    """
     first, last = ("queried_from", "queried_to") if "queried_from" in index.columns else ("scene_date", "scene_date")
-    span = index.agg(F.min(first).cast("string").alias("lo"), F.max(last).cast("string").alias("hi")).first()
-    return span["lo"] is not None and span["lo"] <= start and span["hi"] >= end
+    wanted = [F.min(first).cast("string").alias("lo"), F.max(last).cast("string").alias("hi")]
+    if asked is not None:
+        if "queried_for" not in index.columns:
+            return False
+        wanted += [F.min("queried_for").alias("least"), F.max("queried_for").alias("most")]
+    span = index.agg(*wanted).first()
+    if span["lo"] is None or span["lo"] > start or span["hi"] < end:
+        return False
+    return asked is None or span["least"] == span["most"] == asked
 
 
 def cloud_stats(scenes: DataFrame) -> DataFrame:

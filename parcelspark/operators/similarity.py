@@ -99,12 +99,12 @@ def neighbor_roles(vectors: DataFrame, near: DataFrame) -> DataFrame:
     labelled = near.join(own, "parcel_id").select(
         "parcel_id", "neighbor_id", F.col("neighbor_crop").alias("crop_name"),
         F.when(differs, "neighbor_diff").otherwise("neighbor_same").alias("map_role"),
-        F.when(differs, F.concat(text, F.lit(" — different crop (rotation/mislabel signal)")))
+        F.when(differs, F.concat(text, F.lit(", labels differ")))
         .otherwise(text).alias("similarity_note"),
     )
     itself = near.select("parcel_id").distinct().join(own, "parcel_id").select(
         "parcel_id", F.col("parcel_id").alias("neighbor_id"), F.col("_own").alias("crop_name"),
-        F.lit("query").alias("map_role"), F.lit("Selected parcel").alias("similarity_note"),
+        F.lit("query").alias("map_role"), F.lit("the query itself").alias("similarity_note"),
     )
     return labelled.unionByName(itself)
 

@@ -28,7 +28,7 @@ class Campaign:
     bands: list[str] = field(default_factory=lambda: list(scenes.DEFAULT_BANDS))
     band_res: dict[str, float] = field(default_factory=dict)
     max_cloud: float = 20
-    max_scenes: int | None = 20
+    max_scenes: int | None = None
     max_parcels: int | None = None
     size_px: int = 224
     resolution_m: float = 10.0
@@ -48,15 +48,17 @@ def index_scenes(run: Campaign, parcels: DataFrame, catalogue: DataFrame, collec
     """The scene index of the parcels' extent, reused when a stored one covers the season."""
     spark = parcels.sparkSession
     path = run.path("scenes")
+    box = total_bounds(parcels).first()
+    asked = dict(
+        bands=run.bands, max_cloud=run.max_cloud, collection=collection,
+        bbox=(box["west"], box["south"], box["east"], box["north"]),
+    )
     if exists(spark, path):
         stored = spark.read.parquet(path)
-        if scenes.covers(stored, run.season.start, run.season.end):
+        if scenes.covers(stored, run.season.start, run.season.end, scenes.question(**asked)):
             return stored
-    box = total_bounds(parcels).first()
-    index = scenes.scene_index(
-        scenes.resolve_bands(catalogue, run.bands), run.season.start, run.season.end, run.max_scenes,
-        max_cloud=run.max_cloud, collection=collection, bbox=(box["west"], box["south"], box["east"], box["north"]),
-    )
+    usable = scenes.resolve_bands(catalogue, run.bands)
+    index = scenes.scene_index(usable, run.season.start, run.season.end, run.max_scenes, **asked)
     return tables.write_table(index, path)
 
 
@@ -65,7 +67,8 @@ def make_chips(run: Campaign, parcels: DataFrame, index: DataFrame, tiles: DataF
     spark = parcels.sparkSession
     path = run.path("chips")
     chosen = chips.cap_parcels(parcels, run.max_parcels)
-    plan = chips.chip_plan(chosen, index).withColumn("obs_date", F.col("scene_date"))
+    planned = chips.covered_plan(chosen, index) if "bbox" in index.columns else chips.chip_plan(chosen, index)
+    plan = planned.withColumn("obs_date", F.col("scene_date"))
     if exists(spark, path):
         plan = incremental.pending(plan, spark.read.parquet(path))
     windowed = chips.windows(plan.drop("obs_date"), chosen, run.size_px, run.resolution_m, project)

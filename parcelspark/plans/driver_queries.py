@@ -353,6 +353,29 @@ def chip_plan(spark, sf):
     return _plan(spark, sf).select("parcel_id", "scene_id", text("scene_date"))
 
 
+def _covered(spark: SparkSession, sf: str) -> DataFrame:
+    parcels = views.sites(spark, sf).select(
+        F.col("site_id").alias("parcel_id"), F.col("lat").alias("centroid_lat"), F.col("lon").alias("centroid_lon")
+    )
+    return chips.covered_plan(parcels, views.footprints(spark, sf))
+
+
+def best_scene_per_cell(spark, sf):
+    found = scenes.best_per_cell(views.footprints(spark, sf))
+    return found.select("cell_x", "cell_y", "scene_id", text("scene_date"), "cloud_cover")
+
+
+def chip_plan_covered(spark, sf):
+    return _covered(spark, sf).select("parcel_id", "scene_id", text("scene_date"))
+
+
+def scene_index(spark, sf):
+    found = scenes.scene_index(
+        views.footprints(spark, sf), "2024-01-05", "2024-01-25", max_cloud=20, bbox=(-93.55, 41.25, -93.25, 41.45)
+    )
+    return found.select("scene_id", text("scene_date"), "cloud_cover", text("queried_from"), text("queried_to"))
+
+
 def chip_todo(spark, sf):
     """The plan minus the chips already there, here every third one by parcel and day."""
     plan = _plan(spark, sf).withColumnRenamed("scene_date", "obs_date")
@@ -451,6 +474,13 @@ def utm_project(spark, sf):
     return located.select("site_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
+def utm_project_south(spark, sf):
+    """The same sites mirrored at the equator."""
+    x, y = geo.utm(F.col("lon"), -F.col("lat"), geo.utm_zone(F.col("lon")))
+    located = views.sites(spark, sf).where(F.col("lat").isNotNull())
+    return located.select("site_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
 def zonal_counts(spark, sf):
     return zonal.zonal_counts(views.site_rings(spark, sf), views.pixels(spark, sf), "site_id")
 
@@ -685,14 +715,16 @@ def generated_explanations(spark, sf):
 # --- streams -------------------------------------------------------------------------------------
 
 
-def _stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The observations as arriving files."""
+def _stream(spark: SparkSession, sf: str, copies: int = 1, files: int = 8) -> DataFrame:
+    """The observations as files that arrive one by one, each with dates from all over the season."""
     folder = _folder(spark, "intake")
     seen = views.labelled_observations(spark, sf).select(
         "parcel_id", "crop_name", "obs_date", F.col("obs_date").cast("timestamp").alias("seen_at"), "embedding"
     )
-    seen.write.parquet(folder)
-    return intake.read_intake(spark, folder)
+    copied = seen.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    dealt = copied.repartition(files, F.xxhash64("parcel_id", "obs_date", "copy")).drop("copy")
+    dealt.write.parquet(folder)
+    return intake.read_intake(spark, folder, files_per_trigger=1)
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -700,16 +732,9 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def stream_intake(spark, sf):
-    """Arrived observations once each, although every file comes with a second copy of its rows."""
-    stream = _stream(spark, sf)
-    doubled = stream.unionByName(stream)
+    """Arrived observations once each, although every row comes twice, mostly in different batches."""
     out = _folder(spark, "arrivals")
-    query = (
-        intake.first_arrivals(doubled)
-        .writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-progress")
-        .outputMode("append").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    intake.store_arrivals(_stream(spark, sf, copies=2), out, f"{out}-progress").awaitTermination()
     return spark.read.parquet(out).select("parcel_id", text("obs_date"))
 
 
@@ -773,6 +798,9 @@ QUERIES = {
     "band_resolve": band_resolve,
     "chip_plan": chip_plan,
     "chip_todo": chip_todo,
+    "best_scene_per_cell": best_scene_per_cell,
+    "chip_plan_covered": chip_plan_covered,
+    "scene_index": scene_index,
     "chip_bounds": chip_bounds,
     "nodata_fraction": nodata_fraction,
     "chip_rgb": chip_rgb,
@@ -782,6 +810,7 @@ QUERIES = {
     "polygon_area_centroid": polygon_area_centroid,
     "albers_project": albers_project,
     "utm_project": utm_project,
+    "utm_project_south": utm_project_south,
     "zonal_counts": zonal_counts,
     "zonal_majority": zonal_majority,
     "label_normalize": label_normalize,

@@ -101,6 +101,14 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scenes with boxes of 0.3 by 0.2 degrees that leave parts of the sites' extent uncovered."""
+    west = F.lit(-94.0) + (F.col("scene_id") * 7 % 10) / F.lit(10.0)
+    south = F.lit(41.0) + (F.col("scene_id") * 3 % 8) / F.lit(10.0)
+    box = F.array(west, south, west + F.lit(0.3), south + F.lit(0.2))
+    return scenes(spark, sf_dir).withColumn("bbox", box)
+
+
 def label_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw labels and codes, some codes not numeric."""
     return table(spark, sf_dir, "part").select(

@@ -127,6 +127,9 @@ coverage AS (
  SELECT crop_name, count(*) AS n, CASE WHEN count(*) > 8
    THEN list(bin_center ORDER BY bin_center)[1:5] || list(bin_center ORDER BY bin_center)[-3:]
    ELSE list(bin_center ORDER BY bin_center)[1:5] END AS dates FROM centres GROUP BY crop_name),
+footprints AS (
+ SELECT *, CAST(-94 AS DOUBLE) + CAST(scene_id * 7 % 10 AS DOUBLE) / CAST(10 AS DOUBLE) AS west,
+  CAST(41 AS DOUBLE) + CAST(scene_id * 3 % 8 AS DOUBLE) / CAST(10 AS DOUBLE) AS south FROM scenes),
 best AS (
  SELECT scene_id, scene_date, cloud_cover, collection FROM (
   SELECT *, row_number() OVER (PARTITION BY scene_date ORDER BY cloud_cover, scene_id) AS r FROM scenes) t WHERE r = 1),
@@ -259,9 +262,9 @@ SELECTS = {
          WHERE a.crop_name IS NOT NULL GROUP BY k.parcel_id, a.crop_name) t WHERE lab > 0 AND diff::DOUBLE / lab >= 0.9""",
     "neighbor_roles": """SELECT k.parcel_id, k.neighbor_id, b.crop_name,
         CASE WHEN a.crop_name <> b.crop_name THEN 'neighbor_diff' ELSE 'neighbor_same' END AS map_role,
-        concat('cos_sim=', printf('%.3f', 1 - d), CASE WHEN a.crop_name <> b.crop_name THEN ' — different crop (rotation/mislabel signal)' ELSE '' END) AS similarity_note
+        concat('cos_sim=', printf('%.3f', 1 - d), CASE WHEN a.crop_name <> b.crop_name THEN ', labels differ' ELSE '' END) AS similarity_note
         FROM knn k JOIN parcels a ON a.parcel_id = k.parcel_id JOIN parcels b ON b.parcel_id = k.neighbor_id
-        UNION ALL SELECT parcel_id, parcel_id, crop_name, 'query', 'Selected parcel' FROM parcels""",
+        UNION ALL SELECT parcel_id, parcel_id, crop_name, 'query', 'the query itself' FROM parcels""",
     "spatial_knn": """SELECT id AS site_id, neighbor_id, km AS distance_km, CAST(rank AS INT) AS rank FROM (
         SELECT *, row_number() OVER (PARTITION BY id ORDER BY km, neighbor_id) AS rank FROM geo) t WHERE rank <= 5""",
     "spatial_knn_capped": """SELECT id AS site_id, neighbor_id, km AS distance_km, CAST(rank AS INT) AS rank FROM (
@@ -284,6 +287,17 @@ SELECTS = {
         SELECT scene_id, CASE WHEN collection <> 'error' THEN concat('s/', CAST(scene_id AS VARCHAR), CASE WHEN scene_id % 3 = 0 THEN '/blue' ELSE '/B02' END) END AS b02,
          CASE WHEN collection = 'click' THEN concat('s/', CAST(scene_id AS VARCHAR), '/red') END AS b04 FROM scenes) t
         WHERE b02 IS NOT NULL OR b04 IS NOT NULL""",
+    "best_scene_per_cell": """SELECT cell_x, cell_y, scene_id, CAST(scene_date AS VARCHAR) AS scene_date, cloud_cover FROM (
+         SELECT *, row_number() OVER (PARTITION BY cell_x, cell_y, scene_date ORDER BY cloud_cover, scene_id) AS r FROM (
+          SELECT f.*, CAST(x AS INT) AS cell_x, CAST(y AS INT) AS cell_y FROM footprints f, range(-190, -184) a(x), range(80, 86) b(y)
+          WHERE x BETWEEN floor(west / 0.5::DOUBLE) AND floor((west + 0.3::DOUBLE) / 0.5::DOUBLE)
+           AND y BETWEEN floor(south / 0.5::DOUBLE) AND floor((south + 0.2::DOUBLE) / 0.5::DOUBLE)) t) u WHERE r = 1""",
+    "chip_plan_covered": """SELECT site_id AS parcel_id, scene_id, CAST(scene_date AS VARCHAR) AS scene_date FROM (
+         SELECT site_id, scene_id, scene_date, row_number() OVER (PARTITION BY site_id, scene_date ORDER BY cloud_cover, scene_id) AS r
+         FROM sites JOIN footprints ON lon BETWEEN west AND west + 0.3::DOUBLE AND lat BETWEEN south AND south + 0.2::DOUBLE) t WHERE r = 1""",
+    "scene_index": """SELECT scene_id, CAST(scene_date AS VARCHAR) AS scene_date, cloud_cover, '2024-01-05' AS queried_from, '2024-01-25' AS queried_to
+        FROM footprints WHERE scene_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-25' AND cloud_cover < 20
+         AND west <= -93.25::DOUBLE AND west + 0.3::DOUBLE >= -93.55::DOUBLE AND south <= 41.45::DOUBLE AND south + 0.2::DOUBLE >= 41.25::DOUBLE""",
     "chip_plan": "SELECT site_id AS parcel_id, scene_id, CAST(scene_date AS VARCHAR) AS scene_date FROM sites CROSS JOIN best",
     "chip_todo": """SELECT site_id AS parcel_id, CAST(scene_date AS VARCHAR) AS scene_date FROM sites CROSS JOIN best
         WHERE NOT (site_id + day(scene_date)) % 3 = 0""",
@@ -396,5 +410,8 @@ SELECTS = {
 }
 
 
+SELECTS["utm_project_south"] = f"SELECT site_id, x, round(10000000 - y, 3) AS y FROM ({SELECTS['utm_project']}) north"
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: _sql(select) for name, select in SELECTS.items()}

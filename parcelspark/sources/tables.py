@@ -91,8 +91,10 @@ def read_thresholds(
 
 
 def replace_by_key(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Old rows whose key is not in the new ones, and all new rows."""
-    kept = old.join(new.select(*keys).distinct(), keys, "left_anti")
+    """Old rows whose key is not in the new ones, and all new rows; nulls in a key are equal."""
+    fresh = new.select(*[F.col(k).alias(f"_new_{k}") for k in keys]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in keys]
+    kept = old.join(fresh, same, "left_anti")
     return kept.unionByName(new, allowMissingColumns=True)
 
 

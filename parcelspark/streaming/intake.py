@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,23 +25,40 @@ def read_intake(spark: SparkSession, folder: str, files_per_trigger: int = 100)
     )
 
 
-def first_arrivals(stream: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Each (parcel, date) once; state older than the watermark is dropped."""
-    return stream.withWatermark("seen_at", delay).dropDuplicatesWithinWatermark(KEYS)
+def store_arrivals(stream: DataFrame, path: str, checkpoint: str, parts: int = 64) -> StreamingQuery:
+    """Append each (parcel, date) once to a table, whenever it arrives and whatever came before.
 
+    A batch is held against the stored rows of the parts it touches, so nothing is forgotten after a time and a
+    replayed batch adds nothing.
+    """
+    part = F.pmod(F.xxhash64("parcel_id"), F.lit(parts)).cast("int")
+
+    def apply(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        arrived = stage(batch.dropDuplicates(KEYS).withColumn("part", part), "stream-arrived")
+        if exists(spark, path):
+            touched = [r["part"] for r in arrived.select("part").distinct().collect()]  # at most `parts` values
+            arrived = stage(pending(arrived, spark.read.parquet(path).where(F.col("part").isin(touched))), "stream-new")
+        arrived.write.mode("append").partitionBy("part").parquet(path)
 
-def bin_counts(stream: DataFrame, season: Season = Season(), delay: str = "30 days") -> DataFrame:
-    """Observations per crop and season bin with late data, as tumbling windows aligned to the season start."""
-    at = F.col("obs_date").cast("timestamp")
-    # Windows start at multiples of their length after 1970-01-01; shift them to the season start.
-    shift = (date.fromisoformat(season.start) - date(1970, 1, 1)).days % season.bin_days
-    width = f"{season.bin_days} days"
-    dated = stream.withColumn("at", at).withWatermark("at", delay)
-    window = F.window("at", width, width, f"{shift} days")
     return (
-        dated.groupBy(window.alias("w"), "crop_name")
+        stream.writeStream.foreachBatch(apply)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def bin_counts(stream: DataFrame, season: Season = Season()) -> DataFrame:
+    """Observations per crop and season bin, for update mode.
+
+    The state has one row per crop and bin, so it needs no watermark and no row comes too late.
+    """
+    first = F.lit(season.start).cast("date")
+    place = F.floor(F.datediff("obs_date", first) / season.bin_days).cast("int")
+    return (
+        stream.groupBy("crop_name", F.date_add(first, place * season.bin_days).alias("bin_start"))
         .agg(F.count(F.lit(1)).alias("n_obs"))
-        .select("crop_name", F.col("w.start").cast("date").alias("bin_start"), "n_obs")
     )
 
 

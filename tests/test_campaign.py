@@ -45,8 +45,8 @@ def test_campaign(spark, run, parcels):
         "scene_id string, collection string, scene_date date, cloud_cover double, bbox array<double>, assets map<string,string>",
     )
     index = index_scenes(run, parcels, catalogue)
-    assert sorted(r.scene_id for r in index.collect()) == ["s0", "s1", "s2"]
-    assert index_scenes(run, parcels, catalogue.limit(0)).count() == 3  # the stored index covers the season
+    assert sorted(r.scene_id for r in index.collect()) == ["cloudy", "s0", "s1", "s2"]
+    assert index_scenes(run, parcels, catalogue.limit(0)).count() == 4  # the stored index covers the season
 
     rng = np.random.RandomState(0)
     tiles = spark.createDataFrame(

@@ -151,3 +151,10 @@ def test_places_without_coordinates_are_skipped(spark):
     places = spark.createDataFrame([("a", 41.0, -94.0), ("b", 41.1, -94.0), ("c", None, None)], "id string, lat double, lon double")
     got = {(r.id, r.neighbor_id) for r in similarity.nearest_places(places, 5).collect()}
     assert got == {("a", "b"), ("b", "a")}
+
+
+def test_southern_zones_count_from_ten_thousand_kilometres(spark):
+    # 60 W 30 S is 789,409 m east and 6,677,424 m north in zone 20 south.
+    x, y = geo.utm(F.lit(-60.0), F.lit(-30.0), geo.utm_zone(F.lit(-60.1)))
+    got = spark.range(1).select(x, y).first()
+    assert got[0] == pytest.approx(789_409, abs=1) and got[1] == pytest.approx(6_677_424, abs=1)

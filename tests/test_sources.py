@@ -42,8 +42,7 @@ def test_discovery(spark, fields):
         "16tgk_fragment_00_00.geojson", "16tgk_fragment_00_01.geojson", "17abc_fragment_00_00.geojson",
     ]
     assert len(parcels.discover_fragments(spark, str(fields), ["16tgk"], ["00_01", "09_09"])) == 1
-    assert parcels.fragment_of("/a/16tgk_fragment_00_01.geojson") == "00_01"
-    assert parcels.fragment_of("/a/other.geojson") == "other"
+    assert parcels.discover_fragments(spark, str(fields), []) == []
 
 
 def test_ingest_embedded(spark, fields):
@@ -110,7 +109,10 @@ def test_scene_index(spark, tmp_path):
     urls = {r.scene_id: r.asset_urls for r in usable.collect()}
     assert urls["a"] == {"B02": "u/a/blue", "B04": "u/a/B04"} and urls["b"]["B04"] == "u/b/red" and "d" not in urls
     index = scenes.scene_index(usable, "2024-04-15", "2024-10-31", bbox=(-93.5, 41.5, -92.5, 42.5), collection="s2", max_scenes=5)
-    assert [r.scene_id for r in index.orderBy("scene_date").collect()] == ["b", "e"]
+    assert [r.scene_id for r in index.orderBy("scene_date", "scene_id").collect()] == ["a", "b", "e"]
+    asked = scenes.question(bbox=(-93.5, 41.5, -92.5, 42.5), collection="s2")
+    assert scenes.covers(index, "2024-04-15", "2024-10-31", asked)
+    assert not scenes.covers(index, "2024-04-15", "2024-10-31", scenes.question(bbox=(0, 0, 1, 1), collection="s2"))
     assert scenes.covers(index, "2024-04-15", "2024-10-31") and not scenes.covers(index, "2024-04-01", "2024-10-31")
     assert not scenes.covers(usable.drop("x"), "2024-04-15", "2025-01-01") and scenes.covers(usable, "2024-05-01", "2025-01-01")
 
@@ -205,3 +207,27 @@ def test_bucketed_join_needs_no_shuffle_of_the_table(spark, tmp_path):
     joined = a.hint("merge").join(b, "parcel_id")
     assert joined.count() == 100
     assert "Exchange hashpartitioning(parcel_id" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_several_polygons_and_lines(spark, tmp_path):
+    square = lambda x, y: [[[x, y], [x + 0.01, y], [x + 0.01, y + 0.01], [x, y + 0.01], [x, y]]]
+    shapes = [
+        {"type": "Polygon", "coordinates": square(10, 50)},
+        {"type": "MultiPolygon", "coordinates": [square(10, 50), square(10.02, 50)]},
+        {"type": "Point", "coordinates": [1, 2]},
+        None,
+    ]
+    features = [{"type": "Feature", "id": str(i), "properties": {"n": i}, "geometry": g} for i, g in enumerate(shapes)]
+    folder = tmp_path / "t"
+    folder.mkdir()
+    (folder / "t_fragment_a.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    (folder / "t_fragment_b.geojsonl").write_text("\n".join(json.dumps(f) for f in features))
+    paths = parcels.discover_fragments(spark, str(tmp_path), ["t"])
+    got = parcels.read_fragments(spark, paths, ["t"])
+    by = {(r.fragment_id, r.parcel_id): r for r in got.collect()}
+    for fragment in "ab":
+        one, two = by[fragment, "0"], by[fragment, "1"]
+        assert two.area_ha == pytest.approx(2 * one.area_ha, rel=1e-3) and len(two.rings) == 2
+        assert (two.centroid_lon, two.centroid_lat) == pytest.approx((10.015, 50.005))
+        assert by[fragment, "2"].rings is None and by[fragment, "3"].rings is None
+    assert {(r.fragment_id, r.n) for r in parcels.unreadable_features(got).collect()} == {("a", 2), ("b", 2)}

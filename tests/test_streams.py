@@ -14,6 +14,7 @@ ROWS = [
     ("b", "corn", date(2024, 4, 21), datetime(2024, 4, 21), [0.0, 1.0]),
     ("a", "corn", date(2024, 5, 2), datetime(2024, 5, 2), [0.6, 0.8]),
 ]
+OLD = [("a", "corn", date(2023, 1, 5), datetime(2023, 1, 5), [1.0, 0.0])]
 
 
 def arrive(spark, folder, rows):
@@ -28,18 +29,19 @@ def test_bin_counts_take_late_rows(spark, tmp_path):
         intake.upsert_stream(intake.bin_counts(stream), out, ["crop_name", "bin_start"], str(tmp_path / "progress")).awaitTermination()
     got = {(r.crop_name, r.bin_start): r.n_obs for r in spark.read.parquet(out).collect()}
     assert got == {("corn", date(2024, 4, 15)): 2, ("corn", date(2024, 4, 29)): 1}
+    arrive(spark, folder, OLD)  # long before everything else
+    stream = intake.read_intake(spark, folder, 1)
+    intake.upsert_stream(intake.bin_counts(stream), out, ["crop_name", "bin_start"], str(tmp_path / "progress")).awaitTermination()
+    got = {(r.crop_name, r.bin_start): r.n_obs for r in spark.read.parquet(out).collect()}
+    assert got[("corn", date(2022, 12, 26))] == 1 and sum(got.values()) == 4
 
 
 def test_first_arrivals(spark, tmp_path):
     folder, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for rows in (ROWS, ROWS[:1], ROWS[1:2]):
+    for rows in (ROWS[1:], ROWS[2:], OLD + ROWS[1:2], ROWS[:1] + OLD):  # the oldest dates come last
         arrive(spark, folder, rows)
-        stream = intake.first_arrivals(intake.read_intake(spark, folder, 1))
-        (
-            stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "progress"))
-            .trigger(availableNow=True).start().awaitTermination()
-        )
-    assert spark.read.parquet(out).count() == 3
+    intake.store_arrivals(intake.read_intake(spark, folder, 1), out, str(tmp_path / "progress")).awaitTermination()
+    assert spark.read.parquet(out).count() == 4
 
 
 def test_incremental_scores_equal_a_full_run(spark, tmp_path):

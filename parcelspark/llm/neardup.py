@@ -6,8 +6,8 @@ class is verified on the true multisets. Groups of thousands of near copies must
 - texts with the same words are one member, settled by an aggregate;
 - inside a bucket everybody is compared with one leader, the member that shares most buckets with others, which in a
   group of edited copies is the common original; this links nearly all of a group at the cost of its size;
-- what a leader did not join is not given up: buckets whose members still are in different classes compare these
-  members block by block, by signature, and pairs that may reach the threshold are verified as well.
+- what a leader did not join is not given up: buckets that still hold different classes are compared in blocks, on the
+  true multisets and inside the task, which gives back only links that join classes.
 
 A class is a connected component of verified links. With 24 bands of 4 registers a pair at similarity 0.8 is missed by
 the banding with a probability of 3e-6.
@@ -22,15 +22,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelspark.llm.bagminhash import band_keys, short_form, signatures
+from parcelspark.llm.bagminhash import GAMMA, band_keys, short_form, signatures
 from parcelspark.llm.common import free_name
 from parcelspark.llm.wordhash import batches, mix, run_hashes, word_hashes
 from parcelspark.session import stage
 
 SHINGLE = 5
 BANDS, ROWS = 24, 4
-BLOCK = 1024  # members of a bucket that one task compares with as many others
-SLACK = 0.18  # how far below the threshold an estimate may lie: over four standard deviations of 96 registers
+BLOCK = 512  # members of a bucket that one task compares with as many others
+COLUMNS = 4096  # elements of one matrix product
 
 SKETCH = "row_id long, doc_order long, doc_id long, k1 long, k2 long, n long, sig binary"
 
@@ -129,39 +129,101 @@ def _verify(threshold: float):
     return run
 
 
-def _cross(threshold: float):
-    """Pairs of one pair of blocks of a bucket: different classes, estimates within reach, first common band."""
+def _elements(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The multisets as sorted sets: the k-th copy of a shingle is an element of its own."""
+    for pdf in frames:
+        for start, raw in batches(list(pdf["text"])):
+            h, c, d = shingle_sets(*word_hashes(raw))
+            copy = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+            with np.errstate(over="ignore"):
+                e, d = mix(np.repeat(h, c) + copy.astype(np.uint64) * GAMMA), np.repeat(d, c)
+            edges = np.searchsorted(d, np.arange(len(raw) + 1))
+            own = pdf.iloc[start : start + len(raw)]
+            packed = [e[x:y].tobytes() for x, y in zip(edges, edges[1:])]
+            yield pd.DataFrame({"row_id": own["row_id"].array, "label": own["label"].array, "elements": packed})
+
+
+def _across(threshold: float):
+    """Links between different classes in a pair of blocks of a bucket; enough of them to join what belongs together.
+
+    Common elements of all pairs come from products of 0/1 matrices over the elements that both sides have.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        none = pd.DataFrame({"a": [], "b": []}, dtype="int64")
         same = int(pdf["i"].iloc[0]) == int(pdf["j"].iloc[0])
-        if same:
-            right = left
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        sides = []
-        for x in (left, right):
-            short = np.frombuffer(b"".join(x["sig"]), dtype=np.uint32).reshape(len(x), -1)
-            sides.append((short, band_keys(short, ROWS).view(np.int64), x["row_id"].to_numpy(), x["label"].to_numpy(), x["n"].to_numpy()))
-        (s1, k1, r1, l1, n1), (s2, k2, r2, l2, n2) = sides
-        bucket = int(pdf["bucket"].iloc[0])
-        band = int(np.flatnonzero(k1[0] == bucket)[0])
+        left = pdf if same else pdf[pdf["side"] == 0]
+        right = pdf if same else pdf[pdf["side"] == 1]
+        if pdf["label"].nunique() < 2 or not len(left) or not len(right):
+            return none
+        (e1, d1, n1), (e2, d2, n2) = (_flat(x["elements"]) for x in (left, right))
+        both = np.intersect1d(e1, e2)
+        if same:  # an element of one text alone is common to nothing
+            values, times = np.unique(e1, return_counts=True)
+            both = values[times > 1]
+        common = np.zeros((len(left), len(right)), dtype=np.float32)
+        at1, at2 = np.searchsorted(both, e1), np.searchsorted(both, e2)
+        for first in range(0, len(both), COLUMNS):
+            sides = []
+            for e, d, at, n in ((e1, d1, at1, len(left)), (e2, d2, at2, len(right))):
+                own = np.flatnonzero((at >= first) & (at < min(first + COLUMNS, len(both))))
+                own = own[both[at[own]] == e[own]]
+                m = np.zeros((n, COLUMNS), dtype=np.float32)
+                m[d[own], at[own] - first] = 1
+                sides.append(m)
+            common += sides[0] @ sides[1].T
+        # Products of 0/1 values are whole numbers, exact up to 2 ** 24.
+        close = common >= threshold * (n1[:, None] + n2[None, :] - common) - 1e-9
+        l1, l2 = left["label"].to_numpy(), right["label"].to_numpy()
+        x, y = np.nonzero(close & (l1[:, None] != l2[None, :]))
+        joined: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            while joined.setdefault(v, v) != v:
+                joined[v] = joined[joined[v]]
+                v = joined[v]
+            return v
+
         out = []
-        for p in range(len(r1)):
-            q = np.flatnonzero((l2 != l1[p]) & (np.minimum(n2, n1[p]) >= threshold * np.maximum(n2, n1[p])))
-            q = q[r2[q] > r1[p]] if same else q
-            if len(q):
-                q = q[(s2[q] == s1[p]).mean(axis=1) >= threshold - SLACK]
-            if len(q) and band:
-                q = q[~(k2[q, :band] == k1[p, :band]).any(axis=1)]
-            if len(q):
-                out.append(np.column_stack([np.full(len(q), r1[p]), r2[q]]))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
-        return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
+        r1, r2 = left["row_id"].to_numpy(), right["row_id"].to_numpy()
+        for i, j in zip(x, y):
+            p, q = find(int(l1[i])), find(int(l2[j]))
+            if p != q:
+                joined[p] = q
+                out.append((int(r1[i]), int(r2[j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64") if out else none
 
     return run
 
 
+def _flat(packed: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(elements, text of each, number of elements of each text)."""
+    n = np.array([len(x) // 8 for x in packed], dtype=np.int64)
+    return np.frombuffer(b"".join(packed), dtype=np.uint64), np.repeat(np.arange(len(n)), n), n
+
+
+def across_classes(entries: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between different classes. entries: bucket, row_id, size; members: row_id, label, text.
+
+    A bucket is compared in pairs of blocks of at most about BLOCK members; nothing but links leaves a task.
+    """
+    sets = members.mapInPandas(_elements, "row_id long, label long, elements binary")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    placed = (
+        entries.withColumn("own", F.pmod(F.xxhash64("row_id"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select(
+            "bucket",
+            F.least("own", "other").alias("i"),
+            F.greatest("own", "other").alias("j"),
+            (F.col("own") > F.col("other")).cast("int").alias("side"),
+            "row_id",
+        )
+    )
+    placed = placed.join(sets, "row_id")
+    return placed.groupBy("bucket", "i", "j").applyInPandas(_across(threshold), "a long, b long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts reach the threshold."""
     met = pairs.join(texts.select(F.col("row_id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -234,30 +296,14 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     links = stage(verified(pairs, texts, threshold), "neardup-links")
     labels = components(links)
 
-    # Buckets with members of different classes: these members meet in blocks.
+    # Buckets with members of different classes: there all members are compared, in blocks.
     open_ = shared.join(labels.select(F.col("node").alias("row_id"), "label"), "row_id", "left")
-    open_ = open_.select("bucket", "row_id", "n", "size", F.coalesce("label", "row_id").alias("label"))
+    open_ = open_.select("bucket", "row_id", "size", F.coalesce("label", "row_id").alias("label"))
     split = open_.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    open_ = open_.join(split.select("bucket"), "bucket")
-    open_ = open_.join(members.select("row_id", "sig"), "row_id")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("row_id"), blocks).cast("int")
-    placed = open_.withColumn("blocks", blocks).withColumn("own", own)
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select(
-        "bucket",
-        F.least("own", "other").alias("i"),
-        F.greatest("own", "other").alias("j"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"),
-        "row_id",
-        "n",
-        "label",
-        "sig",
-    )
-    more = placed.groupBy("bucket", "i", "j").applyInPandas(_cross(threshold), "a long, b long")
-    more = stage(more.distinct(), "neardup-more")
-    links = links.unionByName(verified(more, texts, threshold))
-    labels = components(links)
+    open_ = stage(open_.join(split.select("bucket"), "bucket"), "neardup-open")
+    again = texts.join(open_.select("row_id", "label").distinct(), "row_id")
+    more = stage(across_classes(open_.select("bucket", "row_id", "size"), again, threshold), "neardup-more")
+    labels = components(links.unionByName(more))
 
     named = sketch.select("row_id", "doc_order", "doc_id").join(copies, "row_id", "left")
     named = named.withColumn("member", F.coalesce("member", "row_id"))

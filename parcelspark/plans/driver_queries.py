@@ -13,7 +13,7 @@ from parcelspark.functions.vectors import mean_vectors, norm
 from parcelspark.operators import (
     chips, encode, explain, incremental, profiles, report, retrieval, scenes, scoring, similarity, training, zonal,
 )
-from parcelspark.plans import driver_views as views
+from parcelspark.plans import driver_views as views, source_queries
 from parcelspark.session import stage, staging_folder
 from parcelspark.sources.parcels import flatten_attributes
 from parcelspark.sources.tables import replace_by_key
@@ -840,4 +840,5 @@ QUERIES = {
     "stream_intake": stream_intake,
     "stream_bin_counts": stream_bin_counts,
     "stream_scores": stream_scores,
+    **source_queries.QUERIES,
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from parcelspark.functions.labels import CROP_CODES
 from parcelspark.functions.season import Season
+from parcelspark.plans import source_queries
 
 SEASON = Season()
 DAYS, BINS = SEASON.days, SEASON.n_bins
@@ -410,6 +411,7 @@ SELECTS = {
 }
 
 
+SELECTS |= source_queries.SELECTS
 SELECTS["utm_project_south"] = f"SELECT site_id, x, round(10000000 - y, 3) AS y FROM ({SELECTS['utm_project']}) north"
 
 

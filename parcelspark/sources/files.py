@@ -20,6 +20,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hadoop))
 
 
+def move(spark: SparkSession, path: str, new_path: str) -> None:
+    """Rename a file; the folder it goes to is made."""
+    old, fs = _fs(spark, path)
+    new, _ = _fs(spark, new_path)
+    fs.mkdirs(new.getParent())
+    if not fs.rename(old, new):
+        raise OSError(f"cannot move {path} to {new_path}")
+
+
 def swap_in(spark: SparkSession, new_path: str, path: str) -> None:
     """Put a freshly written folder in the place of another; the old one goes only after the new one is there."""
     new, fs = _fs(spark, new_path)

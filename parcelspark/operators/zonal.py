@@ -10,26 +10,63 @@ from parcelspark.functions.labels import name_codes
 from parcelspark.session import spread_rows
 
 
-def touched_cells(parcels: DataFrame, key: str = "parcel_id") -> DataFrame:
-    """(key, x, y) of every unit cell a polygon in pixel units overlaps.
+BLOCK = 16  # cells along the side of a raster block
+
+
+def to_blocks(pixels: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The raster as one row a block: block_x, block_y and the codes row by row, null where there is no pixel."""
+    place = lambda c: F.floor(F.col(c) / block).cast("long")
+    local = F.pmod(F.col("y"), F.lit(block)) * block + F.pmod(F.col("x"), F.lit(block))
+    entries = F.array_sort(F.collect_list(F.struct(local.cast("int").alias("i"), F.col("code").alias("code"))))
+    grouped = pixels.groupBy(place("x").alias("block_x"), place("y").alias("block_y")).agg(entries.alias("e"))
+    known = F.map_from_entries("e")
+    gaps = F.transform(F.sequence(F.lit(0), F.lit(block * block - 1)), lambda i: F.try_element_at(known, i))
+    full = F.transform("e", lambda x: x["code"])
+    return grouped.select("block_x", "block_y", F.when(F.size("e") == block * block, full).otherwise(gaps).alias("codes"))
+
 
-    Each parcel generates its own cells row by row, so the raster is met by an equality join and no
-    pair of parcel and foreign cell is ever built.
+def touched_pieces(parcels: DataFrame, key: str = "parcel_id", block: int = BLOCK) -> DataFrame:
+    """(key, block_x, block_y, cells): the places inside a block of the unit cells that a row of a polygon overlaps.
+
+    Each parcel generates its own cells row by row, so the raster is met by an equality join on the block and no pair
+    of parcel and foreign cell is ever built.
     """
     low = F.floor("_b.min_lat").cast("long")
     high = F.greatest(F.ceil("_b.max_lat") - 1, F.floor("_b.min_lat")).cast("long")
-    return (
+    of = lambda x: F.floor(x / block).cast("long")
+    rows = (
         spread_rows(parcels.where(F.size("rings") > 0).select(key, "rings"), key)
         .select(key, "rings", polygon_bounds(F.col("rings")).alias("_b"))
         .select(key, "rings", F.explode(F.sequence(low, high)).alias("y"))
-        .select(key, F.explode(touched_columns(F.col("rings"), F.col("y"))).alias("x"), "y")
+        .select(key, touched_columns(F.col("rings"), F.col("y")).alias("xs"), "y")
+        .withColumn("block_x", F.explode(F.array_distinct(F.transform("xs", of))))
     )
+    local = lambda x: (F.pmod(F.col("y"), F.lit(block)) * block + F.pmod(x, F.lit(block))).cast("int")
+    cells = F.transform(F.filter("xs", lambda x: of(x) == F.col("block_x")), local)
+    return rows.select(key, "block_x", of(F.col("y")).alias("block_y"), cells.alias("cells"))
+
+
+def touched_cells(parcels: DataFrame, key: str = "parcel_id") -> DataFrame:
+    """(key, x, y) of every unit cell a polygon in pixel units overlaps, one row a cell."""
+    cells = touched_pieces(parcels, key).select(key, "block_x", "block_y", F.explode("cells").alias("i"))
+    x, y = F.col("block_x") * BLOCK + F.col("i") % BLOCK, F.col("block_y") * BLOCK + F.floor(F.col("i") / BLOCK)
+    return cells.select(key, x.cast("long").alias("x"), y.cast("long").alias("y"))
 
 
 def zonal_counts(parcels: DataFrame, pixels: DataFrame, key: str = "parcel_id") -> DataFrame:
-    """Touched cells per parcel and class."""
-    cells = touched_cells(parcels, key).join(pixels.select("x", "y", "code"), ["x", "y"])
-    return cells.groupBy(key, "code").agg(F.count(F.lit(1)).alias("n"))
+    """Touched cells per parcel and class; only the parcels' extent of the raster is read."""
+    box = parcels.select(polygon_bounds(F.col("rings")).alias("b")).agg(
+        F.floor(F.min("b.min_lon")).alias("west"), F.floor(F.min("b.min_lat")).alias("south"),
+        F.ceil(F.max("b.max_lon")).alias("east"), F.ceil(F.max("b.max_lat")).alias("north"),
+    ).first()
+    if box["west"] is None:
+        pixels = pixels.limit(0)
+    else:
+        pixels = pixels.where(F.col("x").between(box["west"], box["east"]) & F.col("y").between(box["south"], box["north"]))
+    met = touched_pieces(parcels, key).join(to_blocks(pixels.select("x", "y", "code")), ["block_x", "block_y"])
+    codes = F.transform("cells", lambda i: F.get(F.col("codes"), i))
+    found = met.select(key, F.explode(F.filter(codes, lambda c: c.isNotNull())).alias("code"))
+    return found.groupBy(key, "code").agg(F.count(F.lit(1)).alias("n"))
 
 
 def zonal_majority(parcels: DataFrame, pixels: DataFrame, key: str = "parcel_id") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from parcelspark.functions.season import Season, early_weight
 from parcelspark.functions.vectors import cosine_distance
 from parcelspark.operators.profiles import is_labelled
-from parcelspark.session import lookup_join, stage
+from parcelspark.session import BROADCAST_LIMIT_BYTES, lookup_join, stage
 
 
 @dataclass(frozen=True)
@@ -26,6 +26,7 @@ class ScoringRules:
     tolerance_days: int = 21
     min_scores: int = 5
     unmatched_score: str = "zero"  # "zero" or "null": score of parcels without any matched date
+    broadcast_bytes: int = BROADCAST_LIMIT_BYTES  # profiles up to this size are broadcast; larger ones meet salted rows
 
 
 def match_observations(
@@ -51,7 +52,8 @@ def match_observations(
     nearest = F.array_min(F.transform(near, lambda c: F.struct(gap(c).alias("gap"), c["bin_center"], c["bin"])))
     located = (
         lookup_join(
-            dated, centres, ["crop_name"], 64 * size["rows"] + 128 * size["crops"], ["parcel_id", "obs_date"]
+            dated, centres, ["crop_name"], 64 * size["rows"] + 128 * size["crops"], ["parcel_id", "obs_date"],
+            limit_bytes=rules.broadcast_bytes,
         )
         .withColumn("_near", nearest)
         .select(
@@ -63,7 +65,7 @@ def match_observations(
     )
     refs = profiles.select("crop_name", "bin", "ref")
     ref_bytes = size["rows"] * (8 * (size["dim"] or 0) + 128)
-    matched = lookup_join(located, refs, ["crop_name", "bin"], ref_bytes, ["parcel_id", "obs_date"])
+    matched = lookup_join(located, refs, ["crop_name", "bin"], ref_bytes, ["parcel_id", "obs_date"], limit_bytes=rules.broadcast_bytes)
     return matched.select(
         "parcel_id", "crop_name", "obs_date", "has_profile", "ref_date",
         early_weight(F.col("obs_date"), season, rules.urgency, rules.early_fraction).alias("weight"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from parcelspark.functions.vectors import mean_vectors, norm
 from parcelspark.operators import (
     chips, encode, explain, incremental, profiles, report, retrieval, scenes, scoring, similarity, training, zonal,
 )
+from parcelspark.operators.knn import KnnPlan
 from parcelspark.plans import driver_views as views, source_queries
 from parcelspark.session import stage, staging_folder
 from parcelspark.sources.parcels import flatten_attributes
@@ -253,6 +255,33 @@ def knn_all(spark, sf):
     )
 
 
+# The large side of each size switch, forced at small size: same rows, another plan.
+
+
+def knn_all_cells(spark, sf):
+    near = similarity.nearest_of_all(_vectors(spark, sf), 10, plan=KnnPlan(one_cell_rows=20, block_rows=16))
+    return near.select(
+        "parcel_id", "neighbor_id", "neighbor_crop", *rounded(6, "similarity", "cosine_distance"), "rank"
+    )
+
+
+def spatial_knn_cells(spark, sf):
+    plan = KnnPlan(one_cell_rows=100, block_rows=64)
+    return _near_sites(similarity.nearest_places(_places(spark, sf), 5, plan=plan))
+
+
+def crop_profiles_large(spark, sf):
+    base = Base(spark, sf)
+    found = profiles.build_profiles(base.parcels, base.observations, SEASON, large_group=3)
+    return profiles.profile_values(found).select(
+        "crop_name", text("bin_center"), "n_obs", "pos", F.round("value", 6).alias("value")
+    )
+
+
+def parcel_scores_salted(spark, sf):
+    return _score_columns(_scores(spark, sf, replace(FIXED, broadcast_bytes=0)))
+
+
 def mislabel_scan(spark, sf):
     return similarity.scan_mislabels(_vectors(spark, sf), 10, 0.9)
 
@@ -787,6 +816,10 @@ QUERIES = {
     "knn_one": knn_one,
     "knn_all": knn_all,
     "mislabel_scan": mislabel_scan,
+    "knn_all_cells": knn_all_cells,
+    "spatial_knn_cells": spatial_knn_cells,
+    "crop_profiles_large": crop_profiles_large,
+    "parcel_scores_salted": parcel_scores_salted,
     "neighbor_roles": neighbor_roles,
     "spatial_knn": spatial_knn,
     "spatial_knn_capped": spatial_knn_capped,

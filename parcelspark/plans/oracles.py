@@ -412,6 +412,12 @@ SELECTS = {
 
 
 SELECTS |= source_queries.SELECTS
+SELECTS |= {
+    "knn_all_cells": SELECTS["knn_all"],
+    "spatial_knn_cells": SELECTS["spatial_knn"],
+    "crop_profiles_large": SELECTS["crop_profiles"],
+    "parcel_scores_salted": SELECTS["parcel_scores_fixed"],
+}
 SELECTS["utm_project_south"] = f"SELECT site_id, x, round(10000000 - y, 3) AS y FROM ({SELECTS['utm_project']}) north"
 
 

@@ -72,7 +72,9 @@ def mock_embeddings(chips: DataFrame, dim: int = 768, version: str = "mock") ->
             v = np.random.RandomState(seed).randn(dim).astype(np.float32)
             return v / (np.linalg.norm(v) + 1e-8)
 
-        return seeds.map(one)
+        # The dates of a parcel share its vector, which is drawn once for all of them.
+        drawn = {seed: one(seed) for seed in seeds.unique()}
+        return seeds.map(drawn)
 
     return chips.select(
         "parcel_id", "obs_date", draw(parcel_seed(F.col("parcel_id"))).alias("embedding"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,6 +140,16 @@ def head_predictions(model, samples: DataFrame) -> DataFrame:
     return scored.select(*kept, F.col("prediction").cast("int").alias("predicted_class_id"))
 
 
+def class_totals(model, samples: DataFrame) -> DataFrame:
+    """(crop_class_id, total): predicted probabilities summed per class.
+
+    On the training split they equal the class counts once the fit has converged, as the intercepts carry no penalty.
+    """
+    scored = model.transform(_with_features(samples))
+    each = scored.select(F.posexplode(vector_to_array("probability")).alias("crop_class_id", "p"))
+    return each.groupBy("crop_class_id").agg(F.sum("p").alias("total"))
+
+
 def head_metrics(predictions: DataFrame) -> dict[str, float]:
     """Accuracy and F1 on any split."""
     rows = predictions.withColumn("prediction", F.col("predicted_class_id").cast("double"))

@@ -16,6 +16,9 @@ from parcelspark.sources import tables
 from parcelspark.sources.files import exists
 
 
+EXPLANATION_PARTS = 64  # an upsert reads and rewrites only the parts of its parcels
+
+
 @dataclass(frozen=True)
 class Campaign:
     """Settings of a campaign and the folder its tables live in."""
@@ -131,9 +134,9 @@ def explain_campaign(
         bundles = retrieval.retrieval_bundles(
             made["scores"], made["vectors"], made["profiles"], run.k_semantic, run.k_spatial, run.max_km, chosen
         )
-    stored = spark.read.parquet(path) if skip_unchanged and exists(spark, path) else None
+    stored = spark.read.parquet(path).drop("part") if skip_unchanged and exists(spark, path) else None
     rows = explain.explain_parcels(payloads, make_generator, bundles, stored, **options)
-    return tables.upsert_table(rows, path, ["parcel_id"])
+    return tables.upsert_table(rows, path, ["parcel_id"], EXPLANATION_PARTS)
 
 
 def prepare_training(

@@ -638,6 +638,16 @@ def linear_head(spark, sf):
     return predicted.select("chip_path", "crop_class_id", "predicted_class_id")
 
 
+def linear_head_totals(spark, sf):
+    """Predicted probabilities of the training split, summed per class: the class counts, at the optimum."""
+    split = stage(training.stratified_split(_samples(spark, sf)), "split")
+    vectors = _observations(spark, sf).withColumnRenamed("obs_date", "date")
+    samples = stage(split.join(vectors, ["parcel_id", "date"]), "head-samples")
+    model = training.linear_head(samples, max_iter=200)
+    totals = training.class_totals(model, samples.where(F.col("split") == "train")).where(F.col("total") > 1e-6)
+    return totals.select("crop_class_id", F.round("total", 1).alias("total"))
+
+
 # --- explanations --------------------------------------------------------------------------------
 
 
@@ -862,6 +872,7 @@ QUERIES = {
     "stratified_split": stratified_split,
     "augment": augment,
     "linear_head": linear_head,
+    "linear_head_totals": linear_head_totals,
     "trajectory_flags": trajectory_flags,
     "trajectory_summary": trajectory_summary,
     "explain_payload": explain_payload,

@@ -413,6 +413,8 @@ SELECTS = {
 
 SELECTS |= source_queries.SELECTS
 SELECTS |= {
+    "linear_head_totals": f"""SELECT CAST(crop_class_id AS INT) AS crop_class_id, CAST(count(*) AS DOUBLE) AS total
+        FROM ({SELECTS["stratified_split"]}) s WHERE split = 'train' GROUP BY crop_class_id""",
     "knn_all_cells": SELECTS["knn_all"],
     "spatial_knn_cells": SELECTS["spatial_knn"],
     "crop_profiles_large": SELECTS["crop_profiles"],

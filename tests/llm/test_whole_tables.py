@@ -9,9 +9,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from parcelspark.llm import packing, queries
+from parcelspark.llm import ann, bagminhash, neardup, packing, queries
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -177,6 +178,52 @@ def test_nearest(spark):
         assert [x[2] for x in got[q]] == pytest.approx(scores[other][best], abs=1e-13)
 
 
+def test_nearest_without_pruning(spark, monkeypatch):
+    """Centres and radii too large to broadcast: the same rows, every block against every chunk."""
+    vectors = spark.read.parquet(f"{SF_DIR}/embeddings.parquet")
+    query = F.col("vec_id") % 50 == 0
+    pruned = sorted(map(tuple, ann.nearest(vectors, query, k=5).collect()))
+    monkeypatch.setattr(ann, "META_BYTES", -1)
+    monkeypatch.setattr(ann, "CHUNK_BYTES", 8192)
+    assert sorted(map(tuple, ann.nearest(vectors, query, k=5).collect())) == pruned
+
+
+def test_many_blocks_of_a_bucket(spark, monkeypatch):
+    """Edited copies of one text, more than a block holds: classes equal those of all pairs."""
+    draw = np.random.default_rng(3)
+    base = [f"t{i}" for i in range(120)]
+    texts = []
+    for _ in range(60):
+        copy = list(base)
+        for at in draw.choice(120, int(draw.integers(1, 5)), replace=False):
+            copy[at] = f"e{draw.integers(10**6)}"
+        texts.append(" ".join(copy))
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs).collect()}
+    sets = [collections.Counter(tuple(t.split()[i : i + 5]) for i in range(116)) for t in texts]
+    root = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if sum((sets[i] & sets[j]).values()) >= 0.8 * sum((sets[i] | sets[j]).values()):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    assert got == dict(enumerate(root)) and 1 < len(set(root)) < 60
+
+
+def test_signatures_estimate_weighted_similarity():
+    """Agreeing registers come near the weighted Jaccard similarity, also for repeated shingles."""
+    draw = np.random.default_rng(5)
+    shingles = draw.integers(0, 2**63, 300).astype(np.uint64)
+    a, b = draw.integers(0, 9, 300), draw.integers(0, 9, 300)
+    h = np.concatenate([shingles[a > 0], shingles[b > 0]])
+    c = np.concatenate([a[a > 0], b[b > 0]])
+    d = np.concatenate([np.zeros((a > 0).sum(), int), np.ones((b > 0).sum(), int)])
+    sig = bagminhash.signatures(h, c, d, 2, 4096)
+    true = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+    assert abs((sig[0] == sig[1]).mean() - true) < 0.03
+
+
 def test_toxicity_on_held_out_rows(spark):
     # The smallest tables have few labels; accuracy is measured where there are some hundreds.
     sf_dir = SF_DIR if "sf0.001" not in SF_DIR else SF_DIR.replace("sf0.001", "sf0.1")

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelspark.llm.wordhash import batches, run_hashes, word_hashes
+from parcelspark.llm.wordhash import batches, mix, run_hashes, word_hashes
 from parcelspark.session import parallelism
 
 # Perfect difference sets by period (fixed values): every residue is a difference of two members.
@@ -41,8 +41,10 @@ def cover_of(window: int) -> tuple[int, tuple[int, ...]]:
 
 
 PACKED = (
-    "target int, h binary, doc binary, pos binary, known_doc binary, known_pos binary, rows binary, orders binary"
+    "target int, wide boolean, h binary, doc binary, pos binary, known_doc binary, known_pos binary, "
+    "rows binary, orders binary"
 )
+FOUND = "bucket int, rows binary, counts binary, places binary"
 PLACES = "row_id long, places array<int>"
 
 
@@ -94,19 +96,16 @@ class Settling:
         out = []
         for t in sorted({*send, *told}):
             new, old = send.get(t, _NONE), told.get(t, _NONE)
-            used = np.unique(np.concatenate([doc[new], doc[old]]))
-            out.append(
-                (
-                    t,
-                    h[new].tobytes(),
-                    np.searchsorted(used, doc[new]).astype(np.uint32).tobytes(),
-                    pos[new].tobytes(),
-                    np.searchsorted(used, doc[old]).astype(np.uint32).tobytes(),
-                    pos[old].tobytes(),
-                    rows[used].tobytes(),
-                    orders[used].tobytes(),
-                )
-            )
+            both = np.concatenate([new, old])
+            used = np.unique(doc[both])
+            # Two bytes do for most places.
+            wide = bool(len(used) > 0xFFFF or pos[both].max() > 0xFFFF)
+            number = np.uint32 if wide else np.uint16
+            packed = [h[new].tobytes()]
+            for part in (new, old):
+                packed.append(np.searchsorted(used, doc[part]).astype(number).tobytes())
+                packed.append(pos[part].astype(number).tobytes())
+            out.append((t, wide, *packed, rows[used].tobytes(), orders[used].tobytes()))
         return pd.DataFrame(out, columns=[c.split()[0] for c in PACKED.split(", ")])
 
 
@@ -127,38 +126,69 @@ def _unpack(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
     sent, told = [], []
     for r in pdf.itertuples(index=False):
         rows, orders = np.frombuffer(r.rows, np.int64), np.frombuffer(r.orders, np.int64)
-        doc, old = np.frombuffer(r.doc, np.uint32), np.frombuffer(r.known_doc, np.uint32)
-        sent.append((np.frombuffer(r.h, np.uint64), rows[doc], orders[doc], np.frombuffer(r.pos, np.uint32)))
-        told.append((rows[old], np.frombuffer(r.known_pos, np.uint32)))
+        number = np.uint32 if r.wide else np.uint16
+        doc, old = np.frombuffer(r.doc, number), np.frombuffer(r.known_doc, number)
+        sent.append((np.frombuffer(r.h, np.uint64), rows[doc], orders[doc], np.frombuffer(r.pos, number)))
+        told.append((rows[old], np.frombuffer(r.known_pos, number)))
     return (*(np.concatenate(x) for x in zip(*sent)), *(np.concatenate(x) for x in zip(*told)))
 
 
-def _per_row(rows: np.ndarray, pos: np.ndarray) -> pd.DataFrame:
+def _by_bucket(rows: np.ndarray, pos: np.ndarray, buckets: int) -> pd.DataFrame:
+    """Places packed by a hash of their row, so that one exchange brings those of a row together."""
+    to = (mix(rows.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    at = np.lexsort((pos, rows, to))
+    rows, pos, to = rows[at], pos[at].astype(np.int32), to[at]
+    out = []
+    for part in np.split(np.arange(len(to)), np.flatnonzero(np.diff(to)) + 1):
+        if len(part):
+            used, counts = np.unique(rows[part], return_counts=True)
+            packed = (used.tobytes(), counts.astype(np.int32).tobytes(), pos[part].tobytes())
+            out.append((int(to[part[0]]), *packed))
+    return pd.DataFrame(out, columns=["bucket", "rows", "counts", "places"])
+
+
+def _per_row(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The places of each row, in order and once each."""
+    parts = [
+        (np.repeat(np.frombuffer(r.rows, np.int64), np.frombuffer(r.counts, np.int32)), np.frombuffer(r.places, np.int32))
+        for r in pdf.itertuples(index=False)
+    ]
+    rows, pos = (np.concatenate(x) for x in zip(*parts))
     at = np.lexsort((pos, rows))
-    rows, pos = rows[at], pos[at].astype(np.int32)
+    rows, pos = rows[at], pos[at]
+    new = np.concatenate([[True], (np.diff(rows) != 0) | (np.diff(pos) != 0)])
+    rows, pos = rows[new], pos[new]
     edges = np.flatnonzero(np.diff(rows)) + 1
-    first = np.concatenate([[0], edges]) if len(rows) else _NONE
-    return pd.DataFrame({"row_id": rows[first], "places": np.split(pos, edges) if len(rows) else []})
+    first = np.concatenate([[0], edges])
+    return pd.DataFrame({"row_id": rows[first], "places": pd.Series(np.split(pos, edges), dtype=object)})
 
 
-def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
+def _repeated(buckets: int):
     """Places whose hash occurs at two places or more."""
-    h, row, _, pos, known_row, known_pos = _unpack(pdf)
-    at = np.argsort(h, kind="stable")
-    same = h[at][1:] == h[at][:-1]
-    hit = np.zeros(len(h), dtype=bool)
-    hit[at[1:][same]] = True
-    hit[at[:-1][same]] = True
-    return _per_row(np.concatenate([row[hit], known_row]), np.concatenate([pos[hit], known_pos]))
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        h, row, _, pos, known_row, known_pos = _unpack(pdf)
+        at = np.argsort(h, kind="stable")
+        same = h[at][1:] == h[at][:-1]
+        hit = np.zeros(len(h), dtype=bool)
+        hit[at[1:][same]] = True
+        hit[at[:-1][same]] = True
+        return _by_bucket(np.concatenate([row[hit], known_row]), np.concatenate([pos[hit], known_pos]), buckets)
 
-def _later(pdf: pd.DataFrame) -> pd.DataFrame:
+    return run
+
+
+def _later(buckets: int):
     """Places whose hash occurs earlier: all but the first in the order of documents, rows and positions."""
-    h, row, order, pos, known_row, known_pos = _unpack(pdf)
-    at = np.lexsort((pos, row, order, h))
-    hit = np.zeros(len(h), dtype=bool)
-    hit[at[1:][h[at][1:] == h[at][:-1]]] = True
-    return _per_row(np.concatenate([row[hit], known_row]), np.concatenate([pos[hit], known_pos]))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        h, row, order, pos, known_row, known_pos = _unpack(pdf)
+        at = np.lexsort((pos, row, order, h))
+        hit = np.zeros(len(h), dtype=bool)
+        hit[at[1:][h[at][1:] == h[at][:-1]]] = True
+        return _by_bucket(np.concatenate([row[hit], known_row]), np.concatenate([pos[hit], known_pos]), buckets)
+
+    return run
 
 
 def _anchors(window: int, targets: int):
@@ -231,17 +261,19 @@ def keep_first(docs: DataFrame, window: int = 20) -> DataFrame:
     shorter than a window keep all. An empty table gives no rows, extra columns are left out.
     """
     spark = docs.sparkSession
-    targets = 4 * parallelism(spark)
+    # Each writing task sends one row to each target, so there are no more of them than even work needs.
+    buckets = parallelism(spark)
+    targets = 2 * buckets
     rows = docs.select(
         F.monotonically_increasing_id().alias("row_id"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_order"),
         F.col("doc_id"),
         F.col("text").cast("string").alias("text"),
     )
+    order = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_order")
 
     # Exact copies: rows with the same two hashes as an earlier row.
     keys = rows.where(F.col("text").isNotNull()).select(
-        "row_id", "doc_order", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), F.col("text")).alias("k2")
+        "row_id", order, F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), F.col("text")).alias("k2")
     )
     firsts = keys.groupBy("k1", "k2").agg(
         F.min(F.struct("doc_order", "row_id")).alias("first"), F.count(F.lit(1)).alias("n")
@@ -249,15 +281,16 @@ def keep_first(docs: DataFrame, window: int = 20) -> DataFrame:
     firsts = firsts.where("n > 1").select("k1", "k2", F.col("first.row_id").alias("first_row"))
     copies = keys.join(firsts, ["k1", "k2"]).where("row_id <> first_row").select("row_id")
 
-    packed = rows.select("row_id", "doc_order", "text").mapInPandas(_anchors(window, targets), PACKED)
-    anchors = packed.groupBy("target").applyInPandas(_repeated, PLACES)
-    anchors = anchors.groupBy("row_id").agg(F.flatten(F.collect_list("places")).alias("places"))
+    packed = rows.select("row_id", order, "text").mapInPandas(_anchors(window, targets), PACKED)
+    anchors = packed.groupBy("target").applyInPandas(_repeated(buckets), FOUND)
+    anchors = anchors.groupBy("bucket").applyInPandas(_per_row, PLACES)
     anchors = anchors.join(copies, "row_id", "left_anti")
 
-    near = rows.select("row_id", "doc_order", "doc_id", "text").join(anchors, "row_id")
-    packed = near.select("row_id", "doc_order", "text", "places").mapInPandas(_windows(window, targets), PACKED)
-    later = packed.groupBy("target").applyInPandas(_later, PLACES)
-    later = later.groupBy("row_id").agg(F.flatten(F.collect_list("places")).alias("places"))
+    # Here and at the end the texts meet what is known of them by row, with the same columns: one exchange serves both.
+    near = rows.join(anchors, "row_id")
+    packed = near.select("row_id", order, "text", "places").mapInPandas(_windows(window, targets), PACKED)
+    later = packed.groupBy("target").applyInPandas(_later(buckets), FOUND)
+    later = later.groupBy("bucket").applyInPandas(_per_row, PLACES)
     gone = later.select("row_id", "places", F.lit(False).alias("is_copy")).unionByName(
         copies.select("row_id", F.lit(None).cast("array<int>").alias("places"), F.lit(True).alias("is_copy"))
     )

@@ -90,8 +90,10 @@ def inner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best, larger scores first, then smaller ids."""
-    return np.lexsort((ids, -scores))[:k]
+    """Places of the k best different ids, each at its best score; larger scores first, then smaller ids."""
+    order = np.lexsort((ids, -scores))
+    _, first = np.unique(ids[order], return_index=True)
+    return order[np.sort(first)[:k]]
 
 
 def nearest(
@@ -110,7 +112,8 @@ def nearest(
     Scores are double sums over the original values; ties go to the smaller id. Rows with a null id, and vectors that
     are null, empty, zero or hold null or non-finite values take no part, neither as query nor as candidate. A query
     is compared with vectors of its own length, and never with rows of its own id; fewer than k such rows are all
-    returned. Repeated rows count once. An empty table gives no rows; other columns are left out.
+    returned. Repeated rows count once; an id with several vectors counts once, with its best score. An empty table
+    gives no rows; other columns are left out.
     """
     spark = vectors.sparkSession
     single = vectors.schema[embedding].dataType.simpleString() == "array<float>"
@@ -152,16 +155,17 @@ def nearest(
                     )
 
     ordered = rows.mapInPandas(keyed, "d int, c int, key long, id long, is_query boolean, vector binary")
-    # The id's hash as last key lets rows of one cell, however many, be split.
-    ordered = ordered.withColumn("tie", F.xxhash64("id"))
-    ordered = ordered.repartitionByRange("d", "c", "key", "tie").sortWithinPartitions("d", "c", "key", "tie")
+    # The id's hash as last key lets rows of one cell, however many, be split; copies of a row stay together, with one
+    # that is a query first.
+    ordered = ordered.withColumn("tie", F.xxhash64("id")).repartitionByRange("d", "c", "key", "tie")
+    ordered = ordered.sortWithinPartitions("d", "c", "key", "tie", "id", "vector", F.desc("is_query"))
     along = stage(ordered.mapInPandas(_along_curve(k, window, dtype), ALONG), "ann-curves")
 
     candidates = along.where("kind = 'near'").select(
         F.col("id").alias("query_id"), F.explode(F.arrays_zip("ids", "scores")).alias("x")
     )
     candidates = candidates.select("query_id", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
-    candidates = candidates.distinct()
+    candidates = candidates.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = candidates.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     no_limit = F.lit(float("-inf"))
@@ -239,6 +243,12 @@ def _along_curve(k: int, window: int, dtype: str):
 
         def extend(of: tuple[int, int], part: pd.DataFrame) -> Iterator[tuple]:
             d, c = of
+            # Copies of a row follow each other: the first one stands for all, or they would fill windows and chunks.
+            same = (part["id"] == part["id"].shift()) & (part["vector"] == part["vector"].shift())
+            same.iloc[0] = bool(state) and state["last"] == (part["id"].iloc[0], part["vector"].iloc[0])
+            part = part[~same]
+            if not len(part):
+                return
             ids, ask = part["id"].to_numpy(), part["is_query"].to_numpy(dtype=bool)
             m = _matrix(list(part["vector"]), d, dtype)
             if not state:
@@ -247,6 +257,7 @@ def _along_curve(k: int, window: int, dtype: str):
                 ids=np.concatenate([state["ids"], ids]),
                 ask=np.concatenate([state["ask"], ask]),
                 m=np.concatenate([state["m"], m]),
+                last=(ids[-1], part["vector"].iloc[-1]),
             )
             whole = max(0, len(state["ids"]) - window)  # rows whose window is complete
             done = np.flatnonzero(state["ask"][:whole])
@@ -316,7 +327,7 @@ def _route(dtype: str, known):
 
 
 def _compare(k: int, dtype: str):
-    """A block of queries against a chunk: each query's best k that reach its limit."""
+    """A block of queries against a chunk: each query's best k different ids that reach its limit."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -324,6 +335,8 @@ def _compare(k: int, dtype: str):
                 q = _matrix([r.vectors], r.d, dtype)
                 m = _matrix([r.matrix], r.d, dtype)
                 asked, members = np.asarray(r.query_ids), np.asarray(r.members)
+                by_id = np.argsort(members, kind="stable")
+                members, m = members[by_id], m[by_id]
                 limits = np.asarray(r.limits, dtype=np.float64)
                 limits = limits - 1e-9 * (1 + np.abs(limits))  # room for the rounding of the block product
                 out = []
@@ -332,7 +345,9 @@ def _compare(k: int, dtype: str):
                     for i, row in enumerate(scores, at):
                         hit = np.flatnonzero((row >= limits[i]) & (members != asked[i]))
                         if len(hit) > k:
-                            kth = np.partition(row[hit], len(hit) - k)[len(hit) - k]
+                            own = members[hit]
+                            each = np.maximum.reduceat(row[hit], np.flatnonzero(np.append(True, own[1:] != own[:-1])))
+                            kth = np.partition(each, max(0, len(each) - k))[max(0, len(each) - k)]
                             hit = hit[row[hit] >= kth - 1e-9 * (1 + abs(kth))]
                         if len(hit):
                             exact = inner(m[hit], np.broadcast_to(q[i], (len(hit), q.shape[1])))

@@ -161,6 +161,24 @@ def test_neighbours(spark):
     assert ann.nearest(vectors.limit(0), F.lit(True)).collect() == []
 
 
+def test_neighbours_of_repeated_rows(spark):
+    draw = np.random.default_rng(3)
+    m = draw.standard_normal((400, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(m)]
+    rows = rows * 2 + [(17, m[17].tolist())] * 50 + [(5, (m[5] + j).tolist()) for j in range(1, 40)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in ann.nearest(vectors, F.col("vec_id") % 10 == 7, k=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert sorted(got) == list(range(7, 400, 10))
+    for q, found in got.items():
+        best = {}
+        for i, v in rows:
+            if i != q:
+                best[i] = max(best.get(i, -np.inf), float(np.dot(v, m[q])))
+        assert found == sorted(best, key=lambda i: (-best[i], i))[:20]
+
+
 def test_toxicity(odd, none, spark):
     labels = spark.createDataFrame([(1, 0, 0), (None, 1, 1), (6, None, None)], "doc_id long, quality int, toxic int")
     model = toxicity.learn(odd, labels)

@@ -1,8 +1,8 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 Each source's documents stand in a random but fixed order, cut into blocks of about `block_words` words. The target of
-a source says how often its block list is gone through: whole passes, then a last one that ends inside a block. The
-blocks so drawn are the source's quota. A binary tree over the output shards splits the quotas of all sources at once:
+a source says how often its block list is gone through: whole passes, then a last one that takes single documents up
+to the words still missing, whatever their blocks. The blocks so met are the source's quota. A binary tree over the output shards splits the quotas of all sources at once:
 at every node the left half gets its share of the blocks, drawn without replacement, so every shard has nearly the
 same number of blocks and quotas are met exactly. A shard then takes its own, disjoint stretch of each source's
 permuted blocks and shuffles it locally.
@@ -25,6 +25,8 @@ from parcelspark.session import stage
 
 BUCKET_ROWS = 4096  # rows of a source that one running sum covers
 SOURCE_CAP = 3.0  # a source gives at most this multiple of its own size
+ROUNDS = 8  # times that the last pass may skip a document and go on in the order
+LEAVE_WORDS = 1024  # missing words that are left to the choice among the documents around the end
 
 
 @dataclass
@@ -114,20 +116,33 @@ def mix(
     sources.sort(key=lambda s: (s.name is None, (s.name or "").encode()))
     targets(sources, [weight_cycle[i % len(weight_cycle)] for i in range(len(sources))], share)
 
-    plan, quotas = [], []
+    plan = []
     for i, s in enumerate(sources):
         blocks = max(1, math.ceil(s.words / block_words))
         full = int(s.target // s.words) if s.words else 0
         rest = s.target - full * s.words
-        edge = min(blocks - 1, int(rest // block_words))  # the block in which the last pass ends
-        plan.append((i, s.name, s.words, float(s.target), blocks, full, float(rest), edge, pieces_of(s.rows)))
-        quotas.append(full * blocks + (edge + 1 if rest > 0 else 0))
-    per_shard = split_quotas(np.array(quotas, dtype=np.int64), shards, seed)
-
+        plan.append((i, s.name, s.words, float(s.target), blocks, full, float(rest), pieces_of(s.rows)))
     table = spark.createDataFrame(
         plan,
-        "s int, name string, source_size long, target double, blocks long, full int, rest double, edge long, buckets long",
+        "s int, name string, source_size long, target double, blocks long, full int, rest double, buckets long",
+    )
+
+    # Running words in the random order.
+    known = rows.join(table, rows["source"].eqNullSafe(table["name"])).drop("name")
+    known = known.withColumn(
+        "_bucket", F.expr("bigint(least(buckets - 1, floor((_order / 18446744073709551616D + 0.5D) * buckets)))")
     )
+    placed = running_words(known, "_end", ["_order", "doc_id", "size", "row_id"])
+    middle = F.col("_end") - F.col("size") / 2
+    placed = placed.withColumn("block", F.least(F.col("blocks") - 1, F.floor(middle / block_words).cast("long")))
+    placed = stage(placed, "mix-placed")
+
+    # The documents of the last pass, and from them the blocks that it meets.
+    placed = last_pass(placed)
+    met = {r["s"]: r["last"] + 1 for r in placed.where("_last").groupBy("s").agg(F.max("block").alias("last")).collect()}
+    quotas = [full * blocks + met.get(i, 0) for i, _, _, _, blocks, full, _, _ in plan]
+    per_shard = split_quotas(np.array(quotas, dtype=np.int64), shards, seed)
+
     # Where a shard's stretch of a source's permuted blocks begins, and how the permutation is undone.
     begins = np.cumsum(per_shard, axis=0) - per_shard
     stretches, draw = [], np.random.default_rng([seed, 1])
@@ -147,27 +162,7 @@ def mix(
         .agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("units"))
     )
 
-    # Running words in the random order: sums per bucket of the order, then inside the bucket.
-    known = rows.join(table, rows["source"].eqNullSafe(table["name"])).drop("name")
-    known = known.withColumn(
-        "_bucket", F.expr("bigint(least(buckets - 1, floor((_order / 18446744073709551616D + 0.5D) * buckets)))")
-    )
-    sums = known.groupBy("s", "_bucket").agg(F.sum("size").alias("_words"))
-    earlier = Window.partitionBy("s").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("s", "_bucket", F.coalesce(F.sum("_words").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("s", "_bucket").orderBy("_order", "doc_id", "size", "row_id")
-    middle = F.col("_before") + F.sum("size").over(inside) - F.col("size") / 2
-    placed = known.join(offsets, ["s", "_bucket"]).withColumn("_middle", middle)
-    placed = placed.withColumn("block", F.expr(f"least(blocks - 1, bigint(floor(_middle / {block_words})))"))
-    placed = stage(placed.drop("_before", "_middle", "_bucket", "buckets"), "mix-placed")
-
-    # The last pass takes the blocks before the edge whole; in the edge block, whose words are bounded, it fills up.
-    before = placed.groupBy("s").agg(F.sum(F.when(F.col("block") < F.col("edge"), F.col("size"))).alias("_whole"))
-    edge = placed.where("block = edge and rest > 0 and size > 0").select("s", "row_id", "_order", "size", "rest")
-    filled = edge.join(before, "s").groupBy("s").applyInPandas(fill_up, "row_id long, _filled boolean")
-    placed = placed.join(filled, "row_id", "left")
-    in_last = (F.col("block") < F.col("edge")) | F.coalesce(F.col("_filled"), F.lit(False))
-    taken = F.filter(F.col("units"), lambda u: (u["pass"] < F.col("full")) | in_last)
+    taken = F.filter(F.col("units"), lambda u: (u["pass"] < F.col("full")) | F.col("_last"))
     draws = F.transform(
         taken,
         lambda u: F.struct(
@@ -182,19 +177,103 @@ def mix(
     )
 
 
+def running_words(rows: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """`rows` with the running sum of `size` within each `s`: sums per bucket of the order, then inside the bucket."""
+    sums = rows.groupBy("s", "_bucket").agg(F.sum("size").alias("_words"))
+    earlier = Window.partitionBy("s").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("s", "_bucket", F.coalesce(F.sum("_words").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("s", "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(offsets, ["s", "_bucket"]).withColumn(name, F.col("_before") + F.sum("size").over(inside)).drop("_before")
+
+
+def last_pass(placed: DataFrame) -> DataFrame:
+    """`placed` with `_last`: whether the document belongs to the last, partial pass over its source.
+
+    In the order, documents are taken as long as their running words stay within the words missing. One that does not
+    fit is skipped, and the following ones that are small enough are taken in the same way, for some rounds. If much is
+    missing still, a skipped document is taken first and the others after it. What is missing then is settled among the
+    documents of the buckets around the place reached, of whatever size. The driver holds a few stretches of the order
+    for each source.
+    """
+    spark = placed.sparkSession
+    rests = placed.where("rest > 0").groupBy("s").agg(F.first("rest").alias("rest")).collect()
+    state = walk(placed, [(r["s"], r["rest"], -1) for r in rests])
+    first = []
+    for r in rests:
+        _, left, _, skipped = state[r["s"]]
+        fits = [x for x in skipped if x["size"] <= r["rest"]]
+        if left > LEAVE_WORDS and fits:
+            first.append((r["s"], r["rest"] - fits[0]["size"], fits[0]["_end"]))
+    if first:
+        for (s, _, end), found in zip(first, walk(placed, first).values()):
+            if found[1] < state[s][1]:
+                state[s] = ([*found[0], (end - 1, end, 2**62)], *found[1:])
+
+    reached = spark.createDataFrame(
+        [(s, spans, float(left), bucket) for s, (spans, left, bucket, _) in state.items()],
+        "s int, spans array<struct<low:long,high:long,most:long>>, left double, reached long",
+    )
+    placed = placed.join(F.broadcast(reached), "s", "left")
+    taken = F.exists(
+        "spans", lambda x: (F.col("_end") > x["low"]) & (F.col("_end") <= x["high"]) & (F.col("size") <= x["most"])
+    )
+    placed = placed.withColumn("_taken", F.coalesce(taken, F.lit(False)))
+    near = placed.where("size > 0 and abs(_bucket - reached) <= 1").select("s", "row_id", "_order", "size", "left", "_taken")
+    settled = stage(near.groupBy("s").applyInPandas(fill_up, "row_id long, _settled boolean"), "mix-settled")
+    placed = placed.join(settled, "row_id", "left").withColumn("_last", F.coalesce("_settled", "_taken"))
+    return placed.drop("spans", "left", "reached", "_taken", "_settled")
+
+
+def walk(placed: DataFrame, wanted: list[tuple[int, float, int]]) -> dict[int, tuple]:
+    """Stretches of the order to take, words still missing, bucket reached and documents skipped of each source.
+
+    wanted: source, words to take, and the `_end` of a document that is left out. A stretch is what ends after `low` up
+    to `high` and has at most `most` words.
+    """
+    spark = placed.sparkSession
+    out = {s: ([], float(rest), 0, []) for s, rest, _ in wanted}
+    step = [(s, float(rest), except_, -1) for s, rest, except_ in wanted]
+    for round_ in range(ROUNDS + 1):
+        now = F.broadcast(spark.createDataFrame(step, "s int, left double, except long, after long"))
+        ends = placed.select("s", "_bucket", "buckets", "size", "_end").join(now, "s")
+        ends = ends.where("size > 0 and _end > after and _end <> except")
+        if round_ == 0:
+            ends = ends.withColumn("_run", F.col("_end"))
+        else:
+            ends = running_words(ends.where("size <= left"), "_run", ["_end"])
+        within = F.col("_run") <= F.col("left")
+        found = ends.groupBy("s", "left", "except", "after", "buckets").agg(
+            F.max(F.when(within, F.col("_run"))).alias("got"),
+            F.min(F.when(~within, F.struct("_end", "size", "_bucket"))).alias("skipped"),
+        )
+        step = []
+        for r in found.collect():
+            spans, _, _, skipped = out[r["s"]]
+            gap, left = r["skipped"], r["left"] - (r["got"] or 0)
+            spans.append((r["after"], gap["_end"] - 1 if gap else 2**62, math.floor(r["left"]) if round_ else 2**62))
+            if gap:
+                skipped.append(gap)
+                if left > LEAVE_WORDS:
+                    step.append((r["s"], left, r["except"], gap["_end"]))
+            out[r["s"]] = (spans, left, gap["_bucket"] if gap else r["buckets"] - 1, skipped)
+        if not step:
+            break
+    return out
+
+
 def fill_up(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Documents of one edge block, in their random order, that still fit; then exchanges that come nearer.
+    """More of the given documents, in their random order, that still fit; then exchanges that come nearer.
 
     An exchange takes out one chosen document or none and puts in one other or none, whichever leaves least over.
     """
     pdf = pdf.sort_values(["_order", "row_id"])
     sizes = pdf["size"].to_numpy(np.float64)
-    left = float(pdf["rest"].iloc[0]) - float(pdf["_whole"].fillna(0).iloc[0])
-    chosen = np.zeros(len(sizes), dtype=bool)
-    for i, size in enumerate(sizes):
-        if size <= left:
+    left = float(pdf["left"].iloc[0])
+    chosen = pdf["_taken"].to_numpy(dtype=bool).copy()
+    for i in np.flatnonzero(~chosen):
+        if sizes[i] <= left:
             chosen[i] = True
-            left -= size
+            left -= sizes[i]
     while True:
         # Index -1 with size 0 stands for no document.
         out = np.concatenate([[-1], np.flatnonzero(chosen)])
@@ -212,7 +291,7 @@ def fill_up(pdf: pd.DataFrame) -> pd.DataFrame:
         for i, now in ((out[at], False), (put[near[side, at]], True)):
             if i >= 0:
                 chosen[i] = now
-    return pd.DataFrame({"row_id": pdf["row_id"].to_numpy()[chosen], "_filled": True})
+    return pd.DataFrame({"row_id": pdf["row_id"].to_numpy(), "_settled": chosen})
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:

@@ -85,6 +85,29 @@ def test_mixing(odd, none):
     assert mixing.mixed_documents(odd).columns == odd.columns
 
 
+def test_mixing_with_one_long_document(spark):
+    rows = [(i, f"{500 + 37 * i % 101}", "a") for i in range(540)] + [(9999, "200000", "a")]
+    rows += [(10_000 + i, f"{300 + 53 * i % 211}", "b") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, n string, source string")
+    docs = docs.withColumn("text", F.expr("trim(repeat('w ', int(n)))")).drop("n").cache()
+    for seed in range(12):
+        got = mixing.mix(docs, share=0.9 + seed / 7, seed=seed).collect()
+        for source in "ab":
+            own = [r for r in got if r["source"] == source]
+            assert abs(sum(r["size"] * len(r["draws"]) for r in own) - own[0]["target"]) <= 200
+            assert max(len(r["draws"]) for r in own) - min(len(r["draws"]) for r in own) <= 1
+
+
+def test_mixing_skips_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
+    rows = [(i, 50 + 37 * i % 101, "a") for i in range(1500)] + [(5000 + i, 30_000, "a") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, n int, source string")
+    docs = docs.withColumn("text", F.expr("trim(repeat('w ', n))")).drop("n").cache()
+    for seed in range(4):
+        got = mixing.mix(docs, share=0.3 + seed / 7, block_words=5_000, seed=seed).collect()
+        assert abs(sum(r["size"] * len(r["draws"]) for r in got) - got[0]["target"]) <= 50
+
+
 def test_near_duplicates(odd, none):
     got = neardup.classes(odd).collect()
     assert len(got) == 13

@@ -69,6 +69,20 @@ def test_html(spark):
     assert html.extract(pages.limit(0)).collect() == []
 
 
+def test_html_without_article_element(spark):
+    follow = "<p>Follow us on all of our many channels today</p>"
+    story = " ".join(f"told{i}" for i in range(60))
+    quote = "as the old saying goes in this town of ours"
+    rows = [(1, "http://h/a", f"{follow}<div>{story}</div>"), (2, "http://h/b", f"{follow}<div>{story}</div>")]
+    rows += [(3, "http://h/c", f"{follow}<p>Ann said {quote} to Bob</p>"), (4, "http://h/d", f"{follow}<p>Eve wrote {quote} on walls</p>")]
+    rows += [(5, "http://g/a", f"<p>Monday</p><p>{story}</p>"), (6, "http://g/b", f"<p>Tuesday</p><p>{story}</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html.extract(pages).collect()} == {
+        1: story, 2: story, 3: f"Ann said {quote} to Bob", 4: f"Eve wrote {quote} on walls",
+        5: f"Monday\n{story}", 6: f"Tuesday\n{story}",
+    }
+
+
 @pytest.mark.parametrize("page", ["<" * 50_000, "<p a='" * 20_000, "</i>" * 50_000, "<b>" * 50_000 + "<p>" * 50_000, "<!" * 50_000])
 def test_html_is_linear(page):
     html.blocks(page)

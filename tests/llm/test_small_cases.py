@@ -83,6 +83,24 @@ def test_html_without_article_element(spark):
     }
 
 
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        ("<div class='layout has-sidebar no-ads with-comments'><article>a story</article></div>", ["a story"]),
+        ("<div class='social'><article>a story</article></div><p class='ad-slot'>buy</p>", ["a story"]),
+        ("<form action='/'><nav>menu</nav><main>a story</main></form>", ["a story"]),
+        ("<form action='/'><nav>menu</nav><div>a story</div></form>", ["a story"]),
+        ("<article><header class='header'><h1 class='header'>Title</h1></header>text</article>", ["Title", "text"]),
+        ("<article><section class='social-science'>text</section><div class='share-buttons'>x</div></article>", ["text"]),
+        ("<article><p title='a hidden truth'>text</p><p hidden>x</p><p style='display: none'>y</p></article>", ["text"]),
+        ("<article>text</article><div class='comments'><article>me too</article></div>", ["text"]),
+        ("<p>text</p><div class='comments'><article>me too</article></div><form>search</form>", ["text"]),
+    ],
+)
+def test_html_marks(page, expected):
+    assert [t for _, t in html.blocks(page)] == expected
+
+
 @pytest.mark.parametrize("page", ["<" * 50_000, "<p a='" * 20_000, "</i>" * 50_000, "<b>" * 50_000 + "<p>" * 50_000, "<!" * 50_000])
 def test_html_is_linear(page):
     html.blocks(page)

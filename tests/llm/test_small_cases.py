@@ -204,6 +204,12 @@ def test_pii(odd, none):
     assert pii.digest(none).collect() == []
 
 
+def test_pii_long_secret():
+    key = "".join("aB3dE6gH9k"[i * i % 10] + "QwX7z"[i % 5] for i in range(300))
+    assert pii.find_spans(f"the api key {key} ends") == [("secret", 12, 612, 0.8)]
+    assert pii.find_spans(f"an image {key} ends") == []
+
+
 def test_neighbours(spark):
     rows = [
         (1, [1.0, 0.0]), (2, [0.5, 0.0]), (3, [0.5, 0.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [float("nan"), 1.0]),

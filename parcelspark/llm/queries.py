@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelspark.llm import ann, html, mixing, neardup, packing, pii, quality, sharding, substrings, toxicity
+from parcelspark.llm import ann, html, mixing, neardup, packing, pii, quality, sharding, substrings, toxicity, windows
 from parcelspark.llm.common import table, words
 
 
@@ -101,6 +101,11 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = windows.pack(table(spark, sf_dir, "documents"), capacity=4096)
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids", "source")
+
+
 # The words of a text in SQL.
 _WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\x0C\\r]+'), lambda x: x <> '')"
 
@@ -179,4 +184,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest": op8_nearest,
     "op9_toxicity": op9_toxicity,
     "op10_substrings": op10_substrings,
+    "op13_windows": op13_windows,
 }

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelspark.llm import ann, html, mixing, neardup, packing, pii, quality, sharding, substrings, toxicity, windows
+from parcelspark.llm import (
+    ann,
+    collocations,
+    html,
+    mixing,
+    neardup,
+    packing,
+    pii,
+    quality,
+    sharding,
+    substrings,
+    toxicity,
+    whitening,
+    windows,
+)
 from parcelspark.llm.common import table, words
 
 
@@ -101,6 +115,14 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), k=16, scale=64, offset=1_000_000)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), least=30, covered_pct=80, top=2000)
+
+
 def op13_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = windows.pack(table(spark, sf_dir, "documents"), capacity=4096)
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids", "source")
@@ -171,6 +193,36 @@ kept AS (
   FROM cov GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)""",
+    "op12_collocations": """
+WITH w AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang,
+          unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[.,;:!?\\n\\x0B\\x0C\\r]')) AS piece FROM documents)),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (
+  SELECT lang, s, phrase, count(*) AS a FROM (
+    SELECT lang, s, unnest(list_transform(range(greatest(len(w) - s + 1, 0)), lambda i: array_to_string(w[i + 1 : i + s], ' '))) AS phrase
+    FROM w, (VALUES (1), (2), (3), (4)) sizes(s))
+  GROUP BY lang, s, phrase HAVING count(*) >= 30),
+cut AS (
+  SELECT lang, phrase, s, a, k, array_to_string(string_split(phrase, ' ')[1 : k], ' ') AS first,
+    array_to_string(string_split(phrase, ' ')[k + 1 : s], ' ') AS rest
+  FROM f, (VALUES (1), (2), (3)) cuts(k) WHERE k < s),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, CAST(2000000 * CAST(c.a AS HUGEINT) // (x.a + y.a) AS BIGINT) AS score
+  FROM cut c JOIN f x ON x.lang = c.lang AND x.phrase = c.first JOIN f y ON y.lang = c.lang AND y.phrase = c.rest),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, part, max(a) AS longer FROM (
+    SELECT lang, a, array_to_string(string_split(phrase, ' ')[i : i + z - 1], ' ') AS part
+    FROM f, (VALUES (2), (3)) sizes(z), (VALUES (1), (2), (3)) starts(i) WHERE z < s AND i + z - 1 <= s)
+  GROUP BY lang, part)
+SELECT t.lang, row_number() OVER (PARTITION BY t.lang ORDER BY score DESC, w.a DESC, w.phrase) AS rank,
+  w.phrase, w.a, l, r, n, score
+FROM weakest w JOIN total t ON t.lang = w.lang LEFT JOIN inside i ON i.lang = w.lang AND i.part = w.phrase
+WHERE i.longer IS NULL OR 100 * CAST(i.longer AS HUGEINT) < 80 * w.a
+QUALIFY rank <= 2000""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -184,5 +236,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest": op8_nearest,
     "op9_toxicity": op9_toxicity,
     "op10_substrings": op10_substrings,
+    "op11_whitening": op11_whitening,
+    "op12_collocations": op12_collocations,
     "op13_windows": op13_windows,
 }

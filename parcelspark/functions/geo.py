@@ -128,12 +128,12 @@ def total_bounds(parcels: DataFrame, buffer_deg: float = 0.01) -> DataFrame:
     )
 
 
-def touched_columns(rings: Column, y: Column) -> Column:
-    """Columns x of the unit cells [x, x+1) x [y, y+1) that a polygon overlaps in one row of cells.
+def touched_runs(all_edges: Column, y: Column) -> Column:
+    """Runs (low, high) of the unit cells [x, x+1) x [y, y+1) that a polygon overlaps in one row of cells.
 
     A cell counts if an edge passes through its interior or the polygon contains its centre. Edges are
-    clipped to the row, crossings of the row's middle line are paired, and both give runs of columns;
-    the cost depends on the number of edges, not of cells.
+    clipped to the row, crossings of the row's middle line are paired, and both give runs of columns, which
+    may overlap; the cost depends on the number of edges, not of cells.
     """
     top = y + 1
 
@@ -148,7 +148,6 @@ def touched_columns(rings: Column, y: Column) -> Column:
         return run(F.least(first, last), F.greatest(first, last))
 
     middle = y + 0.5
-    all_edges = F.flatten(F.transform(rings, edges))
     inside = F.filter(all_edges, lambda e: (F.least(e["y0"], e["y1"]) < top) & (F.greatest(e["y0"], e["y1"]) > y))
     crossing = F.filter(all_edges, lambda e: (e["y0"] > middle) != (e["y1"] > middle))
     xs = F.array_sort(
@@ -163,8 +162,7 @@ def touched_columns(rings: Column, y: Column) -> Column:
             (F.floor(p - 0.5) + 1).cast("long").alias("low"), (F.ceil(q - 0.5) - 1).cast("long").alias("high")
         ),
     )
-    runs = F.filter(F.concat(F.transform(inside, clipped), spans), lambda r: r["low"] <= r["high"])
-    return F.array_distinct(F.flatten(F.transform(runs, lambda r: F.sequence(r["low"], r["high"]))))
+    return F.filter(F.concat(F.transform(inside, clipped), spans), lambda r: r["low"] <= r["high"])
 
 
 def _safe(d: Column) -> Column:

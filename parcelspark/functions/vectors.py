@@ -1,14 +1,12 @@
-"""Vector expressions: inner product, norm, cosine distance, unit vectors, mean and median vectors."""
+"""Vector expressions: inner product, norm, cosine distance, unit vectors, mean vectors."""
 
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelspark.session import stage
-
 # Guards against a zero norm in the distance and in the unit vector.
 COSINE_EPS = 1e-10
 UNIT_EPS = 1e-12
@@ -42,107 +40,3 @@ def mean_vectors(df: DataFrame, keys: list[str], vec: str, out: str = "mean") ->
         .agg(Summarizer.mean(as_vector).alias("_mean"), F.count(F.lit(1)).alias("n_obs"))
         .select(*keys, vector_to_array("_mean").alias(out), "n_obs")
     )
-
-
-def median_vectors(
-    df: DataFrame,
-    keys: list[str],
-    vec: str,
-    min_count: int = 1,
-    large_group: int = 100_000,
-    out: str = "ref",
-) -> DataFrame:
-    """Exact component-wise median per key for groups with at least `min_count` vectors.
-
-    Groups up to `large_group` vectors use the built-in exact median, whose state is one entry per
-    distinct value. Larger groups would not fit one task, so they take the histogram selection.
-    """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_obs"))
-    largest = sizes.agg(F.max("n_obs")).first()[0] or 0
-    if largest <= large_group:
-        parts = _median_builtin(df, keys, vec, min_count)
-    else:
-        wanted = stage(sizes.where(F.col("n_obs") >= min_count), "group-sizes")
-        small = wanted.where(F.col("n_obs") <= large_group).select(*keys)
-        large = wanted.where(F.col("n_obs") > large_group)
-        parts = _median_builtin(df.join(small, keys, "left_semi"), keys, vec, min_count).unionByName(
-            _median_by_histogram(df, large, keys, vec)
-        )
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "value")))
-    return parts.groupBy(*keys).agg(
-        F.transform(ordered, lambda e: e["value"]).alias(out), F.max("n_obs").alias("n_obs")
-    )
-
-
-def _median_builtin(df: DataFrame, keys: list[str], vec: str, min_count: int) -> DataFrame:
-    return (
-        df.select(*keys, F.posexplode(vec).alias("pos", "v"))
-        .groupBy(*keys, "pos")
-        .agg(F.median(F.col("v").cast("double")).alias("value"), F.count(F.lit(1)).alias("n_obs"))
-        .where(F.col("n_obs") >= min_count)
-    )
-
-
-def _bucket(v: Column) -> Column:
-    """A non-decreasing integer function of the value: 64 buckets per power of two, either sign."""
-    size = F.floor(F.log2(F.abs(v)) * 64) + 100_000
-    return F.when(v == 0, F.lit(0)).otherwise(F.signum(v) * size).cast("int")
-
-
-def _median_by_histogram(df: DataFrame, groups: DataFrame, keys: list[str], vec: str) -> DataFrame:
-    """Exact medians of large groups in two passes.
-
-    Pass one counts values per bucket (combined on the map side) and finds the bucket holding the
-    two middle ranks. Pass two keeps only the elements of those buckets, about one percent of the
-    data, counts equal values and picks the ranks exactly.
-    """
-    values = df.join(groups, keys).withColumn(
-        "_v", F.transform(F.col(vec), lambda x: x.cast("double"))
-    )
-    buckets = values.select(*keys, F.posexplode(F.transform("_v", _bucket)).alias("pos", "bucket"))
-    histogram = buckets.groupBy(*keys, "pos", "bucket").agg(F.count(F.lit(1)).alias("c"))
-    component = Window.partitionBy(*keys, "pos")
-    running = component.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    placed = histogram.select(
-        "*", F.sum("c").over(running).alias("upto"), F.sum("c").over(component).alias("n_obs")
-    )
-    low, high = F.floor((F.col("n_obs") - 1) / 2), F.floor(F.col("n_obs") / 2)
-    start = F.col("upto") - F.col("c")
-    holds = ((start <= low) & (low < F.col("upto"))) | ((start <= high) & (high < F.col("upto")))
-    targets = stage(
-        placed.where(holds).select(
-            *keys, "pos", "bucket", (low - start).alias("low_rank"), (high - start).alias("high_rank"), "n_obs"
-        ),
-        "median-buckets",
-    )
-    per_group = (
-        targets.groupBy(*keys, "pos")
-        .agg(F.array_agg("bucket").alias("buckets"))
-        .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct("pos", "buckets"))).alias("_by_pos"))
-        .select(*keys, F.transform(F.array_sort(F.map_entries("_by_pos")), lambda e: e["value"]).alias("_wanted"))
-    )
-    elements = F.transform(
-        F.col("_v"), lambda x, i: F.struct(i.alias("pos"), x.alias("value"), _bucket(x).alias("bucket"))
-    )
-    inside = F.filter(elements, lambda e: F.array_contains(F.get(F.col("_wanted"), e["pos"]), e["bucket"]))
-    counted = (
-        values.drop("n_obs")
-        .join(per_group, keys)
-        .select(*keys, F.inline(inside))
-        .groupBy(*keys, "pos", "bucket", "value")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    in_bucket = Window.partitionBy(*keys, "pos", "bucket").orderBy("value")
-    ranked = counted.withColumn("upto", F.sum("c").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)))
-    before = F.col("upto") - F.col("c")
-
-    def at(rank: str) -> Column:
-        hit = (before <= F.col(rank)) & (F.col(rank) < F.col("upto"))
-        return F.max(F.when(hit, F.col("value")))
-
-    return (
-        ranked.join(targets, [*keys, "pos", "bucket"])
-        .groupBy(*keys, "pos")
-        .agg(((at("low_rank") + at("high_rank")) / 2).alias("value"), F.max("n_obs").alias("n_obs"))
-    )

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelspark.functions.geo import chip_bounds
-from parcelspark.operators.scenes import best_per_date, ground_cell, least_cloudy, over_cells
+from parcelspark.operators.ground import shown_points
+from parcelspark.operators.scenes import best_per_date, least_cloudy
+from parcelspark.session import lookup_join, stage
+
+WINDOWS_PER_CUT = 128  # windows of one list; a piece has at most a tile's pixels
 
 PREVIEW_BANDS = ("B04", "B03", "B02")
 
@@ -23,21 +28,14 @@ def chip_plan(parcels: DataFrame, scenes: DataFrame) -> DataFrame:
     return parcels.select("parcel_id", F.explode(dates).alias("_s")).select("parcel_id", "_s.scene_id", "_s.scene_date")
 
 
-def covered_plan(parcels: DataFrame, scenes: DataFrame, cell_deg: float = 0.5) -> DataFrame:
+def covered_plan(parcels: DataFrame, scenes: DataFrame, **cells) -> DataFrame:
     """Every parcel on every date with a scene that shows its centre: (parcel_id, scene_id, scene_date).
 
-    Parcels and scenes meet by equality on a ground cell; the exact footprint decides, and of several scenes of a date
-    the least cloudy one is taken. Parcels without a centre, and those no scene shows, have no row.
+    The footprint of a scene decides, where there is one, else its bounding box; of several scenes of a date the least
+    cloudy one is taken. Parcels without a centre, and those no scene shows, have no row.
     """
-    lon, lat = F.col("centroid_lon"), F.col("centroid_lat")
-    x, y = ground_cell(lon, lat, cell_deg)
-    placed = parcels.where(lon.isNotNull() & lat.isNotNull()).select(
-        "parcel_id", lon.alias("_lon"), lat.alias("_lat"), x.alias("cell_x"), y.alias("cell_y")
-    )
-    shown = over_cells(scenes.select("scene_id", "scene_date", "cloud_cover", "bbox"), cell_deg)
-    b = F.col("bbox")
-    inside = F.col("_lon").between(b[0], b[2]) & F.col("_lat").between(b[1], b[3])
-    met = placed.join(shown, ["cell_x", "cell_y"]).where(inside)
+    known = [c for c in ("scene_id", "scene_date", "cloud_cover", "bbox", "footprint") if c in scenes.columns]
+    met = shown_points(parcels, "parcel_id", "centroid_lon", "centroid_lat", scenes.select(*known), **cells)
     met = met.select("parcel_id", "scene_id", "scene_date", "cloud_cover")
     return least_cloudy(met, "parcel_id", "scene_date").select("parcel_id", "scene_id", "scene_date")
 
@@ -128,61 +126,124 @@ def bilinear(canvas: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarr
     return top * (1 - fy) + low * fy
 
 
-def extract_chips(
-    windowed: DataFrame,
-    tiles: DataFrame,
-    bands: list[str],
-    band_res: dict[str, float],
-    tile_px: int = 256,
-    size_px: int = 224,
-    gsd: float = 10.0,
+EDGES = ("west", "south", "east", "north")
+
+
+def wanted_tiles(
+    windowed: DataFrame, bands: list[str], band_res: dict[str, float], tile_px: int, per_cut: int
 ) -> DataFrame:
-    """Cut chips out of raster tiles and resample them to `size_px` by bilinear interpolation.
+    """(scene_id, band, res, tx, ty, salt, windows): the windows that want a tile, in lists of about `per_cut`.
 
-    `tiles` has (scene_id, band, tx, ty, res, pixels): square tiles of `tile_px` pixels, row by row from
-    the north, where tile (tx, ty) spans [tx, tx+1) x [ty, ty+1) in units of tile_px * res. Windows
-    meet tiles by equality on the tile number; each task cuts its tile down to the window before
-    anything is shuffled. A chip with a band that no tile covers has null pixels.
+    Tiles that more windows want have several salts, by their measured number, so a tile that nearly all windows
+    want is spread over as many tasks as its windows fill lists.
     """
     wanted = F.array(*[F.struct(F.lit(b).alias("band"), F.lit(float(band_res[b])).alias("res")) for b in bands])
-    side = F.col("res") * tile_px
-    margin = F.col("res")
+    side, margin = F.col("res") * tile_px, F.col("res")
     span = lambda low, high: F.sequence(
         F.floor((low - margin) / side).cast("int"), F.floor((high + margin) / side).cast("int")
     )
     requests = (
-        windowed.select("parcel_id", "scene_id", "west", "south", "east", "north", F.inline(wanted))
+        windowed.select("parcel_id", "scene_id", *EDGES, F.inline(wanted))
         .withColumn("tx", F.explode(span(F.col("west"), F.col("east"))))
         .withColumn("ty", F.explode(span(F.col("south"), F.col("north"))))
     )
-    hits = requests.join(tiles.select("scene_id", "band", "tx", "ty", "pixels"), ["scene_id", "band", "tx", "ty"])
+    tile = ["scene_id", "band", "tx", "ty"]
+    crowded = requests.groupBy(*tile).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > per_cut)
+    crowded = stage(crowded.select(*tile, F.ceil(F.col("_n") / per_cut).cast("int").alias("_salts")), "crowded-tiles")
+    salted = lookup_join(requests, crowded, tile, 128 * crowded.count(), ["parcel_id", *EDGES])
+    salt = F.pmod(F.xxhash64("parcel_id", *EDGES), F.coalesce("_salts", F.lit(1))).cast("int")
+    return salted.groupBy(*tile, "res", salt.alias("salt")).agg(
+        F.collect_list(F.struct("parcel_id", *EDGES)).alias("windows")
+    )
 
-    def frame(r) -> tuple[float, float, float, float]:
-        """Window edges in global pixel units; rows count southwards."""
-        return r.west / r.res, r.east / r.res, -r.north / r.res, -r.south / r.res
 
-    def cut(batches):
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                left, right, top, bottom = frame(r)
-                x0, y0 = r.tx * tile_px, -(r.ty + 1) * tile_px
-                c0, c1 = max(int(np.floor(left)) - 1, x0), min(int(np.ceil(right)) + 1, x0 + tile_px)
-                r0, r1 = max(int(np.floor(top)) - 1, y0), min(int(np.ceil(bottom)) + 1, y0 + tile_px)
-                if c0 < c1 and r0 < r1:
-                    tile = np.asarray(r.pixels).reshape(tile_px, tile_px)
-                    piece = tile[r0 - y0 : r1 - y0, c0 - x0 : c1 - x0]
-                    out.append((r.parcel_id, r.scene_id, r.band, r.res, r.west, r.south, r.east, r.north, r0, c0, *piece.shape, piece.ravel()))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in piece_schema.split(", ")])
-
-    types = dict(hits.dtypes)
-    piece_schema = (
+def cut_pieces(pixels: np.ndarray, west, south, east, north, res: float, tx: int, ty: int, tile_px: int):
+    """Cut all windows (arrays of edges) out of one tile at once: (window, row0, col0, height, width, values in a row)."""
+    x0, y0 = tx * tile_px, -(ty + 1) * tile_px
+    c0 = np.maximum(np.floor(west / res).astype(np.int64) - 1, x0)
+    c1 = np.minimum(np.ceil(east / res).astype(np.int64) + 1, x0 + tile_px)
+    r0 = np.maximum(np.floor(-north / res).astype(np.int64) - 1, y0)
+    r1 = np.minimum(np.ceil(-south / res).astype(np.int64) + 1, y0 + tile_px)
+    met = np.flatnonzero((c0 < c1) & (r0 < r1))
+    r0, c0, height, width = r0[met], c0[met], (r1 - r0)[met], (c1 - c0)[met]
+    size = height * width
+    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    wide = np.repeat(width, size)
+    row, col = np.repeat(r0 - y0, size) + at // wide, np.repeat(c0 - x0, size) + at % wide
+    return met, r0, c0, height, width, pixels[row * tile_px + col]
+
+
+def tile_jobs(
+    windowed: DataFrame, tiles: DataFrame, bands: list[str], band_res: dict[str, float], tile_px: int, per_cut: int
+) -> DataFrame:
+    """A row for each wanted tile and list of windows: the unit of work, and the only place where tiles travel."""
+    tile = ["scene_id", "band", "tx", "ty"]
+    wanted = stage(wanted_tiles(windowed, bands, band_res, tile_px, per_cut), "tile-windows")
+    salts = wanted.groupBy(*tile).agg(F.max("salt").alias("_last"))
+    asked = lookup_join(
+        tiles.select(*tile, "pixels"), salts, tile, 128 * salts.count(), ["tx", "ty"], how="inner"
+    ).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_last"))))
+    return wanted.join(asked.drop("_last"), [*tile, "salt"]).select(*tile, "res", "windows", "pixels")
+
+
+def cut_tiles(jobs: DataFrame, tile_px: int) -> DataFrame:
+    """One row per window and tile it meets: the pixels of the tile inside the window, and their place."""
+    types = {f.name: f.dataType.simpleString() for f in jobs.schema["windows"].dataType.elementType} | dict(jobs.dtypes)
+    schema = (
         f"parcel_id {types['parcel_id']}, scene_id {types['scene_id']}, band string, res double, west double, "
         "south double, east double, north double, row0 long, col0 long, height int, width int, part array<int>"
     )
-    pieces = hits.select(
-        "parcel_id", "scene_id", "band", "res", "west", "south", "east", "north", "tx", "ty", "pixels"
-    ).mapInPandas(cut, piece_schema)
+
+    def cut(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                head = {c: batch.column(c)[i] for c in ("scene_id", "band", "res")}
+                asked = batch.column("windows")[i].values
+                edges = [asked.field(e).to_numpy(zero_copy_only=False).astype(float) for e in EDGES]
+                pixels = batch.column("pixels")[i].values.to_numpy(zero_copy_only=False)
+                tx, ty = batch.column("tx")[i].as_py(), batch.column("ty")[i].as_py()
+                met, row0, col0, height, width, values = cut_pieces(pixels, *edges, head["res"].as_py(), tx, ty, tile_px)
+                if not len(met):
+                    continue
+                starts = np.concatenate([[0], np.cumsum(height * width)]).astype(np.int32)
+                columns = {
+                    "parcel_id": asked.field("parcel_id").take(pa.array(met)),
+                    **{c: pa.repeat(v, len(met)) for c, v in head.items()},
+                    **{e: pa.array(v[met]) for e, v in zip(EDGES, edges, strict=True)},
+                    "row0": pa.array(row0),
+                    "col0": pa.array(col0),
+                    "height": pa.array(height.astype(np.int32)),
+                    "width": pa.array(width.astype(np.int32)),
+                    "part": pa.ListArray.from_arrays(pa.array(starts), pa.array(values.astype(np.int32))),
+                }
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return jobs.mapInArrow(cut, schema)
+
+
+def extract_chips(
+    windowed: DataFrame,
+    tiles: DataFrame,
+    bands: list[str],
+    band_res: dict[str, float],
+    tile_px: int = 256,
+    size_px: int = 224,
+    gsd: float = 10.0,
+    per_cut: int = WINDOWS_PER_CUT,
+) -> DataFrame:
+    """Cut chips out of raster tiles and resample them to `size_px` by bilinear interpolation.
+
+    `tiles` has (scene_id, band, tx, ty, pixels): square tiles of `tile_px` pixels, row by row from
+    the north, where tile (tx, ty) spans [tx, tx+1) x [ty, ty+1) in units of tile_px * res. A tile is read
+    once for all windows that want it, and only the pieces cut out of it are shuffled. A chip with a
+    band that no tile covers has null pixels.
+    """
+    types = dict(windowed.dtypes)
+    pieces = cut_tiles(tile_jobs(windowed, tiles, bands, band_res, tile_px, per_cut), tile_px)
+
+    def frame(r) -> tuple[float, float, float, float]:
+        """Window edges in global pixel units; rows count southwards."""
+        return r.west / r.res, r.east / r.res, -r.north / r.res, -r.south / r.res
 
     def assemble(batches):
         centres = (np.arange(size_px) + 0.5) / size_px

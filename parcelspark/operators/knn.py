@@ -1,11 +1,12 @@
 """Exact k-nearest-neighbour join.
 
-Vectors are grouped into cells around sampled pivots, which form two levels. A first pass compares every query with its own
-cell, which bounds the distance of its k-th neighbour. A second pass sends a query only to the cells
-that the triangle inequality cannot rule out, so the result is exact and distant cells are never
-compared. Inside a cell, rows travel in blocks of bounded size: a task multiplies two blocks and keeps
-the best k per query, and no pair of rows is ever written out. Copies of one vector are compared once
-and expanded afterwards, since only the k + 1 smallest ids among copies can be anybody's neighbour.
+Vectors are grouped into cells around sampled pivots, which form two levels, and packed into blocks of bounded size. A
+block compared with itself bounds the distance of each query's k-th neighbour, and the triangle inequality rules out
+the cells beyond that bound, so the result is exact and distant cells are never compared. What is routed are numbers of
+cells, not vectors: query blocks form groups that fit into a task, and every group has the open blocks streamed past
+it once. The bytes shuffled are those of the corpus times the number of groups, whatever the vectors look like. Copies
+of one vector are compared once and expanded afterwards, since only the k + 1 smallest ids among copies can be
+anybody's neighbour.
 """
 
 from __future__ import annotations
@@ -15,15 +16,17 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelspark.session import parallelism, stage
+from parcelspark.session import lookup_join, parallelism, stage
 
 EARTH_RADIUS_KM = 6371.0
 MAX_PIVOT_BYTES = 64 * 1024 * 1024
 MAX_BLOCK_BYTES = 4 * 1024 * 1024
-QUERY_BLOCKS_PER_KEY = 4
+HELD_BYTES = 128 * 1024 * 1024  # query vectors of one task
+TASK_PRODUCTS = 2**33  # multiplications that are worth a task of their own
 
 
 class CosineMetric:
@@ -178,6 +181,12 @@ def _nearest_distinct(rows, total, asked, keep, metric, max_distance, plan) -> D
         return spark.createDataFrame([], schema)
     width = rows.select(F.size("vec")).first()[0]
     block_rows = max(1, min(plan.block_rows, MAX_BLOCK_BYTES // (8 * width)))
+    n_asked = total
+    if asked is None:
+        rows = rows.withColumn("asked", F.lit(True))
+    else:
+        n_asked = asked.count()
+        rows = rows.join(asked.withColumn("asked", F.lit(True)), "rep", "left")
     if total <= plan.one_cell_rows:
         celled, pivots, cells = rows.withColumn("cell", F.lit(0)), None, {0: (total, 0.0)}
     else:
@@ -188,27 +197,39 @@ def _nearest_distinct(rows, total, asked, keep, metric, max_distance, plan) -> D
         )
         # One row per pivot, so at most max_cells rows reach the driver.
         cells = {r["cell"]: (r["n"], r["radius"]) for r in stats.collect()}
-    blocks = {cell: max(1, ceil(n / block_rows)) for cell, (n, _) in cells.items()}
-    query_rows = celled if asked is None else celled.join(asked, "rep", "left_semi")
+        pivots = pivots.with_radius(cells)
 
-    run = lambda routed, counts: _probe(
-        routed, celled.select("rep", "vec", "cell"), counts, blocks, keep, metric, max_distance, schema
-    )
-    first = run(query_rows.select("rep", "vec", "cell"), blocks)
-    if len(cells) == 1:
-        return first
-    first = stage(first, "knn-first")
-    limits = first.groupBy("query").agg(
-        F.when(F.count(F.lit(1)) >= keep, F.max("distance")).alias("limit")
-    )
-    bounded = query_rows.join(limits.withColumnRenamed("query", "rep"), "rep", "left")
-    routes = stage(_route(bounded, pivots, cells, metric, max_distance), "knn-routes")
-    spread = routes.select("rep", "vec", F.explode("cells").alias("cell"))
-    per_cell = routes.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect()
-    counts = {r["cell"]: max(1, ceil(r["count"] / block_rows)) for r in per_cell}
-    if not counts:
-        return first
-    return _best(first.unionByName(run(spread, counts)), keep)
+    blocks, n_blocks = _blocks(celled, cells, pivots, block_rows)
+    asking = stage(_limits(blocks, pivots, keep, metric, max_distance), "knn-queries")
+    groups, parts = _grid(n_asked, total, width, n_blocks, parallelism(spark))
+    return _meet(blocks, asking, n_blocks, groups, parts, keep, metric, max_distance, schema)
+
+
+def _grid(asked: int, total: int, width: int, n_blocks: int, tasks: int) -> tuple[int, int]:
+    """Groups of query blocks, and parts of the corpus that each group meets in a task of its own.
+
+    A group's vectors fit into HELD_BYTES. Queries travel once per part and the corpus once per group, so beyond that
+    the sides of the grid follow the sizes of the two tables.
+    """
+    least = max(1, ceil(8 * width * asked / HELD_BYTES))
+    tasks = max(1, min(tasks, ceil(asked * total * width / TASK_PRODUCTS)))
+    groups = min(n_blocks, max(least, round((tasks * asked / total) ** 0.5), 1))
+    return groups, max(1, min(n_blocks, ceil(tasks / groups)))
+
+
+def _blocks(celled, cells, pivots, block_rows) -> tuple[DataFrame, int]:
+    """The vectors in blocks of about `block_rows`, numbered so that blocks of neighbouring cells follow each other."""
+    order = [0] if pivots is None else [int(c) for group in pivots.groups for c in group if int(c) in cells]
+    shape, start = [], 0
+    for cell in order:
+        n = max(1, ceil(cells[cell][0] / block_rows))
+        shape.append((cell, n, start))
+        start += n
+    sizes = celled.sparkSession.createDataFrame(shape, "cell int, blocks int, start long")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    placed = celled.join(F.broadcast(sizes), "cell").withColumn("number", F.col("start") + block)  # one row per pivot
+    packed = F.array_sort(F.collect_list(F.struct("rep", "vec", F.coalesce("asked", F.lit(False)).alias("asked"))))
+    return stage(placed.groupBy("cell", "number").agg(packed.alias("rows")), "knn-blocks"), start
 
 
 class Pivots:
@@ -295,116 +316,175 @@ def _assign(rows, pivots, metric) -> DataFrame:
             if batch.num_rows:
                 cell, distance = shared.value.nearest(metric.embed(_matrix(batch.column("vec"))))
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(cell), pa.array(distance)], names=["rep", "vec", "cell", "pivot_distance"]
+                    [*batch.columns, pa.array(cell), pa.array(distance)],
+                    names=["rep", "vec", "asked", "cell", "pivot_distance"],
                 )
 
     types = dict(rows.dtypes)
-    return rows.mapInArrow(nearest_pivot, f"rep {types['rep']}, vec {types['vec']}, cell int, pivot_distance double")
+    return rows.select("rep", "vec", "asked").mapInArrow(
+        nearest_pivot, f"rep {types['rep']}, vec {types['vec']}, asked boolean, cell int, pivot_distance double"
+    )
+
 
+def _limits(blocks, pivots, keep, metric, max_distance) -> DataFrame:
+    """The asked rows of every block, an upper limit of each one's `keep`-th distance, and the cells it leaves open.
 
-def _route(bounded, pivots, cells, metric, max_distance) -> DataFrame:
-    """Cells other than its own that may hold a closer neighbour of a query."""
-    shared = bounded.sparkSession.sparkContext.broadcast(pivots.with_radius(cells))
+    The limits come from the rows of the own block. `cells` is null where there are no pivots.
+    """
+    shared = blocks.sparkSession.sparkContext.broadcast(pivots)
 
-    def admissible(batches):
+    def own_block(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            limit = batch.column("limit").to_numpy(zero_copy_only=False).astype(float)
-            limit = np.where(np.isnan(limit), np.inf, limit)
-            if max_distance is not None:
-                limit = np.minimum(limit, max_distance)
-            known = np.isfinite(limit)
-            reach = np.where(known, metric.chord(np.where(known, limit, 0.0)), np.inf)
-            row, cell = shared.value.within(metric.embed(_matrix(batch.column("vec"))), reach)
-            other = cell != batch.column("cell").to_numpy(zero_copy_only=False)[row]
-            row, cell = row[other], cell[other]
-            offsets = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            chosen = pa.ListArray.from_arrays(pa.array(offsets.astype("int32")), pa.array(cell.astype("int32")))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("rep"), batch.column("vec"), chosen], names=["rep", "vec", "cells"]
-            )
+            for i in range(batch.num_rows):
+                rows = batch.column("rows")[i].values
+                chosen = rows.filter(rows.field("asked"))
+                if not len(chosen):
+                    continue
+                queries = Queries(chosen, np.full(len(chosen), np.inf), keep, metric, max_distance)
+                queries.meet(rows)
+                queries.prune()
+                cells = None
+                if shared.value is not None:
+                    known = np.isfinite(queries.limit)
+                    reach = np.where(known, metric.chord(np.where(known, queries.limit, 0.0)), np.inf)
+                    if max_distance is not None:
+                        reach = np.minimum(reach, metric.chord(np.array([max_distance]))[0])
+                    cells = np.unique(shared.value.within(queries.embedded, reach)[1]).tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("number").slice(i, 1),
+                        _listed(chosen),
+                        pa.array([queries.limit.tolist()], pa.list_(pa.float64())),
+                        pa.array([cells], pa.list_(pa.int32())),
+                    ],
+                    names=["number", "rows", "limits", "cells"],
+                )
 
-    types = dict(bounded.dtypes)
-    return bounded.select("rep", "vec", "cell", "limit").mapInArrow(
-        admissible, f"rep {types['rep']}, vec {types['vec']}, cells array<int>"
+    types = dict(blocks.dtypes)
+    return blocks.select("number", "rows").mapInArrow(
+        own_block, f"number long, rows {types['rows']}, limits array<double>, cells array<int>"
     )
 
 
-def _probe(routed, corpus, query_blocks, corpus_blocks, keep, metric, max_distance, schema) -> DataFrame:
-    """Compare query rows with all rows of the cell they are routed to, block by block."""
-    spark = routed.sparkSession
-    wanted = [(c, n, corpus_blocks[c], ceil(n / QUERY_BLOCKS_PER_KEY)) for c, n in query_blocks.items()]
-
-    def sized(df: DataFrame) -> DataFrame:
-        names = ["query_blocks", "corpus_blocks", "groups"]
-        if len(wanted) == 1:
-            only = df if len(corpus_blocks) == 1 else df.where(F.col("cell") == wanted[0][0])
-            return only.select("*", *[F.lit(v).alias(n) for v, n in zip(wanted[0][1:], names)])
-        shape = spark.createDataFrame(wanted, "cell int, query_blocks int, corpus_blocks int, groups int")
-        return df.join(F.broadcast(shape), "cell")  # one row per pivot
-
-    part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    packed = F.array_sort(F.collect_list(F.struct("rep", "vec")))
-    left = (
-        sized(routed)
-        .withColumn("query_block", part("query_blocks"))
-        .groupBy("cell", "query_block", "corpus_blocks", "groups")
-        .agg(packed.alias("queries"))
-        .withColumn("group", F.pmod("query_block", "groups"))
-        .withColumn("block", F.explode(F.expr("sequence(0, corpus_blocks - 1)")))
-    )
-    right = (
-        sized(corpus)
-        .withColumn("block", part("corpus_blocks"))
-        .groupBy("cell", "block", "groups")
-        .agg(packed.alias("rows"))
-        .withColumn("group", F.explode(F.expr("sequence(0, groups - 1)")))
-    )
-    keys = ["cell", "block", "group"]
-    n_keys = sum(corpus_blocks[c] * groups for c, _, _, groups in wanted)
-    n = max(1, min(n_keys, parallelism(spark)))
-    pairs = left.select(*keys, "queries").repartition(n, *keys).join(
-        right.select(*keys, "rows").repartition(n, *keys), keys
+def _listed(rows: pa.StructArray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+
+
+class Queries:
+    """The queries of one block with the best matches found so far."""
+
+    def __init__(self, rows: pa.StructArray, limit: np.ndarray, keep: int, metric, max_distance: float | None) -> None:
+        self.ids, self.plain = rows.field("rep"), _matrix(rows.field("vec"))
+        self.embedded = metric.embed(self.plain)
+        self.keep, self.metric, self.max_distance = keep, metric, max_distance
+        self.limit, self.found, self.waiting = limit, [], 0
+
+    def meet(self, rows: pa.StructArray) -> None:
+        """Compare with a block of the corpus; what lies beyond a query's limit is never written down."""
+        metric, plain = self.metric, _matrix(rows.field("vec"))
+        inner = self.embedded @ metric.embed(plain).T
+        known = np.isfinite(self.limit)
+        floor = np.where(known, 1.0 - metric.chord(np.where(known, self.limit, 0.0)) ** 2 / 2.0, -2.0)
+        near = inner >= (floor - metric.slack(floor))[:, None]
+        if inner.shape[1] > self.keep and near.sum() > 2 * self.keep * len(inner):
+            kth = -np.partition(-inner, self.keep - 1, axis=1)[:, self.keep - 1]
+            near &= inner >= (kth - metric.slack(kth))[:, None]
+        q, c = np.nonzero(near)
+        exact = metric.distance(self.plain[q], plain[c], inner[q, c])
+        distance = np.round(exact, metric.digits)
+        good = distance <= self.limit[q]
+        if self.max_distance is not None:
+            good &= exact <= self.max_distance
+        if good.any():
+            q, c = q[good], c[good]
+            matches = rows.field("rep").take(pa.array(c))
+            self.found.append(
+                pa.table({"q": pa.array(q), "distance": pa.array(distance[good]), "match": matches, "exact": pa.array(exact[good])})
+            )
+            self.waiting += len(q)
+            if self.waiting > 8 * self.keep * len(self.limit):
+                self.prune()
+
+    def prune(self) -> None:
+        """Keep the best matches of each query; ties go to the smaller id."""
+        if not self.found:
+            return
+        met = pa.concat_tables(self.found)
+        met = met.take(pc.sort_indices(met, sort_keys=[("q", "ascending"), ("distance", "ascending"), ("match", "ascending")]))
+        q = met.column("q").to_numpy()
+        first = np.arange(len(q)) - np.searchsorted(q, q) < self.keep
+        met = met.filter(pa.array(first))
+        q, distance = q[first], met.column("distance").to_numpy()
+        full = np.bincount(q, minlength=len(self.limit)) >= self.keep
+        worst = np.full(len(self.limit), -np.inf)
+        np.maximum.at(worst, q, distance)
+        self.limit = np.where(full, np.minimum(self.limit, worst), self.limit)
+        self.found, self.waiting = [met], 0
+
+    def results(self) -> pa.RecordBatch | None:
+        self.prune()
+        if not self.found:
+            return None
+        met = self.found[0].combine_chunks()
+        columns = [self.ids.take(met.column("q").chunk(0)), *(met.column(n).chunk(0) for n in ("match", "distance", "exact"))]
+        return pa.RecordBatch.from_arrays(columns, names=["query", "match", "distance", "exact"]) if len(met) else None
+
+
+def _meet(blocks, asking, n_blocks, groups, parts, keep, metric, max_distance, schema) -> DataFrame:
+    """Every group of query blocks meets the blocks of the cells that any of its queries leaves open.
+
+    Only numbers of cells and groups are routed. A task holds its group's queries and streams the corpus past them, block by
+    block, in the order of the shuffle; what it has found so far shortens each query's limit.
+    """
+    group = F.floor(F.col("number") * groups / n_blocks).cast("int")
+    asking = asking.withColumn("group", F.least(group, F.lit(groups - 1)))
+    spread = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = asking.withColumn("part", spread).select(
+        (F.col("group") * parts + F.col("part")).alias("task"), F.lit(0).alias("kind"), F.lit(0).alias("cell"), "number", "rows", "limits", "cells"
     )
-
-    def compare(batches):
+    part = F.pmod("number", F.lit(parts)).cast("int")
+    if "cell" in blocks.columns and asking.where("cells is not null").take(1):
+        routes = asking.select("group", F.explode("cells").alias("cell")).distinct()
+        routes = stage(routes.groupBy("cell").agg(F.collect_list("group").alias("groups")), "knn-routes")
+        bytes_of = routes.agg(F.sum(F.size("groups") * 4 + 64)).first()[0] or 0
+        right = lookup_join(blocks, routes, ["cell"], bytes_of, ["number"], how="inner")
+        right = right.withColumn("group", F.explode("groups"))
+    else:
+        right = blocks.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    right = right.select(
+        (F.col("group") * parts + part).alias("task"), F.lit(1).alias("kind"), "cell", "number", "rows",
+        F.lit(None).cast("array<double>").alias("limits"), F.lit(None).cast("array<int>").alias("cells"),
+    )
+    dealt = left.unionByName(right).repartitionById(groups * parts, "task").sortWithinPartitions("task", "kind", "number")
+
+    def stream(batches):
+        held: list[Queries] = []
+        by_cell: dict[int, list[Queries]] = {}
+        everywhere: list[Queries] = []
+        now = None
         for batch in batches:
+            task, kind, cell = (batch.column(n).to_numpy() for n in ("task", "kind", "cell"))
             for i in range(batch.num_rows):
-                found = _block_nearest(batch.column("queries")[i], batch.column("rows")[i], keep, metric, max_distance)
-                if found is not None:
-                    yield pa.RecordBatch.from_arrays(found, names=["query", "match", "distance", "exact"])
-
-    return _best(pairs.select("queries", "rows").mapInArrow(compare, schema), keep)
-
-
-def _block_nearest(queries, rows, keep, metric, max_distance):
-    """Best `keep` rows per query of one block pair; rows arrive sorted by id."""
-    query_rows, corpus_rows = queries.values, rows.values
-    a, b = _matrix(query_rows.field("vec")), _matrix(corpus_rows.field("vec"))
-    inner = metric.embed(a) @ metric.embed(b).T
-    if inner.shape[1] > keep:
-        kth = -np.partition(-inner, keep - 1, axis=1)[:, keep - 1]
-        q, c = np.nonzero(inner >= (kth - metric.slack(kth))[:, None])
-    else:
-        q, c = np.indices(inner.shape).reshape(2, -1)
-    exact = metric.distance(a[q], b[c], inner[q, c])
-    if max_distance is not None:
-        near = exact <= max_distance
-        q, c, exact = q[near], c[near], exact[near]
-    if not len(q):
-        return None
-    distance = np.round(exact, metric.digits)
-    order = np.lexsort((c, distance, q))
-    q, c, distance, exact = q[order], c[order], distance[order], exact[order]
-    starts = np.searchsorted(q, q)
-    top = np.arange(len(q)) - starts < keep
-    take = lambda ids, index: ids.field("rep").take(pa.array(index[top]))
-    return [take(query_rows, q), take(corpus_rows, c), pa.array(distance[top]), pa.array(exact[top])]
-
-
-def _best(found: DataFrame, keep: int) -> DataFrame:
+                if task[i] != now:
+                    yield from filter(None, (q.results() for q in held))
+                    held, by_cell, everywhere, now = [], {}, [], task[i]
+                rows = batch.column("rows")[i].values
+                if kind[i] == 0:
+                    limits = np.array(batch.column("limits")[i].as_py(), dtype=float)
+                    queries = Queries(rows, limits, keep, metric, max_distance)
+                    held.append(queries)
+                    open_cells = batch.column("cells")[i].as_py()
+                    for c in open_cells or ():
+                        by_cell.setdefault(c, []).append(queries)
+                    if open_cells is None:
+                        everywhere.append(queries)
+                else:
+                    for queries in (*everywhere, *by_cell.get(int(cell[i]), ())):
+                        queries.meet(rows)
+        yield from filter(None, (q.results() for q in held))
+
+    found = dealt.mapInArrow(stream, schema)
+    if parts == 1:
+        return found
     order = Window.partitionBy("query").orderBy("distance", "match")
-    return (
-        found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= keep).drop("_n")
-    )
+    return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= keep).drop("_n")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelspark.functions.medians import median_vectors
 from parcelspark.functions.season import Season, bin_center, bin_index
-from parcelspark.functions.vectors import median_vectors
 from parcelspark.session import stage
 
 
@@ -33,7 +33,7 @@ def build_profiles(
     season: Season = Season(),
     min_parcels: int = 10,
     min_vectors: int = 2,
-    large_group: int = 100_000,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """One row per (crop, bin) with at least `min_vectors` vectors: crop_name, bin, bin_center, ref, n_obs.
 
@@ -42,12 +42,14 @@ def build_profiles(
     crops = profile_crops(parcels, min_parcels).select("crop_name")
     members = parcels.select("parcel_id", "crop_name").join(crops, "crop_name", "left_semi")
     binned = (
-        observations.select("parcel_id", bin_index(F.col("obs_date"), season).alias("bin"), "embedding")
+        observations.select("parcel_id", "obs_date", bin_index(F.col("obs_date"), season).alias("bin"), "embedding")
         .where(F.col("bin").isNotNull())
         .join(members, "parcel_id")
-        .select("crop_name", "bin", "embedding")
     )
-    medians = median_vectors(binned, ["crop_name", "bin"], "embedding", min_vectors, large_group)
+    # Parcel and date tell the vectors of a group apart.
+    medians = median_vectors(
+        binned, ["crop_name", "bin"], "embedding", min_vectors, block_rows, spread=["parcel_id", "obs_date"]
+    )
     profiles = medians.select(
         "crop_name", "bin", bin_center(F.col("bin"), season).alias("bin_center"), "ref", "n_obs"
     )

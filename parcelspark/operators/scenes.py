@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelspark.operators.ground import CELL_DEG, boxes, ground_cell
+
 # Catalogue asset names of the spectral bands.
 BAND_ALIASES = {
     "B02": "blue",
@@ -39,8 +41,12 @@ def filter_scenes(
         kept = kept.where(F.col("collection") == collection)
     if bbox is not None:
         west, south, east, north = bbox
-        b = F.col("bbox")
-        kept = kept.where((b[0] <= east) & (b[2] >= west) & (b[1] <= north) & (b[3] >= south))
+        kept = kept.where(
+            F.exists(
+                boxes(F.col("bbox")),
+                lambda b: (b["west"] <= east) & (b["east"] >= west) & (b["south"] <= north) & (b["north"] >= south),
+            )
+        )
     return kept
 
 
@@ -71,19 +77,16 @@ def best_per_date(scenes: DataFrame) -> DataFrame:
     return least_cloudy(scenes, "scene_date")
 
 
-def ground_cell(lon: Column, lat: Column, cell_deg: float) -> tuple[Column, Column]:
-    return F.floor(lon / cell_deg).cast("int"), F.floor(lat / cell_deg).cast("int")
-
-
-def over_cells(scenes: DataFrame, cell_deg: float = 0.5) -> DataFrame:
+def over_cells(scenes: DataFrame, cell_deg: float = CELL_DEG) -> DataFrame:
     """Each scene once for every ground cell (cell_x, cell_y) that its bounding box touches."""
-    b = F.col("bbox")
-    (west, south), (east, north) = ground_cell(b[0], b[1], cell_deg), ground_cell(b[2], b[3], cell_deg)
-    wide = scenes.withColumn("cell_x", F.explode(F.sequence(west, east)))
-    return wide.withColumn("cell_y", F.explode(F.sequence(south, north)))
+    b = F.col("_box")
+    (west, south), (east, north) = ground_cell(b["west"], b["south"], cell_deg), ground_cell(b["east"], b["north"], cell_deg)
+    wide = scenes.withColumn("_box", F.explode(boxes(F.col("bbox"))))
+    wide = wide.withColumn("cell_x", F.explode(F.sequence(west, east)))
+    return wide.withColumn("cell_y", F.explode(F.sequence(south, north))).drop("_box")
 
 
-def best_per_cell(scenes: DataFrame, cell_deg: float = 0.5) -> DataFrame:
+def best_per_cell(scenes: DataFrame, cell_deg: float = CELL_DEG) -> DataFrame:
     """The least cloudy scene of every ground cell and date."""
     return least_cloudy(over_cells(scenes, cell_deg), "cell_x", "cell_y", "scene_date")
 

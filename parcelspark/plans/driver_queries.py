@@ -272,7 +272,7 @@ def spatial_knn_cells(spark, sf):
 
 def crop_profiles_large(spark, sf):
     base = Base(spark, sf)
-    found = profiles.build_profiles(base.parcels, base.observations, SEASON, large_group=3)
+    found = profiles.build_profiles(base.parcels, base.observations, SEASON, block_rows=3)
     return profiles.profile_values(found).select(
         "crop_name", text("bin_center"), "n_obs", "pos", F.round("value", 6).alias("value")
     )

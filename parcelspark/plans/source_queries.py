@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelspark.plans import driver_views as views
-from parcelspark.session import staging_folder
+from parcelspark.session import stage, staging_folder
 from parcelspark.sources import files, parcels, raster, tables
 
 
@@ -66,6 +66,32 @@ def fragment_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def generated_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Features without any id, one a line, read with three sizes of splits: the ids they get, and how often."""
+    folder = _folder(spark, "unnamed")
+    place = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
+    feature = F.struct(
+        F.lit("Feature").alias("type"), F.struct("site_id", "crop_name").alias("properties"), place.alias("geometry")
+    )
+    rows = views.sites(spark, sf).select((F.col("site_id") % 3).alias("tile"), "site_id", F.to_json(feature).alias("value"))
+    for tile in range(3):
+        name, aside = f"tile{tile}", f"{folder}/_tile{tile}"
+        # One file of ordered lines a tile, as a field agency would deliver it.
+        rows.where(F.col("tile") == tile).orderBy("site_id").select("value").coalesce(1).write.text(aside)
+        files.move(spark, files.matching(spark, f"{aside}/part-*")[0], f"{folder}/{name}/{name}_fragment_0.geojsonl")
+    tiles = [f"tile{tile}" for tile in range(3)]
+    split_bytes, reads = spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+    try:
+        for size in ("4k", "50k", split_bytes):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            found = parcels.read_fragments(spark, parcels.discover_fragments(spark, folder, tiles), tiles)
+            reads.append(stage(found.select("parcel_id", F.col("attrs.site_id").cast("long").alias("site_id")), "unnamed"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split_bytes)
+    every = reads[0].unionByName(reads[1]).unionByName(reads[2])
+    return every.groupBy("parcel_id", "site_id").agg(F.count(F.lit(1)).alias("n_reads"))
+
+
 def label_csv(spark: SparkSession, sf: str) -> DataFrame:
     """A label table as CSV, codes that are no numbers included."""
     folder = _folder(spark, "labels")
@@ -102,6 +128,7 @@ def saved_thresholds(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "fragment_scan": fragment_scan,
+    "generated_ids": generated_ids,
     "label_csv": label_csv,
     "pixel_window": pixel_window,
     "upsert_files": upsert_files,
@@ -115,6 +142,8 @@ SELECTS = {
         round(lon + w / 2000.0::DOUBLE + CASE WHEN site_id % 3 = 1 THEN 0.25::DOUBLE ELSE 0 END, 6) AS centroid_lon,
         CAST(w * h AS DOUBLE) AS area_ha,
         CASE WHEN lat IS NULL THEN NULL WHEN site_id % 3 = 1 THEN 2 ELSE 1 END AS n_rings, 0 AS n_attrs FROM sites""",
+    "generated_ids": """SELECT concat('tile', CAST(site_id % 3 AS VARCHAR), '_0_',
+        CAST(row_number() OVER (PARTITION BY site_id % 3 ORDER BY site_id) - 1 AS VARCHAR)) AS parcel_id, site_id, CAST(3 AS BIGINT) AS n_reads FROM sites""",
     "label_csv": """SELECT CAST(parcel_id AS VARCHAR) AS parcel_id, TRY_CAST(code_raw AS INT) AS crop_code, crops_raw AS crop_name FROM label_source""",
     "pixel_window": "SELECT x, y, CAST(code AS INT) AS code FROM pixels WHERE x BETWEEN 10 AND 59 AND y BETWEEN 5 AND 30",
     "upsert_files": """SELECT key, site_id, CASE WHEN key IS NULL OR site_id % 5 = 0 THEN 2 WHEN site_id % 2 = 0 THEN 1 ELSE 0 END AS step FROM (

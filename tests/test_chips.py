@@ -73,6 +73,48 @@ def test_chips_across_tiles(spark):
     assert {r.outcome: r.n for r in chips.count_outcomes(chips.chip_outcome(only)).collect()} == {"skipped_error": 4}
 
 
+def crowd(spark, n):
+    """Nine of ten windows lie on the tile (0, -1), the others anywhere."""
+    rng = np.random.RandomState(4)
+    low = np.where(rng.rand(n) < 0.9, rng.uniform(1, 4, n), rng.uniform(8, 24, n))
+    rows = [(f"p{i}", float(x), -float(x) - 3.0, float(x) + 3.0, -float(x)) for i, x in enumerate(low)]
+    return low, windows(spark, rows)
+
+
+def test_windows_of_a_wanted_tile_are_spread(spark):
+    low, asked = crowd(spark, 400)
+    lists = chips.wanted_tiles(asked, ["B02"], {"B02": 1.0}, 8, per_cut=20).collect()
+    hot = [len(r.windows) for r in lists if (r.tx, r.ty) == (0, -1)]
+    assert sum(hot) >= 350 and len(hot) == -(-sum(hot) // 20) and max(hot) <= 2 * 20
+    assert max(len(r.windows) for r in lists) <= 2 * 20
+    assert {r.salt for r in chips.wanted_tiles(asked, ["B02"], {"B02": 1.0}, 8, per_cut=1000).collect()} == {0}
+
+
+def test_each_tile_is_read_once_a_list(spark):
+    _, asked = crowd(spark, 400)
+    tiles = make_tiles(spark, raster(32), "B02", 8)
+    lists = chips.wanted_tiles(asked, ["B02"], {"B02": 1.0}, 8, 50).collect()
+    jobs = chips.tile_jobs(asked, tiles, ["B02"], {"B02": 1.0}, 8, 50)
+    read = jobs.select("tx", "ty", F.size("windows").alias("n")).collect()
+    inside = [r for r in lists if 0 <= r.tx < 4 and -4 <= r.ty < 0]
+    assert sorted((r.tx, r.ty, r.n) for r in read) == sorted((r.tx, r.ty, len(r.windows)) for r in inside)
+    assert len(read) < 100 and chips.cut_tiles(jobs, 8).count() >= 400
+
+
+@pytest.mark.parametrize("per_cut", [3, 128])
+def test_lists_of_windows_change_nothing(spark, per_cut):
+    image = raster(32)
+    low, asked = crowd(spark, 60)
+    tiles = make_tiles(spark, image, "B02", 8)
+    got = chips.extract_chips(asked, tiles, ["B02"], {"B02": 1.0}, tile_px=8, size_px=3, per_cut=per_cut)
+    for r in got.collect():
+        at = low[int(r.parcel_id[1:])] + np.arange(3)
+        i, f = np.floor(at).astype(int), at - np.floor(at)
+        rows = image[i] * (1 - f)[:, None] + image[np.minimum(i + 1, 31)] * f[:, None]
+        expected = rows[:, i] * (1 - f)[None, :] + rows[:, np.minimum(i + 1, 31)] * f[None, :]
+        assert np.abs(np.array(r.pixels[0]).reshape(3, 3) - expected).max() <= 0.5
+
+
 def test_chip_windows(spark):
     plan = spark.createDataFrame([("p", "s", DAY), ("q", "s", DAY)], "parcel_id string, scene_id string, scene_date date")
     parcels = spark.createDataFrame([("p", 42.0, -93.0), ("q", None, None)], "parcel_id string, centroid_lat double, centroid_lon double")

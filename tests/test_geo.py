@@ -119,6 +119,76 @@ def test_holes_leave_cells_out(spark):
     assert cells == {(x, y) for x in range(6) for y in range(6) if x in (0, 5) or y in (0, 5)}
 
 
+def shapes_of_all_kinds():
+    """Triangles, stars, polygons with holes and islands, large ones over many blocks, and squares on block borders."""
+    rng = np.random.RandomState(21)
+    shapes = {f"t{i}": [[tuple(p) for p in rng.rand(3, 2) * 90 - 10]] for i in range(12)}
+    shapes |= {f"s{i}": [star(rng, rng.randint(3, 9), rng.rand(2) * 60, 1 + rng.rand() * 25)] for i in range(12)}
+    square = lambda a, b: [(a, a), (b, a), (b, b), (a, b)]
+    shapes["grid"] = [square(8, 40)]
+    shapes["hole"] = [square(1, 62), square(9.5, 50.25)]
+    shapes["island"] = [square(0, 64), square(4, 60), square(10, 30)]
+    shapes["below"] = [square(-30, -3.5)]
+    return shapes
+
+
+@pytest.mark.parametrize("block", [4, 16])
+def test_zonal_counts_by_squares(spark, block, monkeypatch):
+    """Whole squares from class counts and opened blocks together equal counting cell by cell."""
+    shapes = shapes_of_all_kinds()
+    parcels = spark.createDataFrame([(k, rings(*v)) for k, v in shapes.items()], RINGS)
+    cells = [(x, y, (x * 7 + y * y) % 5) for x in range(-8, 80) for y in range(-8, 80) if (x + y) % 11]
+    pixels = spark.createDataFrame(cells, "x long, y long, code int")
+    stored = raster.stage_raster(pixels, block)
+    assert stored.levels >= 2 and stored.blocks.count() < len(cells) / (block * block) * 2
+    got = {(r.parcel_id, r.code): r.n for r in zonal.zonal_counts(parcels, stored).collect()}
+    code = {(x, y): c for x, y, c in cells}
+    expected = {}
+    for r in zonal.touched_cells(parcels, block=1, levels=0).collect():
+        c = code.get((r.x, r.y))
+        if c is not None:
+            expected[r.parcel_id, c] = expected.get((r.parcel_id, c), 0) + 1
+    assert got == expected
+    covered = zonal.cover(parcels, "parcel_id", block, stored.levels)
+    assert covered.where("whole").count() > 3 and (block == 16 or covered.where("whole and level > 0").count() > 5)
+    monkeypatch.setattr(zonal, "CROWDED", 3)
+    assert {(r.parcel_id, r.code): r.n for r in zonal.zonal_counts(parcels, stored).collect()} == expected
+
+
+def test_squares_and_cells_agree(spark):
+    shapes = shapes_of_all_kinds()
+    parcels = spark.createDataFrame([(k, rings(*v)) for k, v in shapes.items()], RINGS)
+    cells = lambda block, levels: {tuple(r) for r in zonal.touched_cells(parcels, block=block, levels=levels).collect()}
+    assert cells(4, 3) == cells(16, 0) == cells(8, 5)
+
+
+def test_stored_blocks_are_not_shuffled(spark, tmp_path):
+    parcels = spark.createDataFrame([("a", rings([(1, 1), (90, 3), (40, 80)]))], RINGS)
+    pixels = spark.range(10_000).selectExpr("id % 100 AS x", "id div 100 AS y", "cast(id % 7 AS int) AS code")
+    stored = raster.write_raster(pixels, str(tmp_path / "r"), buckets=4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        counts = zonal.zonal_counts(parcels, stored)
+        counts.collect()
+        plan = counts._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    scan = plan[: plan.index("codes#")].splitlines()[-1] if "codes#" in plan else ""
+    blocks = [line for line in plan.splitlines() if "FileScan" in line and "codes" in line]
+    assert blocks and all("Bucketed: true" in line for line in blocks), scan
+    again = raster.open_raster(spark, str(tmp_path / "r"))
+    count = lambda r: {(c.code, c.n) for c in zonal.zonal_counts(parcels, r).collect()}
+    assert count(again) == count(stored)
+
+
+def test_z_order(spark):
+    df = spark.createDataFrame([(0, 0), (1, 0), (0, 1), (1, 1), (2, 0), (3, 3), (1000, 77)], "x long, y long")
+    interleaved = lambda a, b: sum((a >> i & 1) << 2 * i | (b >> i & 1) << 2 * i + 1 for i in range(24))
+    for r in df.select("x", "y", raster.z_order(F.col("x"), F.col("y")).alias("z")).collect():
+        assert r.z == interleaved(r.x, r.y)
+
+
 def test_zonal_majority_ties_and_gaps(spark):
     parcels = spark.createDataFrame(
         [("tie", rings([(0, 0), (2, 0), (2, 1), (0, 1)])), ("off", rings([(90, 90), (91, 90), (91, 91), (90, 91)])), ("odd", rings([(2, 0), (3, 0), (3, 1), (2, 1)]))],

@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from parcelspark.functions import vectors
+from parcelspark.functions import medians, vectors
 from parcelspark.session import rank_in_group
 
 
@@ -50,16 +50,62 @@ def grouped(spark):
     return data, spark.createDataFrame(rows, "k string, v array<float>")
 
 
-@pytest.mark.parametrize("large_group", [100_000, 5, 0])
-def test_median_vectors_are_exact(spark, large_group):
+@pytest.mark.parametrize("block_rows", [None, 100_000, 5, 1])
+def test_median_vectors_are_exact(spark, block_rows):
     data, df = grouped(spark)
-    got = {r.k: r for r in vectors.median_vectors(df, ["k"], "v", 2, large_group).collect()}
+    got = {r.k: r for r in medians.median_vectors(df, ["k"], "v", 2, block_rows).collect()}
     assert set(got) == {"odd", "even", "two"}
     for key, row in got.items():
         assert row.n_obs == len(data[key])
         assert row.ref == np.median(data[key].astype(float), axis=0).tolist()
 
 
+@pytest.mark.parametrize("block_rows", [None, 3])
+def test_median_vectors_of_odd_rows(spark, block_rows):
+    """Null keys, null and NaN entries, vectors of several lengths, infinities, both zeros."""
+    rows = [
+        (None, 1, [1.0, None]), (None, 2, [3.0, 5.0]), (None, 3, [2.0, float("nan")]), (None, 4, [9.0]), ("a", 5, None), ("a", 6, []),
+        ("b", 7, [float("inf"), 0.0]), ("b", 8, [float("-inf"), -0.0]), ("c", 9, [None, 4.0]), ("b", 10, [1e-310, -1.0]), ("c", 11, [None, 5.0]),
+    ]
+    df = spark.createDataFrame(rows, "k string, i int, v array<double>").withColumn("n_obs", F.lit("x"))
+    got = {r.k: (r.v_mid, r.n_obs) for r in medians.median_vectors(df, ["k"], "v", 1, block_rows, "v_mid", ["i"]).collect()}
+    assert got == {None: ([2.5, 5.0], 4), "b": ([1e-310, 0.0], 3), "c": ([None, 4.5], 2)}
+    assert medians.median_vectors(df.limit(0), ["k"], "v").collect() == []
+
+
+def test_median_of_a_large_group_narrows_in_rounds(spark, monkeypatch):
+    """Equal copies, values far apart and a middle pair in two clusters; few buckets, so many rounds are needed."""
+    rng = np.random.RandomState(9)
+    m = rng.standard_t(1, (4000, 5)).astype(np.float32)
+    m[:1500, 1] = m[0, 1]
+    m[:, 2] = np.where(np.arange(4000) < 2000, rng.rand(4000), 1e30 * (1 + rng.rand(4000)))
+    m[:, 3] = 7.0
+    monkeypatch.setattr(medians, "COUNT_BYTES", 16 * 5 * 64)
+    monkeypatch.setattr(medians, "SELECT_BYTES", 8 * 40)
+    df = spark.createDataFrame([("g", i, v.tolist()) for i, v in enumerate(m)], "k string, i int, v array<float>")
+    (row,) = medians.median_vectors(df, ["k"], "v", 2, 300, spread=["i"]).collect()
+    assert row.ref == np.median(m.astype(float), axis=0).tolist() and row.n_obs == 4000
+
+
+def test_medians_shuffle_vectors_only(spark, capsys):
+    _, df = grouped(spark)
+    medians.median_vectors(df, ["k"], "v", 2, 5).explain()
+    assert "Generate" not in capsys.readouterr().out
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.lists(st.floats(allow_nan=False), min_size=2, max_size=2), min_size=1, max_size=40), st.integers(1, 7))
+def test_search_finds_the_middle_of_any_blocks(rows, size):
+    m = np.array(rows)
+    blocks = [np.sort(medians.ordered(m[i : i + size]), axis=0) for i in range(0, len(m), size)]
+    search = medians.Search(2)
+    search.buckets = 8
+    while search.inside.any():
+        search.narrow(sum(search.count(b) for b in blocks))
+    whole = np.sort(medians.ordered(m), axis=0)
+    assert search.finish([], []).tolist() == medians.middle(whole).tolist()
+
+
 def test_mean_vectors(spark):
     data, df = grouped(spark)
     for row in vectors.mean_vectors(df, ["k"], "v").collect():

@@ -269,6 +269,19 @@ def polygon_area_m2(rings: Column) -> Column:
     return polygon_area(projected)
 
 
+def parts_of(rings: Column, part_rings: Column) -> Column:
+    """The polygons of a shape from its rings in turn and the number of rings of each; without numbers one polygon."""
+    before = lambda i: F.aggregate(F.slice(part_rings, 1, i), F.lit(0), lambda a, n: a + n)
+    several = F.transform(part_rings, lambda n, i: F.slice(rings, before(i) + 1, n))
+    return F.when(rings.isNull(), F.lit(None)).when(part_rings.isNull(), F.array(rings)).otherwise(several)
+
+
+def shape_of(df: DataFrame) -> Column:
+    """The polygons of a row with `rings` and, for shapes of several polygons, `part_rings`."""
+    numbers = F.col("part_rings") if "part_rings" in df.columns else F.lit(None).cast("array<int>")
+    return parts_of(F.col("rings"), numbers)
+
+
 def parts_area_m2(parts: Column) -> Column:
     """Square metres of a shape of several polygons, each a list of rings."""
     return F.aggregate(

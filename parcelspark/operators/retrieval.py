@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelspark.functions.geo import polygon_centroid
+from parcelspark.functions.geo import parts_centroid, shape_of
 from parcelspark.operators.profiles import profile_coverage
 from parcelspark.operators.similarity import nearest_of_all, nearest_places
 
@@ -21,11 +21,11 @@ def _by_rank(entry: F.Column) -> F.Column:
 
 
 def place(df: DataFrame) -> list[F.Column]:
-    """Latitude and longitude of a row: its centre columns, or the centroid of its polygon if one is missing."""
+    """Latitude and longitude of a row: its centre columns, or the centroid of its polygons if one is missing."""
     lat, lon = F.col("centroid_lat"), F.col("centroid_lon")
     if "rings" in df.columns:
         given = lat.isNotNull() & lon.isNotNull()
-        centre = polygon_centroid(F.col("rings"))
+        centre = parts_centroid(shape_of(df))
         lat, lon = F.when(given, lat).otherwise(centre["lat"]), F.when(given, lon).otherwise(centre["lon"])
     return [lat.alias("lat"), lon.alias("lon")]
 

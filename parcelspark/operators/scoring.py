@@ -91,6 +91,11 @@ def parcel_distances(parcels: DataFrame, matched: DataFrame, rules: ScoringRules
             F.collect_list(F.when(hit, F.struct("obs_date", F.round("distance", 4).alias("distance"))))
         ).alias("_path"),
     )
+    return summarised(parcels, per_parcel, rules)
+
+
+def summarised(parcels: DataFrame, per_parcel: DataFrame, rules: ScoringRules) -> DataFrame:
+    """Parcels with the sums of their observations: the score if there are enough, the worst date, the trajectory."""
     joined = parcels.join(per_parcel, "parcel_id", "left")
     n = F.coalesce(F.col("_n"), F.lit(0))
     scoreable = (n >= rules.min_observations) & F.coalesce(F.col("_profiled"), F.lit(False))

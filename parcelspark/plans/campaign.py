@@ -104,7 +104,7 @@ def monitor(run: Campaign, parcels: DataFrame, observations: DataFrame) -> dict[
         profiles.build_profiles(parcels, observations, run.season, run.min_parcels), run.path("profiles")
     )
     result = scoring.score_parcels(parcels, observations, found, run.season, run.rules)
-    scores = tables.write_table(result.scores.drop("attrs", "rings"), run.path("scores"))
+    scores = tables.write_table(result.scores.drop("attrs", "rings", "part_rings"), run.path("scores"))
     tables.write_json_row(result.thresholds, run.path("thresholds"))
     limits = tables.read_thresholds(parcels.sparkSession, run.path("thresholds"), run.rules.green, run.rules.red)
     if run.geojson:

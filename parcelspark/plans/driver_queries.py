@@ -386,7 +386,7 @@ def _covered(spark: SparkSession, sf: str) -> DataFrame:
     parcels = views.sites(spark, sf).select(
         F.col("site_id").alias("parcel_id"), F.col("lat").alias("centroid_lat"), F.col("lon").alias("centroid_lon")
     )
-    return chips.covered_plan(parcels, views.footprints(spark, sf))
+    return chips.covered_plan(parcels, views.slanted(spark, sf))
 
 
 def best_scene_per_cell(spark, sf):
@@ -790,7 +790,7 @@ def stream_scores(spark, sf):
     base = Base(spark, sf)
     query = intake.score_stream(
         _stream(spark, sf), stage(base.parcels, "parcels"), base.profiles(), (FIXED.green, FIXED.red),
-        f"{out}/matched", f"{out}/scores", f"{out}/progress", SEASON, FIXED,
+        f"{out}/scores", f"{out}/progress", SEASON, FIXED,
     )
     query.awaitTermination()
     return _score_columns(spark.read.parquet(f"{out}/scores"))

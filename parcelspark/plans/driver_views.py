@@ -109,6 +109,15 @@ def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scenes(spark, sf_dir).withColumn("bbox", box)
 
 
+def slanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scenes with slanted footprints inside their boxes."""
+    found = footprints(spark, sf_dir)
+    west, south = F.col("bbox")[0], F.col("bbox")[1]
+    corner = lambda x, y: F.struct((west + F.lit(x)).alias("lon"), (south + F.lit(y)).alias("lat"))
+    ring = F.array(corner(0.0, 0.0005), corner(0.3, 0.0405), corner(0.34, 0.2405), corner(0.04, 0.2005))
+    return found.withColumn("footprint", F.array(ring)).withColumn("bbox", F.array(west, south, west + F.lit(0.34), south + F.lit(0.2405)))
+
+
 def label_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw labels and codes, some codes not numeric."""
     return table(spark, sf_dir, "part").select(

@@ -295,7 +295,10 @@ SELECTS = {
            AND y BETWEEN floor(south / 0.5::DOUBLE) AND floor((south + 0.2::DOUBLE) / 0.5::DOUBLE)) t) u WHERE r = 1""",
     "chip_plan_covered": """SELECT site_id AS parcel_id, scene_id, CAST(scene_date AS VARCHAR) AS scene_date FROM (
          SELECT site_id, scene_id, scene_date, row_number() OVER (PARTITION BY site_id, scene_date ORDER BY cloud_cover, scene_id) AS r
-         FROM sites JOIN footprints ON lon BETWEEN west AND west + 0.3::DOUBLE AND lat BETWEEN south AND south + 0.2::DOUBLE) t WHERE r = 1""",
+         FROM sites JOIN footprints ON (0.3::DOUBLE - 0.0::DOUBLE) * (lat - south - 0.0005::DOUBLE) > (0.0405::DOUBLE - 0.0005::DOUBLE) * (lon - west - 0.0::DOUBLE)
+          AND (0.34::DOUBLE - 0.3::DOUBLE) * (lat - south - 0.0405::DOUBLE) > (0.2405::DOUBLE - 0.0405::DOUBLE) * (lon - west - 0.3::DOUBLE)
+          AND (0.04::DOUBLE - 0.34::DOUBLE) * (lat - south - 0.2405::DOUBLE) > (0.2005::DOUBLE - 0.2405::DOUBLE) * (lon - west - 0.34::DOUBLE)
+          AND (0.0::DOUBLE - 0.04::DOUBLE) * (lat - south - 0.2005::DOUBLE) > (0.0005::DOUBLE - 0.2005::DOUBLE) * (lon - west - 0.04::DOUBLE)) t WHERE r = 1""",
     "scene_index": """SELECT scene_id, CAST(scene_date AS VARCHAR) AS scene_date, cloud_cover, '2024-01-05' AS queried_from, '2024-01-25' AS queried_to
         FROM footprints WHERE scene_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-25' AND cloud_cover < 20
          AND west <= -93.25::DOUBLE AND west + 0.3::DOUBLE >= -93.55::DOUBLE AND south <= 41.45::DOUBLE AND south + 0.2::DOUBLE >= 41.25::DOUBLE""",

@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelspark.functions.geo import parts_centroid
 from parcelspark.plans import driver_views as views
 from parcelspark.session import stage, staging_folder
-from parcelspark.sources import files, parcels, raster, tables
+from parcelspark.sources import archives, files, parcels, raster, tables
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -107,6 +108,65 @@ def pixel_window(spark: SparkSession, sf: str) -> DataFrame:
     return raster.read_pixels(spark, folder, (10, 5, 59, 30)).select("x", "y", "code")
 
 
+def _observations(spark: SparkSession, sf: str) -> DataFrame:
+    return views.observations(views.labelled_observations(spark, sf)).where(F.col("parcel_id").isNotNull())
+
+
+def embedding_archive(spark: SparkSession, sf: str) -> DataFrame:
+    """Dated vectors written as a tree of numpy files and read back."""
+    folder = _folder(spark, "vectors")
+    archives.write_embedding_archive(_observations(spark, sf), folder)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double"))
+    return archives.read_embedding_archive(spark, folder).select(
+        "parcel_id", F.col("obs_date").cast("string").alias("obs_date"), F.size("embedding").alias("width"),
+        F.get("embedding", F.lit(7)).cast("double").alias("eighth"), F.round(total, 4).alias("total"),
+    )
+
+
+def chip_archive(spark: SparkSession, sf: str) -> DataFrame:
+    """Chips of four bands written as a tree of compressed numpy files and read back; one file is broken."""
+    folder = _folder(spark, "chips")
+    level = F.transform("embedding", lambda v: F.abs(F.floor(v.cast("double") * 1000)).cast("int"))
+    band = lambda i: F.slice(level, 1 + 16 * i, 16)
+    chips = _observations(spark, sf).select(
+        "parcel_id", "obs_date", F.lit(42.0).alias("lat"), F.lit(-93.5).alias("lon"), F.lit(10.0).alias("gsd"),
+        F.array(*[F.lit(b) for b in ("B02", "B03", "B04", "B08")]).alias("bands"),
+        F.array(*[band(i) for i in range(4)]).alias("pixels"), F.lit(4).alias("height"), F.lit(4).alias("width"),
+    )
+    archives.write_chip_archive(chips, folder)
+    found = archives.read_chip_archive(spark, folder)
+    return found.select(
+        "parcel_id", F.col("obs_date").cast("string").alias("obs_date"), "lat", "lon", "gsd", "height", "width",
+        F.array_join("bands", ",").alias("bands"), F.posexplode("pixels").alias("band", "values"),
+    ).withColumn("values", F.concat_ws(",", F.col("values").cast("array<string>")))
+
+
+def scores_geojson(spark: SparkSession, sf: str) -> DataFrame:
+    """Parcels of one or two polygons exported as features, and areas and centres of what is read back."""
+    folder = _folder(spark, "export")
+    sites = views.sites(spark, sf).where(F.col("lat").isNotNull())
+    corner = lambda x, y: F.struct(x.cast("double").alias("lon"), y.cast("double").alias("lat"))
+    ring = lambda x, y, w, h: F.array(corner(x, y), corner(x + w, y), corner(x + w, y + h), corner(x, y + h), corner(x, y))
+    first = ring(F.col("x0"), F.col("y0"), F.col("w"), F.col("h"))
+    second = ring(F.col("x0") + 100, F.col("y0"), F.lit(1), F.lit(1))
+    two = F.col("site_id") % 2 == 0
+    shaped = sites.select(
+        F.concat(F.lit("p"), "site_id").alias("parcel_id"), "crop_name",
+        F.when(two, F.array(first, second)).otherwise(F.array(first)).alias("rings"),
+        F.when(two, F.array(F.lit(1), F.lit(1))).otherwise(F.array(F.lit(1))).alias("part_rings"),
+    )
+    scores = shaped.select("parcel_id", "crop_name")
+    tables.write_geojson(tables.attach_geometry(scores, shaped), folder)
+    read = spark.read.schema(parcels.FEATURE_SCHEMA).json(folder)
+    parts = parcels.shape_parts(F.col("geometry"))
+    centre = parts_centroid(parts)
+    return read.select(
+        F.col("properties.parcel_id").alias("parcel_id"), F.col("properties.crop_name").alias("crop_name"),
+        F.col("geometry.type").alias("kind"), F.size(parts).alias("n_parts"), F.round(centre["area"], 6).alias("area"),
+        F.round(centre["lon"], 6).alias("lon"), F.round(centre["lat"], 6).alias("lat"),
+    )
+
+
 def upsert_files(spark: SparkSession, sf: str) -> DataFrame:
     """A table in parts after three upserts; null keys count as equal."""
     folder = _folder(spark, "upserts")
@@ -131,6 +191,9 @@ QUERIES = {
     "generated_ids": generated_ids,
     "label_csv": label_csv,
     "pixel_window": pixel_window,
+    "embedding_archive": embedding_archive,
+    "chip_archive": chip_archive,
+    "scores_geojson": scores_geojson,
     "upsert_files": upsert_files,
     "saved_thresholds": saved_thresholds,
 }
@@ -146,6 +209,16 @@ SELECTS = {
         CAST(row_number() OVER (PARTITION BY site_id % 3 ORDER BY site_id) - 1 AS VARCHAR)) AS parcel_id, site_id, CAST(3 AS BIGINT) AS n_reads FROM sites""",
     "label_csv": """SELECT CAST(parcel_id AS VARCHAR) AS parcel_id, TRY_CAST(code_raw AS INT) AS crop_code, crops_raw AS crop_name FROM label_source""",
     "pixel_window": "SELECT x, y, CAST(code AS INT) AS code FROM pixels WHERE x BETWEEN 10 AND 59 AND y BETWEEN 5 AND 30",
+    "embedding_archive": """SELECT parcel_id, CAST(obs_date AS VARCHAR) AS obs_date, CAST(len(embedding) AS INT) AS width,
+        CAST(embedding[8] AS DOUBLE) AS eighth, round(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE))), 4) AS total FROM obs""",
+    "chip_archive": """SELECT parcel_id, CAST(obs_date AS VARCHAR) AS obs_date, 42.0::DOUBLE AS lat, -93.5::DOUBLE AS lon, 10.0::DOUBLE AS gsd,
+        4 AS height, 4 AS width, 'B02,B03,B04,B08' AS bands, CAST(band AS INT) AS band,
+        array_to_string(list_transform(embedding[band * 16 + 1 : band * 16 + 16], lambda v: CAST(abs(floor(CAST(v AS DOUBLE) * 1000)) AS BIGINT)), ',') AS values
+        FROM obs, (VALUES (0), (1), (2), (3)) b(band)""",
+    "scores_geojson": """SELECT concat('p', CAST(site_id AS VARCHAR)) AS parcel_id, crop_name, CASE WHEN site_id % 2 = 0 THEN 'MultiPolygon' ELSE 'Polygon' END AS kind,
+        CASE WHEN site_id % 2 = 0 THEN 2 ELSE 1 END AS n_parts, CAST(w * h + (1 - site_id % 2) AS DOUBLE) AS area,
+        round((w * h * (x0 + w / 2.0::DOUBLE) + (1 - site_id % 2) * (x0 + 100.5::DOUBLE)) / (w * h + (1 - site_id % 2)), 6) AS lon,
+        round((w * h * (y0 + h / 2.0::DOUBLE) + (1 - site_id % 2) * (y0 + 0.5::DOUBLE)) / (w * h + (1 - site_id % 2)), 6) AS lat FROM sites WHERE lat IS NOT NULL""",
     "upsert_files": """SELECT key, site_id, CASE WHEN key IS NULL OR site_id % 5 = 0 THEN 2 WHEN site_id % 2 = 0 THEN 1 ELSE 0 END AS step FROM (
          SELECT key, max(site_id) AS site_id FROM (SELECT CASE WHEN site_id % 10 <> 0 THEN site_id END AS key, site_id FROM sites) t GROUP BY key) u""",
     "saved_thresholds": "SELECT 'adaptive' AS method, round(count(lat) / CAST(count(*) AS DOUBLE), 4) AS green, 0.25::DOUBLE AS red FROM sites",

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import io
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 CHIP_SCHEMA = (
     "parcel_id string, obs_date date, lat double, lon double, gsd double, bands array<string>, "
@@ -22,6 +28,7 @@ def _files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", f"*.{suffix}")
         .load(folder)
+        .where(~F.contains(F.col("path"), F.lit("/_writing-")))
         .select(
             F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"),
             F.regexp_extract("path", rf"([^/]+)\.{suffix}$", 1).alias("stem"),
@@ -81,46 +88,113 @@ def decode_outcomes(chips: DataFrame) -> DataFrame:
     return chips.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def write_embedding_archive(observations: DataFrame, folder: str) -> None:
-    """Write `<parcel>/<date>.npy` files from the tasks that hold the rows, through Spark's file output.
+class Archive(DataSource):
+    """A tree of small numpy files `<parcel>/<date>.npy` (vectors) or `.npz` (chips), for `df.write.format("parcel_archive")`.
 
-    Each (parcel, date) becomes one file; the folder must be reachable by every executor.
+    The folder is a URI or path of any store that Arrow's file systems know; nothing lies on an executor's own disk. A
+    task writes its files under a hidden folder of its own, moves them in place one by one when all are written, and
+    leaves nothing if it fails; a repeated task replaces whole files.
     """
 
-    def save(batches):
-        import os
+    @classmethod
+    def name(cls) -> str:
+        return "parcel_archive"
+
+    def schema(self) -> str:
+        return "parcel_id string, day string, content binary"
+
+    def writer(self, schema, overwrite: bool) -> ArchiveWriter:
+        return ArchiveWriter(self.options["folder"], self.options["suffix"])
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    files: int
+
+
+class ArchiveWriter(DataSourceWriter):
+    def __init__(self, folder: str, suffix: str) -> None:
+        self.folder, self.suffix = folder, suffix
+        self.aside = f"_writing-{uuid.uuid4().hex}"
+
+    def write(self, rows: Iterator[Row]) -> Written:
+        store, root = open_store(self.folder)
+        aside = f"{root}/{self.aside}/{uuid.uuid4().hex}"
+        made: list[str] = []
+        try:
+            store.create_dir(aside, recursive=True)
+            for row in rows:
+                place = f"{quote(row['parcel_id'], safe=' ')}/{row['day']}.{self.suffix}"
+                with store.open_output_stream(f"{aside}/{len(made)}") as out:
+                    out.write(bytes(row["content"]))
+                made.append(place)
+            for i, place in enumerate(made):
+                store.create_dir(f"{root}/{place.rsplit('/', 1)[0]}", recursive=True)
+                store.move(f"{aside}/{i}", f"{root}/{place}")
+        finally:
+            if store.get_file_info(aside).type != fs.FileType.NotFound:
+                store.delete_dir(aside)
+        return Written(len(made))
+
+    def _clear(self) -> None:
+        store, root = open_store(self.folder)
+        if store.get_file_info(f"{root}/{self.aside}").type != fs.FileType.NotFound:
+            store.delete_dir(f"{root}/{self.aside}")
+
+    def commit(self, messages: list[Written]) -> None:
+        self._clear()
 
+    def abort(self, messages: list[Written]) -> None:
+        self._clear()
+
+
+def open_store(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder and the path in it."""
+    if folder.startswith("file:") and not folder.startswith("file://"):
+        folder = folder.removeprefix("file:")
+    store, root = fs.FileSystem.from_uri(folder)
+    return store, root.rstrip("/")
+
+
+def _write(rows: DataFrame, folder: str, suffix: str) -> None:
+    rows.sparkSession.dataSource.register(Archive)
+    rows.write.format("parcel_archive").mode("append").option("folder", folder).option("suffix", suffix).save()
+
+
+def write_embedding_archive(observations: DataFrame, folder: str) -> None:
+    """Write `<parcel>/<date>.npy` files, one for each row."""
+
+    def pack(batches):
         for batch in batches:
-            for parcel, day, vector in zip(batch["parcel_id"], batch["day"], batch["embedding"]):
-                os.makedirs(f"{folder}/{parcel}", exist_ok=True)
-                partial = f"{folder}/{parcel}/.{day}.{os.getpid()}.npy"
-                np.save(partial, np.asarray(vector, dtype=np.float32))
-                os.replace(partial, f"{folder}/{parcel}/{day}.npy")
-            yield pd.DataFrame({"n": [len(batch)]})
+            yield batch[["parcel_id", "day"]].assign(content=[_saved(np.save, np.asarray(v, dtype=np.float32)) for v in batch["embedding"]])
 
     rows = observations.select("parcel_id", F.col("obs_date").cast("string").alias("day"), "embedding")
-    rows.mapInPandas(save, "n long").agg(F.sum("n")).collect()
+    _write(rows.mapInPandas(pack, "parcel_id string, day string, content binary"), folder, "npy")
 
 
-def write_chip_archive(chips: DataFrame, folder: str) -> None:
-    """Write `<parcel>/<date>.npz` files; retried tasks replace whole files, never leave halves."""
+def _saved(save, *arrays, **named) -> bytes:
+    out = io.BytesIO()
+    save(out, *arrays, **named)
+    return out.getvalue()
 
-    def save(batches):
-        import os
 
+def write_chip_archive(chips: DataFrame, folder: str) -> None:
+    """Write `<parcel>/<date>.npz` files, one for each chip with pixels."""
+
+    def pack(batches):
         for batch in batches:
+            packed = []
             for row in batch.to_dict("records"):
-                os.makedirs(f"{folder}/{row['parcel_id']}", exist_ok=True)
                 pixels = np.array([np.asarray(b) for b in row["pixels"]], dtype=np.uint16)
-                partial = f"{folder}/{row['parcel_id']}/.{row['day']}.{os.getpid()}.npz"
-                np.savez_compressed(
-                    partial,
-                    pixels=pixels.reshape(len(pixels), row["height"], row["width"]),
-                    parcel_id=row["parcel_id"], date=row["day"], lat=row["lat"], lon=row["lon"], gsd=row["gsd"],
-                    bands=np.array(list(row["bands"]), dtype=str),
-                )
-                os.replace(partial, f"{folder}/{row['parcel_id']}/{row['day']}.npz")
-            yield pd.DataFrame({"n": [len(batch)]})
-
-    rows = chips.select("*", F.col("obs_date").cast("string").alias("day")).drop("obs_date")
-    rows.mapInPandas(save, "n long").agg(F.sum("n")).collect()
+                packed.append(
+                    _saved(
+                        np.savez_compressed,
+                        pixels=pixels.reshape(len(pixels), row["height"], row["width"]),
+                        parcel_id=row["parcel_id"], date=row["day"], lat=row["lat"], lon=row["lon"], gsd=row["gsd"],
+                        bands=np.array(list(row["bands"]), dtype=str),
+                    )
+                )
+            yield batch[["parcel_id", "day"]].assign(content=packed)
+
+    rows = chips.where(F.col("pixels").isNotNull()).select("*", F.col("obs_date").cast("string").alias("day")).drop("obs_date")
+    _write(rows.mapInPandas(pack, "parcel_id string, day string, content binary"), folder, "npz")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelspark.functions.geo import shape_of
 from parcelspark.session import stage
 from parcelspark.sources.files import exists, swap_in
 
@@ -33,34 +34,40 @@ def write_observations(observations: DataFrame, path: str) -> DataFrame:
     return write_table(observations.withColumn("month", F.trunc("obs_date", "month")), path, ["month"])
 
 
-def features(scores: DataFrame, rings: str | None = "rings") -> DataFrame:
-    """One GeoJSON feature text per row."""
-    columns = [c for c in scores.columns if c not in (rings, "trajectory")]
+def geometry_text(parts: F.Column) -> F.Column:
+    """The GeoJSON geometry of a list of polygons: one a Polygon, several a MultiPolygon, none null."""
+    point = lambda v: F.array(v["lon"], v["lat"])
+    points = F.transform(parts, lambda rings: F.transform(rings, lambda ring: F.transform(ring, point)))
+    shaped = lambda kind, coordinates: F.concat(F.lit(f'{{"type":"{kind}","coordinates":'), F.to_json(coordinates), F.lit("}"))
+    several = shaped("MultiPolygon", points)
+    return F.when(F.size(parts) > 1, several).when(F.size(parts) == 1, shaped("Polygon", F.get(points, 0))).otherwise(F.lit("null"))
+
+
+def features(scores: DataFrame) -> DataFrame:
+    """One GeoJSON feature text per row; the geometry comes from `rings` and `part_rings`."""
+    columns = [c for c in scores.columns if c not in ("rings", "part_rings", "trajectory")]
     properties = F.struct(
         *[
             F.to_json("distance_trajectory").alias(c) if c == "distance_trajectory" else F.col(c)
             for c in columns
         ]
     )
-    if rings in scores.columns:
-        points = F.transform(F.col(rings), lambda ring: F.transform(ring, lambda v: F.array(v["lon"], v["lat"])))
-        geometry = F.when(
-            F.col(rings).isNotNull(), F.struct(F.lit("Polygon").alias("type"), points.alias("coordinates"))
-        )
-    else:
-        geometry = F.lit(None).cast("struct<type:string,coordinates:array<array<array<double>>>>")
-    feature = F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), geometry.alias("geometry"))
-    return scores.select(F.to_json(feature, {"ignoreNullFields": "false"}).alias("value"))
-
-
-def write_geojson(scores: DataFrame, path: str, rings: str | None = "rings") -> None:
+    shape = geometry_text(shape_of(scores)) if "rings" in scores.columns else F.lit("null")
+    text = F.to_json(properties, {"ignoreNullFields": "false"})
+    return scores.select(
+        F.concat(F.lit('{"type":"Feature","properties":'), text, F.lit(',"geometry":'), shape, F.lit("}")).alias("value")
+    )
+
+
+def write_geojson(scores: DataFrame, path: str) -> None:
     """Newline-delimited GeoJSON features, one file per partition."""
-    features(scores, rings).write.mode("overwrite").text(path)
+    features(scores).write.mode("overwrite").text(path)
 
 
 def attach_geometry(scores: DataFrame, parcels: DataFrame) -> DataFrame:
     """Give every score row its geometry; score rows without a parcel stay."""
-    return parcels.select("parcel_id", "rings").join(scores, "parcel_id", "right")
+    shape = [c for c in ("rings", "part_rings") if c in parcels.columns]
+    return parcels.select("parcel_id", *shape).join(scores, "parcel_id", "right")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import replace
+from datetime import date, timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from parcelspark.functions.season import Season
-from parcelspark.operators.incremental import KEYS, pending
-from parcelspark.operators.scoring import ScoringRules, classify, match_observations, parcel_distances
-from parcelspark.session import stage
-from parcelspark.sources.files import exists
+from parcelspark.operators.scoring import ScoringRules, classify, match_observations, summarised
 from parcelspark.sources.tables import upsert_table
 
+EPOCH = date(1970, 1, 1)
+NO_DAY = -(2**31)
 INTAKE_SCHEMA = "parcel_id string, crop_name string, obs_date date, seen_at timestamp, embedding array<float>"
 
 
@@ -25,28 +28,60 @@ def read_intake(spark: SparkSession, folder: str, files_per_trigger: int = 100)
     )
 
 
-def store_arrivals(stream: DataFrame, path: str, checkpoint: str, parts: int = 64) -> StreamingQuery:
-    """Append each (parcel, date) once to a table, whenever it arrives and whatever came before.
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """Streams started inside keep the state of their keys in RocksDB, which stateful processors need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
-    A batch is held against the stored rows of the parts it touches, so nothing is forgotten after a time and a
-    replayed batch adds nothing.
-    """
-    part = F.pmod(F.xxhash64("parcel_id"), F.lit(parts)).cast("int")
 
-    def apply(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        arrived = stage(batch.dropDuplicates(KEYS).withColumn("part", part), "stream-arrived")
-        if exists(spark, path):
-            touched = [r["part"] for r in arrived.select("part").distinct().collect()]  # at most `parts` values
-            arrived = stage(pending(arrived, spark.read.parquet(path).where(F.col("part").isin(touched))), "stream-new")
-        arrived.write.mode("append").partitionBy("part").parquet(path)
+class FirstArrivals(StatefulProcessor):
+    """Lets every date of a parcel through once; the dates seen are the parcel's state."""
 
-    return (
-        stream.writeStream.foreachBatch(apply)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "day int", "seen boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            fresh = []
+            for day in days(batch["obs_date"]):
+                fresh.append(not self.seen.containsKey((day,)))
+                if fresh[-1]:
+                    self.seen.updateValue((day,), (True,))
+            yield batch[fresh]
+
+    def close(self) -> None:
+        pass
+
+
+def days(dates: pd.Series) -> list[int]:
+    """Dates as days since 1970; a missing date is a day of its own."""
+    return [NO_DAY if pd.isna(d) else (d - EPOCH).days for d in dates]
+
+
+def store_arrivals(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append each (parcel, date) once to a table, whenever it arrives and whatever came before.
+
+    The dates of every parcel are keyed state, so nothing stored is read again; progress and output are committed
+    together, so a restart from the checkpoint adds nothing.
+    """
+    fresh = stream.groupBy("parcel_id").transformWithStateInPandas(
+        statefulProcessor=FirstArrivals(), outputStructType=INTAKE_SCHEMA, outputMode="Append", timeMode="None"
     )
+    with keyed_state(stream.sparkSession):
+        return (
+            fresh.writeStream.format("parquet")
+            .option("path", path)
+            .option("checkpointLocation", checkpoint)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
 
 
 def bin_counts(stream: DataFrame, season: Season = Season()) -> DataFrame:
@@ -62,12 +97,55 @@ def bin_counts(stream: DataFrame, season: Season = Season()) -> DataFrame:
     )
 
 
+class RunningScores(StatefulProcessor):
+    """Running weighted sums of a parcel's distances; a touched parcel comes out with what is known of it.
+
+    State: its dates with their distances, and one row of sums. A date that comes again changes nothing.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.path = handle.getMapState("path", "day int", "distance double")
+        self.sums = handle.getValueState("sums", "n long, hits long, profiled boolean, total double, weight double, worst double, worst_day int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, hits, profiled, total, weight, worst, worst_day = self.sums.get() or (0, 0, False, 0.0, 0.0, -1.0, 0)
+        for batch in rows:
+            for day, w, d, known in zip(days(batch["obs_date"]), batch["weight"], batch["distance"], batch["has_profile"], strict=True):
+                if self.path.containsKey((day,)):
+                    continue
+                hit = not pd.isna(d)
+                self.path.updateValue((day,), (float(d) if hit else None,))
+                n, profiled = n + 1, profiled or bool(known)
+                if hit:
+                    hits, total, weight = hits + 1, total + d * w, weight + w
+                    if d > worst or (d == worst and day < worst_day):
+                        worst, worst_day = float(d), day
+        self.sums.update((n, hits, profiled, float(total), float(weight), float(worst), worst_day))
+        path = sorted((k[0], v[0]) for k, v in self.path.iterator() if v[0] is not None)
+        date = lambda day: None if day == NO_DAY else EPOCH + timedelta(days=day)
+        yield pd.DataFrame(
+            {
+                "parcel_id": [key[0]], "_n": [n], "n_matched": [hits], "_profiled": [profiled],
+                "_score": [total / weight if hits else None], "_worst_date": [date(worst_day) if hits else None],
+                "_path": [[{"obs_date": date(day), "distance": d} for day, d in path]],
+            }
+        )
+
+    def close(self) -> None:
+        pass
+
+
+RUNNING = (
+    "parcel_id string, _n long, n_matched long, _profiled boolean, _score double, _worst_date date, "
+    "_path array<struct<obs_date:date,distance:double>>"
+)
+
+
 def score_stream(
     stream: DataFrame,
     parcels: DataFrame,
     profiles: DataFrame,
     limits: tuple[float, float],
-    matched_path: str,
     scores_path: str,
     checkpoint: str,
     season: Season = Season(),
@@ -76,45 +154,38 @@ def score_stream(
 ) -> StreamingQuery:
     """Score touched parcels on every micro-batch against frozen profiles and limits.
 
-    Distances to frozen profiles never change, so a batch matches only its unseen observations and
-    keeps their distances, without vectors, in a table. The touched parcels are then aggregated from
-    that table and their scores upserted; both tables are split by a hash of the parcel, and a batch
-    reads only the parts it touches. Replaying a batch changes nothing.
+    Distances to frozen profiles never change, so a batch matches its own observations only; per parcel, running sums
+    and dates are keyed state. What comes out of a batch are the touched parcels, whose scores are upserted by parts.
+    Replaying a batch changes nothing.
     """
     green, red = limits
     frozen = replace(rules, method="fixed", green=green, red=red)
-    part = F.pmod(F.xxhash64("parcel_id"), F.lit(parts)).cast("int")
+    matched = match_observations(parcels, stream.select("parcel_id", "obs_date", "embedding"), profiles, season, frozen)
+    running = matched.groupBy("parcel_id").transformWithStateInPandas(
+        statefulProcessor=RunningScores(), outputStructType=RUNNING, outputMode="Update", timeMode="None"
+    )
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        arrived = batch.select("parcel_id", "obs_date", "embedding").dropDuplicates(KEYS)
-        touched = stage(batch.select("parcel_id", part.alias("part")).distinct(), "stream-touched")
-        touched_parts = [r["part"] for r in touched.select("part").distinct().collect()]  # at most `parts` values
-        known = lambda: spark.read.parquet(matched_path).where(F.col("part").isin(touched_parts))
-        if exists(spark, matched_path):
-            arrived = pending(arrived, known())
-        subset = parcels.join(touched.select("parcel_id"), "parcel_id", "left_semi")
-        matched = match_observations(subset, arrived, profiles, season, frozen)
-        stage(matched.withColumn("part", part), "stream-matched").write.mode("append").partitionBy("part").parquet(
-            matched_path
+        rounded = F.transform("_path", lambda e: F.struct(e["obs_date"], F.round(e["distance"], 4).alias("distance")))
+        known = batch.withColumn("_path", rounded)
+        touched = parcels.join(known.select("parcel_id"), "parcel_id", "left_semi")
+        upsert_table(classify(summarised(touched, known, frozen), frozen), scores_path, ["parcel_id"], parts)
+
+    with keyed_state(stream.sparkSession):
+        return (
+            running.writeStream.foreachBatch(apply)
+            .outputMode("update")
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
         )
-        history = known().drop("part").join(touched.select("parcel_id"), "parcel_id", "left_semi")
-        scored = classify(parcel_distances(subset, history, frozen), frozen)
-        upsert_table(scored, scores_path, ["parcel_id"], parts)
-
-    return (
-        stream.writeStream.foreachBatch(apply)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
 
 
 def upsert_stream(stream: DataFrame, path: str, keys: list[str], checkpoint: str) -> StreamingQuery:
     """Keep the latest value per key of an updating aggregate in a table."""
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        upsert_table(stage(batch, "stream-update"), path, keys)
+        upsert_table(batch, path, keys)
 
     return (
         stream.writeStream.foreachBatch(apply)

@@ -126,6 +126,27 @@ def test_scene_predicates_reach_the_scan(spark, tmp_path):
     assert "LessThan(cloud_cover,20.0)" in text and "GreaterThanOrEqual(scene_date" in text
 
 
+def test_a_failed_task_leaves_no_file(tmp_path):
+    from pyspark.sql import Row
+
+    writer = archives.ArchiveWriter(f"file:{tmp_path}/out", "npy")
+    rows = [Row(parcel_id="p/1", day="2024-05-01", content=b"x"), Row(parcel_id="p2", day="2024-05-02", content=b"y")]
+
+    def broken():
+        yield rows[0]
+        raise OSError("lost")
+
+    with pytest.raises(OSError):
+        writer.write(broken())
+    writer.abort([])
+    assert list((tmp_path / "out").rglob("*")) == []
+    message = writer.write(iter(rows))
+    writer.write(iter(rows[1:]))  # a repeated task
+    writer.commit([message])
+    files = {str(p.relative_to(tmp_path / "out")): p.read_bytes() for p in (tmp_path / "out").rglob("*") if p.is_file()}
+    assert message.files == 2 and files == {"p%2F1/2024-05-01.npy": b"x", "p2/2024-05-02.npy": b"y"}
+
+
 def test_archives(spark, tmp_path):
     chips = spark.createDataFrame(
         [("p1", date(2024, 5, 1), 42.0, -93.0, 10.0, ["B02", "B03"], [[1, 2, 3, 4], [5, 6, 7, 8]], 2, 2)], archives.CHIP_SCHEMA

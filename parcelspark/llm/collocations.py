@@ -1,15 +1,15 @@
 """Frequent phrases whose words belong together, from Rabin-Karp fingerprints of all n-grams.
 
-Texts are read as bytes. Polynomial prefix sums over a batch give the hash of every word, and prefix sums over the words
-the fingerprint of every run of words, with a pointer to its first word. A task combines equal fingerprints before they
-are shuffled and summed. Three counting passes find the fingerprints that are frequent enough: words, then pairs of
-frequent words, then runs of three and four whose pairs are all frequent. Which fingerprints are frequent is known to
-the next pass from a bit table of fixed size. A table too full, like two phrases with one fingerprint, lets more
-fingerprints through and loses none.
-
-Only then are texts made: the last pass follows the pointers of frequent fingerprints, holds every occurrence of a
-fingerprint against the words at its first pointer, and counts what it read by the text itself. So counts are exact
-whatever collides, and only phrases with frequent fingerprints are ever materialised.
+Texts are read as bytes. Polynomial prefix sums over a batch give two independent hashes of every word, and prefix sums
+over the words the fingerprint and the check of every run of words. A task combines equal runs and keeps a pointer to
+the text with the first of them. The shuffle adds up fingerprints with their pointers. Three passes
+find the fingerprints that are frequent enough: words, then pairs of frequent words, then runs of three and four whose
+pairs are all frequent. Which fingerprints are frequent is known to the next pass from a bit table of fixed size; a
+table too full lets more fingerprints through and loses none.
+
+Two phrases with one fingerprint are told apart by their checks, so each has its own count and pointer (96 bits in all).
+Only the phrases found frequent are ever materialised: their pointers meet the rows they point to, where the text is
+hashed again and the words are read that both hashes confirm.
 """
 
 from __future__ import annotations
@@ -22,34 +22,51 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelspark.llm.common import with_row_names
 from parcelspark.llm.wordhash import mix
 from parcelspark.session import lookup_join, stage
 
 LONGEST = 4
-BATCH_BYTES = 1 << 22
-HELD = 1 << 22  # fingerprints a task holds before it passes them on
+BATCH_BYTES = 1 << 19
+HELD = 1_500_000  # runs a task holds before it passes them on
 FILTER_BITS = 1 << 26  # bits of the table of frequent fingerprints (8 MB)
 BLOCK_BITS = 1 << 18
 SPREAD = 64  # parts of a language in the first step of its ranking
+COPIES = 8  # parts of a frequent first or last word's phrases where counts are too many to broadcast
 
-BASE, BACK = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
+BASES = (0xD1342543DE82EF95, 0x9E6C63D0876A9A35)
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BREAK = re.compile(rb"[.,;:!?\n\x0B\x0C\r]")
+RUNS = "print long, check int, n int, row long"
 KIND = np.zeros(256, dtype=np.uint8)  # 0 in a word, 1 between words, 2 between pieces
 KIND[[0x20, 0x09]] = 1
 KIND[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
 
 
+_tables: dict[int, np.ndarray] = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
+    """The first n powers; the longest table of each base is kept, and tables grow with the batches only."""
+    if len(_tables.get(base, ())) < n:
+        table = np.full(1 << int(n).bit_length(), base, dtype=np.uint64)
+        table[0] = 1
+        _tables[base] = np.cumprod(table, out=table)
+    return _tables[base][:n]
+
+
+def prefix(values: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, back): the hash of values[a:b] is (sums[b] - sums[a]) * back[a], wherever it stands."""
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.multiply(values, powers(base, len(values)), out=sums[1:])
+    np.cumsum(sums, out=sums)
+    return sums, powers(pow(base, -1, 1 << 64), len(values) + 1)
 
 
 class Batch:
-    """The words of some texts: their bytes, hashes, pieces and languages."""
+    """The words of some texts: their hashes, pieces, languages and places."""
 
-    def __init__(self, texts: list[bytes], langs: list[str]) -> None:
+    def __init__(self, texts: list[bytes], langs: list[str], rows: list[int]) -> None:
         self.names, code = np.unique(np.array(langs, dtype=object), return_inverse=True)
         self.raw = b"\n".join(texts).translate(LOWER)
         joined = np.frombuffer(self.raw, dtype=np.uint8)
@@ -57,65 +74,50 @@ class Batch:
         edges = np.diff(np.concatenate([[0], (kind == 0).view(np.int8), [0]]))
         self.starts, self.ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
         self.n = len(self.starts)
-        # A break right before a word, or anywhere since the last one, opens a new piece.
-        breaks = np.concatenate([[0], np.cumsum(kind == 2)])
-        self.piece = breaks[self.starts]
+        # A break anywhere since the last word opens a new piece.
+        self.piece = np.concatenate([[0], np.cumsum(kind == 2)])[self.starts]
         limits = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        self.lang = code[np.searchsorted(limits, self.starts, side="right") - 1]
-        salt = mix(np.array([hash_bytes(str(name).encode("utf-8", "surrogatepass")) for name in self.names], dtype=np.uint64))
-        self.salt = salt[self.lang]
-        sums = np.zeros(len(joined) + 1, dtype=np.uint64)
-        np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(joined))[: len(joined)], out=sums[1:])
-        lengths = (self.ends - self.starts).astype(np.uint64)
-        self.word = mix((sums[self.ends] - sums[self.starts]) * powers(BACK, len(joined))[self.starts] + lengths)
-        self.sums = np.zeros(self.n + 1, dtype=np.uint64)
-        np.cumsum(self.word * powers(BASE, self.n)[: self.n], out=self.sums[1:])
-        self.back = powers(BACK, self.n)
-
-    def runs(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(pointer to the first word, fingerprint) of every run of `size` words within a piece."""
+        text = np.searchsorted(limits, self.starts, side="right") - 1
+        self.lang = code[text]
+        self.row = np.array(rows, dtype=np.int64)[text]
+        salts = [hash_bytes(str(name).encode("utf-8", "surrogatepass")) for name in self.names]
+        self.salt = mix(np.array(salts, dtype=np.uint64))[self.lang]
+        letters, lengths = joined.astype(np.uint64) + np.uint64(1), (self.ends - self.starts).astype(np.uint64)
+        self.sums = []
+        for base in BASES:
+            sums, back = prefix(letters, base)
+            word = mix((sums[self.ends] - sums[self.starts]) * back[self.starts] + lengths)
+            self.sums.append(prefix(word, base))
+
+    def runs(self, size: int) -> np.ndarray:
+        """The first word of every run of `size` words within a piece; of size 0, every word."""
+        if size < 2:
+            return np.arange(self.n)
         at = np.arange(max(self.n - size + 1, 0))
-        at = at[self.piece[at] == self.piece[at + size - 1]]
-        found = (self.sums[at + size] - self.sums[at]) * self.back[at] + np.uint64(size)
-        return at, mix(found ^ self.salt[at])
+        return at[self.piece[at] == self.piece[at + size - 1]]
+
+    def _hash(self, at: np.ndarray, size: int, which: int) -> np.ndarray:
+        sums, back = self.sums[which]
+        return mix(((sums[at + size] - sums[at]) * back[at] + np.uint64(size)) ^ self.salt[at])
+
+    def prints(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Fingerprints of the runs of `size` words from `at`, in their language; of size 0, the language's own."""
+        return self._hash(at, size, 0) if size else self.salt[at]
+
+    def checks(self, at: np.ndarray, size: int) -> np.ndarray:
+        """A second, independent hash of the runs."""
+        found = self._hash(at, size, 1) if size else self.salt[at]
+        return (found >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
     def text(self, at: int, size: int) -> str:
-        parts = [self.raw[self.starts[i] : self.ends[i]] for i in range(at, at + size)]
-        return b" ".join(parts).decode("utf-8", "surrogatepass")
-
-    def word_numbers(self) -> np.ndarray:
-        """A number for every word, equal if and only if the bytes are."""
-        _, first, number = np.unique(self.word, return_index=True, return_inverse=True)
-        model = first[number]
-        lengths = self.ends - self.starts
-        same = lengths == lengths[model]
-        at = np.flatnonzero(same)
-        joined = np.frombuffer(self.raw, dtype=np.uint8)
-        inside = np.arange(int(lengths[at].sum())) - np.repeat(np.cumsum(lengths[at]) - lengths[at], lengths[at])
-        differ = joined[np.repeat(self.starts[at], lengths[at]) + inside] != joined[np.repeat(self.starts[model[at]], lengths[at]) + inside]
-        same[at[np.repeat(np.arange(len(at)), lengths[at])[differ]]] = False
-        if not same.all():  # words that share a hash: number them by their bytes
-            known: dict[bytes, int] = {}
-            words = (self.raw[a:b] for a, b in zip(self.starts, self.ends, strict=True))
-            return np.array([known.setdefault(w, len(known)) for w in words], dtype=np.int64)
-        return number
-
-    def phrases(self, size: int, allowed: np.ndarray | None, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(pointer, count) of each different phrase of a language whose fingerprint is allowed."""
-        at, prints = self.runs(size)
-        keep = np.flatnonzero(is_in(prints, allowed))
-        at, prints = at[keep], prints[keep]
-        _, first, group, counts = np.unique(prints, return_index=True, return_inverse=True, return_counts=True)
-        rows = np.stack([self.lang[at], *(numbers[at + k] for k in range(size))], axis=1)
-        if len(at) and (rows != rows[first[group]]).any():  # two phrases with one fingerprint
-            _, first, counts = np.unique(rows, axis=0, return_index=True, return_counts=True)
-        return at[first], counts
+        words = [self.raw[self.starts[i] : self.ends[i]] for i in range(at, at + size)]
+        return b" ".join(words).decode("utf-8", "surrogatepass")
 
 
 def hash_bytes(raw: bytes) -> int:
     found = len(raw)
     for b in raw:
-        found = (found * BASE + b + 1) % (1 << 64)
+        found = (found * BASES[0] + b + 1) % (1 << 64)
     return found
 
 
@@ -138,105 +140,110 @@ def at_breaks(raw: bytes) -> Iterator[bytes]:
 
 
 def batches(frames: Iterator[pd.DataFrame]) -> Iterator[Batch]:
-    texts: list[bytes] = []
-    langs: list[str] = []
+    held: tuple[list, list, list] = ([], [], [])
     size = 0
     for pdf in frames:
-        for text, lang in zip(pdf["text"], pdf["lang"], strict=True):
+        for text, lang, row in zip(pdf["text"], pdf["lang"], pdf["row"], strict=True):
             for raw in at_breaks((text or "").encode("utf-8", "surrogatepass")):
-                if texts and size + len(raw) > BATCH_BYTES:
-                    yield Batch(texts, langs)
-                    texts, langs, size = [], [], 0
-                texts.append(raw)
-                langs.append(lang)
-                size += len(raw)
-    if texts:
-        yield Batch(texts, langs)
+                if size and size + len(raw) > BATCH_BYTES:
+                    yield Batch(*held)
+                    held, size = ([], [], []), 0
+                for values, value in zip(held, (raw, lang, row), strict=True):
+                    values.append(value)
+                size += len(raw) + 1
+    if held[0]:
+        yield Batch(*held)
+
+
+class Runs:
+    """Equal runs with their number and the pointer to the first one."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.n = 0
+
+    def add(self, prints: np.ndarray, checks: np.ndarray, rows: np.ndarray) -> None:
+        self.held.append(self.merged([(prints, checks, np.ones(len(prints), dtype=np.int32), rows)]))
+        self.n += len(self.held[-1][0])
+        if self.n > HELD:
+            self.held = [self.merged(self.held)]
+            self.n = len(self.held[0][0])
+
+    @staticmethod
+    def merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        prints = np.concatenate([h[0] for h in held])
+        order = np.argsort(prints, kind="stable")
+        prints, checks = prints[order], np.concatenate([h[1] for h in held])[order]
+        new = np.ones(len(prints), dtype=bool)
+        new[1:] = (prints[1:] != prints[:-1]) | (checks[1:] != checks[:-1])
+        first = np.flatnonzero(new)
+        counts = np.concatenate([h[2] for h in held])[order]
+        counts = np.add.reduceat(counts, first) if len(first) else counts
+        rows = np.concatenate([h[3] for h in held])[order[first]]
+        return prints[first], checks[first], counts, rows
+
+    def frames(self) -> Iterator[pd.DataFrame]:
+        if self.held:
+            prints, checks, counts, rows = self.merged(self.held)
+            self.held, self.n = [], 0
+            for a in range(0, len(prints), 100_000):
+                part = slice(a, a + 100_000)
+                yield pd.DataFrame({"print": prints[part].view(np.int64), "check": checks[part], "n": counts[part], "row": rows[part]})
 
 
 def _count(sizes: list[int], allowed: np.ndarray | None):
-    """Fingerprints of the runs of these sizes whose parts may all be frequent, with their counts in the task."""
-
-    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        prints = np.concatenate([h[0] for h in held])
-        order = np.argsort(prints)
-        prints = prints[order]
-        first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]])) if len(prints) else np.zeros(0, int)
-        counts = np.concatenate([h[1] for h in held])[order]
-        return prints[first], np.add.reduceat(counts, first) if len(first) else counts
-
-    def rows(held: list) -> Iterator[pd.DataFrame]:
-        prints, counts = merged(held)
-        for a in range(0, len(prints), 200_000):
-            yield pd.DataFrame({"print": prints[a : a + 200_000].view(np.int64), "n": counts[a : a + 200_000]})
+    """The runs of these sizes whose parts may all be frequent, counted in the task; size 0 counts a language's words."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held = Runs()
         for batch in batches(frames):
             for size in sizes:
-                at, prints = batch.runs(size)
-                if allowed is not None and size > 1:
+                at = batch.runs(size)
+                if size > 1 and allowed is not None:
                     part = min(size - 1, 2)  # pairs need frequent words, longer runs frequent pairs
-                    parts_at, parts = batch.runs(part)
+                    parts = batch.runs(part)
                     good = np.zeros(batch.n + 1, dtype=bool)
-                    good[parts_at[is_in(parts, allowed)]] = True
+                    good[parts[is_in(batch.prints(parts, part), allowed)]] = True
                     keep = np.ones(len(at), dtype=bool)
                     for k in range(size - part + 1):
                         keep &= good[at + k]
-                    prints = prints[keep]
-                held.append((prints, np.ones(len(prints), dtype=np.int64)))
-                held[-1] = merged(held[-1:])
-            if sum(len(h[0]) for h in held) > HELD:
-                held = [merged(held)]
-                if len(held[0][0]) > HELD // 2:
-                    yield from rows(held)
-                    held = []
-        if held:
-            yield from rows(held)
-
-    return run
-
-
-def _phrases(allowed: np.ndarray | None):
-    """(lang, size, phrase, n) of the phrases with frequent fingerprints; size 0 counts all words of a language."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[str, int, str], int] = {}
-
-        def rows() -> pd.DataFrame:
-            keys = list(held)
-            return pd.DataFrame(
-                {
-                    "lang": [k[0] for k in keys],
-                    "size": [k[1] for k in keys],
-                    "phrase": [k[2] for k in keys],
-                    "n": list(held.values()),
-                }
-            )
-
-        for batch in batches(frames):
-            numbers = batch.word_numbers()
-            for code, name in enumerate(batch.names):
-                key = (name, 0, "")
-                held[key] = held.get(key, 0) + int((batch.lang == code).sum())
-            for size in range(1, LONGEST + 1):
-                for at, n in zip(*batch.phrases(size, allowed, numbers), strict=True):
-                    key = (batch.names[batch.lang[at]], size, batch.text(at, size))
-                    held[key] = held.get(key, 0) + int(n)
-            if len(held) > HELD // 8:
-                yield rows()
-                held.clear()
-        if held:
-            yield rows()
+                    at = at[keep]
+                held.add(batch.prints(at, size), batch.checks(at, size), batch.row[at])
+                if held.n > HELD * 3 // 4:
+                    yield from held.frames()
+        yield from held.frames()
 
     return run
 
 
-def frequent_prints(texts: DataFrame, sizes: list[int], allowed: np.ndarray | None, least: int) -> DataFrame:
-    """`print` of every run of these sizes that occurs at least `least` times (with all that share its fingerprint)."""
-    counted = texts.mapInPandas(_count(sizes, allowed), "print long, n long")
+def _materialise(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """text, lang, row, runs -> lang, size, phrase, n of each run that points to the text."""
+    for pdf in frames:
+        open_ = {(row, r["print"], r["check"]): r["n"] for row, runs in zip(pdf["row"], pdf["runs"], strict=True) for r in runs}
+        wanted = np.unique(np.array([k[1] for k in open_], dtype=np.int64)).view(np.uint64)
+        found = []
+        for batch in batches(iter([pdf])):
+            for size in range(LONGEST + 1):
+                at = batch.runs(size)
+                prints = batch.prints(at, size)
+                near = np.isin(prints, wanted)
+                at, prints = at[near], prints[near].view(np.int64)
+                for i, p, c, row in zip(at.tolist(), prints.tolist(), batch.checks(at, size).tolist(), batch.row[at].tolist(), strict=True):
+                    n = open_.pop((row, p, c), None)
+                    if n is not None:
+                        found.append((batch.names[batch.lang[i]], size, batch.text(i, size), n))
+        if open_:
+            raise ValueError("texts without the runs that point to them: the table changed while it was read")
+        yield pd.DataFrame(found, columns=["lang", "size", "phrase", "n"])
+
+
+def frequent_runs(texts: DataFrame, sizes: list[int], allowed: np.ndarray | None, least: int) -> DataFrame:
+    """print, check, n, row of the runs of these sizes that occur at least `least` times."""
+    counted = texts.mapInPandas(_count(sizes, allowed), RUNS)
     # Tasks have combined their rows already: straight to the shuffle.
-    return counted.repartition("print").groupBy("print").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("print")
+    counted = counted.repartition("print").groupBy("print", "check")
+    found = counted.agg(F.sum("n").alias("n"), F.min("row").alias("row")).where(F.col("n") >= least)
+    return stage(found, "phrase-runs")
 
 
 def bit_table(prints: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -263,17 +270,21 @@ def count_phrases(docs: DataFrame, least: int = 30, bits: int = FILTER_BITS) ->
     Texts are lower-cased in A-Z, cut into pieces at . , ; : ! ? and line breaks and into words at spaces and tabs;
     phrases lie within a piece, overlaps count. Null texts have no words, null languages are `und`.
     """
-    texts = docs.select(
+    texts = with_row_names(docs.select("text", "lang"), "row").select(
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
+        "row",
     )
-    words = stage(frequent_prints(texts, [1], None, least), "phrase-prints")
-    pairs = stage(frequent_prints(texts, [2], bit_table(words, bits), least), "phrase-prints")
-    longer = stage(frequent_prints(texts, [3, 4], bit_table(pairs, bits), least), "phrase-prints")
-    found = bit_table(words.union(pairs).union(longer), bits)
-    read = texts.mapInPandas(_phrases(found), "lang string, size int, phrase string, n long")
-    counts = read.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
-    return stage(counts.where((F.col("size") == 0) | (F.col("n") >= least)), "phrase-counts")
+    words = frequent_runs(texts, [0, 1], None, least)
+    pairs = frequent_runs(texts, [2], bit_table(words, bits), least)
+    longer = frequent_runs(texts, [3, 4], bit_table(pairs, bits), least)
+    # Pointers lead to the first rows that hold a phrase, so few rows are read again.
+    runs = words.unionByName(pairs).unionByName(longer)
+    by_row = runs.groupBy("row").agg(F.collect_list(F.struct("print", "check", "n")).alias("runs"))
+    by_row = stage(by_row, "phrase-pointers")
+    known = by_row.agg(F.sum(F.size("runs") * 32 + 64)).first()[0] or 0
+    told = lookup_join(texts, by_row, ["row"], known, ["row"], how="inner", salts=1)
+    return stage(told.mapInPandas(_materialise, "lang string, size int, phrase string, n long"), "phrase-counts")
 
 
 def collocations(
@@ -288,7 +299,7 @@ def collocations(
     table none at all. Columns other than text and lang are not read.
     """
     counts = count_phrases(docs, least, bits)
-    of_all = counts.where("size = 0").select("lang", F.col("n").alias("_all"))
+    of_all = counts.where("size = 0").groupBy("lang").agg(F.sum("n").alias("_all"))
     phrases = counts.where("size > 0").select("lang", "phrase", "n")
     candidates = counts.where("size > 1").select("lang", "phrase", "size", F.col("n").alias("a"))
     size_of_counts = counts.select(F.sum(F.length("phrase") + F.length("lang") + 64)).first()[0] or 0
@@ -305,7 +316,7 @@ def collocations(
     )
     for part, name in (("_first", "l"), ("_rest", "r")):
         known = phrases.select("lang", F.col("phrase").alias(part), F.col("n").alias(name))
-        cut = lookup_join(cut, known, ["lang", part], 2 * size_of_counts, ["phrase", "k"], how="inner")
+        cut = lookup_join(cut, known, ["lang", part], 2 * size_of_counts, ["phrase", "k"], how="inner", salts=COPIES)
     wide = "decimal(19,0)"  # products of counts may pass 64 bits
     score = F.expr(f"(cast(2000000 as {wide}) * cast(a as {wide})) div (cast(l as {wide}) + cast(r as {wide}))")
     weakest = cut.groupBy("lang", "phrase", "a").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("_cut"))

@@ -5,6 +5,7 @@ import os
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,33 +68,43 @@ def test_a_full_bit_table_loses_nothing(docs, monkeypatch):
     assert got(docs, bits=256) == got(docs)
 
 
-def test_colliding_fingerprints_are_told_apart_by_text():
-    text = b"the red house, a red house; the red house. a blue house, the red house"
-    batch = collocations.Batch([text, b"the red house"], ["en", "fr"])
-    batch.word[:] = 7  # all words share a hash, and so all runs of a size
-    batch.sums[1:] = np.cumsum(batch.word * collocations.powers(collocations.BASE, batch.n)[: batch.n])
-    batch.salt[:] = 0
-    numbers = batch.word_numbers()
-    found = {}
-    for at, n in zip(*batch.phrases(2, None, numbers), strict=True):
-        found[batch.names[batch.lang[at]], batch.text(at, 2)] = n
-    assert found == {
+def counted(frame, sizes, allowed=None):
+    """Phrases with their numbers as one task counts and reads them."""
+    parts = pd.concat(list(collocations._count(sizes, allowed)(iter([frame]))))
+    rows = parts.groupby(["print", "check"], as_index=False).agg({"n": "sum", "row": "min"})
+    runs = [rows[rows["row"] == r][["print", "check", "n"]].to_dict("records") for r in frame["row"]]
+    (read,) = collocations._materialise(iter([frame.assign(runs=runs)]))
+    return {(r.lang, r.phrase): r.n for r in read.itertuples()}, rows, runs
+
+
+def test_colliding_fingerprints_are_told_apart(monkeypatch):
+    text = "the Red house, a red house; the red house. a blue house, the red house"
+    frame = pd.DataFrame({"text": [text, "the red house"], "lang": ["en", "fr"], "row": [0, 1]})
+    monkeypatch.setattr(collocations.Batch, "prints", lambda b, at, size: np.full(len(at), 7, np.uint64))
+    found, rows, _ = counted(frame, [2])
+    assert set(rows["print"]) == {7} and found == {
         ("en", "the red"): 3, ("en", "red house"): 4, ("en", "a red"): 1, ("en", "a blue"): 1, ("en", "blue house"): 1,
         ("fr", "the red"): 1, ("fr", "red house"): 1,
     }
 
 
-def test_small_batches_and_texts_longer_than_one(spark, monkeypatch):
+def test_a_text_is_held_against_its_fingerprint():
+    frame = pd.DataFrame({"text": ["one two three"], "lang": ["en"], "row": [0]})
+    found, _, runs = counted(frame, [2])
+    assert found == {("en", "one two"): 1, ("en", "two three"): 1}
+    with pytest.raises(ValueError):
+        list(collocations._materialise(iter([frame.assign(text="one too three", runs=runs)])))
+
+
+def test_small_batches_and_texts_longer_than_one(monkeypatch):
     monkeypatch.setattr(collocations, "BATCH_BYTES", 40)
     monkeypatch.setattr(collocations, "HELD", 64)
     texts = ["one two three four, one two three! " * 9, "x" * 500 + " one two three four", "a é É b " * 30]
-    held = [collocations.Batch([raw], ["en"]) for t in texts for raw in collocations.at_breaks(t.encode())]
-    assert len(held) > 3
-    counts = collections.Counter()
-    for batch in held:
-        for at, n in zip(*batch.phrases(3, None, batch.word_numbers()), strict=True):
-            counts[batch.text(at, 3)] += n
-    assert counts["one two three"] == 19 and counts["a é É"] == 30 and counts["two three one"] == 0
+    frame = pd.DataFrame({"text": texts, "lang": "en", "row": range(3)})
+    assert len(list(collocations.batches(iter([frame])))) > 3
+    found, _, _ = counted(frame, [0, 1, 3])
+    assert found["en", "one two three"] == 19 and found["en", "a é É"] == 30 and ("en", "two three one") not in found
+    assert found["en", "one"] == 19 and found["en", ""] == sum(len(re.findall("[^ .,!]+", t)) for t in texts)
 
 
 def test_odd_rows(spark):

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 
 @dataclass(frozen=True)
@@ -60,6 +61,24 @@ def season_bins(spark: SparkSession, season: Season) -> DataFrame:
     )
 
 
+@udtf(returnType="bin int, bin_start date, bin_end date, bin_center date")
+class SeasonBins:
+    """The bin calendar as a table function: one row per bin of a season given by its dates and the bins' length."""
+
+    def eval(self, start: date, end: date, bin_days: int):
+        if start is None or end is None or not bin_days or bin_days < 1:
+            return
+        days = (end - start).days
+        for index in range(max(0, -(-days // bin_days))):
+            first, last = index * bin_days, min((index + 1) * bin_days, days)
+            yield index, start + timedelta(first), start + timedelta(last), start + timedelta(first + (last - first) // 2)
+
+
+def register_season_bins(spark: SparkSession, name: str = "season_bins") -> None:
+    """Make the calendar callable from SQL: `SELECT ... FROM seasons s, LATERAL season_bins(s.start, s.end, 14) b`."""
+    spark.udtf.register(name, SeasonBins)
+
+
 def season_fraction(day: Column, season: Season) -> Column:
     return F.greatest(F.lit(0), day_offset(day, season)) / F.lit(float(season.days or 1))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from parcelspark.functions.geo import chip_bounds
@@ -74,6 +74,20 @@ def count_outcomes(rows: DataFrame, outcome: str = "outcome") -> DataFrame:
     return rows.groupBy(F.col(outcome).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
+OUTCOMES = ("extracted", "skipped_nodata", "skipped_error")
+
+
+def outcome_metrics(outcome: str = "outcome") -> list[Column]:
+    """The number of rows of each outcome, as aggregates to observe while the rows are written."""
+    return [F.count(F.when(F.col(outcome) == name, F.lit(1))).alias(name) for name in OUTCOMES]
+
+
+def observed_outcomes(spark: SparkSession, seen: Observation) -> DataFrame:
+    """What `count_outcomes` gives, from the pass that wrote the rows."""
+    rows = [(name, seen.get[name]) for name in OUTCOMES if seen.get[name]]
+    return spark.createDataFrame(rows, "outcome string, n long")
+
+
 def rgb_preview(chips: DataFrame) -> DataFrame:
     """Three bands scaled to [0, 1] for display, in the order red, green, blue."""
 

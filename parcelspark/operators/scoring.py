@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from parcelspark.functions.season import Season, early_weight
@@ -35,10 +35,12 @@ def match_observations(
     profiles: DataFrame,
     season: Season = Season(),
     rules: ScoringRules = ScoringRules(),
+    unlabelled: bool = False,
 ) -> DataFrame:
     """Every observation of a labelled parcel with its nearest reference date, weight and distance.
 
-    Unmatched observations stay, with a null distance. The nearest date comes from the crop's short
+    With `unlabelled` those of all other parcels come too, without weight. Unmatched observations stay, with a null
+    distance. The nearest date comes from the crop's short
     list of bin centres, so no observation is multiplied by candidate dates. Ties take the earlier date.
     """
     labelled = parcels.where(is_labelled(F.col("crop_name"))).select("parcel_id", "crop_name")
@@ -46,7 +48,9 @@ def match_observations(
         F.count(F.lit(1)).alias("rows"), F.countDistinct("crop_name").alias("crops"), F.max(F.size("ref")).alias("dim")
     ).first()
     centres = profiles.groupBy("crop_name").agg(F.collect_list(F.struct("bin_center", "bin")).alias("_bins"))
-    dated = observations.select("parcel_id", "obs_date", "embedding").join(labelled, "parcel_id")
+    dated = observations.select("parcel_id", "obs_date", "embedding").join(
+        labelled, "parcel_id", "left" if unlabelled else "inner"
+    )
     gap = lambda c: F.abs(F.datediff(F.col("obs_date"), c["bin_center"]))
     near = F.filter("_bins", lambda c: gap(c) <= rules.tolerance_days)
     nearest = F.array_min(F.transform(near, lambda c: F.struct(gap(c).alias("gap"), c["bin_center"], c["bin"])))
@@ -68,7 +72,9 @@ def match_observations(
     matched = lookup_join(located, refs, ["crop_name", "bin"], ref_bytes, ["parcel_id", "obs_date"], limit_bytes=rules.broadcast_bytes)
     return matched.select(
         "parcel_id", "crop_name", "obs_date", "has_profile", "ref_date",
-        early_weight(F.col("obs_date"), season, rules.urgency, rules.early_fraction).alias("weight"),
+        F.when(
+            F.col("crop_name").isNotNull(), early_weight(F.col("obs_date"), season, rules.urgency, rules.early_fraction)
+        ).alias("weight"),
         F.when(F.col("ref").isNotNull(), cosine_distance(F.col("embedding"), F.col("ref"))).alias("distance"),
     )
 
@@ -117,12 +123,14 @@ def status_of(score: Column, green: Column, red: Column) -> Column:
     return F.when(score < green, "GREEN").when(score < red, "YELLOW").otherwise("RED")
 
 
-def adaptive_thresholds(scored: DataFrame, rules: ScoringRules = ScoringRules()) -> DataFrame:
-    """One row: score count, mean, population deviation and the two limits derived from them."""
+def score_statistics() -> list[Column]:
+    """Count, mean and population deviation of the rounded scores, as aggregates."""
     score = F.round(F.col("raw_score"), 4)
-    stats = scored.agg(
-        F.count(score).alias("n"), F.avg(score).alias("mu"), F.stddev_pop(score).alias("sigma")
-    )
+    return [F.count(score).alias("n"), F.avg(score).alias("mu"), F.stddev_pop(score).alias("sigma")]
+
+
+def with_limits(stats: DataFrame, rules: ScoringRules) -> DataFrame:
+    """One row of statistics with the two limits derived from them."""
     enough = F.col("n") >= rules.min_scores
     limit = lambda factor: F.when(enough, F.col("mu") + factor * F.col("sigma")).otherwise(F.lit(0.0))
     return stats.select(
@@ -131,18 +139,24 @@ def adaptive_thresholds(scored: DataFrame, rules: ScoringRules = ScoringRules())
     )
 
 
-def classify(scored: DataFrame, rules: ScoringRules = ScoringRules()) -> DataFrame:
+def adaptive_thresholds(scored: DataFrame, rules: ScoringRules = ScoringRules()) -> DataFrame:
+    """One row: score count, mean, population deviation and the two limits derived from them."""
+    return with_limits(scored.agg(*score_statistics()), rules)
+
+
+def classify(scored: DataFrame, rules: ScoringRules = ScoringRules(), limits: DataFrame | None = None) -> DataFrame:
     """Add `health_score` (4 dp) and `status`.
 
-    Fixed limits test the unrounded score, adaptive limits the rounded one. The adaptive statistics
-    reach every row as a scalar subquery.
+    Fixed limits test the unrounded score, adaptive limits the rounded one. Adaptive `limits`, if not given, come from
+    the scores themselves; either way they reach every row as a scalar subquery.
     """
     health = F.round("raw_score", 4)
     if rules.method == "fixed":
         colour = status_of(F.col("raw_score"), F.lit(rules.green), F.lit(rules.red))
         status = F.when(~F.col("has_match"), "GRAY").otherwise(colour)
     elif rules.method == "adaptive":
-        limits = adaptive_thresholds(scored, rules).select(F.struct("enough", "green", "red")).scalar()
+        known = adaptive_thresholds(scored, rules) if limits is None else limits
+        limits = known.select(F.struct("enough", "green", "red")).scalar()
         colour = status_of(health, limits["green"], limits["red"])
         status = F.when(~F.col("has_match") | ~limits["enough"], "GRAY").otherwise(colour)
     else:
@@ -150,13 +164,16 @@ def classify(scored: DataFrame, rules: ScoringRules = ScoringRules()) -> DataFra
     return scored.withColumn("health_score", health).withColumn("status", status).drop("raw_score", "has_match")
 
 
-def effective_thresholds(scored: DataFrame, rules: ScoringRules = ScoringRules()) -> DataFrame:
+def effective_thresholds(
+    scored: DataFrame, rules: ScoringRules = ScoringRules(), limits: DataFrame | None = None
+) -> DataFrame:
     """The limits actually applied, as one row (method, green, red); adaptive ones to 6 dp."""
     if rules.method == "fixed":
         return scored.sparkSession.range(1).select(
             F.lit("fixed").alias("method"), F.lit(rules.green).alias("green"), F.lit(rules.red).alias("red")
         )
-    return adaptive_thresholds(scored, rules).select(
+    known = adaptive_thresholds(scored, rules) if limits is None else limits
+    return known.select(
         F.lit("adaptive").alias("method"), F.round("green", 6).alias("green"), F.round("red", 6).alias("red")
     )
 
@@ -176,10 +193,15 @@ def score_parcels(
 ) -> ScoreResult:
     """Score and classify every parcel; exactly one output row per parcel row.
 
-    The unclassified scores are staged once, since the adaptive limits read them before every row does.
+    The unclassified scores are staged once for adaptive limits, and their statistics are taken in the pass that
+    writes them.
     """
     matched = match_observations(parcels, observations, profiles, season, rules)
     scored = parcel_distances(parcels, matched, rules)
-    if rules.method == "adaptive":
-        scored = stage(scored, "raw-scores")
-    return ScoreResult(classify(scored, rules), effective_thresholds(scored, rules))
+    if rules.method != "adaptive":
+        return ScoreResult(classify(scored, rules), effective_thresholds(scored, rules))
+    seen = Observation()
+    scored = stage(scored.observe(seen, *score_statistics()), "raw-scores")
+    stats = scored.sparkSession.createDataFrame([tuple(seen.get[k] for k in ("n", "mu", "sigma"))], "n long, mu double, sigma double")
+    limits = with_limits(stats, rules)
+    return ScoreResult(classify(scored, rules, limits), effective_thresholds(scored, rules, limits))

@@ -119,6 +119,13 @@ def augment(
     return out
 
 
+def training_chips(chips: DataFrame, splits: DataFrame, copies: int = 1, seed: int = 42) -> DataFrame:
+    """`copies` augmented chips of every chip in the training split, and of no other: its columns, class and `copy`."""
+    train = splits.where(F.col("split") == "train").select("parcel_id", F.col("date").alias("obs_date"), "crop_class_id")
+    copied = chips.join(train, ["parcel_id", "obs_date"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    return augment(copied, ["parcel_id", "obs_date", "copy"], seed)
+
+
 def linear_head(samples: DataFrame, max_iter: int = 50, reg: float = 1e-3):
     """Fit a multinomial logistic head on frozen embeddings of the training split.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from parcelspark.functions.geo import total_bounds
@@ -66,7 +66,10 @@ def index_scenes(run: Campaign, parcels: DataFrame, catalogue: DataFrame, collec
 
 
 def make_chips(run: Campaign, parcels: DataFrame, index: DataFrame, tiles: DataFrame, project=None) -> DataFrame:
-    """Extract the chips that are not stored yet and append the covered ones. Returns outcome counts."""
+    """Extract the chips that are not stored yet and append the covered ones. Returns outcome counts.
+
+    The counts are taken while the chips are written.
+    """
     spark = parcels.sparkSession
     path = run.path("chips")
     chosen = chips.cap_parcels(parcels, run.max_parcels)
@@ -77,9 +80,11 @@ def make_chips(run: Campaign, parcels: DataFrame, index: DataFrame, tiles: DataF
     windowed = chips.windows(plan.drop("obs_date"), chosen, run.size_px, run.resolution_m, project)
     res = {b: run.band_res.get(b, run.resolution_m) for b in run.bands}
     cut = chips.extract_chips(windowed, tiles, run.bands, res, run.tile_px, run.size_px, run.resolution_m)
-    judged = tables.write_table(chips.chip_outcome(cut, run.nodata_threshold), run.path("chip_outcomes"))
+    seen = Observation()
+    judged = chips.chip_outcome(cut, run.nodata_threshold).observe(seen, *chips.outcome_metrics())
+    judged = tables.write_table(judged, run.path("chip_outcomes"))
     judged.where(F.col("outcome") == "extracted").drop("outcome").write.mode("append").parquet(path)
-    return chips.count_outcomes(judged)
+    return chips.observed_outcomes(spark, seen)
 
 
 def embed(run: Campaign, make_encoder, version: str, batch_size: int = 16) -> DataFrame:
@@ -141,14 +146,19 @@ def explain_campaign(
 
 def prepare_training(
     run: Campaign, parcels: DataFrame, target_classes: list[str], min_per_class: int = 500,
-    split: tuple[float, float, float] = (0.8, 0.1, 0.1), unit: list[str] | None = None,
+    split: tuple[float, float, float] = (0.8, 0.1, 0.1), unit: list[str] | None = None, augmented: int = 0,
 ) -> DataFrame:
-    """Split manifest of the campaign's chips, with its CSV files and the class mapping."""
+    """Split manifest of the campaign's chips, with its CSV files and the class mapping.
+
+    `augmented` copies of the chips in the training split, and of these only, are written beside the manifests.
+    """
     stored = parcels.sparkSession.read.parquet(run.path("chips"))
     classes = training.eligible_classes(parcels, target_classes, min_per_class)
     samples = training.manifest(parcels, stored, classes)
     train, val, test = split
     rows = training.stratified_split(samples, test, val, train, unit=unit)
     tables.write_manifests(rows, run.path("manifests"))
+    if augmented:
+        tables.write_table(training.training_chips(stored, rows, augmented), run.path("training_chips"))
     tables.write_class_mapping(classes, run.path("class_mapping"))
     return rows

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelspark.functions import encoding, geo, labels, replies
-from parcelspark.functions.season import Season, bin_index, early_weight, season_bins, season_fraction
+from parcelspark.functions.season import (
+    Season, bin_index, early_weight, register_season_bins, season_bins, season_fraction,
+)
 from parcelspark.functions.vectors import mean_vectors, norm
 from parcelspark.operators import (
     chips, encode, explain, incremental, profiles, report, retrieval, scenes, scoring, similarity, training, zonal,
@@ -17,6 +19,7 @@ from parcelspark.operators import (
 from parcelspark.operators.knn import KnnPlan
 from parcelspark.plans import driver_views as views, source_queries
 from parcelspark.session import stage, staging_folder
+from parcelspark.sources import tables
 from parcelspark.sources.parcels import flatten_attributes
 from parcelspark.sources.tables import replace_by_key
 from parcelspark.streaming import intake
@@ -123,6 +126,35 @@ def parcel_scores_adaptive(spark, sf):
     return _score_columns(_scores(spark, sf, ADAPTIVE))
 
 
+def side_by_side(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parcels and observations stored in buckets by parcel, and the profiles."""
+    base = Base(spark, sf)
+    folder, mark = _folder(spark, "buckets"), uuid.uuid4().hex
+    stored = lambda df, name: tables.write_bucketed(df, f"{name}_{mark}", "parcel_id", 8, f"{folder}/{name}")
+    return stored(base.parcels, "parcels"), stored(base.observations, "observations"), base.profiles()
+
+
+def parcel_scores_bucketed(spark, sf):
+    """Scores from tables stored side by side: the vectors are not shuffled again."""
+    parcels, observations, found = side_by_side(spark, sf)
+    return _score_columns(scoring.score_parcels(parcels, observations, found, SEASON, FIXED).scores)
+
+
+def season_bins_sql(spark, sf):
+    """Calendars of different bin lengths by crop, from a table function in SQL, and the observations in each bin."""
+    register_season_bins(spark)
+    labelled = views.labelled_observations(spark, sf).where(F.col("crop_name").isNotNull())
+    view = f"observed_{uuid.uuid4().hex}"
+    labelled.select("crop_name", "obs_date").createOrReplaceTempView(view)
+    return spark.sql(f"""
+        WITH crops AS (SELECT DISTINCT crop_name, 7 * (1 + int(substring(crop_name, 6)) % 3) AS bin_days FROM {view})
+        SELECT c.crop_name, b.bin, string(b.bin_start) AS bin_start, string(b.bin_end) AS bin_end,
+          string(b.bin_center) AS bin_center, count(o.obs_date) AS n_obs
+        FROM crops c, LATERAL season_bins(DATE '{SEASON.start}', DATE '{SEASON.end}', c.bin_days) b
+        LEFT JOIN {view} o ON o.crop_name = c.crop_name AND o.obs_date >= b.bin_start AND o.obs_date < b.bin_end
+        GROUP BY ALL""")
+
+
 def effective_thresholds(spark, sf):
     return _result(spark, sf, ADAPTIVE).thresholds
 
@@ -803,6 +835,8 @@ QUERIES = {
     "profile_coverage": profile_coverage,
     "parcel_scores_fixed": parcel_scores_fixed,
     "parcel_scores_adaptive": parcel_scores_adaptive,
+    "parcel_scores_bucketed": parcel_scores_bucketed,
+    "season_bins_sql": season_bins_sql,
     "effective_thresholds": effective_thresholds,
     "distance_trajectory": distance_trajectory,
     "max_deviation_date": max_deviation_date,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from parcelspark.functions.labels import CROP_CODES
 from parcelspark.functions.season import Season
-from parcelspark.plans import source_queries
+from parcelspark.plans import source_queries, table_queries
 
 SEASON = Season()
 DAYS, BINS = SEASON.days, SEASON.n_bins
@@ -186,6 +186,12 @@ SELECTS = {
     "season_bins": """SELECT s.bin, CAST(s.bin_start AS VARCHAR) AS bin_start, CAST(s.bin_end AS VARCHAR) AS bin_end,
         CAST(s.bin_center AS VARCHAR) AS bin_center, count(o.parcel_id) AS n_obs
         FROM season s LEFT JOIN obs o ON o.obs_date >= s.bin_start AND o.obs_date < s.bin_end GROUP BY ALL""",
+    "season_bins_sql": f"""SELECT c.crop_name, b.bin, CAST(b.lo AS VARCHAR) AS bin_start, CAST(b.hi AS VARCHAR) AS bin_end,
+        CAST(b.lo + CAST((b.hi - b.lo) // 2 AS INT) AS VARCHAR) AS bin_center, count(o.obs_date) AS n_obs
+        FROM (SELECT DISTINCT crop_name, CAST(7 * (1 + CAST(substr(crop_name, 6) AS INT) % 3) AS INT) AS step FROM obs WHERE crop_name IS NOT NULL) c
+        JOIN (SELECT step, CAST(i AS INT) AS bin, DATE '{SEASON.start}' + CAST(i * step AS INT) AS lo, DATE '{SEASON.start}' + CAST(least(i * step + step, {DAYS}) AS INT) AS hi
+          FROM (VALUES (7), (14), (21)) s(step), range(30) r(i) WHERE i * step < {DAYS}) b ON b.step = c.step
+        LEFT JOIN obs o ON o.crop_name = c.crop_name AND o.obs_date >= b.lo AND o.obs_date < b.hi GROUP BY ALL""",
     "crop_profiles": """SELECT crop_name, CAST(bin_center AS VARCHAR) AS bin_center, n_obs, CAST(pos AS INT) AS pos,
         round(value, 6) + 0.0::DOUBLE AS value FROM prof""",
     "profile_coverage": """SELECT crop_name, n AS n_temporal_bins, array_to_string([CAST(x AS VARCHAR) FOR x IN dates], ',') AS bin_sample_dates
@@ -422,9 +428,13 @@ SELECTS |= {
     "spatial_knn_cells": SELECTS["spatial_knn"],
     "crop_profiles_large": SELECTS["crop_profiles"],
     "parcel_scores_salted": SELECTS["parcel_scores_fixed"],
+    "parcel_scores_bucketed": SELECTS["parcel_scores_fixed"],
 }
 SELECTS["utm_project_south"] = f"SELECT site_id, x, round(10000000 - y, 3) AS y FROM ({SELECTS['utm_project']}) north"
 
 
+SELECTS |= table_queries.selects(SELECTS)
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: _sql(select) for name, select in SELECTS.items()}

@@ -23,9 +23,12 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     return df.sparkSession.read.parquet(path)
 
 
-def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> DataFrame:
-    """Save a table bucketed by its join key: later joins on the key need no shuffle of it."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Save a table bucketed by its join key, under `path` if given: later joins on the key need no shuffle of it."""
+    writer = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
     return df.sparkSession.table(table)
 
 

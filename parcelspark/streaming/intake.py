@@ -111,7 +111,7 @@ class RunningScores(StatefulProcessor):
         n, hits, profiled, total, weight, worst, worst_day = self.sums.get() or (0, 0, False, 0.0, 0.0, -1.0, 0)
         for batch in rows:
             for day, w, d, known in zip(days(batch["obs_date"]), batch["weight"], batch["distance"], batch["has_profile"], strict=True):
-                if self.path.containsKey((day,)):
+                if pd.isna(w) or self.path.containsKey((day,)):  # without a label, or known
                     continue
                 hit = not pd.isna(d)
                 self.path.updateValue((day,), (float(d) if hit else None,))
@@ -160,7 +160,8 @@ def score_stream(
     """
     green, red = limits
     frozen = replace(rules, method="fixed", green=green, red=red)
-    matched = match_observations(parcels, stream.select("parcel_id", "obs_date", "embedding"), profiles, season, frozen)
+    arrived = stream.select("parcel_id", "obs_date", "embedding")
+    matched = match_observations(parcels, arrived, profiles, season, frozen, unlabelled=True)
     running = matched.groupBy("parcel_id").transformWithStateInPandas(
         statefulProcessor=RunningScores(), outputStructType=RUNNING, outputMode="Update", timeMode="None"
     )

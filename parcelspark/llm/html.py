@@ -4,9 +4,9 @@ A page is cut into blocks. Elements that never hold the article (scripts, naviga
 and the like, by name, role, class or id) go; blocks inside an article or main element are safe. What is left, the open
 blocks, may or may not be boilerplate, and the host tells: the token streams of its pages are concatenated, and
 substrings of at least `min_tokens` tokens that occur in two distinct pages, and in `SHARE` of the host's pages, are
-boilerplate. Open blocks that they cover from end to end go; all others stay whole. Pages with the same open text are
-copies of one page and take nothing from each other, and a block of more than `LONG_BLOCK` tokens, which may be the
-story of two similar pages, goes only where three pages share it.
+repeated. An open block that they cover from end to end goes if the page has a text of its own to show for it, at least
+half as long; all others stay whole. So a story under several addresses stays in each of them, however much the lines
+around it differ, and pages with the same open text take nothing from each other.
 
 The suffix array of a host is never built in one place, since a host may hold a third of all pages. Suffixes that agree
 in their first `min_tokens` tokens are one interval of the array, and a repeated substring of any greater length is a
@@ -34,10 +34,11 @@ from parcelspark.session import stage
 
 MIN_TOKENS = 8
 SHARE = 0.3  # of the host's pages with open blocks that must hold a run
-LONG_BLOCK = 25  # tokens above which a block must be shared by three pages
+OWN = 2  # a repeated block goes from pages whose own text, times this, is as long
 
 # Elements whose content is not markup: everything up to the closing tag is skipped.
-RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "title", "textarea", "xmp"}
+RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "title", "textarea", "xmp", "annotation", "annotation-xml"}
+HEAD = {"title", "base", "basefont", "link", "meta", "style", "script", "noscript", "template", "bgsound", "command", "object"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 DROPPED = {"nav", "footer", "aside", "form", "head", "menu", "button", "select", "dialog", "label", "fieldset", "audio", "video"}
 MAIN = {"article", "main"}
@@ -45,6 +46,8 @@ INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins",
     "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time",
     "tt", "u", "var", "wbr", "br", "img",
+    "math", "semantics", "mrow", "mi", "mn", "mo", "ms", "mtext", "mspace", "mfrac", "msqrt", "mroot", "mstyle", "msub", "msup",
+    "msubsup", "munder", "mover", "munderover", "mfenced", "mpadded", "mphantom", "mtable", "mtr", "mtd",
 }
 # Without attributes these decide nothing.
 PLAIN = INLINE | {"p", "div", "section", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "td", "tr", "blockquote", "pre"}
@@ -68,9 +71,10 @@ FOREIGN = re.compile(r"comment|disqus|replies|respond|discussion|related|recomme
 HEADINGS = {"header", "h1", "h2", "h3", "h4", "h5", "h6"}
 MAIN_MARKS = re.compile(r"(?:^|\s)(?:article|main|content|main-content|article-body|post-content|entry-content|article-content)(?:$|\s)", re.I)
 
-PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+# A quote opens a value only after an equals sign.
+PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+QUOTED = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*')")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)  # as a name, values being taken out
 NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 
@@ -85,7 +89,7 @@ def attributes(text: str) -> dict[str, str]:
 def hidden(attrs: dict[str, str], raw: str) -> bool:
     if attrs.get("aria-hidden", "").lower() == "true" or NOT_SHOWN.search(attrs.get("style", "")):
         return True
-    return "hidden" in raw.lower() and bool(HIDDEN.search(QUOTED.sub("''", raw)))
+    return "hidden" in raw.lower() and bool(HIDDEN.search(QUOTED.sub("=''", raw)))
 
 
 def unwanted(tag: str, attrs: dict[str, str], raw: str, inside_main: bool, forms: bool) -> int:
@@ -98,8 +102,14 @@ def unwanted(tag: str, attrs: dict[str, str], raw: str, inside_main: bool, forms
         return FAR
     if tag in ("body", "html") or (inside_main and tag in HEADINGS) or (tag in MAIN and not inside_main):
         return KEPT
-    mark = MARKS.search(f"{attrs.get('class', '')} {attrs.get('id', '')}")
-    return (FAR if FOREIGN.search(mark[0]) else AROUND) if mark else KEPT
+    names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
+    mark = MARKS.search(names)
+    if not mark:
+        return KEPT
+    if FOREIGN.search(mark[0]):
+        return FAR
+    # "content sidebar-right" is a layout: what holds the content is not the sidebar.
+    return KEPT if MAIN_MARKS.search(names) else AROUND
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
@@ -151,8 +161,11 @@ def _blocks(page: str, rescue: bool = False, forms: bool = True) -> tuple[list[t
     while at < end:
         m = PIECE.search(page, at)
         start = m.start() if m else end
-        if start > at and not dropped:
-            text.append(page[at:start])
+        if start > at:
+            if count["head"] and stack[-1][0] == "head" and not page[at:start].isspace():
+                close(len(stack) - 1)  # text cannot stand in a head
+            if not dropped:
+                text.append(page[at:start])
         if not m:
             break
         at = m.end()
@@ -161,9 +174,16 @@ def _blocks(page: str, rescue: bool = False, forms: bool = True) -> tuple[list[t
         tag, closing, raw = m[2].lower(), bool(m[1]), m[3]
         if tag in RAW:
             if not closing and not raw.rstrip().endswith("/"):
-                stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
                 at = stop.end() if stop else end
             continue
+        if count["head"] and not closing and tag not in HEAD and tag != "head":
+            # The end tag of a head may be left out: the first element that cannot stand in it ends it.
+            for depth in range(len(stack) - 1, -1, -1):
+                if stack[depth][0] == "head":
+                    flush()
+                    close(depth)
+                    break
         if tag not in INLINE:
             flush()
         elif tag == "br" and not dropped:
@@ -309,13 +329,17 @@ def _assemble(found: list[dict], starts: list[dict] | None, min_tokens: int) ->
     for s in starts if starts is not None else ():
         run = shared[s["start"] : s["start"] + min_tokens]
         np.maximum(run, s["n"], out=run)
-    out, at, open_blocks = [], 0, iter(streams)
+    sizes = [len(stream) for stream in streams]
+    ends = np.cumsum(sizes)
+    repeated = [shared[end - size : end].min() > 1 for size, end in zip(sizes, ends, strict=True)]
+    # What the page has for itself: its article, and the open blocks that are not repeated.
+    own = sum(len(b["text"].split(" ")) for b in found if b["safe"])
+    own += sum(size for size, again in zip(sizes, repeated, strict=True) if not again)
+    out, open_blocks = [], iter(zip(sizes, repeated, strict=True))
     for b in found:
-        if b["safe"]:
-            out.append(b["text"])
-            continue
-        size = len(next(open_blocks))
-        if shared[at : at + size].min() < (3 if size > LONG_BLOCK else 2):
-            out.append(b["text"])
-        at += size
+        if not b["safe"]:
+            size, again = next(open_blocks)
+            if again and size <= OWN * own:
+                continue
+        out.append(b["text"])
     return "\n".join(out)

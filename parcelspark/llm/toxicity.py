@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -41,15 +42,16 @@ STAND_IN = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"
 
 _LETTERS = str.maketrans({**LOOK_ALIKE, "l": "i", "|": " ", "​": "", "‌": "", "‍": "", "\xad": ""})
 _STAND_INS = str.maketrans({**STAND_IN})
-# A sign stands for a letter only between letters or digits, so "!!" after a word is none.
-_SIGN = r"(?<=\w)[@$!](?=\w)"
-_MIXED = re.compile(rf"(?:[^\W\d_]|{_SIGN})*(?:[0-9]|{_SIGN})(?:[^\W_]|{_SIGN})*")
+# A sign stands for a letter only between letters or digits, so "!!" after a word is none. One run, never tried again.
+_RUN = re.compile(r"(?:[^\W_]|(?<=\w)[@$!](?=\w))+")
 _TOKEN = re.compile(r"[^\W_]+")
+_STANDS = re.compile("[0-9@$!]")
+_ALPHA = re.compile(r"[^\W\d_]")
 
 
 def _letters(m: re.Match) -> str:
     token = m[0]
-    return token.translate(_STAND_INS) if any(c.isalpha() for c in token) else token
+    return token.translate(_STAND_INS) if _STANDS.search(token) and _ALPHA.search(token) else token
 
 
 def fold(text: str) -> str:
@@ -59,7 +61,7 @@ def fold(text: str) -> str:
     """
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-    text = _MIXED.sub(_letters, text.lower()) if re.search("[0-9@$!]", text) else text.lower()
+    text = _RUN.sub(_letters, text.lower()) if _STANDS.search(text) else text.lower()
     return " " + " ".join(_TOKEN.findall(text.translate(_LETTERS))) + " "
 
 
@@ -103,14 +105,24 @@ def evidence(folded: str, matcher: ahocorasick.Automaton | None) -> float:
     excused: list[tuple[int, int]] = []
     for end, (length, weight, is_exception) in matcher.iter(folded):
         start = end - length + 1
-        if is_exception:
+        if is_exception:  # found in the order of their ends: overlapping ones become one
+            while excused and excused[-1][1] >= start:
+                start_of, _ = excused.pop()
+                start = min(start, start_of)
             excused.append((start, end))
+            start = end - length + 1
         if weight is not None:
             hits[start] = max(weight, hits.get(start, -math.inf))
-    total = sum(w for s, w in hits.items() if not any(a <= s < b for a, b in excused))
+    total = sum(w for s, w in hits.items() if not _inside(s, excused))
     return total / (1 + math.log1p(folded.count(" ") / 200))
 
 
+def _inside(place: int, spans: list[tuple[int, int]]) -> bool:
+    """Whether a place lies in one of the spans, which ascend and do not overlap."""
+    at = bisect_right(spans, place, key=lambda span: span[0]) - 1
+    return at >= 0 and place < spans[at][1]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
     """doc_id, text, toxic of at most `per_class` documents a label; rows held out are never among them."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))

@@ -41,6 +41,8 @@ def with_row_names(docs: DataFrame, name: str) -> DataFrame:
     A row of Parquet files is named by its file, in the order of their paths, and its place there; how the files are
     split among tasks does not matter. Any other frame is written once and named by the table.
     """
+    if not docs.inputFiles():
+        return with_row_names(stage(docs, "named-rows"), name)
     place = [F.col("_metadata.file_path").alias("_file_path"), F.col("_metadata.row_index").alias("_row_index")]
     kept = [F.col(f"`{c}`") for c in docs.columns]
     try:

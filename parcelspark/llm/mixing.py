@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelspark.llm.common import word_count
+from parcelspark.llm.common import free_name, with_row_names, word_count
 from parcelspark.session import stage
 
 BUCKET_ROWS = 4096  # rows of a source that one running sum covers
@@ -90,22 +90,26 @@ def mix(
     shards: int = 16,
     block_words: int = 50_000,
     seed: int = 11,
+    row_name: str | None = None,
 ) -> DataFrame:
     """One row per document row: row_id, doc_id, source, size, source_size, target, draws.
 
     draws: array of (pass, shard, place), one entry for each time the mix takes the document; place is its random
     position in the shard's local order. size: words of the text, 0 for null and empty ones, which are drawn like any
     other document. Sources are weighed in turn by `weight_cycle` in code point order, the null source last. Repeated
-    rows are documents of their own. row_id is the row's number in this scan of `docs`; equal results on each run
-    follow from the fixed seed. An empty table gives no rows. Extra columns are left out.
+    rows are documents of their own. row_id names the row of the table (`row_name`: a column that holds such names
+    already); equal results on each run follow from the fixed seed. An empty table gives no rows. Extra columns are left out.
     """
     spark = docs.sparkSession
+    if row_name is None:
+        docs, row_name = with_row_names(docs.select("doc_id", "source", "text"), "row_id"), "row_id"
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row_id"),
+        F.col(row_name).alias("row_id"),
         F.col("doc_id"),
         F.col("source").cast("string").alias("source"),
         word_count(F.col("text")).alias("size"),
-        F.xxhash64(F.lit(seed), F.col("source"), F.col("doc_id")).alias("_order"),
+        # Rows without ids, or with one id, have places of their own too.
+        F.xxhash64(F.lit(seed), F.col("source"), F.col("doc_id"), F.col("text"), F.col(row_name)).alias("_order"),
     )
     rows = stage(rows, "mix-sizes")
 
@@ -296,10 +300,10 @@ def fill_up(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus itself: the documents' own columns, one row for each time a document is taken."""
-    row_id = "_mix_row"
-    chosen = mix(docs, **options).where(F.size("draws") > 0)
+    row_id = free_name(docs, "_mix_row")
+    numbered = with_row_names(docs, row_id)
+    chosen = mix(numbered, row_name=row_id, **options).where(F.size("draws") > 0)
     chosen = chosen.select(F.col("row_id").alias(row_id), F.explode("draws").alias("_draw"))
-    numbered = docs.withColumn(row_id, F.monotonically_increasing_id())
     mixed = numbered.join(chosen, row_id)
     mixed = mixed.repartitionByRange(F.col("_draw.shard"), F.col("_draw.place"))
     mixed = mixed.sortWithinPartitions(F.col("_draw.shard"), F.col("_draw.place"))

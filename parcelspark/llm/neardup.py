@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelspark.llm.bagminhash import GAMMA, band_keys, short_form, signatures
-from parcelspark.llm.common import free_name
+from parcelspark.llm.common import free_name, with_row_names
 from parcelspark.llm.wordhash import batches, mix, run_hashes, word_hashes
 from parcelspark.session import stage
 
@@ -252,16 +252,19 @@ def components(links: DataFrame) -> DataFrame:
         labels = moved.select("node", "label")
 
 
-def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = 0.8, row_name: str | None = None) -> DataFrame:
     """row_id, doc_id, kept_row, class_id, class_size of every document row.
 
     class_id is the smallest doc_id of the class (null only if all are null), kept_row the row that stands for it: the
-    one with that id, the first in the scan among equal ids. Texts with the same words are always one class, also those
+    one with that id, the first in the table among equal ids. Texts with the same words are always one class, also those
     of fewer than five words, which have one shingle. Null, empty and blank texts have no shingles: each is a class of
-    its own. row_id is the row's number in this scan of `docs`. An empty table gives no rows; extra columns are left out.
+    its own. row_id names the row of the table, in the order of its files; `row_name` is a column that holds such
+    names already. An empty table gives no rows; extra columns are left out.
     """
+    if row_name is None:
+        docs, row_name = with_row_names(docs.select("doc_id", "text"), "row_id"), "row_id"
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row_id"),
+        F.col(row_name).alias("row_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_order"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
@@ -319,7 +322,7 @@ def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One document of each class, with its own columns: the one with the smallest id."""
-    gone = classes(docs, threshold).where("row_id <> kept_row").select("row_id")
     row = free_name(docs, "row_id")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    numbered = with_row_names(docs, row)
+    gone = classes(numbered, threshold, row).where("row_id <> kept_row").select("row_id")
     return numbered.join(gone.withColumnRenamed("row_id", row), row, "left_anti").drop(row)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelspark.llm.common import pieces, word_count, words
+from parcelspark.llm.common import free_name, pieces, with_row_names, word_count, words
 
 SCAN = 64  # bins looked at in one step of the successor search
 
@@ -114,16 +114,21 @@ PACKED = (
 )
 
 
-def pack(docs: DataFrame, capacity: int = 2048, group_rows: int = 2048, seed: int = 3) -> DataFrame:
+def pack(
+    docs: DataFrame, capacity: int = 2048, group_rows: int = 2048, seed: int = 3, row_name: str | None = None
+) -> DataFrame:
     """One row per piece: row_id, doc_id, source, piece, start_word, n_words, bin_id, position, bin_words.
 
     A bin holds at most `capacity` words, at most one piece of each source (null is a source of its own) and no two
     copies of one text. Full pieces stand alone. Documents without words (null, empty) take no space: they come out
     with n_words 0 and null bin, position and bin_words. Repeated rows are copies of each other. An empty table gives
-    no rows; extra columns are left out. row_id is the row's number in this scan of `docs`.
+    no rows; extra columns are left out. row_id names the row of the table (`row_name`: a
+    column that holds such names already).
     """
+    if row_name is None:
+        docs, row_name = with_row_names(docs.select("doc_id", "source", "text"), "row_id"), "row_id"
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row_id"),
+        F.col(row_name).alias("row_id"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_cluster"),
@@ -154,8 +159,10 @@ def pack(docs: DataFrame, capacity: int = 2048, group_rows: int = 2048, seed: in
 
 def packed_texts(docs: DataFrame, **options) -> DataFrame:
     """The pieces of `pack` with their words, joined by one space, as `text`."""
-    placed = pack(docs, **options)
-    texts = docs.select(F.monotonically_increasing_id().alias("row_id"), words(F.col("text")).alias("_words"))
+    row = free_name(docs, "row_id")
+    numbered = with_row_names(docs, row)
+    placed = pack(numbered, row_name=row, **options)
+    texts = numbered.select(F.col(row).alias("row_id"), words(F.col("text")).alias("_words"))
     cut = F.slice("_words", (F.col("start_word") + 1).cast("int"), F.greatest(F.col("n_words"), F.lit(1)).cast("int"))
     return placed.join(texts, "row_id").select(
         *placed.columns, F.when(F.col("n_words") > 0, F.array_join(cut, " ")).otherwise(F.lit("")).alias("text")

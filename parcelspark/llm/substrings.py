@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelspark.llm.wordhash import batches, mix, run_hashes, word_hashes
+from parcelspark.llm.common import with_row_names
 from parcelspark.session import parallelism
 
 # Perfect difference sets by period (fixed values): every residue is a difference of two members.
@@ -257,15 +258,15 @@ def keep_first(docs: DataFrame, window: int = 20) -> DataFrame:
 
     A word goes if a window of `window` words that covers it has the same words as one that starts earlier: in a
     document with a smaller doc_id, or earlier in the same document. Windows are judged on the texts as they come in.
-    Rows with equal ids follow in the order of the scan, null ids come last. Null and empty texts have no words; texts
+    Rows with equal ids follow in the order of the table's files, null ids come last. Null and empty texts have no words; texts
     shorter than a window keep all. An empty table gives no rows, extra columns are left out.
     """
     spark = docs.sparkSession
     # Each writing task sends one row to each target, so there are no more of them than even work needs.
     buckets = parallelism(spark)
     targets = 2 * buckets
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row_id"),
+    rows = with_row_names(docs.select("doc_id", "text"), "row_id").select(
+        "row_id",
         F.col("doc_id"),
         F.col("text").cast("string").alias("text"),
     )

@@ -242,7 +242,9 @@ def frequent_runs(texts: DataFrame, sizes: list[int], allowed: np.ndarray | None
     counted = texts.mapInPandas(_count(sizes, allowed), RUNS)
     # Tasks have combined their rows already: straight to the shuffle.
     counted = counted.repartition("print").groupBy("print", "check")
-    found = counted.agg(F.sum("n").alias("n"), F.min("row").alias("row")).where(F.col("n") >= least)
+    # Any of the rows will do; a hash spreads the pointers over all of them.
+    pointer = F.min_by("row", F.xxhash64("print", "row")).alias("row")
+    found = counted.agg(F.sum("n").alias("n"), pointer).where(F.col("n") >= least)
     return stage(found, "phrase-runs")
 
 
@@ -278,7 +280,6 @@ def count_phrases(docs: DataFrame, least: int = 30, bits: int = FILTER_BITS) ->
     words = frequent_runs(texts, [0, 1], None, least)
     pairs = frequent_runs(texts, [2], bit_table(words, bits), least)
     longer = frequent_runs(texts, [3, 4], bit_table(pairs, bits), least)
-    # Pointers lead to the first rows that hold a phrase, so few rows are read again.
     runs = words.unionByName(pairs).unionByName(longer)
     by_row = runs.groupBy("row").agg(F.collect_list(F.struct("print", "check", "n")).alias("runs"))
     by_row = stage(by_row, "phrase-pointers")

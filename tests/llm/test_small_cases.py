@@ -262,3 +262,65 @@ def test_hilbert_curve_moves_one_cell_at_a_time():
     key = ann.hilbert(cells, bits=3)
     assert sorted(key) == list(range(side**3))
     assert (np.abs(np.diff(cells[np.argsort(key)], axis=0)).sum(axis=1) == 1).all()
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        ("<html><head><title>T</title><body><article><p>Hello world</p></article></body></html>", ["Hello world"]),
+        ("<html><head><meta charset=x><title>T</title><article><p>Hello</p></article>", ["Hello"]),
+        ("<head><title>T</title>Hello<p>there", ["Hello", "there"]),
+        ("<head><link rel=x><script>a</script><style>b</style></head><p>Hello", ["Hello"]),
+        ("<article><script>x</script bad><p>Hi</p></article>", ["Hi"]),
+        ("<article><script>x</scripty></script\n><p>Hi</p></article>", ["Hi"]),
+        ("<article><p title=it's>Hello</p><p>Next</p></article>", ["Hello", "Next"]),
+        ("<article><p title = 'a > b' class=\"x>y\">Hello</p><p 'odd\">Next</p></article>", ["Hello", "Next"]),
+        ("<div class='content sidebar-right'><p>Story text</p></div>", ["Story text"]),
+        ("<div class='sidebar-right'><p>Menu</p></div><div class='comments content'>me too</div><p>text</p>", ["text"]),
+        ("<article><p>So <math><mi>a</mi><mo>=</mo><mn>1</mn><annotation>a=1</annotation></math> holds</p></article>", ["So a=1 holds"]),
+    ],
+)
+def test_html_keeps_text(page, expected):
+    assert [t for _, t in html.blocks(page)] == expected
+
+
+def test_html_keeps_a_story_under_three_addresses(spark):
+    story = " ".join(f"told{i}" for i in range(60))
+    line = lambda n, i: " ".join(f"line{n}x{i}y{j}" for j in range(9))
+    rows = [(i, f"http://h/{i}", f"<p>{line('head', i)}</p><div>{story}</div><p>{line('tail', i)}</p>") for i in range(3)]
+    menu = "Follow us on all of our many channels today"
+    rows += [(10 + i, f"http://g/{i}", f"<p>{menu}</p><div>{line('a', i)} {line('b', i)}</div>") for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
+    assert all(story in got[i] for i in range(3))
+    assert [got[10 + i] for i in range(4)] == [f"{line('a', i)} {line('b', i)}" for i in range(4)]
+
+
+def test_toxicity_of_long_words_and_many_exceptions():
+    import time
+
+    model = toxicity.Model({" idiot ": 3.0}, frozenset({" no idiot here "}))
+    start = time.perf_counter()
+    assert len(toxicity.fold("x" * 1_000_000 + " 0")) > 1_000_000
+    toxicity.fold("x" * 500_000 + "0" + "y@" * 250_000)
+    matcher = model.automaton()
+    assert toxicity.evidence(toxicity.fold("no idiot here " * 50_000), matcher) == 0.0
+    assert time.perf_counter() - start < 2
+    assert toxicity.fold("1d10t !! a!b @home c@t 007 x_1y") == " idiot aib home cat 007 x iy "
+
+
+def test_matcher_against_a_plain_loop():
+    draw = np.random.default_rng(4)
+    words = ["ab", "abc", "bca", "cab", "a", "bc", "caba"]
+    model = toxicity.Model({" ab ": 1.0, " abc ": 2.5, " ca": 0.5, " cab": 0.75}, frozenset({" a ab ", " abc bc ", " bc ca"}))
+    matcher = model.automaton()
+    for _ in range(300):
+        text = toxicity.fold(" ".join(draw.choice(words, size=draw.integers(0, 30))))
+        starts = {}
+        for term, weight in model.weights.items():
+            for i in range(len(text)):
+                if text.startswith(term, i):
+                    starts[i] = max(weight, starts.get(i, 0.0))
+        spans = [(i, i + len(x) - 1) for x in model.exceptions for i in range(len(text)) if text.startswith(x, i)]
+        total = sum(w for i, w in starts.items() if not any(a <= i < b for a, b in spans))
+        assert toxicity.evidence(text, matcher) == pytest.approx(total / (1 + np.log1p(text.count(" ") / 200)))

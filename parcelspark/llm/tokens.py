@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED_WORDS = 400_000  # words remembered between batches of one task
+CACHED_WORDS = 250_000  # words remembered between batches of one task
 
 # Letters whose lower case is one letter of the same block, no combining marks: nothing to normalise.
 PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-įı-ňŊ-ž]*")

@@ -28,6 +28,7 @@ from parcelspark.session import lookup_join, stage
 CAPACITY = 4096
 SPAN = 256  # windows of a partition, unless the table of shares would pass CELLS
 CELLS = 1 << 22  # partitions times sources of the driver's table (32 MB)
+SLICE_BYTES = 8 << 20  # text encoded at a time
 LEAST = 32  # shorter pieces wait for more credit unless they end a queue
 PIECES = "doc_id long, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -98,12 +99,20 @@ class Plan:
         return tuple(np.concatenate(x) for x in zip(*runs, strict=True))
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about SLICE_BYTES, so that ids and their copies stay small."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * SLICE_BYTES // max(batch.column("text").nbytes, 1))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _encode(vocabulary: str, end: int):
     """docs -> (part, doc_id, source, queue, before, n, ids): `before` counts the queue's earlier tokens of the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), {}
-        for batch in batches:
+        for batch in sliced(batches):
             ids, counts = encoder(vocabulary).encode(batch.column("text"), end)
             before = np.zeros(len(counts), dtype=np.int64)
             queues = np.array(batch.column("queue").to_pylist(), dtype=object)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parcelspark.functions.geo import edges, polygon_bounds, project_rings, touched_runs
 from parcelspark.functions.labels import name_codes
 from parcelspark.session import lookup_join, spread_rows, stage
-from parcelspark.sources.raster import BLOCK, ROW_BYTES, Raster, stage_raster
+from parcelspark.sources.raster import BLOCK, ROW_BYTES, Raster, packed
 
 NEW, CUT, INSIDE, OUTSIDE = -1, 0, 1, 2  # how a square lies to a polygon
 CROWDED = 20_000  # parcels of one block that are met apart from the others
@@ -117,10 +117,11 @@ def zonal_counts(parcels: DataFrame, raster: Raster | DataFrame, key: str = "par
     """Touched cells per parcel and class: (key, code, n).
 
     Squares inside a parcel are counted from the raster's class counts, and only blocks that an edge meets are opened. A
-    raster given as single pixels (x, y, code) is stored first, as far as the parcels reach.
+    raster given as single pixels (x, y, code) is packed first, as far as the parcels reach, without a pyramid: store it
+    (`write_raster`) where it is used again.
     """
     if isinstance(raster, DataFrame):
-        raster = stage_raster(_within(parcels, raster))
+        raster = packed(_within(parcels, raster))
     covered = stage(cover(parcels, key, raster.block, raster.levels), "zonal-cover")
     nodes = covered.where("whole").select(key, "level", "node_x", "node_y")
     whole = nodes.join(raster.pyramid, ["level", "node_x", "node_y"]).select(key, F.inline("classes"))

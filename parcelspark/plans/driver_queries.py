@@ -21,6 +21,7 @@ from parcelspark.plans import driver_views as views, source_queries
 from parcelspark.session import stage, staging_folder
 from parcelspark.sources import tables
 from parcelspark.sources.parcels import flatten_attributes
+from parcelspark.sources.raster import stage_raster
 from parcelspark.sources.tables import replace_by_key
 from parcelspark.streaming import intake
 
@@ -543,7 +544,8 @@ def utm_project_south(spark, sf):
 
 
 def zonal_counts(spark, sf):
-    return zonal.zonal_counts(views.site_rings(spark, sf), views.pixels(spark, sf), "site_id")
+    """Counts from a raster stored as blocks with its pyramid."""
+    return zonal.zonal_counts(views.site_rings(spark, sf), stage_raster(views.pixels(spark, sf)), "site_id")
 
 
 def zonal_majority(spark, sf):

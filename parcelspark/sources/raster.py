@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelspark.session import parallelism, staging_folder
+from parcelspark.session import parallelism, stage, staging_folder
 
 BLOCK = 16  # cells along the side of a block
 ROW_BYTES = 64  # of a block besides its codes
@@ -98,6 +98,16 @@ def open_raster(spark: SparkSession, folder: str, block: int = BLOCK) -> Raster:
     return Raster(spark.read.parquet(f"{folder}/blocks"), pyramid, block, levels)
 
 
+def packed(pixels: DataFrame, block: int = BLOCK) -> Raster:
+    """A raster for one use: staged blocks, and the class counts of single blocks."""
+    blocks = stage(to_blocks(pixels.select("x", "y", "code"), block), "raster-blocks")
+    classes = blocks.select(
+        F.lit(0).alias("level"), F.col("block_x").alias("node_x"), F.col("block_y").alias("node_y"),
+        class_counts(F.col("codes")).alias("classes"),
+    )
+    return Raster(blocks, classes, block, 0)
+
+
 def stage_raster(pixels: DataFrame, block: int = BLOCK) -> Raster:
     """Store a raster for the length of this application."""
     return write_raster(pixels, f"{staging_folder(pixels.sparkSession)}/raster-{uuid.uuid4().hex}", block)

@@ -27,17 +27,23 @@ def similarity_columns(distance: Column) -> list[Column]:
 
 
 def nearest_to(vectors: DataFrame, parcel_id: str, k: int = 10) -> DataFrame:
-    """The k most similar parcels of one parcel. The query vector is a scalar subquery."""
+    """The k most similar parcels of one parcel. The query vector is a scalar subquery.
+
+    A parcel with several rows, one a crop, has one vector: it counts once, and all its rows come.
+    """
     query = vectors.where(F.col("parcel_id") == parcel_id)
     if query.isEmpty():
         raise KeyError(f"no vector for parcel {parcel_id}")
     # Ordered at 9 dp like the join below, so that both give the same order.
     return (
         vectors.where(F.col("parcel_id") != parcel_id)
-        .withColumn("_query", query.select("unit").scalar())
+        .withColumn("_query", query.agg(F.min("unit")).scalar())
         .select("parcel_id", "crop_name", (1.0 - dot(F.col("unit"), F.col("_query"))).alias("_d"))
+        .groupBy("parcel_id")
+        .agg(F.min("_d").alias("_d"), F.collect_list(F.struct("crop_name")).alias("_rows"))
         .orderBy(F.round("_d", 9), "parcel_id")
         .limit(k)
+        .select("parcel_id", "_d", F.inline("_rows"))
         .select("parcel_id", "crop_name", *similarity_columns(F.col("_d")))
     )
 
@@ -45,8 +51,8 @@ def nearest_to(vectors: DataFrame, parcel_id: str, k: int = 10) -> DataFrame:
 def nearest_of_all(
     vectors: DataFrame, k: int = 10, queries: DataFrame | None = None, plan: KnnPlan = KnnPlan()
 ) -> DataFrame:
-    """The k most similar parcels of every parcel, or of those in `queries`."""
-    as_points = lambda df: df.select(F.col("parcel_id").alias("id"), F.col("unit").alias("vec"))
+    """The k most similar parcels of every parcel, or of those in `queries`; as above, a parcel counts once."""
+    as_points = lambda df: df.groupBy(F.col("parcel_id").alias("id")).agg(F.min("unit").alias("vec"))
     corpus = as_points(vectors)
     found = knn_join(corpus if queries is None else as_points(queries), corpus, k, CosineMetric, plan=plan)
     labels = vectors.select(F.col("parcel_id").alias("neighbor_id"), F.col("crop_name").alias("neighbor_crop"))

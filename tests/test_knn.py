@@ -109,3 +109,12 @@ def test_mislabel_scan(spark):
     assert (found["a"].diff_neighbors, found["a"].labeled_neighbors, found["a"].neighbor_diff_fraction) == (2, 2, 1.0)
     assert set(found) <= {"a", "e", "f"}
     assert not scan_mislabels(vectors(spark), 3, 0.5, crop="oats").collect()
+
+
+def test_a_parcel_of_two_crops_counts_once(spark):
+    v = vectors(spark)
+    twice = v.unionByName(v.where("parcel_id IN ('a', 'b')").withColumn("crop_name", F.lit("oats")))
+    one = [(r.parcel_id, r.crop_name) for r in nearest_to(twice, "a", 2).collect()]
+    assert sorted(one) == [("b", "oats"), ("b", "rye"), ("c", "rye")]
+    every = nearest_of_all(twice, 2).where("parcel_id = 'a'").collect()
+    assert sorted((r.neighbor_id, r.neighbor_crop, r["rank"]) for r in every) == [("b", "oats", 1), ("b", "rye", 1), ("c", "rye", 2)]

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,20 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{staging_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+PAGE_ITEMS = 1000  # items of one collection
+
+
+def _collections(items: int = PAGE_ITEMS):
+    """Items, one a row, in collections of at most `items`."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            pages = [pdf["value"].iloc[i : i + items] for i in range(0, len(pdf), items)]
+            yield pd.DataFrame({"value": ['{"type":"FeatureCollection","features":[' + ",".join(page) + "]}" for page in pages]})
+
+    return run
+
+
 def catalog_items(spark: SparkSession, sf: str) -> DataFrame:
     """Scenes written as item collections and as single items, and read as a catalogue."""
     folder = _folder(spark, "items")
@@ -36,14 +52,15 @@ def catalog_items(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(',"assets":{"blue":{"href":"u/'), "scene_id", F.lit('/blue"},"B04":{"href":"u/'), "scene_id", F.lit('/red"}}}'),
     )
     rows = found.select("scene_id", item.alias("value"))
-    many = rows.where("scene_id % 50 <> 0").groupBy(F.col("scene_id") % 7)
-    many = many.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("value"), ","), F.lit("]}")).alias("value"))
-    single = rows.where("scene_id % 50 = 0").select("value")
-    # One document a file, as a search service answers.
-    documents = many.select("value").unionByName(single)
-    numbered = documents.withColumn("part", F.xxhash64("value"))
-    numbered.write.partitionBy("part").text(folder)
-    usable = scenes.resolve_bands(catalog.read_scene_items(spark, folder), ["B02", "B04", "B08"])
+    rows = rows.where(F.col("value").isNotNull())
+    # One collection a file, as a search service answers: in pages. Single items are many and tiny, so they come one a line.
+    pages = rows.where("scene_id % 50 <> 0").select("value").mapInPandas(_collections(), "value string")
+    pages.withColumn("part", F.xxhash64(F.monotonically_increasing_id())).write.partitionBy("part").text(f"{folder}/collections")
+    rows.where("scene_id % 50 = 0").select("value").write.text(f"{folder}/items")
+    listed = catalog.read_scene_items(spark, f"{folder}/collections").unionByName(
+        catalog.read_scene_items(spark, f"{folder}/items", by_line=True)
+    )
+    usable = scenes.resolve_bands(listed, ["B02", "B04", "B08"])
     return usable.select(
         "scene_id", "collection", text("scene_date"), "cloud_cover", F.round(F.col("bbox")[2], 6).alias("east"),
         F.size(F.flatten("footprint")).alias("n_points"),

@@ -18,14 +18,15 @@ COLUMNS = (
 )
 
 
-def read_scene_items(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_scene_items(spark: SparkSession, paths: str | list[str], by_line: bool = False) -> DataFrame:
     """Rows (scene_id, collection, scene_date, cloud_cover, bbox, footprint, assets) of items and collections.
 
+    A file holds one document, which one task reads as a whole, or `by_line` one on each line, which Spark can split.
     footprint: the rings of the item's geometry, all polygons in turn; null without a readable one.
     """
     raw = (
         spark.read.schema(f"{COLUMNS}, features array<struct<{ITEM}>>")
-        .option("multiLine", True)
+        .option("multiLine", not by_line)
         .json(paths)
     )
     own = F.struct("id", "collection", "bbox", "geometry", "properties", "assets")

@@ -4,10 +4,12 @@ import json
 from datetime import date
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from parcelspark.operators import scenes
+from parcelspark.plans import table_queries
 from parcelspark.sources import archives, catalog, parcels, tables
 
 
@@ -117,6 +119,18 @@ def test_scene_index(spark, tmp_path):
     assert not scenes.covers(usable.drop("x"), "2024-04-15", "2025-01-01") and scenes.covers(usable, "2024-05-01", "2025-01-01")
 
 
+def test_items_one_a_line_and_in_pages(spark, tmp_path):
+    lines = [json.dumps(item(f"i{i}", "2024-05-01", 1.0, ["B02"])) for i in range(25)]
+    (tmp_path / "items.jsonl").write_text("\n".join(lines) + "\n")
+    assert catalog.read_scene_items(spark, str(tmp_path / "items.jsonl"), by_line=True).count() == 25
+    pages = [page for frame in table_queries._collections(10)([pd.DataFrame({"value": lines})]) for page in frame["value"]]
+    assert [len(json.loads(page)["features"]) for page in pages] == [10, 10, 5]
+    for i, page in enumerate(pages):
+        (tmp_path / f"page{i}.json").write_text(page)
+    found = catalog.read_scene_items(spark, [str(tmp_path / f"page{i}.json") for i in range(3)])
+    assert sorted(r.scene_id for r in found.collect()) == sorted(f"i{i}" for i in range(25))
+
+
 def test_scene_predicates_reach_the_scan(spark, tmp_path):
     rows = spark.createDataFrame([("a", date(2024, 5, 1), 3.0, "s2")], "scene_id string, scene_date date, cloud_cover double, collection string")
     rows.write.parquet(str(tmp_path / "scenes"))

@@ -168,31 +168,37 @@ def median_vectors(
     rows_of = F.lit(block_rows) if block_rows else F.greatest(F.lit(1), F.lit(BLOCK_BYTES) / (8 * F.col("_d")))
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_obs"), F.max(F.size(vec)).alias("_d"))
     sizes = sizes.where(F.col("n_obs") >= min_count).withColumn("_blocks", F.ceil(F.col("n_obs") / rows_of).cast("int"))
-    sizes = stage(sizes, "group-sizes")
+    # Small blocks are read in bundles of a full block's size, so that a histogram is made for that many rows.
+    per = F.greatest(F.lit(1), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("_d") * rows_of))).cast("int")
+    sizes = stage(sizes.withColumn("_per", per).withColumn("_group", F.monotonically_increasing_id()), "group-sizes")
     groups, most = sizes.agg(F.count(F.lit(1)), F.max("_blocks")).first()
     names = [f"_k{i}" for i in range(len(keys))]
     kinds = dict(df.dtypes)
     key_schema = ", ".join(f"{n} {kinds[k]}" for n, k in zip(names, keys, strict=True))
     # Null keys meet inside a struct.
     key = F.struct(*[F.col(k).alias(n) for n, k in zip(names, keys, strict=True)])
-    sizes = sizes.select(key.alias("_key"), "n_obs", "_d", "_blocks")
+    sizes = sizes.select(key.alias("_key"), "n_obs", "_d", "_blocks", "_per", "_group")
     mark = spread or [vec]
     rows = df.select(key.alias("_key"), F.col(vec).alias("_vec"), F.xxhash64(*mark).alias("_mark"))
     rows = lookup_join(rows, sizes, ["_key"], 128 * groups, ["_mark"], how="inner")
-    rows = rows.select("_key.*", F.pmod("_mark", F.col("_blocks")).cast("int").alias("_block"), "_blocks", "n_obs", "_d", "_vec")
-
-    block_schema = f"{key_schema}, _block int, _blocks int, n_obs long, _d int, _rows int, _raw binary"
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[:1]
-        found = np.sort(ordered(dense(pdf["_vec"], int(head["_d"].iloc[0]))), axis=0)
-        if head["_blocks"].iloc[0] == 1:
-            raw = middle(found)
-        else:
-            raw = np.ascontiguousarray(found)
-        return head.drop(columns="_vec").assign(_rows=len(found), _raw=[raw.tobytes()])
-
-    blocks = rows.groupBy(*names, "_block").applyInPandas(pack, block_schema)
+    block = F.pmod("_mark", F.col("_blocks")).cast("int")
+    rows = rows.select("_key.*", "_group", block.alias("_block"), "_per", "_blocks", "n_obs", "_d", "_vec")
+    rows = rows.withColumn("_bundle", F.floor(F.col("_block") / F.col("_per")).cast("int"))
+
+    block_schema = f"{key_schema}, _group long, _block int, _bundle int, _blocks int, n_obs long, _d int, _rows int, _raw binary"
+    columns = [c.split()[0] for c in block_schema.split(f"{key_schema}, ")[1].split(", ")]
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, starts in _whole_runs(batches, ["_group", "_block"]):
+            heads, ends = pdf.iloc[starts], [*starts[1:], len(pdf)]
+            raws = []
+            for a, b, d, n in zip(starts, ends, heads["_d"], heads["_blocks"], strict=True):
+                found = np.sort(ordered(dense(pdf["_vec"].iloc[a:b], int(d))), axis=0)
+                raws.append((middle(found) if n == 1 else np.ascontiguousarray(found)).tobytes())
+            yield heads.assign(_rows=np.subtract(ends, starts), _raw=raws)[[*names, *columns]]
+
+    dealt = rows.repartition("_group", "_bundle").sortWithinPartitions("_group", "_block")
+    blocks = dealt.mapInPandas(pack, block_schema)
     if (most or 0) > 1:
         blocks = stage(blocks, "median-blocks")
         whole = blocks.where("_blocks = 1").select(*names, "n_obs", F.col("_raw").alias("_found"))
@@ -204,6 +210,57 @@ def median_vectors(
     )
 
 
+def _starts(pdf: pd.DataFrame, columns: list[str]) -> np.ndarray:
+    """Where the runs of equal whole numbers begin."""
+    keys = pdf[columns].to_numpy(np.int64)
+    return np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+
+
+def _whole_runs(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Sorted rows in pieces that cut no run of `columns`, with the places where the runs begin."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        same = bool(held) and (held[-1][columns].iloc[-1] == pdf[columns].iloc[0]).all()
+        last = int(_starts(pdf, columns)[-1])
+        if held and not (same and last == 0):
+            whole = pd.concat([*held, pdf.iloc[:last]], ignore_index=True)
+            yield whole, _starts(whole, columns)
+            held = [pdf.iloc[last:]]
+        elif not held and last:
+            yield pdf.iloc[:last], _starts(pdf.iloc[:last], columns)
+            held = [pdf.iloc[last:]]
+        else:
+            held.append(pdf)
+    if held:
+        whole = pd.concat(held, ignore_index=True)
+        yield whole, _starts(whole, columns)
+
+
+def _bundles(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """(head, sorted keys) of the blocks of a bundle that come one after the other."""
+
+    def merged(run: list[pd.DataFrame]) -> tuple[pd.DataFrame, np.ndarray]:
+        head = run[0].iloc[:1]
+        parts = [np.frombuffer(raw, dtype=np.int64).reshape(-1, int(head["_d"].iloc[0])) for pdf in run for raw in pdf["_raw"]]
+        return head, parts[0] if len(parts) == 1 else np.sort(np.concatenate(parts), axis=0)
+
+    run: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        starts = _starts(pdf, ["_group", "_bundle"])
+        for a, b in zip(starts, [*starts[1:], len(pdf)], strict=True):
+            part = pdf.iloc[a:b]
+            if run and (run[-1][["_group", "_bundle"]].iloc[-1] != part[["_group", "_bundle"]].iloc[0]).any():
+                yield merged(run)
+                run = []
+            run.append(part)
+    if run:
+        yield merged(run)
+
+
 def _read(names: list[str], out: str):
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -224,19 +281,15 @@ def _narrowed(blocks: DataFrame, names: list[str], key_schema: str) -> DataFrame
             yield pdf[[*names, "_d", "n_obs"]].assign(_state=fresh, _ready=False)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i in range(len(pdf)):
-                row = pdf.iloc[i : i + 1]
-                d = int(row["_d"].iloc[0])
-                keys = np.frombuffer(row["_raw"].iloc[0], dtype=np.int64).reshape(-1, d)
-                counts = Search(d, row["_state"].iloc[0]).count(keys)
-                yield row[[*names, "_block", "_d", "n_obs", "_state"]].assign(_counts=[counts.tobytes()])
+        for head, keys in _bundles(batches):
+            counts = Search(int(head["_d"].iloc[0]), head["_state"].iloc[0]).count(keys)
+            yield head[[*names, "_bundle", "_d", "n_obs", "_state"]].assign(_counts=[counts.tobytes()])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.frombuffer(pdf["_counts"].iloc[0], dtype=np.int64).copy()
         for raw in pdf["_counts"].iloc[1:]:
             total += np.frombuffer(raw, dtype=np.int64)
-        return pdf.iloc[:1].assign(_counts=[total.tobytes()], _block=pdf["_block"].iloc[0] // FAN_IN)
+        return pdf.iloc[:1].assign(_counts=[total.tobytes()], _bundle=pdf["_bundle"].iloc[0] // FAN_IN)
 
     def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -249,13 +302,9 @@ def _narrowed(blocks: DataFrame, names: list[str], key_schema: str) -> DataFrame
             yield pdf[[*names, "_d", "n_obs"]].assign(_state=packed, _ready=ready)
 
     def select(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i in range(len(pdf)):
-                row = pdf.iloc[i : i + 1]
-                d = int(row["_d"].iloc[0])
-                keys = np.frombuffer(row["_raw"].iloc[0], dtype=np.int64).reshape(-1, d)
-                entries, sizes = Search(d, row["_state"].iloc[0]).candidates(keys)
-                yield row[[*names, "_d", "n_obs", "_state"]].assign(_entries=[entries.tobytes()], _sizes=[sizes.tobytes()])
+        for head, keys in _bundles(batches):
+            entries, sizes = Search(int(head["_d"].iloc[0]), head["_state"].iloc[0]).candidates(keys)
+            yield head[[*names, "_d", "n_obs", "_state"]].assign(_entries=[entries.tobytes()], _sizes=[sizes.tobytes()])
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         d = int(pdf["_d"].iloc[0])
@@ -266,21 +315,23 @@ def _narrowed(blocks: DataFrame, names: list[str], key_schema: str) -> DataFrame
 
     def with_state(state: DataFrame, groups: int, widest: int) -> DataFrame:
         own = state.select(key.alias("_key"), "_state")
-        met = lookup_join(blocks.withColumn("_key", key), own, ["_key"], groups * (80 * widest + 128), ["_block"], how="inner")
+        met = lookup_join(blocks.withColumn("_key", key), own, ["_key"], groups * (80 * widest + 128), ["_bundle"], how="inner")
         return met.drop("_key")
 
     heads = blocks.select(*names, "_d", "n_obs").distinct()
     state = stage(heads.mapInPandas(begin, state_schema), "median-ranges")
     groups = state.count()
-    widest, most = blocks.agg(F.max("_d"), F.max("_blocks")).first()
-    count_schema = f"{key_schema}, _block int, _d int, n_obs long, _state binary, _counts binary"
+    widest, most = blocks.agg(F.max("_d"), F.max("_bundle") + 1).first()
+    count_schema = f"{key_schema}, _bundle int, _d int, n_obs long, _state binary, _counts binary"
     while True:
         counts = with_state(state, groups, widest or 1).mapInPandas(count, count_schema)
         left = most or 1
-        while left > 1:
-            parent = F.floor(F.col("_block") / FAN_IN)
+        while True:  # at least once: a bundle may lie in two tasks
+            parent = F.floor(F.col("_bundle") / FAN_IN)
             counts = counts.groupBy(*names, parent.alias("_to")).applyInPandas(add, count_schema)
             left = -(-left // FAN_IN)
+            if left == 1:
+                break
         state = stage(counts.mapInPandas(narrow, state_schema), "median-ranges")
         if not state.where(~F.col("_ready")).take(1):
             break

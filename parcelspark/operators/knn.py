@@ -26,6 +26,7 @@ EARTH_RADIUS_KM = 6371.0
 MAX_PIVOT_BYTES = 64 * 1024 * 1024
 MAX_BLOCK_BYTES = 4 * 1024 * 1024
 HELD_BYTES = 128 * 1024 * 1024  # query vectors of one task
+GROWN_ROWS = 512  # rows up to which blocks grow with the table
 TASK_PRODUCTS = 2**33  # multiplications that are worth a task of their own
 
 
@@ -85,7 +86,7 @@ class KnnPlan:
     """Sizes of the join; they change its cost, never its result.
 
     Up to `one_cell_rows` vectors are compared without cells. Beyond, there is a pivot per two blocks of
-    rows, up to `max_cells` pivots.
+    rows, up to `max_cells` pivots. Small blocks grow with the square root of the table (see `grown_block`).
     """
 
     one_cell_rows: int = 20_000
@@ -93,6 +94,15 @@ class KnnPlan:
     max_cells: int = 200_000
 
 
+def grown_block(block_rows: int, total: int) -> int:
+    """Rows of a block: what the plan says, but of a large table at least the root of its rows, up to GROWN_ROWS.
+
+    Vectors without structure leave all pairs of blocks open. Their number then stays near that of the rows, each is one
+    matrix product of some size, and the lists of open cells stay short.
+    """
+    return max(block_rows, min(GROWN_ROWS, ceil(total**0.5)))
+
+
 def knn_join(
     queries: DataFrame,
     corpus: DataFrame,
@@ -180,7 +190,7 @@ def _nearest_distinct(rows, total, asked, keep, metric, max_distance, plan) -> D
     if total == 0:
         return spark.createDataFrame([], schema)
     width = rows.select(F.size("vec")).first()[0]
-    block_rows = max(1, min(plan.block_rows, MAX_BLOCK_BYTES // (8 * width)))
+    block_rows = max(1, min(grown_block(plan.block_rows, total), MAX_BLOCK_BYTES // (8 * width)))
     n_asked = total
     if asked is None:
         rows = rows.withColumn("asked", F.lit(True))

@@ -9,8 +9,12 @@ KEYS = ["parcel_id", "obs_date"]
 
 
 def pending(wanted: DataFrame, done: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Wanted rows without a result yet."""
-    return wanted.join(done.select(*keys), keys, "left_anti")
+    """Wanted rows without a result yet.
+
+    Both sides are sorted and merged, which spills: what is done grows with the campaign, and its size is easily
+    estimated too small where rows are unfolded, so it is never held in memory as a whole.
+    """
+    return wanted.join(done.select(*keys).hint("merge"), keys, "left_anti")
 
 
 def fresh_results(results: DataFrame, version: str) -> DataFrame:

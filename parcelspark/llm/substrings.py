@@ -265,8 +265,9 @@ def keep_first(docs: DataFrame, window: int = 20) -> DataFrame:
     # Each writing task sends one row to each target, so there are no more of them than even work needs.
     buckets = parallelism(spark)
     targets = 2 * buckets
+    # Row names are never null. Said so, no filter on them comes between, and both joins below share the texts' exchange.
     rows = with_row_names(docs.select("doc_id", "text"), "row_id").select(
-        "row_id",
+        F.coalesce("row_id", F.lit(-1)).alias("row_id"),
         F.col("doc_id"),
         F.col("text").cast("string").alias("text"),
     )

@@ -35,7 +35,10 @@ def covered_plan(parcels: DataFrame, scenes: DataFrame, **cells) -> DataFrame:
     cloudy one is taken. Parcels without a centre, and those no scene shows, have no row.
     """
     known = [c for c in ("scene_id", "scene_date", "cloud_cover", "bbox", "footprint") if c in scenes.columns]
-    met = shown_points(parcels, "parcel_id", "centroid_lon", "centroid_lat", scenes.select(*known), **cells)
+    # Scenes of the same place and date show the same parcels.
+    place = [c for c in ("bbox", "footprint") if c in known]
+    clear = least_cloudy(scenes.select(*known), *place, "scene_date")
+    met = shown_points(parcels, "parcel_id", "centroid_lon", "centroid_lat", clear, least_per="scene_date", **cells)
     met = met.select("parcel_id", "scene_id", "scene_date", "cloud_cover")
     return least_cloudy(met, "parcel_id", "scene_date").select("parcel_id", "scene_id", "scene_date")
 

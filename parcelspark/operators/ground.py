@@ -41,11 +41,8 @@ def in_polygon(all_edges: Column, lon: Column, lat: Column) -> Column:
     return border | (F.size(right) % 2 == 1)
 
 
-def meets_box(all_edges: Column, west: Column, south: Column, east: Column, north: Column) -> Column:
-    """Whether a polygon may have a point in a box: an edge meets it, or the polygon holds its centre.
-
-    Boxes are taken a little larger, so what is left out lies apart for certain.
-    """
+def edge_in_box(all_edges: Column, west: Column, south: Column, east: Column, north: Column) -> Column:
+    """Whether an edge of a polygon may meet a box, which is taken a little larger."""
     eps = F.lit(1e-9)
 
     def met(e: Column) -> Column:
@@ -58,7 +55,43 @@ def meets_box(all_edges: Column, west: Column, south: Column, east: Column, nort
         apart = (F.least(*away) > eps) | (F.greatest(*away) < -eps)
         return overlap & ~apart
 
-    return F.exists(all_edges, met) | in_polygon(all_edges, (west + east) / 2, (south + north) / 2)
+    return F.exists(all_edges, met)
+
+
+def meets_box(all_edges: Column, *box: Column) -> Column:
+    """Whether a polygon may have a point in a box (west, south, east, north): an edge meets it, or it holds its centre.
+
+    Boxes are taken a little larger, so what is left out lies apart for certain.
+    """
+    west, south, east, north = box
+    return edge_in_box(all_edges, *box) | in_polygon(all_edges, (west + east) / 2, (south + north) / 2)
+
+
+def covers_box(all_edges: Column, *box: Column) -> Column:
+    """Whether a polygon holds every point of a box for certain: no edge comes near it, and it holds its centre."""
+    west, south, east, north = box
+    return ~edge_in_box(all_edges, *box) & in_polygon(all_edges, (west + east) / 2, (south + north) / 2)
+
+
+def undominated(covered: DataFrame, cell_deg: float, per: str) -> DataFrame:
+    """Scenes in cells without those that cannot be the least cloudy one of any point there on any value of `per`.
+
+    Where a scene covers a whole cell, all cloudier ones of the same value (ties: larger ids) are out of the question.
+    """
+    covered = stage(covered, "covered-cells")
+    b, shape = F.col("_box"), F.col("_edges")
+    side = F.lit(cell_deg) / F.pow(F.lit(2.0), F.col("level"))
+    west, south = F.col("cx") * side, F.col("cy") * side
+    box = (west, south, west + side, south + side)
+    eps = F.lit(1e-9)
+    boxed = (b["west"] <= west - eps) & (b["east"] >= box[2] + eps) & (b["south"] <= south - eps) & (b["north"] >= box[3] + eps)
+    whole = boxed & (shape.isNull() | covers_box(shape, *box))
+    order = F.struct(F.coalesce("cloud_cover", F.lit(float("inf"))).alias("cloud"), "scene_id")
+    cell = ["level", "cx", "cy", "_per"]
+    covered = covered.withColumn("_per", F.struct(per))  # null values meet inside a struct
+    least = stage(covered.where(whole).groupBy(*cell).agg(F.min(order).alias("_least")), "least-cloudy")
+    known = lookup_join(covered, least, cell, 160 * least.count(), ["scene_id"])
+    return known.where(F.col("_least").isNull() | (order <= F.col("_least"))).drop("_per", "_least")
 
 
 def ground_cell(lon: Column, lat: Column, cell_deg: float) -> tuple[Column, Column]:
@@ -94,13 +127,17 @@ def crowded_cells(points: DataFrame, cell_deg: float, crowd: int, finest: int) -
 
 def shown_points(
     points: DataFrame, key: str, lon: str, lat: str, scenes: DataFrame,
-    cell_deg: float = CELL_DEG, crowd: int | None = None, finest: int = FINEST,
+    cell_deg: float = CELL_DEG, crowd: int | None = None, finest: int = FINEST, least_per: str | None = None,
 ) -> DataFrame:
     """The columns of `scenes` and `key` for every point a scene shows: by its `footprint` rings, else its `bbox`.
 
     Both sides meet by equality on a cell. Cells are split in four as long as they hold more than `crowd` points (by
     default a small share of what a task gets), so a region with most points makes many cells and no task gets
     them all; a scene is copied only to the cells that its footprint meets. Points without coordinates meet nothing.
+
+    With `least_per` only the least cloudy scene of every point and value of that column has to come: others are left out
+    where a whole cell shows that they are not (without their footprints and boxes), so that a cell keeps few
+    scenes of a value however many there are.
     """
     spark = points.sparkSession
     size = cell_deg / 2**finest
@@ -119,13 +156,13 @@ def shown_points(
         rings = F.when(F.col("footprint").isNotNull(), F.flatten(F.transform("footprint", edges)))
     else:
         rings = F.lit(None).cast("array<struct<x0:double,y0:double,x1:double,y1:double>>")
-    columns = scenes.columns
+    columns = [c for c in scenes.columns if least_per is None or c not in ("bbox", "footprint")]
     shape = F.col("_edges")
     covered = scenes.withColumn("_edges", rings).withColumn("_box", F.explode(boxes(F.col("bbox"))))
     first, last = lambda c: F.floor(F.col(c) / cell_deg).cast("long"), lambda c: F.floor(F.col(c) / cell_deg).cast("long")
     covered = covered.withColumn("cx", F.explode(F.sequence(first("_box.west"), last("_box.east"))))
     covered = covered.withColumn("cy", F.explode(F.sequence(first("_box.south"), last("_box.north"))))
-    covered = covered.withColumn("level", F.lit(0)).withColumn("_open", F.lit(True))
+    covered = covered.withColumn("level", F.lit(0)).select(*columns, "_edges", "_box", "level", "cx", "cy")
 
     deepest = crowded.agg(F.max("level")).first()[0]
     for level in range(0, min(finest, -1 if deepest is None else deepest + 1)):
@@ -147,6 +184,9 @@ def shown_points(
         )
         on_shape = shape.isNull() | meets_box(shape, west, south, west + side, south + side)
         covered = covered.where(~F.col("_new") | (on_box & on_shape))
+        covered = covered.drop("_new")
+        if least_per is not None and level % 3 == 1:  # each time the scenes' copies are written; levels between add few
+            covered = undominated(covered, cell_deg, least_per)
 
     cells = leaves.select("level", "cx", "cy", "salts").distinct()
     wide = lookup_join(covered, cells, ["level", "cx", "cy"], 64 * leaves.count(), ["scene_id"], how="inner")

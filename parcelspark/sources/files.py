@@ -15,6 +15,11 @@ def matching(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(str(s.getPath().toString()) for s in (fs.globStatus(hadoop) or []))
 
 
+def total_bytes(spark: SparkSession, paths: list[str]) -> int:
+    found = (_fs(spark, path) for path in paths)
+    return sum(fs.getFileStatus(hadoop).getLen() for hadoop, fs in found)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     hadoop, fs = _fs(spark, path)
     return bool(fs.exists(hadoop))

@@ -8,7 +8,7 @@ from dataclasses import replace
 from datetime import date, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -59,9 +59,17 @@ class FirstArrivals(StatefulProcessor):
         pass
 
 
+def day_number(day: date | None) -> int:
+    """A date as days since 1970; a missing date is a day of its own."""
+    return NO_DAY if pd.isna(day) else (day - EPOCH).days
+
+
 def days(dates: pd.Series) -> list[int]:
-    """Dates as days since 1970; a missing date is a day of its own."""
-    return [NO_DAY if pd.isna(d) else (d - EPOCH).days for d in dates]
+    return [day_number(d) for d in dates]
+
+
+def missing(value: float | None) -> bool:
+    return value is None or value != value
 
 
 def store_arrivals(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -100,35 +108,37 @@ def bin_counts(stream: DataFrame, season: Season = Season()) -> DataFrame:
 class RunningScores(StatefulProcessor):
     """Running weighted sums of a parcel's distances; a touched parcel comes out with what is known of it.
 
-    State: its dates with their distances, and one row of sums. A date that comes again changes nothing.
+    State: one row of sums with the parcel's dates and their distances, so a touch costs one read and one write. A date
+    that comes again changes nothing.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.path = handle.getMapState("path", "day int", "distance double")
-        self.sums = handle.getValueState("sums", "n long, hits long, profiled boolean, total double, weight double, worst double, worst_day int")
+        self.known = handle.getValueState(
+            "known",
+            "n long, hits long, profiled boolean, total double, weight double, worst double, worst_day int, "
+            "days array<int>, distances array<double>",
+        )
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, hits, profiled, total, weight, worst, worst_day = self.sums.get() or (0, 0, False, 0.0, 0.0, -1.0, 0)
-        for batch in rows:
-            for day, w, d, known in zip(days(batch["obs_date"]), batch["weight"], batch["distance"], batch["has_profile"], strict=True):
-                if pd.isna(w) or self.path.containsKey((day,)):  # without a label, or known
-                    continue
-                hit = not pd.isna(d)
-                self.path.updateValue((day,), (float(d) if hit else None,))
-                n, profiled = n + 1, profiled or bool(known)
-                if hit:
-                    hits, total, weight = hits + 1, total + d * w, weight + w
-                    if d > worst or (d == worst and day < worst_day):
-                        worst, worst_day = float(d), day
-        self.sums.update((n, hits, profiled, float(total), float(weight), float(worst), worst_day))
-        path = sorted((k[0], v[0]) for k, v in self.path.iterator() if v[0] is not None)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        n, hits, profiled, total, weight, worst, worst_day, seen, distances = self.known.get() or (0, 0, False, 0.0, 0.0, -1.0, 0, (), ())
+        path = dict(zip(seen, distances, strict=True))
+        for row in rows:
+            day, w, d = day_number(row.obs_date), row.weight, row.distance
+            if missing(w) or day in path:  # without a label, or known
+                continue
+            hit = not missing(d)
+            path[day] = float(d) if hit else None
+            n, profiled = n + 1, profiled or bool(row.has_profile)
+            if hit:
+                hits, total, weight = hits + 1, total + d * w, weight + w
+                if d > worst or (d == worst and day < worst_day):
+                    worst, worst_day = float(d), day
+        self.known.update((n, hits, profiled, float(total), float(weight), float(worst), worst_day, list(path), list(path.values())))
         date = lambda day: None if day == NO_DAY else EPOCH + timedelta(days=day)
-        yield pd.DataFrame(
-            {
-                "parcel_id": [key[0]], "_n": [n], "n_matched": [hits], "_profiled": [profiled],
-                "_score": [total / weight if hits else None], "_worst_date": [date(worst_day) if hits else None],
-                "_path": [[{"obs_date": date(day), "distance": d} for day, d in path]],
-            }
+        yield Row(
+            parcel_id=key[0], _n=n, n_matched=hits, _profiled=profiled,
+            _score=total / weight if hits else None, _worst_date=date(worst_day) if hits else None,
+            _path=[Row(obs_date=date(day), distance=d) for day, d in sorted(path.items()) if d is not None],
         )
 
     def close(self) -> None:
@@ -162,7 +172,7 @@ def score_stream(
     frozen = replace(rules, method="fixed", green=green, red=red)
     arrived = stream.select("parcel_id", "obs_date", "embedding")
     matched = match_observations(parcels, arrived, profiles, season, frozen, unlabelled=True)
-    running = matched.groupBy("parcel_id").transformWithStateInPandas(
+    running = matched.groupBy("parcel_id").transformWithState(
         statefulProcessor=RunningScores(), outputStructType=RUNNING, outputMode="Update", timeMode="None"
     )
 

@@ -165,7 +165,8 @@ def shown_points(
     covered = covered.withColumn("level", F.lit(0)).select(*columns, "_edges", "_box", "level", "cx", "cy")
 
     deepest = crowded.agg(F.max("level")).first()[0]
-    for level in range(0, min(finest, -1 if deepest is None else deepest + 1)):
+    levels = range(0, min(finest, -1 if deepest is None else deepest + 1))
+    for level in levels:
         split_here = crowded.where(F.col("level") == level).select("cx", "cy", F.lit(True).alias("_split"))
         met = lookup_join(
             covered, split_here.withColumn("level", F.lit(level)), ["level", "cx", "cy"], 64 * split_here.count(), ["scene_id"]
@@ -185,8 +186,10 @@ def shown_points(
         on_shape = shape.isNull() | meets_box(shape, west, south, west + side, south + side)
         covered = covered.where(~F.col("_new") | (on_box & on_shape))
         covered = covered.drop("_new")
-        if least_per is not None and level % 3 == 1:  # each time the scenes' copies are written; levels between add few
+        if least_per is not None and level % 3 == 1 and level + 1 < len(levels):  # each time the scenes' copies are written; levels between add few
             covered = undominated(covered, cell_deg, least_per)
+    if least_per is not None:
+        covered = undominated(covered, cell_deg, least_per)
 
     cells = leaves.select("level", "cx", "cy", "salts").distinct()
     wide = lookup_join(covered, cells, ["level", "cx", "cy"], 64 * leaves.count(), ["scene_id"], how="inner")

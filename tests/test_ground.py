@@ -95,3 +95,24 @@ def test_antimeridian(spark):
     got = {(r.parcel_id, r.scene_id) for r in chips.covered_plan(parcels, found).collect()}
     assert got == {(1, 1), (2, 1), (4, 2)}
     assert chips.covered_plan(parcels.limit(0), found).collect() == []
+
+
+def test_a_cell_keeps_few_scenes_of_a_date(spark):
+    """However many scenes show the points of a date, only those that can be the least cloudy one meet them."""
+    points = spark.range(60).select(
+        F.col("id").alias("parcel_id"), (F.col("id") * 37 % 61 / 100 - 94).alias("centroid_lon"), (F.col("id") * 53 % 59 / 100 + 41).alias("centroid_lat")
+    )
+    moved = (F.col("id") * 31 % 97) / 1000
+    west, south = F.lit(-94.5) + moved, F.lit(40.5) + moved
+    found = spark.range(400).select(
+        F.col("id").alias("scene_id"), F.when(F.col("id") % 4 > 0, F.lit("2024-05-01").cast("date")).alias("scene_date"),
+        (F.col("id") * 7919 % 101).cast("double").alias("cloud_cover"),
+        F.array(west, south, west + F.when(F.col("id") % 3 == 0, 0.7).otherwise(2.0), south + 2.0).alias("bbox"),
+    )
+    near = ("parcel_id", "centroid_lon", "centroid_lat")
+    every = ground.shown_points(points, *near, found, crowd=20, finest=3)
+    few = ground.shown_points(points, *near, found, crowd=20, finest=3, least_per="scene_date")
+    assert few.count() * 10 < every.count()
+    best = lambda met: sorted(map(tuple, scenes.least_cloudy(met.select("parcel_id", "scene_id", "scene_date", "cloud_cover"), "parcel_id", "scene_date").collect()), key=repr)
+    assert best(few) == best(every)
+    assert len(best(few)) == chips.covered_plan(points, found, crowd=20, finest=3).count()

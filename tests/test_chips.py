@@ -188,3 +188,10 @@ def test_encoder_and_incremental_runs(spark):
     assert incremental.fresh_results(done, "v2").count() == 1
     assert incremental.pending(todo, todo).count() == 0
     assert incremental.unique_observations(todo.unionByName(todo)).count() == 3
+
+
+def test_pending_holds_neither_side(spark):
+    plan = spark.range(9).select(F.col("id").alias("parcel_id"), F.lit("2024-05-01").cast("date").alias("obs_date"))
+    left = incremental.pending(plan, plan.where("parcel_id % 3 = 0"))
+    text = left._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text and left.count() == 6

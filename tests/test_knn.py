@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parcelspark.operators.knn import CosineMetric, HaversineMetric, KnnPlan, knn_join
+from parcelspark.operators.knn import CosineMetric, HaversineMetric, KnnPlan, grown_block, knn_join
 from parcelspark.operators.similarity import nearest_of_all, nearest_to, scan_mislabels
 
 SMALL = KnnPlan(one_cell_rows=10, block_rows=5, max_cells=14)
@@ -118,3 +118,7 @@ def test_a_parcel_of_two_crops_counts_once(spark):
     assert sorted(one) == [("b", "oats"), ("b", "rye"), ("c", "rye")]
     every = nearest_of_all(twice, 2).where("parcel_id = 'a'").collect()
     assert sorted((r.neighbor_id, r.neighbor_crop, r["rank"]) for r in every) == [("b", "oats", 1), ("b", "rye", 1), ("c", "rye", 2)]
+
+
+def test_small_blocks_grow_with_the_table():
+    assert [grown_block(16, n) for n in (100, 90_000, 10_000_000)] == [16, 300, 512] and grown_block(600, 10**7) == 600

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from parcelspark.operators import scenes
 from parcelspark.plans import table_queries
+from parcelspark.session import parallelism
 from parcelspark.sources import archives, catalog, parcels, tables
 
 
@@ -131,6 +132,20 @@ def test_items_one_a_line_and_in_pages(spark, tmp_path):
     assert sorted(r.scene_id for r in found.collect()) == sorted(f"i{i}" for i in range(25))
 
 
+def test_tasks_do_not_follow_small_splits(spark, tmp_path):
+    lines = [json.dumps(feature({"n": str(i)})) for i in range(600)]
+    (tmp_path / "a.geojsonl").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        read = parcels.read_features(spark, [str(tmp_path / "a.geojsonl")])
+        assert read.rdd.getNumPartitions() <= parallelism(spark)
+        found = {r.pos: r.n for r in read.select("pos", F.col("feature.properties")["n"].alias("n")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found == {i: str(i) for i in range(600)}
+
+
 def test_scene_predicates_reach_the_scan(spark, tmp_path):
     rows = spark.createDataFrame([("a", date(2024, 5, 1), 3.0, "s2")], "scene_id string, scene_date date, cloud_cover double, collection string")
     rows.write.parquet(str(tmp_path / "scenes"))

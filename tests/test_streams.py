@@ -3,6 +3,7 @@
 import os
 from datetime import date, datetime
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from parcelspark.functions.season import Season
@@ -75,3 +76,25 @@ def test_incremental_scores_equal_a_full_run(spark, tmp_path):
     full = scoring.score_parcels(parcels, seen, profiles, Season(), ScoringRules(method="fixed")).scores
     expected = {r.parcel_id: (r.health_score, r.status, r.n_observations) for r in full.collect() if r.parcel_id != "c"}
     assert got == expected
+
+
+def test_a_touch_is_one_read_and_one_write():
+    class State:
+        held, calls = None, []
+
+        def get(self):
+            self.calls.append("get")
+            return self.held
+
+        def update(self, value):
+            self.calls.append("update")
+            self.held = value
+
+    scores, state = intake.RunningScores(), State()
+    scores.known = state
+    seen = lambda day, distance: Row(obs_date=date(2024, 5, day), weight=1.0, distance=distance, has_profile=True)
+    list(scores.handleInputRows(("a",), iter([seen(3, 0.25), seen(1, None), seen(2, 0.75)]), None))
+    (out,) = scores.handleInputRows(("a",), iter([seen(3, 9.0), seen(4, 0.5)]), None)
+    assert state.calls == ["get", "update"] * 2
+    assert (out._n, out.n_matched, out._score, out._worst_date) == (4, 3, 0.5, date(2024, 5, 2))
+    assert [(p.obs_date.day, p.distance) for p in out._path] == [(2, 0.75), (3, 0.25), (4, 0.5)]

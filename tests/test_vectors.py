@@ -1,6 +1,7 @@
 """Vector expressions and aggregates against numpy."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -122,3 +123,14 @@ def test_rank_in_group(spark):
     for group in ("hot", "cold", None):
         ordered = sorted((r for r in got if r.g == group), key=lambda r: r.v)
         assert [r.r for r in ordered] == list(range(len(ordered)))
+
+
+def test_small_blocks_are_read_in_bundles():
+    rng = np.random.RandomState(3)
+    blocks = [np.sort(rng.randint(0, 99, (3, 2)).astype(np.int64), axis=0) for _ in range(7)]
+    pdf = pd.DataFrame({"_group": [1] * 5 + [2] * 2, "_bundle": [0, 0, 0, 1, 1, 1, 1], "_d": 2, "_raw": [b.tobytes() for b in blocks]})
+    found = [keys for _, keys in medians._bundles(iter([pdf.iloc[:2], pdf.iloc[2:]]))]
+    assert [len(keys) for keys in found] == [9, 6, 6]
+    assert (found[0] == np.sort(np.concatenate(blocks[:3]), axis=0)).all()
+    runs = [(len(whole), starts.tolist()) for whole, starts in medians._whole_runs(iter([pdf.iloc[:1], pdf.iloc[1:4], pdf.iloc[4:]]), ["_group", "_bundle"])]
+    assert runs == [(3, [0]), (2, [0]), (2, [0])]

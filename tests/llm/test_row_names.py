@@ -65,3 +65,12 @@ def test_other_splits_between_scans(spark, docs, operator):
     begun = operator(docs)
     with split_size(spark, "1k"):
         assert sorted(map(repr, begun.collect())) == expected
+
+
+def test_texts_are_exchanged_alike(spark, tmp_path):
+    """No filter on row names stands below one of the joins only, so both share the exchange of the texts."""
+    from parcelspark.llm import substrings
+
+    spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    kept = substrings.keep_first(spark.read.parquet(str(tmp_path / "docs")))
+    assert "isnotnull((shiftleft" not in kept._jdf.queryExecution().optimizedPlan().toString()
